@@ -1,0 +1 @@
+"""Catalog module."""
