@@ -1 +1,380 @@
-"""Catalog module."""
+"""Catalog: the join, aggregate, window, top-k and set kinds the reports are made of."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from newsiq.catalog import query
+from newsiq.catalog.tables import AS_OF
+from newsiq.functions import stats as st
+from newsiq.operators import joins, windows
+from newsiq.operators import chunks as ch
+from newsiq.plans import analysis as an
+from newsiq.plans import evalset as es
+from newsiq.plans import feed
+from newsiq.plans import queue as qu
+from newsiq.plans import reports as rp
+
+TS = f"TIMESTAMP '{AS_OF}'"
+
+
+@query("joi_1_inner", "SELECT n.id, s.name, s.source_type FROM news n JOIN sources s USING (source_id)", ("news", "sources"))
+def inner(t):
+    return t.news.join(t.sources, "source_id").select("id", "name", "source_type")
+
+
+@query(
+    "joi_2_left_two_keys",
+    "SELECT c.retrieval_run_id, c.rank, c.article_id, g.relevance_grade FROM (SELECT *, retrieval_run_id % 40 AS case_id FROM candidates) c LEFT JOIN gold g ON g.case_id = c.case_id AND g.article_id = c.article_id",
+    ("candidates", "gold"),
+)
+def left_two_keys(t):
+    c = t.candidates.withColumn("case_id", F.expr("retrieval_run_id % 40"))
+    g = t.gold.select("case_id", "article_id", "relevance_grade")
+    return c.join(g, ["case_id", "article_id"], "left").select("retrieval_run_id", F.col("rank").cast("long").alias("rank"), "article_id", "relevance_grade")
+
+
+@query("joi_3_anti", "SELECT id FROM news n WHERE NOT EXISTS (SELECT 1 FROM analysis a WHERE a.article_id = n.id)", ("news", "analysis"))
+def anti(t):
+    return joins.not_in(t.news.select("id"), t.analysis.select(F.col("article_id").alias("id")), "id")
+
+
+@query("joi_4_semi", "SELECT case_id FROM cases c WHERE EXISTS (SELECT 1 FROM gold g WHERE g.case_id = c.case_id AND g.review_status = 'pending')", ("cases", "gold"))
+def semi(t):
+    return joins.only_in(t.cases.select("case_id"), t.gold.where("review_status = 'pending'"), "case_id")
+
+
+@query(
+    "joi_5_known_urls",
+    "SELECT i.id, i.url, i.url IN (SELECT url FROM raw WHERE status = 'done' UNION SELECT url FROM news WHERE published_at IS NULL) AS is_known FROM items i",
+    ("items", "raw", "news"),
+)
+def known_urls(t):
+    return joins.known_urls(t.items.select("id", "url"), t.raw.where("status = 'done'"), t.news.where("published_at IS NULL")).select("id", "url", "is_known")
+
+
+@query(
+    "joi_6_one_row_parameters",
+    "SELECT chunk_id, article_id FROM chunks, (SELECT max(chunk_index) AS last, 'v1' AS version FROM chunks) p WHERE chunking_version = p.version AND chunk_index = p.last",
+    ("chunks",),
+)
+def parameters(t):
+    last = t.chunks.select(F.max("chunk_index")).scalar()
+    return t.chunks.where((F.col("chunking_version") == "v1") & (F.col("chunk_index") == last)).select("chunk_id", "article_id")
+
+
+@query(
+    "joi_9_unnest",
+    "SELECT doc_id, word FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents) x",
+)
+def unnest(t):
+    return joins.explode_left(t.documents.select("doc_id", F.split("text", " ").alias("w")), "w", "word").drop("w")
+
+
+@query(
+    "joi_10_lateral_counts",
+    "SELECT g.case_id, g.article_id, coalesce(k.chunks, 0) AS chunks, coalesce(k.embedded, 0) AS embedded FROM gold g LEFT JOIN LATERAL (SELECT count(*) AS chunks, count(embedding) AS embedded FROM chunks c WHERE c.article_id = g.article_id) k ON true",
+    ("gold", "chunks"),
+)
+def lateral_counts(t):
+    out = joins.left_counts(t.gold.select("case_id", "article_id"), t.chunks, "article_id", chunks=F.count("*"), embedded=F.count("embedding"))
+    return out.fillna(0, ["chunks", "embedded"]).select("case_id", "article_id", "chunks", "embedded")
+
+
+@query("joi_11_scalar_subquery", "SELECT id FROM news WHERE created_at < (SELECT created_at FROM news WHERE id = 50)", ("news",))
+def scalar_subquery(t):
+    at = t.news.where("id = 50").select("created_at").scalar()
+    return t.news.where(F.col("created_at") < at).select("id")
+
+
+@query(
+    "joi_12_alias_lookup",
+    "SELECT e.event_id, s.source_id FROM events e JOIN sources s ON s.source_id = e.event_id % 24",
+    ("sources",),
+)
+def alias_lookup(t):
+    from newsiq.sources import feeds
+
+    handles = t.sources.withColumn("metadata", F.create_map(F.lit("handle"), "handle"))
+    items = t.events.select("event_id", F.concat(F.lit("https://youtube.com/@handle"), F.expr("event_id % 24").cast("string"), F.lit("/")).alias("channel_url"))
+    return feeds.match_alias(items, handles)[0].select("event_id", "source_id")
+
+
+# ---------------------------------------------------------------- aggregates
+
+
+@query(
+    "agg_1_conditional_counts",
+    f"SELECT surface, count(*) AS runs, count(*) FILTER (WHERE injected_count = 0) AS empty, count(*) FILTER (WHERE qa_log_id IS NOT NULL) AS linked FROM runs GROUP BY surface",
+    ("runs",),
+)
+def conditional_counts(t):
+    return t.runs.groupBy("surface").agg(
+        F.count("*").alias("runs"), st.count_if(F.col("injected_count") == 0).alias("empty"), st.count_if(F.col("qa_log_id").isNotNull()).alias("linked")
+    )
+
+
+@query(
+    "agg_2_distinct_counts",
+    "SELECT l_returnflag, count(*) AS lines, count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_returnflag",
+)
+def distinct_counts(t):
+    return t.lineitem.groupBy("l_returnflag").agg(
+        F.count("*").alias("lines"), F.countDistinct("l_orderkey").alias("orders"), F.countDistinct("l_suppkey").alias("suppliers")
+    )
+
+
+@query(
+    "agg_3_conditional_min_max",
+    "SELECT retrieval_run_id, min(rank) FILTER (WHERE article_id % 2 = 0) AS best_even, max(score_final) FILTER (WHERE rank > 2) AS best_late FROM candidates GROUP BY retrieval_run_id",
+    ("candidates",),
+)
+def conditional_min_max(t):
+    out = t.candidates.groupBy("retrieval_run_id").agg(
+        F.min(F.when(F.expr("article_id % 2 = 0"), F.col("rank").cast("long"))).alias("best_even"), F.max(F.when(F.col("rank") > 2, F.col("score_final"))).alias("best_late")
+    )
+    return out
+
+
+@query(
+    "agg_4_rates",
+    "SELECT lang, round(avg(CASE WHEN error_message IS NOT NULL THEN 1 ELSE 0 END), 6) AS error_rate, round(coalesce(avg(CASE WHEN feedback < 0 THEN 1 ELSE 0 END) FILTER (WHERE feedback IS NOT NULL), 0), 6) AS negative_rate FROM qa_logs GROUP BY lang",
+    ("qa_logs",),
+)
+def rates(t):
+    return t.qa_logs.groupBy("lang").agg(
+        F.round(st.rate(F.col("error_message").isNotNull()), 6).alias("error_rate"),
+        F.round(F.coalesce(st.rate_of(F.col("feedback") < 0, F.col("feedback").isNotNull()), F.lit(0.0)), 6).alias("negative_rate"),
+    )
+
+
+@query(
+    "agg_5_percentile_cont",
+    "SELECT strategy, quantile_cont(latency_ms, 0.5) AS p50, quantile_cont(latency_ms, 0.95) AS p95 FROM runs GROUP BY strategy",
+    ("runs",),
+)
+def percentile_cont(t):
+    return t.runs.groupBy("strategy").agg(st.percentile_cont("latency_ms", 0.5).alias("p50"), st.percentile_cont("latency_ms", 0.95).alias("p95"))
+
+
+@query(
+    "agg_6_percentile_nearest",
+    "SELECT strategy, CAST(quantile_disc(latency_ms, 0.5) AS DOUBLE) AS p50, CAST(quantile_disc(latency_ms, 0.95) AS DOUBLE) AS p95 FROM runs GROUP BY strategy",
+    ("runs",),
+)
+def percentile_nearest(t):
+    return t.runs.groupBy("strategy").agg(st.percentile_nearest("latency_ms", 0.5).alias("p50"), st.percentile_nearest("latency_ms", 0.95).alias("p95"))
+
+
+@query(
+    "agg_7_ordered_list",
+    "SELECT retrieval_run_id, string_agg(article_id, ',' ORDER BY rank) FILTER (WHERE rank <> 3) AS ids FROM candidates GROUP BY retrieval_run_id",
+    ("candidates",),
+)
+def ordered_list(t):
+    ids = st.ordered_list(F.col("article_id").cast("string"), "rank", where=F.col("rank") != 3)
+    return t.candidates.groupBy("retrieval_run_id").agg(F.array_join(ids, ",").alias("ids"))
+
+
+@query(
+    "agg_8_ordered_objects",
+    "SELECT article_id, string_agg(chunking_version || ':' || n, ';' ORDER BY chunking_version) AS versions FROM (SELECT article_id, chunking_version, count(*) AS n FROM chunks GROUP BY 1, 2) v GROUP BY article_id",
+    ("chunks",),
+)
+def ordered_objects(t):
+    per = t.chunks.groupBy("article_id", "chunking_version").agg(F.count("*").alias("n"))
+    packed = per.groupBy("article_id").agg(
+        st.ordered_structs([F.col("chunking_version"), F.col("n")], "chunking_version").alias("v"), st.object_map("chunking_version", "n").alias("m")
+    )
+    text = F.transform("v", lambda e: F.concat(e["chunking_version"], F.lit(":"), F.element_at("m", e["chunking_version"]).cast("string")))
+    return packed.select("article_id", F.array_join(text, ";").alias("versions"))
+
+
+@query(
+    "agg_9_distinct_errors",
+    "SELECT source_id, string_agg(DISTINCT substr(last_error, 1, 180), ' | ' ORDER BY substr(last_error, 1, 180)) AS errors FROM raw GROUP BY source_id",
+    ("raw",),
+)
+def distinct_errors(t):
+    return t.raw.groupBy("source_id").agg(st.distinct_join("last_error").alias("errors"))
+
+
+VOTES = """SELECT target_id, count(*) FILTER (WHERE feedback = 1) AS up_count, count(*) FILTER (WHERE feedback = -1) AS down_count FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, target_id ORDER BY ts DESC, event_id DESC) AS rn FROM votes) v WHERE rn = 1 GROUP BY target_id"""
+
+
+@query("agg_10_feedback_counts", VOTES, ("votes",))
+def feedback_counts(t):
+    return rp.feedback_counts(t.votes)
+
+
+@query(
+    "agg_11_cases_missing_gold",
+    """SELECT c.case_id, c.primary_article_id, max(g.relevance_grade) FILTER (WHERE g.review_status = 'approved') AS max_approved_grade, count(g.article_id) AS labels
+      FROM cases c LEFT JOIN gold g USING (case_id) GROUP BY 1, 2 HAVING coalesce(max(g.relevance_grade) FILTER (WHERE g.review_status = 'approved'), 0) < 3""",
+    ("cases", "gold"),
+)
+def cases_missing_gold(t):
+    # the fixture gives nearly every case a grade of 2, so the bar is 3 here
+    out = rp.cases_missing_gold(t.cases, t.gold.withColumn("relevance_grade", F.expr("relevance_grade - 1")))
+    return out.withColumn("max_approved_grade", F.col("max_approved_grade") + 1)
+
+
+READINESS = """SELECT eval_set_id, count(*) AS total_cases, count(*) FILTER (WHERE a > 0) AS cases_with_approved_relevant_gold,
+  count(*) FILTER (WHERE a = 0 AND p > 0) AS cases_with_only_pending_relevant_gold, count(*) FILTER (WHERE a = 0 AND p = 0) AS cases_without_relevant_gold FROM (
+  SELECT c.eval_set_id, c.case_id, count(*) FILTER (WHERE g.review_status = 'approved' AND g.relevance_grade >= 2) AS a,
+    count(*) FILTER (WHERE g.review_status = 'pending' AND g.relevance_grade >= 2) AS p FROM cases c LEFT JOIN gold g USING (case_id) GROUP BY 1, 2) x GROUP BY eval_set_id"""
+
+
+@query("agg_12_gold_readiness", READINESS, ("cases", "gold"))
+def gold_readiness(t):
+    return rp.gold_readiness(t.cases, t.gold)
+
+
+@query(
+    "agg_13_fan_out_safe",
+    """SELECT s.source_id, coalesce(r.n, 0) AS raw_rows, coalesce(a.n, 0) AS articles FROM sources s LEFT JOIN (SELECT source_id, count(*) AS n FROM raw GROUP BY 1) r USING (source_id)
+      LEFT JOIN (SELECT source_id, count(*) AS n FROM news GROUP BY 1) a USING (source_id)""",
+    ("sources", "raw", "news"),
+)
+def fan_out_safe(t):
+    out = joins.left_counts(t.sources.select("source_id"), t.raw, "source_id", raw_rows=F.count("*"))
+    return joins.left_counts(out, t.news, "source_id", articles=F.count("*")).fillna(0, ["raw_rows", "articles"])
+
+
+@query(
+    "agg_15_analysis_readiness",
+    f"""SELECT count(*) FILTER (WHERE length(coalesce(n.article_content, '')) > 500 AND a.status = 'ready') AS eligible_ready_count, count(*) FILTER (WHERE a.status = 'pending') AS pending,
+      count(*) FILTER (WHERE a.status = 'processing' AND a.updated_at < {TS} - INTERVAL '15' MINUTE) AS processing_stale,
+      count(*) FILTER (WHERE a.status = 'error' AND coalesce(a.retry_count, 0) < 3) AS retryable_errors,
+      count(*) FILTER (WHERE a.status = 'ineligible' AND length(coalesce(n.article_content, '')) <= 500) AS short_or_empty_ineligible FROM news n LEFT JOIN analysis a ON a.article_id = n.id""",
+    ("news", "analysis"),
+)
+def analysis_readiness(t):
+    return rp.analysis_readiness(t.news, t.analysis, AS_OF)
+
+
+# ---------------------------------------------------------------- windows
+
+
+@query(
+    "win_1_latest_per_group",
+    "SELECT run_id, strategy FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY created_at DESC, run_id DESC) AS rn FROM eval_runs) x WHERE rn = 1",
+    ("eval_runs",),
+)
+def latest_per_group(t):
+    return es.latest_runs(t.eval_runs).select("run_id", "strategy")
+
+
+@query(
+    "win_2_distinct_on",
+    "SELECT DISTINCT ON (user_id, event_type) user_id, event_type, event_id FROM events ORDER BY user_id, event_type, ts DESC, event_id DESC",
+)
+def distinct_on(t):
+    return windows.latest_per(t.events, ["user_id", "event_type"], [F.col("ts").desc(), F.col("event_id").desc()]).select("user_id", "event_type", "event_id")
+
+
+@query(
+    "win_6_top_n_per_group",
+    "SELECT source_id, id, CAST(rn AS BIGINT) AS rank FROM (SELECT source_id, id, row_number() OVER (PARTITION BY source_id ORDER BY length(coalesce(article_content, '')) DESC, created_at DESC, id) AS rn FROM news) x WHERE rn <= 5",
+    ("news",),
+)
+def top_n_per_group(t):
+    order = [F.length(F.coalesce("article_content", F.lit(""))).desc(), F.col("created_at").desc(), F.col("id")]
+    out = windows.top_per(t.news.select("source_id", "id", "article_content", "created_at"), ["source_id"], order, 5, "rank")
+    return out.select("source_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
+# ---------------------------------------------------------------- top-k, paging, claims
+
+
+@query(
+    "top_1_keyset_page",
+    """WITH p AS (SELECT id, created_at FROM news WHERE created_at < (SELECT created_at FROM news WHERE id = 11) ORDER BY created_at DESC, id DESC LIMIT 25)
+      SELECT id, created_at, (SELECT id FROM p ORDER BY created_at, id LIMIT 1) AS next_cursor FROM p""",
+    ("news",),
+)
+def keyset_page(t):
+    return feed.page(t.news.select("id", "created_at"), 25, cursor=11)
+
+
+@query(
+    "top_1_keyset_page_all_ties",
+    """WITH c AS (SELECT created_at FROM news WHERE id = 11), p AS (SELECT id, created_at FROM news WHERE created_at < (SELECT created_at FROM c) OR (created_at = (SELECT created_at FROM c) AND id < 11) ORDER BY created_at DESC, id DESC LIMIT 25)
+      SELECT id, created_at, (SELECT id FROM p ORDER BY created_at, id LIMIT 1) AS next_cursor FROM p""",
+    ("news",),
+)
+def keyset_page_all_ties(t):
+    return feed.page(t.news.select("id", "created_at"), 25, cursor=11, strict=False)
+
+
+# New York is five hours behind UTC in January
+_TIER = """CASE WHEN published_at IS NOT NULL AND CAST(published_at - INTERVAL '5' HOUR AS DATE) = DATE '2024-01-15' THEN 0
+  WHEN published_at IS NULL AND CAST(fetched_at - INTERVAL '5' HOUR AS DATE) = DATE '2024-01-15' THEN 1 ELSE 2 END"""
+
+
+@query(
+    "top_2_claim_order",
+    f"SELECT id, CAST({_TIER} AS BIGINT) AS tier FROM raw WHERE status = 'pending' ORDER BY 2, fetched_at, id LIMIT 50",
+    ("raw",),
+)
+def claim_order(t):
+    return qu.next_batch(t.raw, "2024-01-16 02:00:00", 50).select("id", "tier")
+
+
+@query(
+    "top_3_analysis_claim",
+    """SELECT a.analysis_id, a.article_id FROM analysis a JOIN news n ON n.id = a.article_id WHERE a.status IN ('pending', 'error') AND a.retry_count < 3
+      AND n.article_content IS NOT NULL AND length(n.article_content) > 500 ORDER BY a.created_at, a.analysis_id LIMIT 40""",
+    ("analysis", "news"),
+)
+def analysis_claim(t):
+    return an.next_batch(t.news, t.analysis, 40).select("analysis_id", "article_id")
+
+
+@query(
+    "top_4_sort_nulls",
+    "SELECT id, row_number() OVER (PARTITION BY source_id ORDER BY likes NULLS FIRST, published_at DESC NULLS LAST, id) AS pos FROM news",
+    ("news",),
+)
+def sort_nulls(t):
+    order = [F.col("likes").asc_nulls_first(), F.col("published_at").desc_nulls_last(), F.col("id")]
+    rows = windows.ranked(t.news.select("id", "source_id", "likes", "published_at"), ["source_id"], order, "pos")
+    return rows.select("id", F.col("pos").cast("long").alias("pos"))
+
+
+@query(
+    "top_7_pending_embeddings",
+    "SELECT n.id FROM news n LEFT JOIN article_vectors v ON v.article_id = n.id WHERE v.embedding IS NULL ORDER BY n.created_at DESC, n.id DESC LIMIT 45",
+    ("news", "article_vectors"),
+)
+def pending_embeddings(t):
+    rows = t.news.select("id", "created_at").join(t.article_vectors.withColumnRenamed("article_id", "id"), "id", "left")
+    return ch.pending_embeddings(rows).select("id")
+
+
+# ---------------------------------------------------------------- sets
+
+
+@query("set_1_union_all", "SELECT url FROM items UNION ALL SELECT url FROM raw", ("items", "raw"))
+def union_all(t):
+    return t.items.select("url").unionByName(t.raw.select("url"))
+
+
+@query("set_2_distinct", "SELECT DISTINCT article_id FROM gold WHERE review_status = 'approved' AND relevance_grade >= 2", ("gold",))
+def distinct(t):
+    return t.gold.where("review_status = 'approved' AND relevance_grade >= 2").select("article_id").distinct()
+
+
+@query(
+    "set_3_missing_gold",
+    """SELECT g.case_id, string_agg(g.article_id, ',' ORDER BY g.article_id) AS missing FROM gold g WHERE g.relevance_grade >= 2
+      AND NOT EXISTS (SELECT 1 FROM candidates c WHERE c.retrieval_run_id = g.case_id AND c.article_id = g.article_id) GROUP BY g.case_id""",
+    ("gold", "candidates"),
+)
+def missing_gold(t):
+    found = t.candidates.groupBy(F.col("retrieval_run_id").alias("case_id")).agg(F.collect_set("article_id").alias("f"))
+    gold = t.gold.where("relevance_grade >= 2").groupBy("case_id").agg(st.ordered_list("article_id", "article_id").alias("g"))
+    out = gold.join(found, "case_id", "left")
+    left = F.array_except("g", F.coalesce("f", F.array().cast("array<bigint>")))
+    return out.select("case_id", left.alias("m")).where(F.size("m") > 0).select("case_id", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("missing"))

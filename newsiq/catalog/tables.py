@@ -9,6 +9,7 @@ samples its input: row counts follow the driver tables.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,7 +107,7 @@ DERIVED: dict[str, tuple[tuple[str, ...], object]] = {
           concat('https://ex.org/a/', CAST(doc_id AS string)) AS url, text AS raw_content,
           CASE WHEN doc_id % 7 IN (0, 1) THEN 'pending' WHEN doc_id % 7 = 2 THEN 'error' ELSE 'done' END AS status,
           doc_id % 4 AS retry_count,
-          CASE WHEN doc_id % 7 = 2 THEN CASE WHEN doc_id % 2 = 0 THEN 'INSUFFICIENT_CONTENT' ELSE concat('timeout ', CAST(doc_id % 3 AS string)) END END AS last_error,
+          CASE WHEN doc_id % 7 = 2 THEN CASE WHEN doc_id % 3 <> 0 THEN 'INSUFFICIENT_CONTENT' ELSE concat('timeout ', CAST(doc_id % 3 AS string)) END END AS last_error,
           CASE WHEN doc_id % 5 <> 0 THEN {d.ts('2024-01-01 00:00:00')} + {_minute('(doc_id * 7919) % 43200 - 60 * (doc_id % 48)')} END AS published_at,
           {d.ts('2024-01-01 00:00:00')} + {_minute('(doc_id * 7919) % 43200 - 10')} AS fetched_at
         FROM documents""",
@@ -323,18 +324,12 @@ class Tables:
 
     def sql(self, text: str, *names: str) -> DataFrame:
         """Run SQL over tables of this directory without naming global views."""
+        text = text.replace("{", "{{").replace("}", "}}")
         for name in names:
-            text = _replace_table(text, name)
+            text = re.sub(rf"\b(FROM|JOIN)\s+{name}\b", rf"\1 {{{name}}}", text)
         return self.spark.sql(text, **{n: getattr(self, n) for n in names})
 
 
-def _replace_table(text: str, name: str) -> str:
-    import re
-
-    text = text if "{" + name + "}" in text else re.sub(rf"\b(FROM|JOIN)\s+{name}\b", rf"\1 {{{name}}}", text)
-    return text
-
-
 def with_tables(sql: str, names: tuple[str, ...]) -> str:
     """Prefix ``sql`` with the CTEs of the derived tables it uses."""
     if not names:

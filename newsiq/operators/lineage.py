@@ -3,24 +3,37 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the one ``spark.checkpoint.dir`` names.
+
+    Only a local session without that setting gets a temporary folder; a
+    cluster without it is an error, because a machine-local folder would not
+    survive the machine.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="newsiq-")
+    return _LOCAL[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the folder the session names.
+    """Write ``df`` once to the shared folder and continue from there.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only a local session
-    without it gets a temporary folder; a cluster without it is an error,
-    because a machine-local folder would not survive the machine.
+    A written table keeps column pruning and real size statistics for the
+    joins that follow, which a checkpointed RDD would not.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="newsiq-ckpt-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/newsiq-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from newsiq.functions import text as tx
 from newsiq.functions.stats import ordered_list
 from newsiq.operators import questions as qs
-from newsiq.operators.joins import if_small
 from newsiq.operators.knn import knn_join
+from newsiq.operators.substrings import term_matches
 from newsiq.operators.windows import latest_per, ranked, top_per
 
 TITLE_FIELDS = ("title", "title_en", "title_zh")
@@ -74,56 +74,12 @@ def chunk_dense(
 # ---------------------------------------------------------------- lexical
 
 
-def _grams(x: Column) -> Column:
-    """Distinct 2- and 3-character substrings."""
-    def of(v: Column, n: int) -> Column:
-        last = F.length(v) - (n - 1)
-        grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(v, i, F.lit(n)))
-        return F.when(last >= 1, grams).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(tx.let(x, lambda v: F.concat(of(v, 2), of(v, 3))))
-
-
 def term_table(queries: DataFrame, question: str = "question") -> DataFrame:
     """(query_id, term) of every question, terms as the search uses them."""
     terms = queries.select("query_id", F.explode(qs.lexical_terms(question)).alias("term"))
     return terms.select("query_id", F.lower(F.trim("term")).alias("term")).where(F.length("term") >= 2)
 
 
-def _matches(articles: DataFrame, terms: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """(id, term, term_grams, field columns): articles with a field containing the term.
-
-    An equi-join on one substring of the term, the rarest in the corpus, finds
-    the candidates; ``contains`` confirms them.  A term always contains its key
-    substring, so nothing is missed, and no cross product is formed.
-    """
-    grams = terms.select("term", F.explode(_grams(F.col("term"))).alias("gram"))
-    grams = grams.where(F.length("gram") == F.least(F.lit(3), F.length("term")))
-    lowered = [F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in fields]
-    sep = "\u0001"
-    base = articles.select(id_col, *lowered)
-    doc = base.select(id_col, F.explode(_grams(F.concat_ws(sep, *fields))).alias("gram"))
-    wanted, small = if_small(grams.select("gram").distinct())
-    df_count = doc.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
-    # rarest key substring per term; a substring missing from the corpus rules the term out
-    keyed = grams.join(df_count, "gram", "left").groupBy("term").agg(
-        F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("gram"))).alias("key")
-    )
-    keyed = keyed.where(F.col("key.df") > 0).select("term", F.col("key.gram").alias("gram"))
-    if small:
-        # few terms: stream the articles past a broadcast list of keys
-        arrays = base.select("*", *[tx.trigrams(c).alias(f"_g_{c}") for c in fields])
-        pairs = arrays.select("*", F.explode(_grams(F.concat_ws(sep, *fields))).alias("gram")).join(
-            F.broadcast(keyed), "gram"
-        )
-    else:
-        ids = doc.join(keyed, "gram").select(id_col, "term").distinct()
-        arrays = base.select("*", *[tx.trigrams(c).alias(f"_g_{c}") for c in fields])
-        pairs = ids.join(arrays, id_col)
-    hit = reduce(lambda a, b: a | b, [F.contains(F.col(c), F.col("term")) for c in fields])
-    return pairs.where(hit)
-
-
 def lexical(queries: DataFrame, articles: DataFrame, k: int, id_col: str = "article_id", terms: DataFrame | None = None) -> DataFrame:
     """Substring search scored by trigram similarity, best ``k`` articles per query.
 
@@ -133,13 +89,8 @@ def lexical(queries: DataFrame, articles: DataFrame, k: int, id_col: str = "arti
     """
     terms = term_table(queries) if terms is None else terms
     terms = terms.dropDuplicates(["query_id", "term"])
-    fields = list(TITLE_FIELDS + SUMMARY_FIELDS)
-    distinct_terms = terms.select("term").distinct()
-    pairs = _matches(articles, distinct_terms, id_col, fields)
-    grams = tx.trigrams("term")
-    weights = [4.0] * len(TITLE_FIELDS) + [2.0] * len(SUMMARY_FIELDS)
-    score = F.greatest(*[tx.set_similarity(F.col(f"_g_{c}"), grams) * w for c, w in zip(fields, weights)])
-    scored = pairs.select(id_col, "term", score.alias("score"))
+    weights = {f: 4.0 for f in TITLE_FIELDS} | {f: 2.0 for f in SUMMARY_FIELDS}
+    scored = term_matches(articles, terms.select("term").distinct(), id_col, list(weights), weights)
     summed = (
         terms.join(scored, "term")
         .groupBy("query_id", id_col)

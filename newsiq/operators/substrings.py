@@ -1,0 +1,145 @@
+"""Join of a term table with a text table on "the text contains the term".
+
+Two exact ways, chosen by the number of distinct terms:
+
+* a bounded term table is sent to the tasks as one search automaton and every
+  text is read once, whatever the number of terms;
+* beyond the bound, each term is joined through one of its own substrings, the
+  rarest in the corpus, and confirmed with ``contains``.  This is an equi-join;
+  neither side is collected.
+
+Neither way pairs texts with terms they do not contain, beyond the candidates
+of the second one.
+"""
+
+from __future__ import annotations
+
+import re
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from newsiq.functions import text as tx
+from newsiq.operators.partitions import spread
+
+try:
+    import ahocorasick
+except ImportError:  # the join below needs nothing but Spark
+    ahocorasick = None
+
+MAX_SCAN_TERMS = 200_000
+
+
+def term_matches(
+    texts: DataFrame,
+    terms: DataFrame,
+    id_col: str,
+    fields: list[str],
+    weights: dict[str, float] | None = None,
+    max_scan_terms: int = MAX_SCAN_TERMS,
+) -> DataFrame:
+    """(id, term) for every text with a field containing the term, ignoring case.
+
+    ``terms`` has one distinct lower-case ``term`` per row.  With ``weights``
+    also ``score``: the greatest weighted trigram similarity of term and field.
+    """
+    lowered = [F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in fields]
+    base = texts.select(id_col, *lowered)
+    head = terms.limit(max_scan_terms + 1).collect() if ahocorasick else None
+    if head is not None and len(head) <= max_scan_terms:
+        return _scan(spread(base), [r[0] for r in head], id_col, fields, weights)
+    return _gram_join(base, terms, id_col, fields, weights)
+
+
+def _word_grams(text: str) -> set[str]:
+    grams = set()
+    for word in re.findall(r"[^\W_]+", text):
+        padded = f"  {word} "
+        grams.update(padded[i : i + 3] for i in range(len(word) + 1))
+    return grams
+
+
+def _scan(base: DataFrame, terms: list[str], id_col: str, fields: list[str], weights: dict[str, float] | None) -> DataFrame:
+    shared = base.sparkSession.sparkContext.broadcast(terms)
+    out = [T.StructField(id_col, base.schema[id_col].dataType), T.StructField("term", T.StringType())]
+    if weights:
+        out.append(T.StructField("score", T.DoubleType()))
+    names = [f.name for f in out]
+
+    def run(batches):
+        words = shared.value
+        if not words:
+            return
+        automaton = ahocorasick.Automaton()
+        for i, word in enumerate(words):
+            automaton.add_word(word, i)
+        automaton.make_automaton()
+        term_grams: dict[int, set[str]] = {}
+        for batch in batches:
+            columns = [batch.column(i + 1).to_pylist() for i in range(len(fields))]
+            rows, hits, scores = [], [], []
+            for r, texts in enumerate(zip(*columns)):
+                found = set()
+                for text in set(texts):
+                    found.update(i for _, i in automaton.iter(text))
+                if not found:
+                    continue
+                rows.extend([r] * len(found))
+                hits.extend(found)
+                if weights:
+                    best: dict[str, float] = {}
+                    for name, text in zip(fields, texts):
+                        best[text] = max(best.get(text, 0.0), weights[name])
+                    sides = [(w, _word_grams(text)) for text, w in best.items() if text]
+                    for i in found:
+                        if i not in term_grams:
+                            term_grams[i] = _word_grams(words[i])
+                        scores.append(max(w * _jaccard(term_grams[i], g) for w, g in sides))
+            if rows:
+                arrays = [batch.column(0).take(pa.array(rows)), pa.array([words[i] for i in hits])]
+                if weights:
+                    arrays.append(pa.array(scores, pa.float64()))
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return base.mapInArrow(run, T.StructType(out))
+
+
+def _jaccard(a: set[str], b: set[str]) -> float:
+    shared = len(a & b)
+    total = len(a) + len(b) - shared
+    return shared / total if total else 0.0
+
+
+def substrings(x: Column) -> Column:
+    """Distinct 2- and 3-character substrings."""
+    def windows(chars: Column) -> Column:
+        at = lambda i, n: F.get(chars, i + n)
+        two = F.transform(chars, lambda c, i: F.concat(c, at(i, 1)))
+        three = F.transform(chars, lambda c, i: F.concat(c, at(i, 1), at(i, 2)))
+        return F.array_compact(F.concat(two, three))
+
+    return F.array_distinct(tx.let(F.split(x, ""), windows))
+
+
+def _gram_join(base: DataFrame, terms: DataFrame, id_col: str, fields: list[str], weights: dict[str, float] | None) -> DataFrame:
+    grams = terms.select("term", F.explode(substrings(F.col("term"))).alias("gram"))
+    grams = grams.where(F.length("gram") == F.least(F.lit(3), F.length("term")))
+    doc = base.select(id_col, F.explode(substrings(F.concat_ws("\u0001", *fields))).alias("gram"))
+    df_count = doc.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
+    # rarest substring per term; one missing from the corpus rules the term out
+    keyed = grams.join(df_count, "gram", "left").groupBy("term").agg(
+        F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("gram"))).alias("key")
+    )
+    keyed = keyed.where(F.col("key.df") > 0).select("term", F.col("key.gram").alias("gram"))
+    # only (id, term) travels to the texts, each pair once
+    ids = doc.join(keyed, "gram").select(id_col, "term")
+    hit = reduce(lambda a, b: a | b, [F.contains(F.col(c), F.col("term")) for c in fields])
+    if not weights:
+        return ids.join(base, id_col).where(hit).select(id_col, "term")
+    arrays = base.select("*", *[tx.trigrams(c).alias(f"_g_{c}") for c in fields])
+    pairs = ids.join(arrays, id_col).where(hit)
+    score = F.greatest(*[tx.set_similarity(F.col(f"_g_{c}"), tx.trigrams("term")) * weights[c] for c in fields])
+    return pairs.select(id_col, "term", score.alias("score"))
