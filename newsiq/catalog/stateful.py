@@ -1 +1 @@
-"""Catalog module."""
+"""Catalog: streaming jobs and their batch twins."""

@@ -52,7 +52,7 @@ def entity_terms(question: Column | str, lexicon: list[str] | None = None, limit
         low = F.lower(text)
         hits = F.filter(F.array(*[F.lit(t) for t in lexicon]), lambda t: F.contains(low, F.lower(t)))
     found = F.array_distinct(F.concat(hits, runs, money, code))
-    return F.slice(F.filter(F.transform(found, F.trim), lambda t: F.length(t) >= 2), 1, limit)
+    return F.slice(F.filter(F.transform(found, lambda t: F.trim(t)), lambda t: F.length(t) >= 2), 1, limit)
 
 
 def expanded_queries(question: Column | str, lexicon: list[str] | None = None) -> Column:

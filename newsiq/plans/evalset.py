@@ -118,7 +118,8 @@ def hard_negatives(
     The pool of a case holds articles of its article's source, of its category,
     with the first word of its title in theirs, or retrieved in its top 20
     before; evidence of the case and its own article are left out.  A proposal
-    shares a word with the question or the evidence, or was retrieved.
+    shares a word with the question or the evidence, or an entity tag of the
+    case (optional ``entity_tags``), or was retrieved.
 
     The pool is never materialised as a table of (case, article) pairs with
     text: an article can only be proposed through a shared word or a retrieval,
@@ -139,10 +140,17 @@ def hard_negatives(
     evidence = approved.where(~is_hard_negative()).select("case_id", "article_id").join(art.select("article_id", "candidate_text"), "article_id")
     g_terms = evidence.select("case_id", F.explode(_words(F.col("candidate_text"))).alias("term"), F.lit(0).alias("q"), F.lit(1).alias("g"))
     g_terms = g_terms.join(active.select("case_id"), "case_id", "left_semi")
-    terms = q_terms.unionByName(g_terms).groupBy("case_id", "term").agg(F.max("q").alias("q"), F.max("g").alias("g"))
+    no_tag = lambda df: df.withColumn("t", F.lit(0))
+    every = no_tag(q_terms).unionByName(no_tag(g_terms))
+    if "entity_tags" in cases.columns:
+        tags = cases.join(active.select("case_id"), "case_id", "left_semi").select("case_id", F.explode("entity_tags").alias("term"))
+        tags = tags.where(F.length("term") >= 3)
+        every = every.unionByName(tags.select("case_id", F.lower("term").alias("term"), F.lit(0).alias("q"), F.lit(0).alias("g"), F.lit(1).alias("t")))
+    terms = every.groupBy("case_id", "term").agg(*[F.max(c).alias(c) for c in ("q", "g", "t")])
     matched = term_matches(art.select("article_id", "candidate_text"), terms.select("term").distinct(), "article_id", ["candidate_text"])
     counted = terms.join(matched.select("article_id", "term"), "term").groupBy("case_id", "article_id").agg(
-        F.sum("q").cast("long").alias("question_overlap_terms"), F.sum("g").cast("long").alias("gold_title_overlap_terms")
+        F.sum("q").cast("long").alias("question_overlap_terms"), F.sum("g").cast("long").alias("gold_title_overlap_terms"),
+        (F.max("t") > 0).alias("tag"),
     )
     top = retrieved.where(F.col("rank") <= 20).select("case_id", "article_id").distinct().withColumn("top", F.lit(True))
     pairs = counted.join(top, ["case_id", "article_id"], "full_outer")
@@ -164,12 +172,12 @@ def hard_negatives(
         "case_id", "article_id", kind.alias("hard_negative_type"), "candidate_title",
         F.coalesce("question_overlap_terms", F.lit(0)).cast("long").alias("question_overlap_terms"),
         F.coalesce("gold_title_overlap_terms", F.lit(0)).cast("long").alias("gold_title_overlap_terms"),
-        F.coalesce("top", F.lit(False)).alias("appeared_in_top_k"),
+        F.coalesce("top", F.lit(False)).alias("appeared_in_top_k"), F.coalesce("tag", F.lit(False)).alias("strong_entity_tag_shared"),
         F.coalesce(same_source, F.lit(False)).alias("same_source"), F.coalesce(same_category, F.lit(False)).alias("same_category"),
         away.alias("away"), "created_at",
     )
     order = [
-        F.col("appeared_in_top_k").desc(), F.col("question_overlap_terms").desc(), F.col("gold_title_overlap_terms").desc(),
+        F.col("appeared_in_top_k").desc(), F.col("strong_entity_tag_shared").desc(), F.col("question_overlap_terms").desc(), F.col("gold_title_overlap_terms").desc(),
         F.col("same_source").desc(), F.col("same_category").desc(), F.col("away").asc_nulls_last(), F.col("created_at").desc(), F.col("article_id"),
     ]
     return top_per(rows, ["case_id"], order, n, "proposal_rank").drop("away", "created_at")
