@@ -95,16 +95,18 @@ def grouped(
     return rows
 
 
-def threads(page_rows: DataFrame) -> DataFrame:
-    """Cards of a page: posts of one author form one card at the place of the first.
+def threads(page_rows: DataFrame, page_keys: list[str] | None = None) -> DataFrame:
+    """Cards of feed pages: posts of one author on a page form one card at the place of the first.
 
-    ``page_rows`` has pos, id, url, thread_group and likes.  A card lists its
-    post ids by likes, most first.
+    ``page_rows`` has pos, id, url, thread_group and likes, and ``page_keys``
+    when it holds many pages.  A card lists its post ids by likes, most first;
+    it never holds more than a page.
     """
+    keys = page_keys or []
     handle = F.coalesce("thread_group", so.thread_handle("url"))
     rows = page_rows.withColumn("handle", handle)
     card = F.coalesce(F.concat(F.lit("h:"), F.col("handle")), F.concat(F.lit("i:"), F.col("id").cast("string")))
-    out = rows.withColumn("card", card).groupBy("card").agg(
+    out = rows.withColumn("card", card).groupBy(*keys, "card").agg(
         F.min("pos").cast("long").alias("position"),
         F.max("handle").alias("handle"),
         F.count("*").alias("posts"),
