@@ -19,6 +19,7 @@ ORACLES: dict[str, str] = {}
 
 MODULES = (
     "ingest",
+    "parsing",
     "columns",
     "relational",
     "search",

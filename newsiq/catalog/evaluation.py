@@ -163,9 +163,7 @@ _T = "coalesce(title_en, title_zh, title, '')"
 _WORDS = "list_distinct(list_filter(list_transform(regexp_split_to_array(lower(X), '\\s+'), lambda w: regexp_replace(w, '[^\\p{L}\\p{N}]+', '', 'g')), lambda w: length(w) >= 3))"
 
 
-@query(
-    "evl_10_hard_negative_mining",
-    f"""WITH art AS MATERIALIZED (SELECT id, source_id, category, published_at, created_at, {_T} AS title, lower({_T} || ' ' || coalesce(summary_en, summary_zh, '')) AS body FROM news),
+HARD_SQL = f"""WITH art AS MATERIALIZED (SELECT id, source_id, category, published_at, created_at, {_T} AS title, lower({_T} || ' ' || coalesce(summary_en, summary_zh, '')) AS body FROM news),
       ok AS (SELECT DISTINCT case_id FROM gold WHERE review_status = 'approved' AND relevance_grade >= 2),
       ac AS (SELECT c.case_id, c.question, c.primary_article_id, a.source_id, a.category, a.published_at, split_part(a.title, ' ', 1) AS word FROM cases c JOIN ok USING (case_id) JOIN art a ON a.id = c.primary_article_id),
       qt AS MATERIALIZED (SELECT case_id, unnest({_WORDS.replace('X', 'question')}) AS term FROM ac),
@@ -180,9 +178,10 @@ _WORDS = "list_distinct(list_filter(list_transform(regexp_split_to_array(lower(X
       go AS (SELECT p.case_id, p.article_id, count(*) AS n FROM pool p JOIN gt ON gt.case_id = p.case_id AND contains(p.body, gt.term) GROUP BY 1, 2),
       sc AS (SELECT p.*, coalesce(qo.n, 0) AS q, coalesce(go.n, 0) AS g FROM pool p LEFT JOIN qo USING (case_id, article_id) LEFT JOIN go USING (case_id, article_id)),
       rk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY appeared_in_top_k DESC, q DESC, g DESC, ss DESC, sc DESC, floor(away) NULLS LAST, created_at DESC, article_id) AS proposal_rank FROM sc WHERE q >= 1 OR g >= 1 OR appeared_in_top_k)
-      SELECT case_id, article_id, hard_negative_type, q AS question_overlap_terms, g AS gold_title_overlap_terms, appeared_in_top_k, proposal_rank FROM rk WHERE proposal_rank <= 10""",
-    ("cases", "gold", "news", "case_results", "candidates"),
-)
+      SELECT case_id, article_id, hard_negative_type, q AS question_overlap_terms, g AS gold_title_overlap_terms, appeared_in_top_k, proposal_rank FROM rk WHERE proposal_rank <= 10"""
+
+
+@query("evl_10_hard_negative_mining", HARD_SQL, ("cases", "gold", "news", "case_results", "candidates"))
 def hard_negative_mining(t):
     retrieved = t.case_results.select("case_id", "retrieval_run_id").join(t.candidates, "retrieval_run_id").select("case_id", "article_id", "rank")
     out = es.hard_negatives(t.cases, t.gold, t.news, retrieved)
@@ -192,6 +191,15 @@ def hard_negative_mining(t):
     )
 
 
+@query(
+    "win_5_proposal_rank",
+    f"SELECT hard_negative_type, proposal_rank, count(*) AS proposals FROM ({HARD_SQL}) h GROUP BY 1, 2",
+    ("cases", "gold", "news", "case_results", "candidates"),
+)
+def proposal_rank(t):
+    return hard_negative_mining(t).groupBy("hard_negative_type", "proposal_rank").agg(F.count("*").alias("proposals"))
+
+
 @query(
     "joi_8_or_of_keys",
     """SELECT DISTINCT c.case_id, n.id AS article_id FROM cases c JOIN news p ON p.id = c.primary_article_id JOIN news n ON (n.source_id = p.source_id AND n.category = p.category) OR n.id IN (SELECT article_id FROM gold g WHERE g.case_id = c.case_id)""",

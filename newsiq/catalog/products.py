@@ -38,17 +38,17 @@ def grouped_feed_premium(t):
     return out.select("id", "questions", "questions_source", "deep_analysis_id", "deep_analysis_status")
 
 
-# the feed of each category cut into pages of fifty ids
+# the feed cut into pages of two hundred ids
 @query(
     "prd_2_threads",
-    """SELECT page, category, position, handle, posts, total_likes, ids FROM (SELECT page, category, min(pos) AS position, max(handle) AS handle, count(*) AS posts, CAST(sum(coalesce(likes, 0)) AS BIGINT) AS total_likes, string_agg(id, ',' ORDER BY coalesce(likes, 0) DESC, pos) AS ids FROM (
-      SELECT n.id, n.id AS pos, n.category, CAST(floor(n.id / 50) AS BIGINT) AS page, n.likes, CASE WHEN s.source_type = 'apify_tweet' THEN s.handle END AS handle FROM news n JOIN sources s USING (source_id)) x GROUP BY page, category, coalesce('h:' || handle, 'i:' || CAST(id AS VARCHAR))) y""",
+    """SELECT page, position, handle, posts, total_likes, ids FROM (SELECT page, min(pos) AS position, max(handle) AS handle, count(*) AS posts, CAST(sum(coalesce(likes, 0)) AS BIGINT) AS total_likes, string_agg(id, ',' ORDER BY coalesce(likes, 0) DESC, pos) AS ids FROM (
+      SELECT n.id, n.id AS pos, CAST(floor(n.id / 200) AS BIGINT) AS page, n.likes, CASE WHEN s.source_type = 'apify_tweet' THEN s.handle END AS handle FROM news n JOIN sources s USING (source_id)) x GROUP BY page, coalesce('h:' || handle, 'i:' || CAST(id AS VARCHAR))) y""",
     ("news", "sources"),
 )
 def threads(t):
     src = t.sources.select("source_id", F.when(F.col("source_type") == "apify_tweet", F.col("handle")).alias("thread_group"))
-    rows = t.news.join(src, "source_id").select(F.col("id").alias("pos"), "id", "url", "category", F.floor(F.col("id") / 50).cast("long").alias("page"), "thread_group", "likes")
-    return feed.threads(rows, ["page", "category"])
+    rows = t.news.join(src, "source_id").select(F.col("id").alias("pos"), "id", "url", F.floor(F.col("id") / 200).cast("long").alias("page"), "thread_group", "likes")
+    return feed.threads(rows, ["page"])
 
 
 @query(

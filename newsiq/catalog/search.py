@@ -121,6 +121,31 @@ def nearest_neighbour_join(t):
     return rounded(out, "query_id", "chunk_id", "rank")
 
 
+@query("win_3_distance_rank", f"WITH {knn_sql('h', 'chunks', 'chunk_id', 40)} SELECT query_id, chunk_id, rank FROM h", ("cases", "chunks"))
+def distance_rank(t):
+    return rounded(rt.dense(queries_of(t), t.chunks, 40, id_col="chunk_id"), "query_id", "chunk_id", "rank")
+
+
+@query(
+    "win_4_best_chunk_per_article",
+    f"WITH {chunk_sql('h', 20, 2)} SELECT query_id, article_id, chunk_id, article_rank FROM h",
+    ("cases", "chunks"),
+)
+def best_chunk_per_article(t):
+    return rounded(rt.chunk_dense(queries_of(t), t.chunks, 20, 2, model="m1"), "query_id", "article_id", "chunk_id", "article_rank")
+
+
+@query(
+    "top_6_overfetch",
+    f"WITH {chunk_sql('h', 12, 1)} SELECT query_id, count(*) AS articles, max(chunk_rank) AS last_chunk_rank FROM h GROUP BY 1",
+    ("cases", "chunks"),
+)
+def overfetch(t):
+    # without overfetch several chunks of one article leave fewer than k articles
+    out = rt.chunk_dense(queries_of(t), t.chunks, 12, 0, model="m1")
+    return out.groupBy("query_id").agg(F.count("*").alias("articles"), F.max("chunk_rank").cast("long").alias("last_chunk_rank"))
+
+
 PREFER = f"""p_ready AS (SELECT article_id, embedding FROM analysis_vectors WHERE status = 'ready' AND embedding IS NOT NULL),
   p_rest AS (SELECT * FROM article_vectors v WHERE NOT EXISTS (SELECT 1 FROM p_ready r WHERE r.article_id = v.article_id)),
   {knn_sql('p_a', 'p_ready', 'article_id', K)}, {knn_sql('p_b', 'p_rest', 'article_id', K)},

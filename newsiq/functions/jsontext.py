@@ -6,11 +6,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from newsiq.functions.text import _c
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _balanced(texts: pd.Series) -> pd.Series:
     """First balanced ``{...}``; braces inside strings and escapes do not count.
 

@@ -58,33 +58,10 @@ def validate_analysis(df: DataFrame, json_col: str) -> tuple[DataFrame, DataFram
     paragraphs, 2 to 5 limitations, in both languages; texts are cut to their
     caps and an unknown article type becomes ``other``.
     """
-    parsed = df.withColumn("_a", F.from_json(json_col, ANALYSIS)).withColumn("_obj", F.col(json_col).rlike(r"^\s*\{"))
-    checks = [(~F.col("_obj") | F.col("_a").isNull(), "analysis must be an object")]
-
-    def text(x: Column, name) -> list:
-        return [(x.isNull(), f"{name} must be a string"), (tx.squeeze(x) == "", f"{name} is empty")]
-
-    for lang in ("en", "zh"):
-        b = F.col("_a")[lang]
-        facts, limits = b["facts"], b["limitations_or_uncertainties"]
-        size = lambda a: F.coalesce(F.size(a), F.lit(-1))
-        checks.append((b.isNull(), f"{lang} block must be an object"))
-        checks.append((~size(facts).between(3, 6), f"{lang}.facts must contain 3-6 fact objects"))
-        for i in range(6):
-            fact = F.get(facts, F.lit(i))
-            checks.append(((size(facts) > i) & fact.isNull(), f"{lang}.facts[{i}] must be an object"))
-            for part in ("text", "evidence"):
-                for cond, message in text(fact[part], f"{lang}.facts[{i}].{part}"):
-                    checks.append(((size(facts) > i) & cond, message))
-        for part, least in (("why_it_matters", 3), ("deeper_interpretation", 5)):
-            checks += text(b[part], f"{lang}.{part}")
-            checks.append((_sentences(_cut(b[part], 1000 if least == 3 else 1600)) < least, f"{lang}.{part} must contain at least {least} sentences"))
-        checks.append((~size(limits).between(2, 5), f"{lang}.limitations_or_uncertainties must contain 2-5 strings"))
-        for i in range(5):
-            for cond, message in text(F.get(limits, F.lit(i)), f"{lang}.limitations_or_uncertainties[{i}]"):
-                checks.append(((size(limits) > i) & cond, message))
-    error = F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(m)) for c, m in checks])
-    out = parsed.withColumn("error", error)
+    parsed = df.withColumn("_a", F.from_json(json_col, ANALYSIS))
+    is_object = F.col(json_col).rlike(r"^\s*\{")
+    # bound once, so that a filter on the error does not parse the text per check
+    out = parsed.withColumn("error", tx.let(F.col("_a"), lambda a: _first_error(a, is_object)))
 
     def block(b: Column) -> Column:
         return F.struct(
@@ -97,8 +74,56 @@ def validate_analysis(df: DataFrame, json_col: str) -> tuple[DataFrame, DataFram
     kind = F.when(F.col("_a.article_type").isin(*ARTICLE_TYPES), F.col("_a.article_type")).otherwise("other")
     good = out.where(F.col("error").isNull())
     good = good.withColumn("analysis", F.struct(kind.alias("article_type"), block(F.col("_a.en")).alias("en"), block(F.col("_a.zh")).alias("zh")))
-    drop = ["_a", "_obj"]
-    return good.drop(*drop, "error"), out.where(F.col("error").isNotNull()).drop(*drop)
+    return good.drop("_a", "error"), out.where(F.col("error").isNotNull()).drop("_a")
+
+
+def _first_error(a: Column, is_object: Column) -> Column:
+    """Message of the first broken rule of a parsed analysis, else NULL."""
+    checks = [(~is_object | a.isNull(), "analysis must be an object")]
+
+    def text(x: Column, name: str) -> list:
+        return [(x.isNull(), f"{name} must be a string"), (tx.squeeze(x) == "", f"{name} is empty")]
+
+    def each(items: Column, check) -> Column:
+        """First message among the elements, which are few."""
+        found = F.array_compact(F.transform(items, check))
+        return F.get(found, F.lit(0))
+
+    def fact(prefix: str):
+        def check(f: Column, i: Column) -> Column:
+            at = F.concat(F.lit(f"{prefix}["), i.cast("string"), F.lit("]"))
+            out = F.when(f.isNull(), F.concat(at, F.lit(" must be an object")))
+            for part in ("text", "evidence"):
+                out = out.when(f[part].isNull(), F.concat(at, F.lit(f".{part} must be a string")))
+                out = out.when(tx.squeeze(f[part]) == "", F.concat(at, F.lit(f".{part} is empty")))
+            return out
+
+        return check
+
+    def limitation(prefix: str):
+        def check(x: Column, i: Column) -> Column:
+            at = F.concat(F.lit(f"{prefix}["), i.cast("string"), F.lit("]"))
+            return F.when(x.isNull(), F.concat(at, F.lit(" must be a string"))).when(
+                tx.squeeze(x) == "", F.concat(at, F.lit(" is empty"))
+            )
+
+        return check
+
+    parts = [F.when(F.coalesce(c, F.lit(False)), F.lit(m)) for c, m in checks]
+    rule = lambda c, m: parts.append(F.when(F.coalesce(c, F.lit(False)), F.lit(m)))
+    for lang in ("en", "zh"):
+        b = a[lang]
+        size = lambda x: F.coalesce(F.size(x), F.lit(-1))
+        rule(b.isNull(), f"{lang} block must be an object")
+        rule(~size(b["facts"]).between(3, 6), f"{lang}.facts must contain 3-6 fact objects")
+        parts.append(each(b["facts"], fact(f"{lang}.facts")))
+        for part, least, cap in (("why_it_matters", 3, 1000), ("deeper_interpretation", 5, 1600)):
+            for c, m in text(b[part], f"{lang}.{part}"):
+                rule(c, m)
+            rule(_sentences(_cut(b[part], cap)) < least, f"{lang}.{part} must contain at least {least} sentences")
+        rule(~size(b["limitations_or_uncertainties"]).between(2, 5), f"{lang}.limitations_or_uncertainties must contain 2-5 strings")
+        parts.append(each(b["limitations_or_uncertainties"], limitation(f"{lang}.limitations_or_uncertainties")))
+    return F.coalesce(*parts)
 
 
 _NOTES = T.StructType(
