@@ -9,6 +9,7 @@ from newsiq.catalog.sqltext import CANON, NORM, SIM, SQUEEZE, TRGM
 from newsiq.functions import social as so
 from newsiq.functions import text as tx
 from newsiq.operators import chunks as ch
+from newsiq.operators.partitions import spread
 from newsiq.plans import analysis as an
 from newsiq.plans import enrich, feed, quality, queue, reports
 
@@ -25,7 +26,7 @@ def ai_sql(x: str) -> str:
 
 @query("prj_1_is_ai_relevant", f"SELECT doc_id, {ai_sql('text')} AS relevant FROM documents")
 def is_ai_relevant(t):
-    return t.documents.select("doc_id", tx.is_ai_relevant("text").alias("relevant"))
+    return spread(t.documents).select("doc_id", tx.is_ai_relevant("text").alias("relevant"))
 
 
 @query("udx_1_sql_function", f"SELECT lang, count(*) AS docs, count(*) FILTER (WHERE {ai_sql('text')}) AS relevant FROM documents GROUP BY lang")
@@ -62,7 +63,7 @@ def canonical_url(t):
 
 @query("prj_5_normalize_text", f"SELECT doc_id, sha256(n) AS digest, length(n) AS chars FROM (SELECT doc_id, {NORM('text')} AS n FROM documents) x")
 def normalize_text(t):
-    out = t.documents.select("doc_id", tx.normalize_text("text").alias("n"))
+    out = spread(t.documents).select("doc_id", tx.normalize_text("text").alias("n"))
     return out.select("doc_id", F.sha2("n", 256).alias("digest"), F.length("n").cast("long").alias("chars"))
 
 
@@ -74,7 +75,7 @@ def normalize_text(t):
 def fingerprint(t):
     from newsiq.operators.dedup import fingerprint as fp
 
-    return t.items.select("id", fp("url", "title", "body", "published_at", "trust_tier").alias("fp"))
+    return spread(t.items).select("id", fp("url", "title", "body", "published_at", "trust_tier").alias("fp"))
 
 
 _BOIL = " + ".join(f"len(regexp_extract_all(s, '\\b{p}\\b', 0, 'i'))" for p in tx.BOILERPLATE)
@@ -92,7 +93,7 @@ _TECH = " + ".join(f"CAST(regexp_matches(s, '\\b({p})\\b', 'i') AS BIGINT)" for
 )
 def usable_score(t):
     extra = F.when(F.expr("id % 3 = 0"), " Read more. Model methods and a benchmark.").otherwise("")
-    rows = t.items.withColumn("body", F.concat("body", extra))
+    rows = spread(t.items).withColumn("body", F.concat("body", extra))
     return rows.select("id", tx.usable_content("title", "body", "published_at").alias("u")).select("id", "u.*")
 
 
@@ -107,7 +108,7 @@ _WORDS = "CASE id % 8 WHEN 0 THEN 'alignment' WHEN 1 THEN 'latency' WHEN 2 THEN
 )
 def content_type_hint(t):
     words = F.expr(_WORDS)
-    return t.items.select("id", tx.content_type_hint("url", F.concat("title", F.lit(" "), words), "body").alias("hint"))
+    return spread(t.items).select("id", tx.content_type_hint("url", F.concat("title", F.lit(" "), words), "body").alias("hint"))
 
 
 @query(
@@ -136,7 +137,7 @@ _STRIP = SQUEEZE(f"regexp_replace({_STRIP}, '&#\\d+;', '', 'g')")
 
 @query("prj_11_strip_html", f"SELECT page_id, {_STRIP} AS plain FROM pages")
 def strip_html(t):
-    return t.pages.select("page_id", tx.strip_html("html").alias("plain"))
+    return spread(t.pages).select("page_id", tx.strip_html("html").alias("plain"))
 
 
 @query(
@@ -238,7 +239,7 @@ def after_failure(t):
     ("news",),
 )
 def analysis_input(t):
-    rows = t.news.select("id", an.prepare("article_content", 5000).alias("p"), an.eligible("article_content").alias("eligible"))
+    rows = spread(t.news).select("id", an.prepare("article_content", 5000).alias("p"), an.eligible("article_content").alias("eligible"))
     return rows.select("id", "p.input_chars", "p.truncated", F.sha2("p.content", 256).alias("digest"), "eligible")
 
 

@@ -8,6 +8,7 @@ from newsiq.catalog import query
 from newsiq.catalog.sqltext import CANON, SQUEEZE
 from newsiq.catalog.tables import AS_OF
 from newsiq.operators import sinks
+from newsiq.operators.partitions import spread
 from newsiq.plans import analysis as an
 from newsiq.plans import queue as qu
 from newsiq.sources import feeds, pages, tables
@@ -65,7 +66,7 @@ _ALT = "|".join(f"<{x}\\b[^>]*>.*?</{x}>" for x in ("h1", "h2", "h3", "p"))
       FROM (SELECT page_id, list_filter(list_transform(regexp_extract_all({_NOISE}, '{_ALT}', 0, 'is'), lambda b: {_clean_sql('b')}), lambda c: length(c) > 20) AS parts FROM pages) x""",
 )
 def readable_text(t):
-    return t.pages.select("page_id", pages.readable_text("html").alias("readable"))
+    return spread(t.pages).select("page_id", pages.readable_text("html").alias("readable"))
 
 
 @query(

@@ -10,6 +10,7 @@ from newsiq.operators import chunks as ch
 from newsiq.operators import context as cx
 from newsiq.operators import questions as qs
 from newsiq.operators import retrieval as rt
+from newsiq.operators.partitions import spread
 from newsiq.operators.substrings import term_matches
 
 K = 10
@@ -501,7 +502,7 @@ def chunker_sql(target: int, overlap: int) -> str:
     f"WITH RECURSIVE {chunker_sql(1200, 200)} SELECT doc_id, chunk_index, sha256(chunk_text) AS chunk_hash, char_start, char_start + length(chunk_text) AS char_end FROM numbered",
 )
 def split(t):
-    rows = t.documents.select("doc_id", F.posexplode(ch.split_chunks("text", 1200, 200, r"\n+")).alias("chunk_index", "c"))
+    rows = spread(t.documents).select("doc_id", F.posexplode(ch.split_chunks("text", 1200, 200, r"\n+")).alias("chunk_index", "c"))
     return rows.select(
         "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.sha2("c.chunk_text", 256).alias("chunk_hash"),
         F.col("c.char_start").cast("long").alias("char_start"), F.col("c.char_end").cast("long").alias("char_end"),

@@ -23,6 +23,8 @@ AI_WORDS = (
 )
 # Relevance phrases matched anywhere, any case.
 AI_PHRASES = r"fine[- ]tun|training run|foundation model|reasoning model|o1[-\s]|o3[-\s]|o4[-\s]"
+# every phrase holds one of these
+AI_PHRASE_PARTS = ("fine", "training run", "foundation model", "reasoning model", "o1", "o3", "o4")
 # Relevance substrings, exact case.
 AI_ZH = (
     "人工智能", "大模型", "语言模型", "神经网络", "深度学习", "机器学习",
@@ -70,14 +72,27 @@ def squeeze(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(_c(x), r"[\s\u00a0\ufeff\u2028\u2029]+", " "))
 
 
+def _by_first_letter(words: str) -> str:
+    """Alternation grouped by first letter, which a backtracking matcher leaves sooner."""
+    groups: dict[str, list[str]] = {}
+    for w in words.split("|"):
+        groups.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{k}(?:{'|'.join(v)})" for k, v in groups.items())
+
+
+def contains_any(x: Column, words: tuple[str, ...]) -> Column:
+    return reduce(or_, [F.contains(x, F.lit(w)) for w in words])
+
+
 def is_ai_relevant(x: Column | str) -> Column:
-    """Relevance gate: whole words, then phrases, then Han substrings.  NULL text gives false."""
+    """Relevance gate: whole words, then phrases, then Han substrings.  NULL text gives false.
+
+    Plain searches come before the expressions that only few texts need.
+    """
     x = _c(x)
-    hit = (
-        x.rlike(f"(?iu){WORD_L}(?:{AI_WORDS}){WORD_R}")
-        | x.rlike(f"(?iu)(?:{AI_PHRASES})")
-        | x.rlike("|".join(AI_ZH))
-    )
+    words = f"{WORD_L}(?:{_by_first_letter(AI_WORDS)}){WORD_R}"
+    low = F.lower(x)
+    hit = low.rlike(words) | contains_any(x, AI_ZH) | (contains_any(low, AI_PHRASE_PARTS) & low.rlike(AI_PHRASES))
     return F.coalesce(hit, F.lit(False))
 
 
@@ -182,7 +197,7 @@ def drop_boilerplate(x: Column | str) -> Column:
         for phrase in BOILERPLATE:
             out = F.regexp_replace(out, f"{ASCII_L}{phrase}{ASCII_R}", " ")
         # the plain search decides for most texts that there is nothing to replace
-        maybe = reduce(or_, [F.contains(v, F.lit(w)) for w in BOILERPLATE_WORDS])
+        maybe = contains_any(v, BOILERPLATE_WORDS)
         return F.when(maybe, out).otherwise(v)
 
     return let(_c(x), chain)
@@ -198,36 +213,42 @@ def normalize_text(x: Column | str) -> Column:
 def usable_content(title: Column | str, body: Column | str, published: Column | str) -> Column:
     """Struct (score, usable_chars, technical_hits, boilerplate_hits) of one article."""
     text = squeeze(F.coalesce(_c(body), F.lit("")))
-    norm = normalize_text(text)
-    boiler = sum((F.regexp_count(text, F.lit(f"(?i){ASCII_L}{p}{ASCII_R}")) for p in BOILERPLATE), F.lit(0))
-    tech = sum((text.rlike(f"(?i){ASCII_L}(?:{p}){ASCII_R}").cast("int") for p in TECHNICAL), F.lit(0))
-    chars = F.length(text)
-    ratio = F.lit(1.0) - F.length(norm) / F.greatest(chars, F.lit(1))
-    penalty = F.when(F.length(norm) > 0, F.greatest(F.lit(0), F.floor(ratio * 100 + 0.5))).otherwise(F.lit(0))
-    score = (
-        chars
-        + F.when(F.trim(F.coalesce(_c(title), F.lit(""))) != "", 250).otherwise(0)
-        + F.when(_c(published).isNotNull(), 150).otherwise(0)
-        + tech * 80
-        - boiler * 120
-        - penalty
-    )
-    return F.struct(
-        score.cast("long").alias("score"),
-        chars.cast("long").alias("usable_chars"),
-        tech.cast("long").alias("technical_hits"),
-        boiler.cast("long").alias("boilerplate_hits"),
-    )
+    bonus = F.when(F.trim(F.coalesce(_c(title), F.lit(""))) != "", 250).otherwise(0) + F.when(
+        _c(published).isNotNull(), 150
+    ).otherwise(0)
+
+    def measure(v: Column) -> Column:
+        some = contains_any(F.lower(v), BOILERPLATE_WORDS)
+        hits = sum((F.regexp_count(v, F.lit(f"(?i){ASCII_L}{p}{ASCII_R}")) for p in BOILERPLATE), F.lit(0))
+        tech = sum((v.rlike(f"(?i){ASCII_L}(?:{p}){ASCII_R}").cast("int") for p in TECHNICAL), F.lit(0))
+        return F.struct(
+            F.length(v).alias("chars"), tech.alias("tech"), F.when(some, hits).otherwise(0).alias("boiler"),
+            F.length(normalize_text(v)).alias("kept"),
+        )
+
+    def score(m: Column) -> Column:
+        ratio = F.lit(1.0) - m["kept"] / F.greatest(m["chars"], F.lit(1))
+        penalty = F.when(m["kept"] > 0, F.greatest(F.lit(0), F.floor(ratio * 100 + 0.5))).otherwise(F.lit(0))
+        total = m["chars"] + bonus + m["tech"] * 80 - m["boiler"] * 120 - penalty
+        return F.struct(
+            total.cast("long").alias("score"), m["chars"].cast("long").alias("usable_chars"),
+            m["tech"].cast("long").alias("technical_hits"), m["boiler"].cast("long").alias("boilerplate_hits"),
+        )
+
+    return let(let(text, measure), score)
 
 
 def content_type_hint(url: Column | str, title: Column | str, body: Column | str) -> Column:
     """First matching content type of the normalised url, title and body."""
     text = normalize_text(F.concat_ws(" ", *[F.coalesce(_c(c), F.lit("")) for c in (url, title, body)]))
-    out = None
-    for label, words in CONTENT_TYPES:
-        cond = text.rlike(f"{ASCII_L}(?:{words}){ASCII_R}")
-        out = F.when(cond, label) if out is None else out.when(cond, label)
-    return out.otherwise("unknown")
+
+    def first(v: Column) -> Column:
+        out = F
+        for label, words in CONTENT_TYPES:
+            out = out.when(v.rlike(f"{ASCII_L}(?:{words}){ASCII_R}"), label)
+        return out.otherwise("unknown")
+
+    return let(text, first)
 
 
 def infer_org(name: Column | str, url: Column | str) -> Column:

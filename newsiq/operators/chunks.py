@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsiq.functions import text as tx
 from newsiq.functions.stats import count_if
+from newsiq.operators.partitions import spread
 
 CHUNKING_VERSION = "paragraph-window-v1"
 
@@ -71,7 +72,7 @@ def build(
     Repeated chunks of one article keep the last position, as an upsert in
     chunk order would.
     """
-    rows = articles.select(id_col, F.posexplode(split_chunks(text, target, overlap, sep)).alias("chunk_index", "_c"))
+    rows = spread(articles).select(id_col, F.posexplode(split_chunks(text, target, overlap, sep)).alias("chunk_index", "_c"))
     rows = annotate(rows.select(id_col, F.col("chunk_index").cast("long").alias("chunk_index"), "_c.*"))
     rows = rows.withColumn("chunking_version", F.lit(version)).withColumn("boundary_type", F.lit("paragraph"))
     cols = rows.columns

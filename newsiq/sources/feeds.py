@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from newsiq.functions import social as so
 from newsiq.functions import text as tx
 from newsiq.operators.joins import known_urls
+from newsiq.operators.partitions import spread
 from newsiq.operators.windows import latest_per, top_per
 
 MAX_ITEMS = 30
@@ -49,7 +50,7 @@ def parse_feeds(docs: DataFrame, text_col: str = "xml", max_items: int = MAX_ITE
 
     items = F.slice(F.filter(F.transform(blocks, item), lambda i: i["url"].isNotNull()), 1, max_items)
     keep = [c for c in docs.columns if c != text_col]
-    return docs.select(*keep, F.posexplode(items).alias("pos", "_i")).select(*keep, "pos", "_i.*")
+    return spread(docs).select(*keep, F.posexplode(items).alias("pos", "_i")).select(*keep, "pos", "_i.*")
 
 
 ACCOUNTS = T.StructType(
