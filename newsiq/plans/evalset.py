@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsiq.functions import text as tx
+from newsiq.operators import mining
 from newsiq.operators import retrieval as rt
 from newsiq.operators.sinks import upsert
 from newsiq.operators.substrings import term_matches
@@ -110,8 +111,11 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda w: F.length(w) >= 3))
 
 
+MAX_CASES, MAX_PAIRS = 4096, 1_000_000
+
+
 def hard_negatives(
-    cases: DataFrame, gold: DataFrame, news: DataFrame, retrieved: DataFrame, n: int = 10
+    cases: DataFrame, gold: DataFrame, news: DataFrame, retrieved: DataFrame, n: int = 10, max_cases: int = MAX_CASES
 ) -> DataFrame:
     """Up to ``n`` proposals of distracting articles per case.
 
@@ -121,66 +125,99 @@ def hard_negatives(
     shares a word with the question or the evidence, or an entity tag of the
     case (optional ``entity_tags``), or was retrieved.
 
-    The pool is never materialised as a table of (case, article) pairs with
-    text: an article can only be proposed through a shared word or a retrieval,
-    so pairs come from those joins and the pool rule filters them.
+    A bounded evaluation set is sent to the corpus, which is scanned once and
+    not shuffled.  A larger one is joined through the shared words.
     """
     approved = gold.where((F.col("review_status") == "approved") & (F.col("relevance_grade") >= 2))
     art = news.select(
-        F.col("id").alias("article_id"), "source_id", "category", "published_at", "created_at", _title().alias("candidate_title"),
+        F.col("id").cast("long").alias("article_id"), "source_id", "category", "published_at", "created_at", _title().alias("candidate_title"),
         F.lower(F.concat(_title(), F.lit(" "), _summary())).alias("candidate_text"),
     )
     own = art.select(
         F.col("article_id").alias("primary_article_id"), F.col("source_id").alias("p_source"), F.col("category").alias("p_category"),
-        F.col("published_at").alias("p_published"), F.split_part("candidate_title", F.lit(" "), F.lit(1)).alias("p_word"),
+        F.col("published_at").alias("p_published"), F.lower(F.split_part("candidate_title", F.lit(" "), F.lit(1))).alias("p_word"),
     )
     active = cases.select("case_id", "question", "primary_article_id").join(approved.select("case_id"), "case_id", "left_semi")
     active = active.join(own, "primary_article_id")
-    q_terms = active.select("case_id", F.explode(_words(F.col("question"))).alias("term"), F.lit(1).alias("q"), F.lit(0).alias("g"))
-    evidence = approved.where(~is_hard_negative()).select("case_id", "article_id").join(art.select("article_id", "candidate_text"), "article_id")
-    g_terms = evidence.select("case_id", F.explode(_words(F.col("candidate_text"))).alias("term"), F.lit(0).alias("q"), F.lit(1).alias("g"))
-    g_terms = g_terms.join(active.select("case_id"), "case_id", "left_semi")
-    no_tag = lambda df: df.withColumn("t", F.lit(0))
-    every = no_tag(q_terms).unionByName(no_tag(g_terms))
-    if "entity_tags" in cases.columns:
-        tags = cases.join(active.select("case_id"), "case_id", "left_semi").select("case_id", F.explode("entity_tags").alias("term"))
-        tags = tags.where(F.length("term") >= 3)
-        every = every.unionByName(tags.select("case_id", F.lower("term").alias("term"), F.lit(0).alias("q"), F.lit(0).alias("g"), F.lit(1).alias("t")))
-    terms = every.groupBy("case_id", "term").agg(*[F.max(c).alias(c) for c in ("q", "g", "t")])
-    matched = term_matches(art.select("article_id", "candidate_text"), terms.select("term").distinct(), "article_id", ["candidate_text"])
-    counted = terms.join(matched.select("article_id", "term"), "term").groupBy("case_id", "article_id").agg(
-        F.sum("q").cast("long").alias("question_overlap_terms"), F.sum("g").cast("long").alias("gold_title_overlap_terms"),
-        (F.max("t") > 0).alias("tag"),
-    )
-    top = retrieved.where(F.col("rank") <= 20).select("case_id", "article_id").distinct().withColumn("top", F.lit(True))
-    pairs = counted.join(top, ["case_id", "article_id"], "full_outer")
-    pairs = pairs.join(gold.select("case_id", "article_id"), ["case_id", "article_id"], "left_anti")
-    rows = pairs.join(active.drop("question"), "case_id").where(F.col("article_id") != F.col("primary_article_id")).join(art.drop("candidate_text"), "article_id")
-    same_source = F.col("source_id") == F.col("p_source")
-    same_category = F.col("category") == F.col("p_category")
-    shares_word = F.contains(F.lower("candidate_title"), F.lower("p_word"))
-    in_pool = reduce(or_, [F.coalesce(c, F.lit(False)) for c in (same_source, same_category, shares_word, F.col("top"))])
-    rows = rows.where(in_pool)
+    terms = _case_terms(cases, active, approved, art)
+    top = retrieved.where(F.col("rank") <= 20).select("case_id", "article_id").distinct()
+    top = top.join(active.select("case_id"), "case_id", "left_semi")
+    known = gold.select("case_id", "article_id").distinct().join(active.select("case_id"), "case_id", "left_semi")
+    rows = _scan_pool(active, terms, top, known, art, n, max_cases)
+    if rows is None:
+        rows = _join_pool(active, terms, top, known, art)
+    rows = rows.join(art.drop("candidate_text", "source_id", "category"), "article_id")
+    rows = rows.join(active.select("case_id", "p_published"), "case_id")
     kind = (
-        F.when(same_source, "same_source_wrong_article")
+        F.when(F.col("same_source"), "same_source_wrong_article")
         .when(~F.to_date("published_at").eqNullSafe(F.to_date("p_published")), "same_entity_wrong_time")
-        .when(same_category, "same_topic_wrong_event")
+        .when(F.col("same_category"), "same_topic_wrong_event")
         .otherwise("semantically_similar_not_answer_supporting")
     )
-    away = F.abs(F.unix_seconds(F.col("published_at").cast("timestamp")) - F.unix_seconds(F.col("p_published").cast("timestamp")))
-    rows = rows.select(
-        "case_id", "article_id", kind.alias("hard_negative_type"), "candidate_title",
-        F.coalesce("question_overlap_terms", F.lit(0)).cast("long").alias("question_overlap_terms"),
-        F.coalesce("gold_title_overlap_terms", F.lit(0)).cast("long").alias("gold_title_overlap_terms"),
-        F.coalesce("top", F.lit(False)).alias("appeared_in_top_k"), F.coalesce("tag", F.lit(False)).alias("strong_entity_tag_shared"),
-        F.coalesce(same_source, F.lit(False)).alias("same_source"), F.coalesce(same_category, F.lit(False)).alias("same_category"),
-        away.alias("away"), "created_at",
-    )
+    seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    rows = rows.withColumn("hard_negative_type", kind).withColumn("away", F.abs(seconds("published_at") - seconds("p_published")))
     order = [
         F.col("appeared_in_top_k").desc(), F.col("strong_entity_tag_shared").desc(), F.col("question_overlap_terms").desc(), F.col("gold_title_overlap_terms").desc(),
         F.col("same_source").desc(), F.col("same_category").desc(), F.col("away").asc_nulls_last(), F.col("created_at").desc(), F.col("article_id"),
     ]
-    return top_per(rows, ["case_id"], order, n, "proposal_rank").drop("away", "created_at")
+    return top_per(rows, ["case_id"], order, n, "proposal_rank").drop("away", "created_at", "published_at", "p_published")
+
+
+def _case_terms(cases: DataFrame, active: DataFrame, approved: DataFrame, art: DataFrame) -> DataFrame:
+    """(case_id, term, q, g, t): words of the question and of the evidence, and entity tags."""
+    flagged = lambda df, q, g, t: df.select("case_id", "term", F.lit(q).alias("q"), F.lit(g).alias("g"), F.lit(t).alias("t"))
+    asked = active.select("case_id", F.explode(_words(F.col("question"))).alias("term"))
+    evidence = approved.where(~is_hard_negative()).select("case_id", "article_id").join(active.select("case_id"), "case_id", "left_semi")
+    evidence = evidence.join(art.select("article_id", "candidate_text"), "article_id")
+    every = flagged(asked, 1, 0, 0).unionByName(flagged(evidence.select("case_id", F.explode(_words(F.col("candidate_text"))).alias("term")), 0, 1, 0))
+    if "entity_tags" in cases.columns:
+        tags = cases.join(active.select("case_id"), "case_id", "left_semi").select("case_id", F.explode("entity_tags").alias("term"))
+        tags = tags.where(F.length("term") >= 3).select("case_id", F.lower("term").alias("term"))
+        every = every.unionByName(flagged(tags, 0, 0, 1))
+    return every.groupBy("case_id", "term").agg(*[F.max(c).alias(c) for c in ("q", "g", "t")])
+
+
+def _scan_pool(active: DataFrame, terms: DataFrame, top: DataFrame, known: DataFrame, art: DataFrame, n: int, max_cases: int) -> DataFrame | None:
+    """Pool by one scan of the corpus, or None when the evaluation set is above the bounds."""
+    if not mining.available():
+        return None
+    bounded = []
+    for df, bound in ((active.drop("question"), max_cases), (terms, MAX_PAIRS), (top, MAX_PAIRS), (known, MAX_PAIRS)):
+        rows = df.limit(bound + 1).collect()
+        if len(rows) > bound:
+            return None
+        bounded.append(rows)
+    head, term_rows, top_rows, known_rows = bounded
+    number = {r.case_id: i for i, r in enumerate(head)}
+    case_set = mining.CaseSet(
+        [r.case_id for r in head], [r.p_source for r in head], [r.p_category for r in head], [r.p_word for r in head], [r.primary_article_id for r in head]
+    )
+    for r in term_rows:
+        case_set.terms.setdefault(r.term, []).append((number[r.case_id], r.q, r.g, r.t))
+    for pairs, into in ((top_rows, case_set.retrieved), (known_rows, case_set.excluded)):
+        for r in pairs:
+            into.setdefault(r.article_id, []).append(number[r.case_id])
+    return mining.scan_cases(art.select("article_id", "source_id", "category", F.lower("candidate_title").alias("title"), "candidate_text"), case_set, n)
+
+
+def _join_pool(active: DataFrame, terms: DataFrame, top: DataFrame, known: DataFrame, art: DataFrame) -> DataFrame:
+    """Pool by joins: an article is proposed through a shared word or a retrieval, and the pool rule filters."""
+    matched = term_matches(art.select("article_id", "candidate_text"), terms.select("term").distinct(), "article_id", ["candidate_text"])
+    counted = terms.join(matched.select("article_id", "term"), "term").groupBy("case_id", "article_id").agg(
+        F.sum("q").cast("long").alias("question_overlap_terms"), F.sum("g").cast("long").alias("gold_title_overlap_terms"), (F.max("t") > 0).alias("tag"),
+    )
+    pairs = counted.join(top.withColumn("top", F.lit(True)), ["case_id", "article_id"], "full_outer")
+    pairs = pairs.join(known, ["case_id", "article_id"], "left_anti")
+    rows = pairs.join(active.drop("question"), "case_id").where(F.col("article_id") != F.col("primary_article_id")).join(art.drop("candidate_text"), "article_id")
+    same_source = F.coalesce(F.col("source_id") == F.col("p_source"), F.lit(False))
+    same_category = F.coalesce(F.col("category") == F.col("p_category"), F.lit(False))
+    shares_word = F.contains(F.lower("candidate_title"), F.col("p_word"))
+    in_top = F.coalesce("top", F.lit(False))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rows.where(reduce(or_, [same_source, same_category, shares_word, in_top])).select(
+        "case_id", "article_id", zero("question_overlap_terms"), zero("gold_title_overlap_terms"), in_top.alias("appeared_in_top_k"),
+        F.coalesce("tag", F.lit(False)).alias("strong_entity_tag_shared"), same_source.alias("same_source"), same_category.alias("same_category"),
+    )
 
 
 # ---------------------------------------------------------------- taxonomy

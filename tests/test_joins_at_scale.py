@@ -168,3 +168,22 @@ def test_components_on_a_long_chain(spark):
     edges = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = {r.id: r.component for r in dedup.connected_components(nodes, edges).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, n + 1: n + 1}
+
+
+def test_hard_negatives_both_ways(spark):
+    from newsiq.plans import evalset
+
+    rnd = random.Random(4)
+    words = [f"word{i}" for i in range(30)]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    day = lambda: f"2024-01-{rnd.randint(1, 9):02d}"
+    news = spark.createDataFrame(
+        [(i, i % 4 if i % 9 else None, rnd.choice(["a", "b", "c"]), day() if i % 5 else None, day(), None, None, text(5), None, text(8)) for i in range(300)],
+        "id long, source_id long, category string, published_at string, created_at string, title string, title_en string, title_zh string, summary_en string, summary_zh string",
+    ).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("published_at", "created_at")})
+    cases = spark.createDataFrame([(c, text(4), c * 3, [rnd.choice(words)] if c % 2 else []) for c in range(12)], "case_id long, question string, primary_article_id long, entity_tags array<string>")
+    gold = spark.createDataFrame([(c, rnd.randrange(300), rnd.randint(0, 3), "approved", None) for c in range(12) for _ in range(4)], "case_id long, article_id long, relevance_grade int, review_status string, evidence_role string").dropDuplicates(["case_id", "article_id"])
+    found = spark.createDataFrame([(c, rnd.randrange(300), r) for c in range(12) for r in range(1, 26)], "case_id long, article_id long, rank int")
+    scan = {tuple(sorted(r.asDict().items())) for r in evalset.hard_negatives(cases, gold, news, found, 6).collect()}
+    join = {tuple(sorted(r.asDict().items())) for r in evalset.hard_negatives(cases, gold, news, found, 6, max_cases=0).collect()}
+    assert scan == join and len(scan) > 40
