@@ -334,12 +334,12 @@ def analysis_claim(t):
 
 @query(
     "top_4_sort_nulls",
-    "SELECT id, row_number() OVER (PARTITION BY source_id ORDER BY likes NULLS FIRST, published_at DESC NULLS LAST, id) AS pos FROM news",
+    "SELECT id, pos FROM (SELECT id, row_number() OVER (PARTITION BY source_id ORDER BY likes NULLS FIRST, published_at DESC NULLS LAST, id) AS pos FROM news) x WHERE pos <= 20",
     ("news",),
 )
 def sort_nulls(t):
     order = [F.col("likes").asc_nulls_first(), F.col("published_at").desc_nulls_last(), F.col("id")]
-    rows = windows.ranked(t.news.select("id", "source_id", "likes", "published_at"), ["source_id"], order, "pos")
+    rows = windows.top_per(t.news.select("id", "source_id", "likes", "published_at"), ["source_id"], order, 20, "pos")
     return rows.select("id", F.col("pos").cast("long").alias("pos"))
 
 

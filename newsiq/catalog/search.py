@@ -338,10 +338,9 @@ def lexical_terms(t):
     return t.conversations.select("conv_id", "turn", F.array_join(qs.lexical_terms("text"), " ").alias("terms"))
 
 
-@query("ret_11_entity_terms", f"SELECT conv_id, turn, array_to_string({ENTITIES.replace('question', 'text')}, ' | ') AS terms FROM (SELECT conv_id, turn, text || ' openAI raised $5.5 M vs kubectl 12' AS text FROM conversations WHERE regexp_matches(text, '^[ -~\\n]*$')) c")
+@query("ret_11_entity_terms", f"SELECT conv_id, turn, array_to_string({ENTITIES.replace('question', 'text')}, ' | ') AS terms FROM (SELECT conv_id, turn, text || ' openAI raised $5.5 M vs kubectl 12' AS text FROM conversations) c")
 def entity_terms(t):
-    # ASCII turns only: the SQL engine's word boundary does not know other letters
-    rows = t.conversations.where(F.octet_length("text") == F.length("text")).withColumn("text", F.concat("text", F.lit(" openAI raised $5.5 M vs kubectl 12")))
+    rows = t.conversations.withColumn("text", F.concat("text", F.lit(" openAI raised $5.5 M vs kubectl 12")))
     return rows.select("conv_id", "turn", F.array_join(qs.entity_terms("text"), " | ").alias("terms"))
 
 
@@ -350,11 +349,11 @@ def entity_terms(t):
     f"""SELECT case_id, m.mode AS rewrite_mode, CASE m.mode WHEN 'none' THEN question WHEN 'hyde' THEN question || chr(10) || chr(10) || '{qs.HYDE_SUFFIX}'
         WHEN 'entity_expansion' THEN question || chr(10) || chr(10) || 'Key entities and exact terms: ' || {ENTITY_QUERY} WHEN 'decomposition' THEN question || chr(10) || {ENTITY_QUERY}
         ELSE question || chr(10) || chr(10) || '{qs.CONTEXT_SUFFIX}' END AS rewritten_query, m.mode IN ('none', 'entity_expansion', 'decomposition') AS accepted
-      FROM cases, (VALUES ('none'), ('entity_expansion'), ('hyde'), ('decomposition'), ('context_completion')) m(mode) WHERE regexp_matches(question, '^[ -~\\n]*$')""",
+      FROM cases, (VALUES ('none'), ('entity_expansion'), ('hyde'), ('decomposition'), ('context_completion')) m(mode)""",
     ("cases",),
 )
 def rewrite(t):
-    rows = t.cases.where(F.octet_length("question") == F.length("question")).select("case_id", "question", F.explode(F.array(*[F.lit(m) for m in qs.REWRITE_MODES])).alias("mode"))
+    rows = t.cases.select("case_id", "question", F.explode(F.array(*[F.lit(m) for m in qs.REWRITE_MODES])).alias("mode"))
     return rows.select("case_id", qs.rewritten("question", F.col("mode")).alias("r")).select("case_id", "r.rewrite_mode", "r.rewritten_query", "r.accepted")
 
 

@@ -40,23 +40,28 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-class _Best:
-    """Running best ``k`` rows per query, ordered by (score desc, id)."""
+class Best:
+    """Running best ``k`` rows per query, ordered by (score desc, id).
 
-    def __init__(self, queries: int, k: int):
+    ``extra`` integer columns travel with the ids.
+    """
+
+    def __init__(self, queries: int, k: int, extra: int = 0):
         self.k = k
+        self.x = np.zeros((0, extra), dtype=np.int64)
         self.q = np.zeros(0, dtype=np.int64)
         self.s = np.zeros(0)
         self.i = np.zeros(0, dtype=np.int64)
         self.floor = np.full(queries, -np.inf)
 
-    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        """``scores`` is (rows, queries)."""
+    def add(self, ids: np.ndarray, scores: np.ndarray, extra: np.ndarray | None = None) -> None:
+        """``scores`` is (rows, queries), ``extra`` (rows, columns)."""
         n, k = scores.shape[0], self.k
         if n == 0:
             return
         order = np.argsort(ids, kind="stable")
         ids, scores = ids[order], scores[order]
+        extra = np.zeros((n, self.x.shape[1]), dtype=np.int64) if extra is None else extra[order]
         floor = self.floor
         if n > k:
             floor = np.maximum(floor, np.partition(scores, n - k, axis=0)[n - k])
@@ -73,23 +78,24 @@ class _Best:
         q = np.concatenate([self.q, cols])
         s = np.concatenate([self.s, scores[rows, cols]])
         i = np.concatenate([self.i, ids[rows]])
+        x = np.concatenate([self.x, extra[rows]])
         pos = np.lexsort((i, -s, q))
-        q, s, i = q[pos], s[pos], i[pos]
+        q, s, i, x = q[pos], s[pos], i[pos], x[pos]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
         keep = rank < k
-        self.q, self.s, self.i = q[keep], s[keep], i[keep]
+        self.q, self.s, self.i, self.x = q[keep], s[keep], i[keep], x[keep]
         full = rank[keep] == k - 1
         self.floor[self.q[full]] = self.s[full]
 
 
-def _out_schema(queries: DataFrame, query_key: str, corpus: DataFrame, id_col: str) -> T.StructType:
-    return T.StructType(
-        [
-            T.StructField(query_key, queries.schema[query_key].dataType),
-            T.StructField(id_col, corpus.schema[id_col].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
+def _out_schema(query_key: str, id_col: str, carry: list[str]) -> T.StructType:
+    fields = [T.StructField(query_key, T.LongType()), T.StructField(id_col, T.LongType()), T.StructField("score", T.DoubleType())]
+    return T.StructType(fields + [T.StructField(c, T.LongType()) for c in carry])
+
+
+def batch_of(ids: np.ndarray, best: Best, names: list[str]) -> pa.RecordBatch:
+    columns = [ids[best.q], best.i, best.s, *[best.x[:, j] for j in range(best.x.shape[1])]]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
 def knn_join(
@@ -102,16 +108,19 @@ def knn_join(
     vec: str = "embedding",
     block_queries: int = BLOCK_QUERIES,
     cell_rows: int = CELL_ROWS,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """(query, id, score, rank) of the ``k`` most similar corpus rows of every query.
 
-    Query keys and corpus ids are integers; vectors may be NULL and are skipped
-    then.  ``k`` is at least 1.
+    Query keys, corpus ids and ``carry`` columns are integers; the latter come
+    along with the winners, which saves a join back to the corpus.  Vectors may
+    be NULL and are skipped then.  ``k`` is at least 1.
     """
-    k = max(int(k), 1)
-    q = queries.where(F.col(query_vec).isNotNull()).select(query_key, query_vec)
-    c = corpus.where(F.col(vec).isNotNull()).select(id_col, vec)
-    schema = _out_schema(queries, query_key, corpus, id_col)
+    k, carry = max(int(k), 1), carry or []
+    long = lambda c: F.col(c).cast("long").alias(c)
+    q = queries.where(F.col(query_vec).isNotNull()).select(long(query_key), query_vec)
+    c = corpus.where(F.col(vec).isNotNull()).select(long(id_col), vec, *[long(x) for x in carry])
+    schema = _out_schema(query_key, id_col, carry)
     head = q.limit(block_queries + 1).collect()
     if not head:
         best = q.sparkSession.createDataFrame([], schema)
@@ -134,13 +143,15 @@ def _one_block(head: list, corpus: DataFrame, k: int, schema: T.StructType) -> D
 
     def scan(batches):
         ids, block = shared.value
-        best = _Best(len(ids), k)
+        best = Best(len(ids), k, len(names) - 3)
         for batch in batches:
             rows = _matrix(batch.column(1))
             if len(rows):
-                best.add(batch.column(0).to_numpy(zero_copy_only=False), np.round(rows @ block, DIGITS))
+                extra = [batch.column(j).to_numpy(zero_copy_only=False) for j in range(2, batch.num_columns)]
+                extra = np.stack(extra, axis=1) if extra else None
+                best.add(batch.column(0).to_numpy(zero_copy_only=False), np.round(rows @ block, DIGITS), extra)
         if len(best.q):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[best.q]), pa.array(best.i), pa.array(best.s)], names=names)
+            yield batch_of(ids, best, names)
 
     return corpus.mapInArrow(scan, schema)
 
@@ -148,7 +159,7 @@ def _one_block(head: list, corpus: DataFrame, k: int, schema: T.StructType) -> D
 def _cells(queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructType, block: int, cell: int) -> DataFrame:
     """Query blocks x corpus blocks; every cell holds a bounded part of both sides."""
     qkey, qvec = queries.columns
-    ckey, cvec = corpus.columns
+    ckey, cvec, *carry = corpus.columns
     q_blocks = math.ceil(queries.count() / block)
     c_blocks = max(1, math.ceil(corpus.count() / cell))
     q = queries.withColumn("_qb", F.pmod(F.xxhash64(qkey), F.lit(q_blocks)))
@@ -156,17 +167,19 @@ def _cells(queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructType,
     c = corpus.withColumn("_cb", F.pmod(F.xxhash64(ckey), F.lit(c_blocks)))
     c = c.withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
     names = [f.name for f in schema.fields]
-    arrow_types = [pa.int64(), pa.int64(), pa.float64()]
+    arrow_types = [pa.int64(), pa.int64(), pa.float64()] + [pa.int64()] * len(carry)
 
     def cell_join(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return pa.table({n: pa.array([], t) for n, t in zip(names, arrow_types)})
         ids = left.column(qkey).to_numpy()
         block_t = _matrix(left.column(qvec)).T
-        best = _Best(len(ids), k)
+        best = Best(len(ids), k, len(carry))
         rows, row_ids = _matrix(right.column(cvec)), right.column(ckey).to_numpy()
+        extra = np.stack([right.column(c).to_numpy() for c in carry], axis=1) if carry else np.zeros((len(rows), 0), dtype=np.int64)
         for lo in range(0, len(rows), 10_000):
-            best.add(row_ids[lo : lo + 10_000], np.round(rows[lo : lo + 10_000] @ block_t, DIGITS))
-        return pa.table([pa.array(ids[best.q]), pa.array(best.i), pa.array(best.s)], names=names)
+            hi = lo + 10_000
+            best.add(row_ids[lo:hi], np.round(rows[lo:hi] @ block_t, DIGITS), extra[lo:hi])
+        return pa.Table.from_batches([batch_of(ids, best, names)])
 
     return q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb")).applyInArrow(cell_join, schema)

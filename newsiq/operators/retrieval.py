@@ -17,7 +17,7 @@ from newsiq.functions import text as tx
 from newsiq.functions.stats import ordered_list
 from newsiq.operators import questions as qs
 from newsiq.operators.knn import knn_join
-from newsiq.operators.substrings import term_matches
+from newsiq.operators.substrings import scan_best, term_matches
 from newsiq.operators.windows import latest_per, ranked, top_per
 
 TITLE_FIELDS = ("title", "title_en", "title_zh")
@@ -63,10 +63,8 @@ def chunk_dense(
         kept = kept.where(F.col("embedding_model") == model)
     if version is not None:
         kept = kept.where(F.col("chunking_version") == version)
-    hits = knn_join(queries, kept, max(k * max(m, 1), k, 1), id_col="chunk_id").withColumnRenamed("rank", "chunk_rank")
-    # only the winning chunk ids travel to the chunk attributes
-    attrs = chunks.select("chunk_id", "article_id", "chunk_index")
-    hits = hits.join(attrs, "chunk_id")
+    hits = knn_join(queries, kept, max(k * max(m, 1), k, 1), id_col="chunk_id", carry=["article_id", "chunk_index"])
+    hits = hits.withColumnRenamed("rank", "chunk_rank")
     best = latest_per(hits, ["query_id", "article_id"], [F.col("score").desc(), F.col("chunk_rank")])
     return top_per(best, ["query_id"], [F.col("score").desc(), F.col("chunk_rank")], max(k, 1), "article_rank")
 
@@ -89,15 +87,14 @@ def lexical(queries: DataFrame, articles: DataFrame, k: int, id_col: str = "arti
     """
     terms = term_table(queries) if terms is None else terms
     terms = terms.dropDuplicates(["query_id", "term"])
+    k = max(k, 1)
     weights = {f: 4.0 for f in TITLE_FIELDS} | {f: 2.0 for f in SUMMARY_FIELDS}
-    scored = term_matches(articles, terms.select("term").distinct(), id_col, list(weights), weights)
-    summed = (
-        terms.join(scored, "term")
-        .groupBy("query_id", id_col)
-        .agg(F.round(F.sum("score"), RANK_DIGITS).alias("score"))
-        .where(F.col("score") > 0)
-    )
-    return top_per(summed, ["query_id"], [F.col("score").desc(), F.col(id_col)], max(k, 1), "rank")
+    best = scan_best(articles, terms, id_col, weights, k, RANK_DIGITS)
+    if best is None:
+        scored = term_matches(articles, terms.select("term").distinct(), id_col, list(weights), weights)
+        summed = terms.join(scored, "term").groupBy("query_id", id_col)
+        best = summed.agg(F.round(F.sum("score"), RANK_DIGITS).alias("score")).where(F.col("score") > 0)
+    return top_per(best, ["query_id"], [F.col("score").desc(), F.col(id_col)], k, "rank")
 
 
 # ---------------------------------------------------------------- fusion
@@ -199,33 +196,35 @@ def normalized_query(x: Column | str) -> Column:
     return F.lower(tx.squeeze(x))
 
 
-def cache_keys(
+def with_cache_key(
     candidates: DataFrame, model: str, version: str | None = None, variant: str = "rerank_hybrid", text: str = "context"
 ) -> DataFrame:
-    """(query_id, cache_key): hash over query, ordered ids and context hashes.
+    """Candidates with the ``cache_key`` of their list.
 
-    ``candidates`` holds one ranked list per query (query_id, question,
-    article_id, rank and a text column).
+    The key hashes query, ordered ids and context hashes.  ``candidates`` holds
+    one ranked list per query (query_id, question, article_id, rank and a text
+    column); a list is no longer than the retrieval asked for.
     """
-    rows = candidates.withColumn("_h", F.sha2(F.substring(F.coalesce(F.col(text), F.lit("")), 1, 4000), 256))
-    grouped = rows.groupBy("query_id").agg(
-        F.first(normalized_query("question")).alias("normalized_query"),
-        ordered_list(F.col("article_id").cast("string"), "rank").alias("ordered_candidate_ids"),
-        ordered_list("_h", "rank").alias("context_hashes"),
-    )
+    w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     payload = F.to_json(
         F.struct(
             F.lit("rag-rerank-cache-v1").alias("cache_version"),
-            "normalized_query",
-            "ordered_candidate_ids",
-            "context_hashes",
+            normalized_query("question").alias("normalized_query"),
+            F.collect_list(F.col("article_id").cast("string")).over(w).alias("ordered_candidate_ids"),
+            F.collect_list(F.sha2(F.substring(F.coalesce(F.col(text), F.lit("")), 1, 4000), 256)).over(w).alias("context_hashes"),
             F.lit(model).alias("rerank_model"),
             F.lit(version).cast("string").alias("chunking_version"),
             F.lit(variant).alias("strategy_variant"),
         ),
         {"ignoreNullFields": "false"},
     )
-    return grouped.select("query_id", F.sha2(payload, 256).alias("cache_key"), "normalized_query")
+    return candidates.withColumn("cache_key", F.sha2(payload, 256))
+
+
+def cache_keys(candidates: DataFrame, model: str, **key_args) -> DataFrame:
+    """(query_id, cache_key) of every ranked list."""
+    keyed = with_cache_key(candidates, model, **key_args).where(F.col("rank") == 1)
+    return keyed.select("query_id", "cache_key")
 
 
 def cache_lookup(candidates: DataFrame, cache: DataFrame, model: str, **key_args) -> tuple[DataFrame, DataFrame]:
@@ -234,13 +233,12 @@ def cache_lookup(candidates: DataFrame, cache: DataFrame, model: str, **key_args
     ``cache`` has one row per (cache_key, article_id) with ``score_rerank`` and
     ``stale_reason``; only rows that are not stale count.
     """
-    keys = cache_keys(candidates, model, **key_args).select("query_id", "cache_key")
-    keyed = candidates.join(keys, "query_id")
+    keyed = with_cache_key(candidates, model, **key_args)
     fresh = cache.where(F.col("stale_reason").isNull())
-    misses = keyed.join(fresh.select("cache_key").distinct(), "cache_key", "left_anti")
-    found = keyed.join(fresh.select("cache_key").distinct(), "cache_key", "left_semi")
-    hits = found.join(fresh.select("cache_key", "article_id", "score_rerank"), ["cache_key", "article_id"], "left")
-    hits = hits.withColumn("score_rerank", F.coalesce("score_rerank", F.lit(0.0)))
+    misses = keyed.join(fresh.select("cache_key"), "cache_key", "left_anti")
+    # the cached list and the candidate list of one key hold the same ids
+    scores = fresh.groupBy("cache_key", "article_id").agg(F.max("score_rerank").alias("score_rerank"))
+    hits = keyed.join(scores, ["cache_key", "article_id"])
     w = Window.partitionBy("query_id").orderBy(F.col("score_rerank").desc(), F.col("rank"))
     hits = hits.withColumn("previous_rank", F.col("rank")).withColumn("rank", F.row_number().over(w))
     return hits, misses

@@ -17,12 +17,15 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsiq.functions import text as tx
+from newsiq.operators.knn import Best, batch_of
 from newsiq.operators.partitions import spread
 
 try:
@@ -31,6 +34,8 @@ except ImportError:  # the join below needs nothing but Spark
     ahocorasick = None
 
 MAX_SCAN_TERMS = 200_000
+MAX_SCAN_QUERIES = 4096
+SCAN_ROWS = 1000
 
 
 def term_matches(
@@ -71,33 +76,15 @@ def _scan(base: DataFrame, terms: list[str], id_col: str, fields: list[str], wei
 
     def run(batches):
         words = shared.value
-        if not words:
-            return
-        automaton = ahocorasick.Automaton()
-        for i, word in enumerate(words):
-            automaton.add_word(word, i)
-        automaton.make_automaton()
-        term_grams: dict[int, set[str]] = {}
-        for batch in batches:
-            columns = [batch.column(i + 1).to_pylist() for i in range(len(fields))]
+        matcher = _Matcher(words, fields, weights)
+        for batch in batches if words else ():
             rows, hits, scores = [], [], []
-            for r, texts in enumerate(zip(*columns)):
-                found = set()
-                for text in set(texts):
-                    found.update(i for _, i in automaton.iter(text))
-                if not found:
-                    continue
+            for r, texts in enumerate(zip(*[batch.column(i + 1).to_pylist() for i in range(len(fields))])):
+                found = matcher.found(texts)
                 rows.extend([r] * len(found))
                 hits.extend(found)
-                if weights:
-                    best: dict[str, float] = {}
-                    for name, text in zip(fields, texts):
-                        best[text] = max(best.get(text, 0.0), weights[name])
-                    sides = [(w, _word_grams(text)) for text, w in best.items() if text]
-                    for i in found:
-                        if i not in term_grams:
-                            term_grams[i] = _word_grams(words[i])
-                        scores.append(max(w * _jaccard(term_grams[i], g) for w, g in sides))
+                if weights and found:
+                    scores.extend(matcher.scores(texts, found))
             if rows:
                 arrays = [batch.column(0).take(pa.array(rows)), pa.array([words[i] for i in hits])]
                 if weights:
@@ -107,6 +94,80 @@ def _scan(base: DataFrame, terms: list[str], id_col: str, fields: list[str], wei
     return base.mapInArrow(run, T.StructType(out))
 
 
+class _Matcher:
+    """Terms found in the fields of one row, and their similarities."""
+
+    def __init__(self, words: list[str], fields: list[str], weights: dict[str, float] | None):
+        self.words, self.fields, self.weights = words, fields, weights
+        self.grams: dict[int, set[str]] = {}
+        self.automaton = ahocorasick.Automaton()
+        for i, word in enumerate(words):
+            self.automaton.add_word(word, i)
+        if words:
+            self.automaton.make_automaton()
+
+    def found(self, texts) -> list[int]:
+        return sorted({i for text in set(texts) for _, i in self.automaton.iter(text)})
+
+    def scores(self, texts, found: list[int]) -> list[float]:
+        best: dict[str, float] = {}
+        for name, text in zip(self.fields, texts):
+            best[text] = max(best.get(text, 0.0), self.weights[name])
+        sides = [(w, _word_grams(text)) for text, w in best.items() if text]
+        for i in found:
+            if i not in self.grams:
+                self.grams[i] = _word_grams(self.words[i])
+        return [max(w * _jaccard(self.grams[i], g) for w, g in sides) for i in found]
+
+
+def scan_best(texts: DataFrame, terms: DataFrame, id_col: str, weights: dict[str, float], k: int, digits: int) -> DataFrame | None:
+    """(query_id, id, score): summed term scores, at most ``k`` rows per query and task.
+
+    A text is complete in its task, so its sums are final there and only a
+    task's best rows leave it.  None when (query_id, term) is above the bounds.
+    """
+    if ahocorasick is None:
+        return None
+    rows = terms.limit(MAX_SCAN_TERMS + 1).collect()
+    query_ids = sorted({r.query_id for r in rows})
+    if len(rows) > MAX_SCAN_TERMS or len(query_ids) > MAX_SCAN_QUERIES:
+        return None
+    words = sorted({r.term for r in rows})
+    number, at = {w: i for i, w in enumerate(words)}, {q: i for i, q in enumerate(query_ids)}
+    postings: list[list[int]] = [[] for _ in words]
+    for r in rows:
+        postings[number[r.term]].append(at[r.query_id])
+    fields = list(weights)
+    lowered = [F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in fields]
+    base = spread(texts.select(F.col(id_col).cast("long").alias(id_col), *lowered))
+    shared = base.sparkSession.sparkContext.broadcast((query_ids, words, postings))
+    names = ["query_id", id_col, "score"]
+
+    def run(batches):
+        query_ids, words, postings = shared.value
+        if not words:
+            return
+        matcher, n = _Matcher(words, fields, weights), len(query_ids)
+        postings = [np.array(p) for p in postings]
+        best = Best(n, k)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SCAN_ROWS):
+                batch = whole.slice(lo, SCAN_ROWS)
+                sums = np.zeros((batch.num_rows, n))
+                for r, texts in enumerate(zip(*[batch.column(i + 1).to_pylist() for i in range(len(fields))])):
+                    found = matcher.found(texts)
+                    if found:
+                        for i, score in zip(found, matcher.scores(texts, found)):
+                            sums[r, postings[i]] += score
+                sums = np.round(sums, digits)
+                best.add(batch.column(0).to_numpy(), np.where(sums > 0, sums, -np.inf))
+        ids = np.array(query_ids, dtype=np.int64)
+        out = batch_of(ids, best, names)
+        yield out.filter(pa.compute.greater(out.column(2), 0.0))
+
+    return base.mapInArrow(run, f"query_id long, {id_col} long, score double")
+
+
 def _jaccard(a: set[str], b: set[str]) -> float:
     shared = len(a & b)
     total = len(a) + len(b) - shared

@@ -89,7 +89,9 @@ def aggregate(case_results: DataFrame, by: list[str] | None = None, latencies: D
         lat = latencies.groupBy(*by).agg(
             percentile_nearest("latency_ms", 0.5).alias("latency_p50_ms"), percentile_nearest("latency_ms", 0.95).alias("latency_p95_ms")
         )
-        out = out.join(lat, by, "left") if by else out.withColumn("_1", F.lit(1)).join(lat.withColumn("_1", F.lit(1)), "_1").drop("_1")
+        if by:
+            return out.join(lat, by, "left")
+        out = out.select("*", *[lat.select(c).scalar().alias(c) for c in lat.columns])
     return out
 
 
