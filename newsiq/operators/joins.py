@@ -57,3 +57,26 @@ def left_counts(df: DataFrame, other: DataFrame, on: str | list[str], **aggs: Co
     """
     keys = [on] if isinstance(on, str) else on
     return df.join(other.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()]), keys, "left")
+
+
+HOT_ROWS, HOT_KEYS = 100_000, 100_000
+
+
+def skew_join(big: DataFrame, small: DataFrame, on: str, hot_rows: int | None = None) -> DataFrame:
+    """Inner join on a key that may hold a large share of ``big``; ``small`` has one row per key.
+
+    A key is hot when it has more rows than ``hot_rows`` and than a
+    hundred-thousandth of ``big``, so there are fewer than ``HOT_KEYS`` hot keys
+    whatever the data.  Those are joined by broadcast, which leaves their rows
+    where they are; the other keys are joined as usual.  ``big`` is counted and
+    should be a stored table.
+    """
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    total = big.count()
+    if total <= hot_rows:
+        return big.join(small, on)
+    limit = max(hot_rows, total // HOT_KEYS)
+    hot = big.groupBy(on).agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit).select(on)
+    cold = big.join(F.broadcast(hot), on, "left_anti").join(small, on)
+    warm = big.join(F.broadcast(small.join(F.broadcast(hot), on, "left_semi")), on)
+    return cold.unionByName(warm)

@@ -106,8 +106,9 @@ def brute(rows):
 SCHEMA = "id long, url string, title string, body string, published_at string, trust_tier string, dedupe_priority int"
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 20), (2, 200)])
-def test_duplicates_match_brute_force(spark, seed, hot):
+@pytest.mark.parametrize("seed,hot,hot_rows", [(1, 20, 100_000), (2, 200, 50)])
+def test_duplicates_match_brute_force(spark, monkeypatch, seed, hot, hot_rows):
+    monkeypatch.setattr("newsiq.operators.joins.HOT_ROWS", hot_rows)
     rows = make_items(seed, hot)
     pairs, rank = brute(rows)
     df = spark.createDataFrame(rows, SCHEMA)
@@ -187,3 +188,14 @@ def test_hard_negatives_both_ways(spark):
     scan = {tuple(sorted(r.asDict().items())) for r in evalset.hard_negatives(cases, gold, news, found, 6).collect()}
     join = {tuple(sorted(r.asDict().items())) for r in evalset.hard_negatives(cases, gold, news, found, 6, max_cases=0).collect()}
     assert scan == join and len(scan) > 40
+
+
+def test_skew_join_splits_hot_keys(spark):
+    from newsiq.operators.joins import skew_join
+
+    big = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), "id")
+    small = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    want = sorted(tuple(r) for r in big.join(small, "k").collect())
+    split = skew_join(big, small, "k", hot_rows=500)
+    assert sorted(tuple(r) for r in split.collect()) == want
+    assert "BroadcastHashJoin" in split._jdf.queryExecution().executedPlan().toString()
