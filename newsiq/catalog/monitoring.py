@@ -332,13 +332,13 @@ def category_matrix(t):
 
 
 @query(
-    "rep_17_pipeline_runs",
+    "rep_17_step_runs",
     """SELECT run_id, step, count(*) AS events, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'skip') AS skip, count(*) FILTER (WHERE status = 'error') AS error, round(avg(duration_ms), 6) AS avg_duration_ms, max(duration_ms) AS max_duration_ms,
-      round(avg(CASE WHEN status = 'error' THEN 1 ELSE 0 END), 6) AS error_rate FROM pipeline_events GROUP BY 1, 2""",
-    ("pipeline_events",),
+      round(avg(CASE WHEN status = 'error' THEN 1 ELSE 0 END), 6) AS error_rate FROM step_events GROUP BY 1, 2""",
+    ("step_events",),
 )
-def pipeline_runs(t):
-    out = rp.pipeline_runs(t.pipeline_events)
+def step_runs(t):
+    out = rp.step_runs(t.step_events)
     return out.withColumn("avg_duration_ms", F.round("avg_duration_ms", 6)).withColumn("error_rate", F.round("error_rate", 6))
 
 

@@ -240,7 +240,7 @@ DERIVED: dict[str, tuple[tuple[str, ...], object]] = {
           event_id % 3 AS related_count, ts AS asked_at
         FROM events WHERE event_id % 8 <> 7""",
     ),
-    "pipeline_events": (
+    "step_events": (
         ("events",),
         lambda d: """
         SELECT event_id, user_id AS run_id, event_type AS step,

@@ -527,7 +527,7 @@ def null_categories(news: DataFrame) -> DataFrame:
     return news.agg(count_if(F.col("category").isNull()).alias("null_category_rows"))
 
 
-def pipeline_runs(events: DataFrame) -> DataFrame:
+def step_runs(events: DataFrame) -> DataFrame:
     """Per run and step: counts by status, durations and error rate."""
     return events.groupBy("run_id", "step").agg(
         F.count("*").alias("events"), *[count_if(F.col("status") == s).alias(s) for s in ("ok", "skip", "error")],
