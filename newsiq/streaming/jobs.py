@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,29 +146,92 @@ def rate_limit(events: DataFrame, limit: int, seconds: int, watermark: str = "10
     return rows.groupBy("key").applyInPandasWithState(step, _LIMIT_OUT, _LIMIT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def rate_limit_batch(events: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """The same over a stored table.
+def _by_group(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Groups of rows that arrive sorted by ``keys``."""
+    parts, now = [], None
+    for pdf in batches:
+        for key, part in pdf.groupby(keys, sort=False):
+            if key != now and parts:
+                yield now, pd.concat(parts)
+                parts = []
+            now = key
+            parts.append(part)
+    if parts:
+        yield now, pd.concat(parts)
 
-    Rows are sorted by key and time within partitions and read as a stream of
-    batches with two numbers of state, so a key of any size needs no memory.
+
+def _transfer(times: np.ndarray, start: int, width: int) -> list[tuple[int, int, int]]:
+    """How a segment moves the reset time: (latest incoming reset, outgoing reset, requests in the last window).
+
+    ``times`` are the sorted request times of one key in one segment.  An
+    incoming reset lies before ``start + width``; the first request at or after
+    it opens a window, and so on to the end of the segment.
+    """
+    u = np.unique(times)
+    following = np.searchsorted(u, u + width)
+    entries = np.arange(min(len(u), np.searchsorted(u, start + width, side="right") + 1))
+    last = entries.copy()
+    while True:
+        step = following[last]
+        if (step >= len(u)).all():
+            break
+        last = np.where(step < len(u), np.minimum(step, len(u) - 1), last)
+    tail = len(times) - np.searchsorted(times, u[last])
+    return list(zip(u[entries].tolist(), (u[last] + width).tolist(), tail.tolist()))
+
+
+def rate_limit_batch(events: DataFrame, limit: int, seconds: int, segment_windows: int = 64) -> DataFrame:
+    """The same over a stored table, with the requests of one key split over time segments.
+
+    A segment is many windows long.  First every segment says, for each reset
+    time it might be handed, which one it hands on; only requests of its first
+    window matter for that.  These short tables are walked once per key, and
+    then every segment counts its own requests from the state it starts with.
     """
-    schema = _LIMIT_OUT
+    width = seconds * 1_000_000
+    length = width * segment_windows
+    micros = F.unix_micros("ts")
     rows = events.select("key", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    rows = rows.repartition("key").sortWithinPartitions("key", "ts", "event_id")
+    rows = rows.withColumn("seg", F.floor(micros / length).cast("long"))
+
+    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (key, seg), part in _by_group(batches, ["key", "seg"]):
+            t = part["us"].to_numpy()
+            out = pd.DataFrame(_transfer(t, int(seg) * length, width), columns=["upto", "reset_out", "tail"])
+            yield out.assign(key=key, seg=seg, requests=len(t))[["key", "seg", "upto", "reset_out", "tail", "requests"]]
+
+    slim = rows.select("key", "seg", micros.alias("us")).repartition("key", "seg").sortWithinPartitions("key", "seg", "us")
+    moves = slim.mapInPandas(tables, "key long, seg long, upto long, reset_out long, tail long, requests long")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owner, reset, count = None, 0, 0
+        for (key, seg), part in _by_group(batches, ["key", "seg"]):
+            if key != owner:
+                owner, reset, count = key, 0, 0
+            yield pd.DataFrame({"key": [key], "seg": [seg], "count_in": [count], "reset_in": [reset]})
+            at = int(np.searchsorted(part["upto"].to_numpy(), reset))
+            if at < len(part):
+                reset, count = int(part["reset_out"].iloc[at]), int(part["tail"].iloc[at])
+            else:
+                # the window open before outlasts the segment's requests
+                count += int(part["requests"].iloc[0])
+
+    states = moves.repartition("key").sortWithinPartitions("key", "seg", "upto").mapInPandas(walk, "key long, seg long, count_in long, reset_in long")
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, count, reset_at = None, 0, 0
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, n, reset = None, 0, 0
         for pdf in batches:
             parts = []
-            for key, part in pdf.groupby("key", sort=False):
-                if key != last:
-                    last, count, reset_at = key, 0, 0
-                counts, count, reset_at = _count_requests(part["ts"].astype("datetime64[us]"), count, reset_at, seconds)
+            for group, part in pdf.groupby(["key", "seg"], sort=False):
+                if group != now:
+                    now, n, reset = group, int(part["count_in"].iloc[0]), int(part["reset_in"].iloc[0])
+                counts, n, reset = _count_requests(part["ts"].astype("datetime64[us]"), n, reset, seconds)
                 parts.append(part.assign(request_count=counts, allowed=[c <= limit for c in counts]))
             if parts:
-                yield pd.concat(parts)
+                yield pd.concat(parts)[["key", "event_id", "ts", "request_count", "allowed"]]
 
-    return rows.mapInPandas(scan, schema)
+    ready = rows.join(states, ["key", "seg"]).repartition("key", "seg").sortWithinPartitions("key", "seg", "ts", "event_id")
+    return ready.mapInPandas(count, _LIMIT_OUT)
 
 
 # ---------------------------------------------------------------- feedback and silence

@@ -52,8 +52,9 @@ def expected_counts(rows, seconds):
 def test_rate_limit(spark, tmp_path, seconds):
     df = events(spark)
     want = expected_counts(df.collect(), seconds)
-    batch = {r.event_id: r for r in jobs.rate_limit_batch(df, 3, seconds).collect()}
-    assert {k: r.request_count for k, r in batch.items()} == want
+    for windows in (1, 3, 64):
+        batch = {r.event_id: r for r in jobs.rate_limit_batch(df, 3, seconds, windows).collect()}
+        assert {k: r.request_count for k, r in batch.items()} == want
     assert all(r.allowed == (r.request_count <= 3) for r in batch.values())
     write_files(spark, df, f"{tmp_path}/in", 5, "event_id")
     jobs.run_available(jobs.rate_limit(stream(spark, f"{tmp_path}/in", df.schema), 3, seconds), f"{tmp_path}/out")
