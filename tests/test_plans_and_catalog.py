@@ -5,13 +5,15 @@ from compare import connect, diff
 from pyspark.sql import functions as F
 
 import __spark_entry__ as spark_entry
+from newsiq import catalog
 from newsiq.catalog.tables import Tables
 from newsiq.operators import retrieval, windows
 from newsiq.operators.lineage import cut, shared_folder
 from newsiq.plans import feed
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES, SQL = spark_entry.queries(), spark_entry.oracle_sql()
+catalog.load()
+QUERIES, SQL = catalog.QUERIES, catalog.ORACLES
 
 
 def plan(df):
