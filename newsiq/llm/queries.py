@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsiq.llm import query, shards, table, warc
+from newsiq.llm import bpe, counts, decontam, langid, quality, query, shards, table, warc
 from newsiq.llm.batches import shared_folder
 
 # ---------------------------------------------------------------- 1 archives
@@ -41,6 +42,77 @@ def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- 2 language
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def held_out(column: str = "doc_id"):
+    """Ids that nothing is learned from; a null id is not one."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned on three quarters of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    path = public_tokenizers.path(VOCABULARY)
+    model = langid.fit(docs.where(~held_out()).select("text", "lang"), path)
+    out = langid.predict(docs.select("doc_id", "text"), model, path, keep=["doc_id"])
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+# ---------------------------------------------------------------- 3 byte-level BPE
+
+
+@query("op3_byte_bpe")
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the bytes they decode to, as digests."""
+    path = public_tokenizers.path(VOCABULARY)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, path, public_tokenizers.PATTERN, keep=["doc_id"])
+    both = bpe.decode(ids, path, public_tokenizers.PATTERN)
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+# ---------------------------------------------------------------- 5 quality
+
+
+@query("op5_importance_resampling")
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight of every document, and whether the Gumbel top-k keeps it."""
+    chosen = quality.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    kept = F.col("rank_key") >= chosen.last_key if chosen.last_key is not None else F.lit(False)
+    return chosen.weighed.select("doc_id", "log_weight", "gumbel", kept.alias("kept"))
+
+
+# ---------------------------------------------------------------- 7 token counts
+
+TOKEN_LIMIT = 512
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = counts.token_counts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+# ---------------------------------------------------------------- 9 decontamination
+
+
+@query("op9_decontamination")
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that overlaps a benchmark text, with the text and the token span."""
+    found = decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "end", "n_equal")
+
+
 # ---------------------------------------------------------------- 8 shards
 
 OP8_SQL = """
