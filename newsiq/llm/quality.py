@@ -18,10 +18,11 @@ from newsiq.llm.hashing import constants, mix, word_hashes
 BUCKETS = 10_000
 #: Labelled rows that the target model is fitted on, at most; it bounds the broadcast table of labels.
 LABELLED = 1 << 16
-#: Added to every bucket of the target model, and per row of ids and flags.
+#: Added to every bucket of both models.
 PRIOR = 1.0
-#: Share of the labelled target rows that the number of rows to keep is set by.
-RECALL = 0.995
+#: Share of the labelled target rows that the number of rows to keep is set by, and room in log-weight
+#: below the lightest of them: two Gumbel draws seldom differ by more.
+RECALL, ROOM = 0.999, 5.0
 
 _PAIR = constants(2, 5)
 _WORDS = r"([^\p{L}\p{N}\s]+)"
@@ -155,10 +156,10 @@ def kth_largest(df: DataFrame, key: str, k: int) -> int | None:
 
 
 def target_size(weighed: DataFrame, sample: DataFrame, id_col: str = "doc_id", recall: float = RECALL) -> int:
-    """Number of rows at least as heavy as the lightest of the ``recall`` heaviest labelled target rows."""
+    """Number of rows at least as heavy, but for ``ROOM``, as the lightest of the ``recall`` heaviest labelled target rows."""
     low = weighed.join(F.broadcast(sample.where("_is_target")), F.col(id_col) == F.col("_label_id"), "left_semi")
     cutoff = low.agg(F.expr(f"percentile_approx(log_weight, {1 - recall}, 100000)")).first()[0]
-    return weighed.count() if cutoff is None else weighed.where(F.col("log_weight") >= cutoff).count()
+    return weighed.count() if cutoff is None else weighed.where(F.col("log_weight") >= cutoff - ROOM).count()
 
 
 @dataclass
