@@ -35,7 +35,7 @@ def interleave(
     Rows are shuffled inside their stratum by an md5 of seed and id, ranked,
     and sorted by fractional rank (rank + 1/2) / stratum size.  Cutting that
     order into ``shards`` runs whose lengths differ by at most one gives every
-    shard the mixture of the whole; ``slot`` is the place in the shard, gapless
+    shard the mixture of the whole, up to the strata's rounding at the cuts; ``slot`` is the place in the shard, gapless
     from 0.  ``size`` is the UTF-8 length plus 1, ``text_crc32`` its checksum.
 
     A null stratum is a stratum of its own; a null text counts as empty; a null

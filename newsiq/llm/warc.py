@@ -111,8 +111,8 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "20
     it and carry no payload; smaller payloads are all responses.  A null html
     is an empty payload.  Rows that repeat the smallest page_id with the same
     payload are alike and are all responses; a null page_id never is the
-    smallest unless all are null.  A null url leaves the header out; control
-    and non-ASCII characters of a url are percent-encoded.  An empty table
+    smallest unless all are null.  A null url leaves the header out; spaces,
+    percent signs, control and non-ASCII characters of a url are percent-encoded.  An empty table
     gives a folder without records.  Other columns are ignored.
 
     A digest that many pages share is reduced to one row before the join, and
