@@ -19,21 +19,27 @@ def _xml(x: str):
     return F.concat(F.lit("<![CDATA["), F.col(x), F.lit("]]>"))
 
 
+# item 0 has all tags, 1 is an Atom entry, 2 has empty CDATA sections before the tags to fall back on;
+# every tenth document goes on with forty more items, of which thirty in all are kept
 @query(
     "src_3_parse_feeds",
-    r"""SELECT doc_id, pos, concat('https://ex.org/', doc_id, '/', pos) AS url, concat('t', doc_id) AS title, CASE WHEN pos = 1 THEN 'short' ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS content, CASE WHEN pos = 0 THEN '2024-01-02T00:00:00Z' END AS published_at
-      FROM documents, (VALUES (0), (1)) p(pos) WHERE text <> ''""",
+    r"""SELECT doc_id, pos::INT AS pos, concat('https://ex.org/', doc_id, '/', pos) AS url, CASE WHEN pos < 2 THEN concat('t', doc_id) WHEN pos = 2 THEN '' ELSE concat('more ', pos) END AS title,
+        CASE pos WHEN 0 THEN regexp_replace(text, '^\s+|\s+$', '', 'g') WHEN 1 THEN 'short' WHEN 2 THEN 'fallback' ELSE '' END AS content,
+        CASE pos WHEN 0 THEN '2024-01-02T00:00:00Z' WHEN 2 THEN '2024-03-04' END AS published_at
+      FROM (SELECT doc_id, text, unnest(range(CASE WHEN doc_id % 10 = 0 THEN 30 ELSE 3 END)) AS pos FROM documents WHERE text <> '') x""",
 )
 def parse_feeds(t):
     doc = F.col("doc_id").cast("string")
-    link = lambda n: F.concat(F.lit("https://ex.org/"), doc, F.lit(f"/{n}"))
+    link = lambda n: F.concat(F.lit("https://ex.org/"), doc, F.lit("/"), n.cast("string") if not isinstance(n, int) else F.lit(str(n)))
+    more = F.transform(F.sequence(F.lit(3), F.lit(42)), lambda n: F.concat(F.lit("<item><title>more "), n.cast("string"), F.lit("</title><link>"), link(n), F.lit("</link></item>")))
     xml = F.concat(
         F.lit("<rss><channel><title>x</title><item><title>t"), doc, F.lit("</title><link> "), link(0), F.lit(" </link><description>"), _xml("text"),
         F.lit("</description><pubDate>2024-01-02T00:00:00Z</pubDate></item><item><title>no link</title></item><entry><title>t"), doc,
-        F.lit("</title><link rel='alternate' href='"), link(1), F.lit("'/><summary>short</summary></entry></channel></rss>"),
+        F.lit("</title><link rel='alternate' href='"), link(1), F.lit("'/><summary>short</summary></entry><item><title><![CDATA[]]></title><link>"), link(2),
+        F.lit("</link><description><![CDATA[]]></description><summary>fallback</summary><pubDate><![CDATA[]]></pubDate><updated>2024-03-04</updated></item>"),
+        F.when(F.expr("doc_id % 10 = 0"), F.array_join(more, "")).otherwise(""), F.lit("</channel></rss>"),
     )
-    out = feeds.parse_feeds(t.documents.where("text <> ''").select("doc_id", xml.alias("xml")))
-    return out
+    return feeds.parse_feeds(t.documents.where("text <> ''").select("doc_id", xml.alias("xml")))
 
 
 @query(

@@ -81,12 +81,12 @@ HISTORY = f"""{SELECTED}, cases AS (SELECT date_diff('day', DATE '1970-01-01', s
   hist AS (SELECT c.anchor_date, c.step_days, h.article_id, h.rank, EXISTS (SELECT 1 FROM sel s WHERE s.anchor_date = c.anchor_date AND s.step_days = c.step_days AND s.id = h.article_id) AS selected,
      CAST(a.at AS DATE) > c.anchor_date - CAST(c.step_days AS INTEGER) AND CAST(a.at AS DATE) <= c.anchor_date AS in_window FROM near h JOIN cases c ON c.case_id = h.query_id JOIN art a ON a.id = h.article_id),
   marked AS (SELECT *, coalesce(sum(CASE WHEN NOT selected AND NOT in_window THEN 1 ELSE 0 END) OVER (PARTITION BY anchor_date, step_days ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM hist)"""
-# every article has a vector: its own id picks one of the embeddings
-VEC = "vec AS (SELECT n.id AS article_id, e.embedding FROM news n JOIN embeddings e ON e.vec_id = n.id % 500)"
+# an article has the vector of its id; articles beyond the embeddings have none
+VEC = "vec AS (SELECT n.id AS article_id, e.embedding FROM news n JOIN embeddings e ON e.vec_id = n.id)"
 
 
 def vectors(t):
-    return t.news.select(F.col("id").alias("article_id"), F.expr("id % 500").alias("vec_id")).join(t.embeddings, "vec_id").select("article_id", "embedding")
+    return t.news.select(F.col("id").alias("article_id")).join(t.embeddings, F.col("article_id") == F.col("vec_id")).select("article_id", "embedding")
 
 
 @query(

@@ -16,11 +16,24 @@ from newsiq.plans import reports as rp
 from newsiq.streaming import jobs
 
 
-def stream_of(t, name: str):
-    """A derived table as a stream: the same SQL over a file stream of its one driver table."""
+def stream_of(t, name: str, batches: int = 1):
+    """A derived table as a stream: the same SQL over a file stream of its one driver table.
+
+    With ``batches`` the driver table is first laid out as so many files by
+    ascending id, one micro-batch each.
+    """
     needs, build = DERIVED[name] if name in DERIVED else ((name,), None)
     (base,) = needs
-    raw = jobs.stream_table(t.spark, t.sf_dir, base, getattr(t, base).schema)
+    table = getattr(t, base)
+    if batches == 1:
+        raw = jobs.stream_table(t.spark, t.sf_dir, base, table.schema)
+    else:
+        path, key = folder(t), table.columns[0]
+        lo, hi = table.agg(F.min(key), F.max(key)).first()
+        part = F.floor((F.col(key) - lo) * batches / (hi - lo + 1))
+        for i in range(batches):
+            table.where(part == i).coalesce(1).write.mode("append").parquet(path)
+        raw = jobs.stream_table(t.spark, path, "part", table.schema, max_files=1)
     if build is None:
         return raw
     text = build(SPARK).replace("{", "{{").replace("}", "}}")
@@ -38,10 +51,10 @@ def with_time(df, col: str):
 
 @query("str_1_ingest", f"SELECT min(id) AS id, {CANON('url')} AS url FROM items WHERE {ai_sql('body')} GROUP BY 2", ("items",))
 def ingest(t):
-    rows = with_time(stream_of(t, "items"), "published_at").withColumnRenamed("body", "raw_content")
+    rows = with_time(stream_of(t, "items", 4), "published_at").withColumnRenamed("body", "raw_content")
     out = jobs.ingest(rows.select("id", "url", "raw_content", "published_at"), "60 days", "published_at")
     path = folder(t)
-    # one file is one batch here; within it any of the copies may be the one kept
+    # of the copies of a url within one batch any may be the one kept
     jobs.run_available(out.select("url"), path)
     kept = t.spark.read.schema("url string").parquet(f"{path}/data")
     from newsiq.functions import text as tx
@@ -58,7 +71,7 @@ def ingest(t):
 def insert_new(t):
     from newsiq.functions import text as tx
 
-    rows = stream_of(t, "items").select("id", tx.canonical_url("url").alias("url"))
+    rows = stream_of(t, "items", 4).select("id", tx.canonical_url("url").alias("url"))
     path = folder(t)
     jobs.run_available(rows, path, writer=jobs.insert_new(f"{path}/data", "url", "id"))
     return t.spark.read.parquet(f"{path}/data").select("id", "url")
@@ -71,7 +84,7 @@ def insert_new(t):
 )
 def route_late(t):
     path = folder(t)
-    rows = stream_of(t, "news").select("id", "url", "published_at")
+    rows = stream_of(t, "news", 4).select("id", "url", "published_at")
     writer = jobs.route_late(f"{path}/new", f"{path}/late", t.raw.where("status = 'done'").select("url"), AS_OF, days=10)
     jobs.run_available(rows, path, writer=writer)
     kept = t.spark.read.parquet(f"{path}/new").select("id", F.lit("kept").alias("outcome"))
@@ -86,7 +99,7 @@ def route_late(t):
     ("news", "sources"),
 )
 def enrich(t):
-    rows = t.spark.sql(_ROUTE.replace("SELECT id,", "SELECT id, source_id,", 1).replace("FROM news", "FROM {news}"), news=stream_of(t, "news"))
+    rows = t.spark.sql(_ROUTE.replace("SELECT id,", "SELECT id, source_id,", 1).replace("FROM news", "FROM {news}"), news=stream_of(t, "news", 4))
     path = folder(t)
     jobs.run_available(jobs.enrich(rows, t.sources).select("id", "source_type", "status", "last_error"), path)
     return t.spark.read.schema("id long, source_type string, status string, last_error string").parquet(f"{path}/data")
@@ -106,18 +119,22 @@ def freshness(t):
 
 @query(
     "str_5_canary",
-    """SELECT date_trunc('day', created_at) AS window_start, strategy, count(*) AS requests, round(avg(CASE WHEN injected_count = 0 THEN 1 ELSE 0 END), 6) AS empty_candidate_rate,
-      round(avg(CASE WHEN json_extract_string(query_input, '$.fallback_reason') = 'chunk_dense_failed_fell_back_to_article_dense' THEN 1 ELSE 0 END), 6) AS fallback_rate FROM runs WHERE surface = 'answer_question_related_articles' GROUP BY 1, 2""",
-    ("runs",),
+    """SELECT date_trunc('day', r.created_at) AS window_start, strategy, count(*) AS requests, quantile_disc(latency_ms, 0.5) AS p50_latency_ms, quantile_disc(latency_ms, 0.95) AS p95_latency_ms,
+      round(avg(CASE WHEN injected_count = 0 THEN 1 ELSE 0 END), 6) AS empty_candidate_rate, round(avg(CASE WHEN q.error_message IS NOT NULL THEN 1 ELSE 0 END), 6) AS qa_error_rate,
+      round(coalesce(avg(CASE WHEN q.feedback < 0 THEN 1 WHEN q.feedback IS NOT NULL THEN 0 END), 0), 6) AS negative_feedback_rate,
+      round(avg(CASE WHEN json_extract_string(query_input, '$.fallback_reason') = 'chunk_dense_failed_fell_back_to_article_dense' THEN 1 ELSE 0 END), 6) AS fallback_rate
+      FROM runs r LEFT JOIN qa_logs q ON q.qa_log_id = r.qa_log_id WHERE surface = 'answer_question_related_articles' GROUP BY 1, 2""",
+    ("runs", "qa_logs"),
 )
 def canary(t):
     path = folder(t)
-    rows = with_time(stream_of(t, "runs"), "created_at").withColumn("error_message", F.lit(None).cast("string")).withColumn("feedback", F.lit(None).cast("int"))
+    rows = with_time(stream_of(t, "runs", 4), "created_at").join(t.qa_logs.select("qa_log_id", "error_message", "feedback"), "qa_log_id", "left")
     jobs.run_available(jobs.canary(rows), path, "complete")
     out = t.spark.read.parquet(f"{path}/data")
+    rates = ("empty_candidate_rate", "qa_error_rate", "negative_feedback_rate", "fallback_rate")
     return out.select(
         F.date_trunc("day", F.col("window_start").cast("timestamp_ntz")).cast("timestamp_ntz").alias("window_start"), "strategy", "requests",
-        F.round("empty_candidate_rate", 6).alias("empty_candidate_rate"), F.round("fallback_rate", 6).alias("fallback_rate"),
+        "p50_latency_ms", "p95_latency_ms", *[F.round(c, 6).alias(c) for c in rates],
     )
 
 
@@ -149,8 +166,10 @@ def rate_limit_batch(t):
 @query("str_7_feedback", VOTES, ("votes",))
 def feedback(t):
     path = folder(t)
-    jobs.run_available(stream_of(t, "votes"), path, writer=jobs.feedback(f"{path}/votes"))
-    return rp.feedback_counts(t.spark.read.parquet(f"{path}/votes/v=0"))
+    jobs.run_available(stream_of(t, "votes", 4), path, writer=jobs.feedback(f"{path}/votes"))
+    versions = t.spark.read.parquet(f"{path}/votes")
+    newest = versions.agg(F.max("v")).first()[0]
+    return rp.feedback_counts(versions.where(F.col("v") == newest).drop("v"))
 
 
 _GAP = """SELECT source_id, silent_since, silent_since + INTERVAL '10' HOUR AS noticed_at FROM (SELECT source_id, fetched_at AS silent_since, lead(fetched_at) OVER (PARTITION BY source_id ORDER BY fetched_at) AS nxt FROM raw) g"""

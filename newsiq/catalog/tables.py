@@ -3,8 +3,11 @@
 Each derived table is one SELECT in SQL that Spark and DuckDB both accept;
 the few spots where the dialects differ go through :class:`Dialect`.  The
 Spark side runs the text over the parquet scans, the SQL side chains the same
-texts as CTEs, so both engines read identical rows.  No derived table caps or
-samples its input: row counts follow the driver tables.
+texts as CTEs, so both engines read identical rows.  Every derived table reads
+all rows of its driver tables and whole texts (titles are the first 80
+characters, as a title is).  Two tables leave out children on purpose, so that
+outer and anti joins meet missing ones: ``analysis`` has none for every fourth
+article and ``qa_logs`` none for every eighth run.
 """
 
 from __future__ import annotations
@@ -88,9 +91,9 @@ DERIVED: dict[str, tuple[tuple[str, ...], object]] = {
           substr(text, 1, 80) AS title,
           CASE WHEN lang = 'en' THEN substr(text, 1, 80) END AS title_en,
           CASE WHEN lang <> 'en' THEN substr(text, 1, 80) END AS title_zh,
-          substr(text, 1, 300) AS summary,
-          CASE WHEN lang = 'en' THEN substr(text, 1, 300) END AS summary_en,
-          CASE WHEN lang <> 'en' THEN substr(text, 1, 300) END AS summary_zh,
+          text AS summary,
+          CASE WHEN lang = 'en' THEN text END AS summary_en,
+          CASE WHEN lang <> 'en' THEN text END AS summary_zh,
           CASE WHEN doc_id % 7 <> 0 THEN text END AS article_content,
           CASE WHEN doc_id % 4 = 0 THEN concat('q', CAST(doc_id AS string)) END AS questions,
           CASE WHEN doc_id % 5 <> 0 THEN {d.ts('2024-01-01 00:00:00')} + {_minute('(doc_id * 7919) % 43200 - 60 * (doc_id % 48)')} END AS published_at,
@@ -131,18 +134,18 @@ DERIVED: dict[str, tuple[tuple[str, ...], object]] = {
           CASE WHEN vec_id % 13 = 12 THEN 'v0' ELSE 'v1' END AS chunking_version, label
         FROM embeddings""",
     ),
-    # one vector per article, and the analysis vectors that replace some of them
+    # one vector per article, and the analysis vectors, of which the ready ones replace it
     "article_vectors": (
         ("embeddings",),
         lambda d: """
-        SELECT CAST(floor(vec_id / 5) AS BIGINT) AS article_id, embedding FROM embeddings WHERE vec_id % 5 = 0""",
+        SELECT vec_id AS article_id, embedding FROM embeddings""",
     ),
     "analysis_vectors": (
         ("embeddings",),
         lambda d: """
-        SELECT CAST(floor(vec_id / 5) AS BIGINT) AS article_id, embedding,
+        SELECT vec_id + 3 AS article_id, embedding,
           CASE WHEN vec_id % 3 = 0 THEN 'pending' ELSE 'ready' END AS status
-        FROM embeddings WHERE vec_id % 5 = 1 AND vec_id % 2 = 0""",
+        FROM embeddings""",
     ),
     "cases": (
         ("benchmark", "embeddings"),
@@ -288,15 +291,17 @@ DERIVED: dict[str, tuple[tuple[str, ...], object]] = {
         SELECT event_id AS brief_id, user_id, {d.day('ts')} AS anchor_date, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 7 ELSE 30 END AS step_days,
           CASE WHEN event_id % 5 = 0 THEN NULL ELSE concat('u ', CAST(event_id AS string)) END AS synthesis_en,
           ts AS generated_at, ts + INTERVAL '6' HOUR AS expires_at
-        FROM events WHERE event_id % 4 = 0""",
+        FROM events""",
     ),
     "digest_sent": (
         ("events",),
         lambda d: f"""
-        SELECT DISTINCT CASE user_id % 4 WHEN 0 THEN 'slack' WHEN 1 THEN 'feishu' WHEN 2 THEN 'discord' ELSE 'notion' END AS target,
-          {d.day('ts')} AS anchor_date, 1 AS step_days,
-          CASE WHEN user_id % 8 = 0 THEN 'failed' WHEN user_id % 8 = 1 THEN 'skipped_empty_brief' ELSE 'sent' END AS status
-        FROM events WHERE event_type = 'signup' AND user_id % 5 = 0""",
+        SELECT target, anchor_date, step_days, max(status) AS status FROM (
+          SELECT CASE user_id % 4 WHEN 0 THEN 'slack' WHEN 1 THEN 'feishu' WHEN 2 THEN 'discord' ELSE 'notion' END AS target,
+            {d.day('ts')} AS anchor_date, CASE WHEN (day(ts) + user_id) % 2 = 0 THEN 1 ELSE 90 END AS step_days,
+            CASE WHEN event_id % 8 = 0 THEN 'failed' WHEN event_id % 8 = 1 THEN 'skipped_empty_brief' ELSE 'sent' END AS status
+          FROM events) x
+        GROUP BY target, anchor_date, step_days""",
     ),
 }
 

@@ -1,7 +1,7 @@
 """Join helpers.
 
-Which physical join runs is left to Catalyst and AQE; a side is hinted as
-broadcast only after :func:`if_small` has counted it against a bound.
+Which physical join runs is left to Catalyst and AQE; nothing is hinted as
+broadcast and no plan depends on a row count taken while it is built.
 """
 
 from __future__ import annotations
@@ -9,19 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-
-
-def if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """(df hinted as broadcast, True) when it has at most ``max_rows`` rows, else (df, False).
-
-    The check reads at most ``max_rows + 1`` rows, so it costs the same on any
-    input; use it only on narrow tables, where the row bound is a size bound.
-    """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return (F.broadcast(df) if small else df), small
-
-
 def not_in(df: DataFrame, other: DataFrame, on: str | list[str] | Column) -> DataFrame:
     """Rows without a match (``NOT EXISTS``)."""
     return df.join(other, on, "left_anti")
@@ -59,24 +46,18 @@ def left_counts(df: DataFrame, other: DataFrame, on: str | list[str], **aggs: Co
     return df.join(other.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()]), keys, "left")
 
 
-HOT_ROWS, HOT_KEYS = 100_000, 100_000
+SALTS = 8
 
 
-def skew_join(big: DataFrame, small: DataFrame, on: str, hot_rows: int | None = None) -> DataFrame:
+def skew_join(big: DataFrame, small: DataFrame, on: str, salts: int = SALTS) -> DataFrame:
     """Inner join on a key that may hold a large share of ``big``; ``small`` has one row per key.
 
-    A key is hot when it has more rows than ``hot_rows`` and than a
-    hundred-thousandth of ``big``, so there are fewer than ``HOT_KEYS`` hot keys
-    whatever the data.  Those are joined by broadcast, which leaves their rows
-    where they are; the other keys are joined as usual.  ``big`` is counted and
-    should be a stored table.
+    A key's rows of ``big`` are dealt to ``salts`` parts by a hash of the whole
+    row, and ``small`` is repeated for each part.  So no task has to take a hot
+    key as a whole, whatever the size of the tables, and AQE can split a part
+    further.
     """
-    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    total = big.count()
-    if total <= hot_rows:
-        return big.join(small, on)
-    limit = max(hot_rows, total // HOT_KEYS)
-    hot = big.groupBy(on).agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit).select(on)
-    cold = big.join(F.broadcast(hot), on, "left_anti").join(small, on)
-    warm = big.join(F.broadcast(small.join(F.broadcast(hot), on, "left_semi")), on)
-    return cold.unionByName(warm)
+    key = "_salt"
+    dealt = big.withColumn(key, F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
+    repeated = small.withColumn(key, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.join(repeated, [on, key]).drop(key)

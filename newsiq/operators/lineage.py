@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the one ``spark.checkpoint.dir`` names.
+    """Folder for intermediate tables: the one ``spark.checkpoint.dir`` names, else one inside the warehouse.
 
-    Only a local session without that setting gets a temporary folder; a
-    cluster without it is an error, because a machine-local folder would not
-    survive the machine.
+    Both are shared by all machines of a cluster; a machine-local folder would
+    not survive the machine.  Clean it by age, nothing here deletes from it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="newsiq-")
-    return _LOCAL[app]
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate").rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from newsiq.operators.partitions import spread
 
 try:
     import ahocorasick
@@ -115,4 +114,4 @@ def scan_cases(articles: DataFrame, cases: CaseSet, n: int) -> DataFrame:
                     arrays = [ids[cc], np.array(aid, dtype=np.int64)[rr], q[rr, cc], g[rr, cc], top[rr, cc], tag[rr, cc], ss[rr, cc], sc[rr, cc]]
                     yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=schema.names)
 
-    return spread(articles).mapInArrow(run, schema)
+    return articles.mapInArrow(run, schema)

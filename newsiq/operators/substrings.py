@@ -26,7 +26,6 @@ from pyspark.sql import types as T
 
 from newsiq.functions import text as tx
 from newsiq.operators.knn import Best, batch_of
-from newsiq.operators.partitions import spread
 
 try:
     import ahocorasick
@@ -55,7 +54,7 @@ def term_matches(
     base = texts.select(id_col, *lowered)
     head = terms.limit(max_scan_terms + 1).collect() if ahocorasick else None
     if head is not None and len(head) <= max_scan_terms:
-        return _scan(spread(base), [r[0] for r in head], id_col, fields, weights)
+        return _scan(base, [r[0] for r in head], id_col, fields, weights)
     return _gram_join(base, terms, id_col, fields, weights)
 
 
@@ -139,7 +138,7 @@ def scan_best(texts: DataFrame, terms: DataFrame, id_col: str, weights: dict[str
         postings[number[r.term]].append(at[r.query_id])
     fields = list(weights)
     lowered = [F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in fields]
-    base = spread(texts.select(F.col(id_col).cast("long").alias(id_col), *lowered))
+    base = texts.select(F.col(id_col).cast("long").alias(id_col), *lowered)
     shared = base.sparkSession.sparkContext.broadcast((query_ids, words, postings))
     names = ["query_id", id_col, "score"]
 

@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from newsiq.functions import social as so
 from newsiq.functions import text as tx
 from newsiq.operators.joins import known_urls
-from newsiq.operators.partitions import spread
 from newsiq.operators.windows import latest_per, top_per
 
 MAX_ITEMS = 30
@@ -21,10 +20,15 @@ DATE_TAGS = ("pubDate", "published", "updated", "dc:date")
 
 
 def _tag(block: Column, tag: str) -> Column:
-    """Text of a tag, CDATA unwrapped; NULL when missing or empty."""
-    cdata = F.regexp_extract(block, rf"(?is)<{tag}[^>]*><!\[CDATA\[(.*?)\]\]></{tag}>", 1)
-    plain = F.regexp_extract(block, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)
-    return F.coalesce(F.nullif(cdata, F.lit("")), F.nullif(plain, F.lit("")))
+    """Text of a tag; NULL when missing or empty.
+
+    A tag with a CDATA section has that section's text, also an empty one;
+    what stands around it counts only without a section.
+    """
+    section = rf"(?is)<{tag}[^>]*><!\[CDATA\[(.*?)\]\]></{tag}>"
+    whole = rf"(?is)<{tag}[^>]*>(.*?)</{tag}>"
+    text = F.when(block.rlike(section), F.regexp_extract(block, section, 1)).otherwise(F.regexp_extract(block, whole, 1))
+    return F.nullif(text, F.lit(""))
 
 
 def _trim(x: Column) -> Column:
@@ -50,7 +54,7 @@ def parse_feeds(docs: DataFrame, text_col: str = "xml", max_items: int = MAX_ITE
 
     items = F.slice(F.filter(F.transform(blocks, item), lambda i: i["url"].isNotNull()), 1, max_items)
     keep = [c for c in docs.columns if c != text_col]
-    return spread(docs).select(*keep, F.posexplode(items).alias("pos", "_i")).select(*keep, "pos", "_i.*")
+    return docs.select(*keep, F.posexplode(items).alias("pos", "_i")).select(*keep, "pos", "_i.*")
 
 
 ACCOUNTS = T.StructType(
@@ -117,11 +121,11 @@ def transcripts(videos: DataFrame, srt_col: str = "srt", min_chars: int = 200) -
 
 def _repos(df: DataFrame) -> DataFrame:
     html = F.split(F.col("html"), r"(?i)<article\b")
-    block = df.select("source_id", F.explode(F.slice(html, 2, 100_000)).alias("b"))
+    block = df.select("source_id", F.explode(F.slice(html, F.lit(2), F.size(html))).alias("b"))
     path = F.regexp_extract("b", r'href="(/[^"/]+/[^"/]+)"', 1)
     desc = tx.squeeze(F.regexp_replace(F.regexp_extract("b", r"(?is)<p[^>]*col-9[^>]*>(.*?)</p>", 1), "<[^>]+>", ""))
     stars = F.regexp_replace(F.regexp_extract("b", r"(?is)stargazers[^>]*>.*?</svg>\s*([\d,]+)", 1), ",", "")
-    name = F.substring("path", 2, 10_000)
+    name = F.expr("substring(path, 2)")
     rows = block.select("source_id", path.alias("path"), desc.alias("desc"), stars.alias("stars")).where("path <> ''")
     content = F.concat(
         name,

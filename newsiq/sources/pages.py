@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from newsiq.functions import text as tx
 from newsiq.functions.dates import iso_or_text
-from newsiq.operators.partitions import spread
 
 TEXT_CAP = 12_000
 VISIBLE_CHARS = 80_000
@@ -120,7 +119,7 @@ def outlinks(pages: DataFrame, url_col: str = "url", html_col: str = "html", pat
     Without ``path_regex`` a link must lie below the page's path.
     """
     tags = F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)<a\b[^>]*>"), F.lit(0))
-    rows = spread(pages).select(key, F.col(url_col).alias("_base"), F.explode(tags).alias("_tag"))
+    rows = pages.select(key, F.col(url_col).alias("_base"), F.explode(tags).alias("_tag"))
     rows = rows.withColumn("_href", F.trim(tx.decode_entities(attribute(F.col("_tag"), "href")))).where("_href <> ''")
     rows = rows.withColumn("_url", resolve_url("_base", "_href"))
     pat = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#\s]+)([^?#]*)"
@@ -172,7 +171,7 @@ def published_text(html: Column | str) -> Column:
 
 def published_at(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Add ``published_at``: ISO 8601 where the text is a date, else the text found."""
-    return spread(pages).withColumn("_d", published_text(html_col)).withColumn("published_at", iso_or_text("_d")).drop("_d")
+    return pages.withColumn("_d", published_text(html_col)).withColumn("published_at", iso_or_text("_d")).drop("_d")
 
 
 def articles(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -182,7 +181,7 @@ def articles(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     canonical = _nonempty(F.trim(tx.decode_entities(attribute(rel, "href"))))
     inner = lambda tag: _nonempty(_clean(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1)))
     title = F.coalesce(meta_content(html, "property", "og:title"), meta_content(html, "name", "twitter:title"), inner("h1"), inner("title"), F.lit(""))
-    out = spread(pages).select(
+    out = pages.select(
         "*",
         tx.canonical_url(F.coalesce(canonical, F.col(url_col))).alias("canonical_url"),
         title.alias("title"),

@@ -106,9 +106,8 @@ def brute(rows):
 SCHEMA = "id long, url string, title string, body string, published_at string, trust_tier string, dedupe_priority int"
 
 
-@pytest.mark.parametrize("seed,hot,hot_rows", [(1, 20, 100_000), (2, 200, 50)])
-def test_duplicates_match_brute_force(spark, monkeypatch, seed, hot, hot_rows):
-    monkeypatch.setattr("newsiq.operators.joins.HOT_ROWS", hot_rows)
+@pytest.mark.parametrize("seed,hot", [(1, 20), (2, 200)])
+def test_duplicates_match_brute_force(spark, seed, hot):
     rows = make_items(seed, hot)
     pairs, rank = brute(rows)
     df = spark.createDataFrame(rows, SCHEMA)
@@ -152,10 +151,10 @@ def test_suppress_against_existing(spark):
 
 
 def test_official_wins(spark):
-    body = "OpenAI releases a new model with stronger coding results and benchmark details for developers."
+    body = "The harbour authority of Lindhaven opens the northern quay for ferries and small cargo ships from Monday on."
     rows = [
-        (1, "https://openai.com/news/model-release", "OpenAI releases a new model with stronger coding results", body, "2026-05-28", "official", 100),
-        (2, "https://example.com/openai-model-release", "OpenAI releases new model with stronger coding results", body, "2026-05-28", "secondary", 0),
+        (1, "https://lindhaven.example/notices/quay", "Lindhaven opens the northern quay for ferries and cargo ships", body, "2023-02-11", "official", 100),
+        (2, "https://paper.example/lindhaven-quay", "Lindhaven opens northern quay for ferries and cargo ships", body, "2023-02-11", "secondary", 0),
     ]
     df = spark.createDataFrame(rows, SCHEMA)
     got = dedup.suppress(df.where("id = 2"), df.where("id = 1")).first()
@@ -196,6 +195,7 @@ def test_skew_join_splits_hot_keys(spark):
     big = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), "id")
     small = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     want = sorted(tuple(r) for r in big.join(small, "k").collect())
-    split = skew_join(big, small, "k", hot_rows=500)
-    assert sorted(tuple(r) for r in split.collect()) == want
-    assert "BroadcastHashJoin" in split._jdf.queryExecution().executedPlan().toString()
+    split = skew_join(big, small, "k", salts=4)
+    assert sorted(tuple(r) for r in split.collect()) == want and split.columns == ["k", "id", "v"]
+    parts = big.where("k = 0").select(F.pmod(F.xxhash64("k", "id"), F.lit(4)).alias("p")).groupBy("p").count().collect()
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 500
