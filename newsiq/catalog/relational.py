@@ -373,8 +373,7 @@ def distinct(t):
     ("gold", "candidates"),
 )
 def missing_gold(t):
-    found = t.candidates.groupBy(F.col("retrieval_run_id").alias("case_id")).agg(F.collect_set("article_id").alias("f"))
-    gold = t.gold.where("relevance_grade >= 2").groupBy("case_id").agg(st.ordered_list("article_id", "article_id").alias("g"))
-    out = gold.join(found, "case_id", "left")
-    left = F.array_except("g", F.coalesce("f", F.array().cast("array<bigint>")))
-    return out.select("case_id", left.alias("m")).where(F.size("m") > 0).select("case_id", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("missing"))
+    found = t.candidates.select(F.col("retrieval_run_id").alias("case_id"), "article_id")
+    left = t.gold.where("relevance_grade >= 2").join(found, ["case_id", "article_id"], "left_anti")
+    lists = left.groupBy("case_id").agg(st.ordered_list("article_id", "article_id").alias("m"))
+    return lists.select("case_id", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("missing"))

@@ -116,11 +116,31 @@ def production_chunks(t):
 def nearest_neighbour_join(t):
     from newsiq.operators.knn import knn_join
 
-    # small blocks, so the cell join runs instead of the one-block scan
-    out = knn_join(queries_of(t), t.chunks, 25, id_col="chunk_id", block_queries=8, cell_rows=100)
+    # small blocks, so that every query block meets many corpus blocks
+    out = knn_join(queries_of(t), t.chunks, 25, id_col="chunk_id", block_queries=8, block_rows=100)
     return rounded(out, "query_id", "chunk_id", "rank")
 
 
+def _uuid(column: str) -> str:
+    """A UUID-shaped key made of an integer one, in both dialects."""
+    digest = f"md5(CAST({column} AS VARCHAR(20)))"
+    return "concat(" + ", '-', ".join(f"substr({digest}, {at}, {n})" for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + ")"
+
+
+@query(
+    "joi_13_string_keys",
+    f"""WITH keyed AS (SELECT {_uuid('chunk_id')} AS chunk_id, embedding FROM chunks), {knn_sql('h', 'keyed', 'chunk_id', 25)}
+      SELECT {_uuid('query_id')} AS query_id, chunk_id, rank FROM h""",
+    ("cases", "chunks"),
+)
+def nearest_neighbour_string_keys(t):
+    from newsiq.operators.knn import knn_join
+
+    queries = t.cases.select(F.expr(_uuid("case_id")).alias("query_id"), "query_embedding")
+    chunks = t.chunks.select(F.expr(_uuid("chunk_id")).alias("chunk_id"), "embedding")
+    return rounded(knn_join(queries, chunks, 25, id_col="chunk_id"), "query_id", "chunk_id", "rank")
+
+
 @query("win_3_distance_rank", f"WITH {knn_sql('h', 'chunks', 'chunk_id', 40)} SELECT query_id, chunk_id, rank FROM h", ("cases", "chunks"))
 def distance_rank(t):
     return rounded(rt.dense(queries_of(t), t.chunks, 40, id_col="chunk_id"), "query_id", "chunk_id", "rank")

@@ -1,20 +1,21 @@
 """Exact nearest-neighbour join of a query table against a vector table.
 
-Scores are cosine similarities in double precision.  The corpus is scanned once
-and never shuffled while the queries fit a block: the block travels to the
-tasks, each task multiplies Arrow batches with it and keeps only the best ``k``
-per query, so no pair that cannot win leaves a task.  Larger query tables are
-hashed into blocks and joined cell by cell (query block x corpus block); no
-side passes through the driver then.
+Scores are cosine similarities in double precision.  Both sides are packed
+into blocks of rows where they lie; every corpus block meets every query block
+as one matrix product, and a task keeps only the best ``k`` rows per query, so
+no pair that cannot win leaves a task.  The corpus is never shuffled.  The
+packed queries are the one small side: the adaptive planner sends them to all
+tasks when their measured size is below its broadcast bound, and reads them
+block by block otherwise; the plan is the same for every size and nothing runs
+while it is built.
 
 Scores are ranked after rounding to 9 decimals and ties go to the smaller id,
-which makes the order independent of batch and partition boundaries.
+which makes the order independent of batch and partition boundaries.  Ids may
+be integers or strings.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +24,10 @@ from pyspark.sql import types as T
 
 from newsiq.operators.windows import top_per
 
-BLOCK_QUERIES = 4096
-CELL_ROWS = 200_000
+BLOCK_QUERIES = 1024
+BLOCK_ROWS = 8192
+#: Query blocks whose running best a task holds at a time.
+HELD = 16
 DIGITS = 9
 
 
@@ -40,28 +43,35 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
+def values(array: pa.Array) -> np.ndarray:
+    """An id column as sortable numpy values: integers, or strings by code point."""
+    if pa.types.is_integer(array.type):
+        return array.to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.array(array.to_pylist(), dtype=str)
+
+
 class Best:
     """Running best ``k`` rows per query, ordered by (score desc, id).
 
-    ``extra`` integer columns travel with the ids.
+    ``extra`` columns travel with the ids.
     """
 
     def __init__(self, queries: int, k: int, extra: int = 0):
         self.k = k
-        self.x = np.zeros((0, extra), dtype=np.int64)
+        self.x: list[np.ndarray | None] = [None] * extra
         self.q = np.zeros(0, dtype=np.int64)
         self.s = np.zeros(0)
-        self.i = np.zeros(0, dtype=np.int64)
+        self.i: np.ndarray | None = None
         self.floor = np.full(queries, -np.inf)
 
-    def add(self, ids: np.ndarray, scores: np.ndarray, extra: np.ndarray | None = None) -> None:
-        """``scores`` is (rows, queries), ``extra`` (rows, columns)."""
+    def add(self, ids: np.ndarray, scores: np.ndarray, extra: list[np.ndarray] | None = None) -> None:
+        """``scores`` is (rows, queries); ``extra`` has one value per row and column."""
         n, k = scores.shape[0], self.k
         if n == 0:
             return
         order = np.argsort(ids, kind="stable")
         ids, scores = ids[order], scores[order]
-        extra = np.zeros((n, self.x.shape[1]), dtype=np.int64) if extra is None else extra[order]
+        extra = [e[order] for e in extra or []]
         floor = self.floor
         if n > k:
             floor = np.maximum(floor, np.partition(scores, n - k, axis=0)[n - k])
@@ -77,27 +87,44 @@ class Best:
             rows, cols = rows[keep], cols[keep]
         q = np.concatenate([self.q, cols])
         s = np.concatenate([self.s, scores[rows, cols]])
-        i = np.concatenate([self.i, ids[rows]])
-        x = np.concatenate([self.x, extra[rows]])
+        more = lambda old, new: new if old is None else np.concatenate([old, new])
+        i, x = more(self.i, ids[rows]), [more(old, e[rows]) for old, e in zip(self.x, extra, strict=True)]
         pos = np.lexsort((i, -s, q))
-        q, s, i, x = q[pos], s[pos], i[pos], x[pos]
+        q, s, i, x = q[pos], s[pos], i[pos], [e[pos] for e in x]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
         keep = rank < k
-        self.q, self.s, self.i, self.x = q[keep], s[keep], i[keep], x[keep]
+        self.q, self.s, self.i, self.x = q[keep], s[keep], i[keep], [e[keep] for e in x]
         full = rank[keep] == k - 1
         self.floor[self.q[full]] = self.s[full]
 
 
-def _out_schema(query_key: str, id_col: str, carry: list[str]) -> T.StructType:
-    fields = [T.StructField(query_key, T.LongType()), T.StructField(id_col, T.LongType()), T.StructField("score", T.DoubleType())]
-    return T.StructType(fields + [T.StructField(c, T.LongType()) for c in carry])
-
-
 def batch_of(ids: np.ndarray, best: Best, names: list[str]) -> pa.RecordBatch:
-    columns = [ids[best.q], best.i, best.s, *[best.x[:, j] for j in range(best.x.shape[1])]]
+    columns = [ids[best.q], ids[:0] if best.i is None else best.i, best.s, *[np.zeros(0, np.int64) if x is None else x for x in best.x]]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
+def _key_type(df: DataFrame, column: str) -> T.DataType:
+    """Type under which an id column travels: integers as long, anything else as string."""
+    return T.LongType() if isinstance(df.schema[column].dataType, T.IntegralType) else T.StringType()
+
+
+def _packed(df: DataFrame, keys: list[str], vec: str, rows: int, prefix: str) -> DataFrame:
+    """Blocks of at most ``rows`` rows of a partition: a list per key column, and the unit vectors end to end."""
+    kinds = [_key_type(df, c) for c in keys]
+    taken = df.where(F.col(vec).isNotNull()).select(*[F.col(c).cast(t).alias(f"{prefix}{i}") for i, (c, t) in enumerate(zip(keys, kinds, strict=True))], F.col(vec).alias("vec"))
+    schema = T.StructType([T.StructField(f"{prefix}{i}", T.ArrayType(t)) for i, t in enumerate(kinds)] + [T.StructField(f"{prefix}vec", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                part = batch.slice(lo, rows)
+                lists = [pa.array([part.column(j).to_pylist()], pa.list_(part.column(j).type)) for j in range(len(keys))]
+                flat = _matrix(part.column(len(keys))).ravel()
+                yield pa.RecordBatch.from_arrays([*lists, pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))], names=schema.names)
+
+    return taken.mapInArrow(run, schema)
+
+
 def knn_join(
     queries: DataFrame,
     corpus: DataFrame,
@@ -107,79 +134,50 @@ def knn_join(
     id_col: str = "id",
     vec: str = "embedding",
     block_queries: int = BLOCK_QUERIES,
-    cell_rows: int = CELL_ROWS,
+    block_rows: int = BLOCK_ROWS,
     carry: list[str] | None = None,
 ) -> DataFrame:
     """(query, id, score, rank) of the ``k`` most similar corpus rows of every query.
 
-    Query keys, corpus ids and ``carry`` columns are integers; the latter come
-    along with the winners, which saves a join back to the corpus.  Vectors may
-    be NULL and are skipped then.  ``k`` is at least 1.
+    Query keys, corpus ids and ``carry`` columns are integers or strings; the
+    latter come along with the winners, which saves a join back to the corpus.
+    Vectors may be NULL and are skipped then.  ``k`` is at least 1.
     """
     k, carry = max(int(k), 1), carry or []
-    long = lambda c: F.col(c).cast("long").alias(c)
-    q = queries.where(F.col(query_vec).isNotNull()).select(long(query_key), query_vec)
-    c = corpus.where(F.col(vec).isNotNull()).select(long(id_col), vec, *[long(x) for x in carry])
-    schema = _out_schema(query_key, id_col, carry)
-    head = q.limit(block_queries + 1).collect()
-    if not head:
-        best = q.sparkSession.createDataFrame([], schema)
-    elif len(head) <= block_queries:
-        best = _one_block(head, c, k, schema)
-    else:
-        best = _cells(q, c, k, schema, block_queries, cell_rows)
-    order = [F.col("score").desc(), F.col(id_col)]
-    return top_per(best, [query_key], order, k, "rank")
+    # the exchange lets the adaptive planner see the size of the packed queries
+    q = _packed(queries, [query_key], query_vec, block_queries, "_q").repartition(8)
+    c = _packed(corpus, [id_col, *carry], vec, block_rows, "_c")
+    fields = [T.StructField(query_key, _key_type(queries, query_key)), T.StructField(id_col, _key_type(corpus, id_col)), T.StructField("score", T.DoubleType())]
+    schema = T.StructType(fields + [T.StructField(x, _key_type(corpus, x)) for x in carry])
+    kinds = [pa.int64() if isinstance(f.dataType, T.LongType) else pa.float64() if isinstance(f.dataType, T.DoubleType) else pa.string() for f in schema]
+    names, width = schema.names, len(carry)
 
+    def scan(batches):
+        held: dict[tuple, tuple[np.ndarray, np.ndarray, Best]] = {}
 
-def _one_block(head: list, corpus: DataFrame, k: int, schema: T.StructType) -> DataFrame:
-    """At most one block of queries: sent to the tasks, corpus scanned in place."""
-    keys = np.array([r[0] for r in head], dtype=np.int64)
-    matrix = np.array([r[1] for r in head], dtype=np.float64)
-    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-    matrix = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
-    shared = corpus.sparkSession.sparkContext.broadcast((keys, matrix.T.copy()))
-    names = [f.name for f in schema.fields]
+        def out(keys: np.ndarray, best: Best) -> pa.RecordBatch:
+            found = batch_of(keys, best, names)
+            return pa.RecordBatch.from_arrays([found.column(j).cast(t) for j, t in enumerate(kinds)], names=names)
 
-    def scan(batches):
-        ids, block = shared.value
-        best = Best(len(ids), k, len(names) - 3)
         for batch in batches:
-            rows = _matrix(batch.column(1))
-            if len(rows):
-                extra = [batch.column(j).to_numpy(zero_copy_only=False) for j in range(2, batch.num_columns)]
-                extra = np.stack(extra, axis=1) if extra else None
-                best.add(batch.column(0).to_numpy(zero_copy_only=False), np.round(rows @ block, DIGITS), extra)
-        if len(best.q):
-            yield batch_of(ids, best, names)
-
-    return corpus.mapInArrow(scan, schema)
-
-
-def _cells(queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructType, block: int, cell: int) -> DataFrame:
-    """Query blocks x corpus blocks; every cell holds a bounded part of both sides."""
-    qkey, qvec = queries.columns
-    ckey, cvec, *carry = corpus.columns
-    q_blocks = math.ceil(queries.count() / block)
-    c_blocks = max(1, math.ceil(corpus.count() / cell))
-    q = queries.withColumn("_qb", F.pmod(F.xxhash64(qkey), F.lit(q_blocks)))
-    q = q.withColumn("_cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))))
-    c = corpus.withColumn("_cb", F.pmod(F.xxhash64(ckey), F.lit(c_blocks)))
-    c = c.withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
-    names = [f.name for f in schema.fields]
-    arrow_types = [pa.int64(), pa.int64(), pa.float64()] + [pa.int64()] * len(carry)
-
-    def cell_join(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
-            return pa.table({n: pa.array([], t) for n, t in zip(names, arrow_types)})
-        ids = left.column(qkey).to_numpy()
-        block_t = _matrix(left.column(qvec)).T
-        best = Best(len(ids), k, len(carry))
-        rows, row_ids = _matrix(right.column(cvec)), right.column(ckey).to_numpy()
-        extra = np.stack([right.column(c).to_numpy() for c in carry], axis=1) if carry else np.zeros((len(rows), 0), dtype=np.int64)
-        for lo in range(0, len(rows), 10_000):
-            hi = lo + 10_000
-            best.add(row_ids[lo:hi], np.round(rows[lo:hi] @ block_t, DIGITS), extra[lo:hi])
-        return pa.Table.from_batches([batch_of(ids, best, names)])
-
-    return q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb")).applyInArrow(cell_join, schema)
+            for r in range(batch.num_rows):
+                cells = [batch.column(j)[r].values for j in range(batch.num_columns)]
+                ids, extra, rows, keys = values(cells[0]), [values(x) for x in cells[1 : 1 + width]], cells[1 + width], cells[2 + width]
+                block = (len(keys), keys[0].as_py(), keys[-1].as_py())
+                if block not in held:
+                    if len(held) >= HELD:
+                        _, (old, _, best) = held.popitem()
+                        yield out(old, best)
+                    matrix = cells[3 + width].to_numpy().reshape(len(keys), -1).T
+                    held[block] = (values(keys), matrix, Best(len(keys), k, width))
+                _, matrix, best = held[block]
+                vectors = rows.to_numpy().reshape(len(ids), -1)
+                for lo in range(0, len(ids), 1024):
+                    best.add(ids[lo : lo + 1024], np.round(vectors[lo : lo + 1024] @ matrix, DIGITS), [x[lo : lo + 1024] for x in extra])
+        for keys, _, best in held.values():
+            if len(best.q):
+                yield out(keys, best)
+
+    best = c.crossJoin(q).mapInArrow(scan, schema)
+    order = [F.col("score").desc(), F.col(id_col)]
+    return top_per(best, [query_key], order, k, "rank")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsiq.functions import text as tx
-from newsiq.operators.knn import Best, batch_of
+from newsiq.operators.knn import Best, batch_of, values
 
 try:
     import ahocorasick
@@ -138,7 +138,7 @@ def scan_best(texts: DataFrame, terms: DataFrame, id_col: str, weights: dict[str
         postings[number[r.term]].append(at[r.query_id])
     fields = list(weights)
     lowered = [F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in fields]
-    base = texts.select(F.col(id_col).cast("long").alias(id_col), *lowered)
+    base = texts.select(id_col, *lowered)
     shared = base.sparkSession.sparkContext.broadcast((query_ids, words, postings))
     names = ["query_id", id_col, "score"]
 
@@ -159,12 +159,13 @@ def scan_best(texts: DataFrame, terms: DataFrame, id_col: str, weights: dict[str
                         for i, score in zip(found, matcher.scores(texts, found)):
                             sums[r, postings[i]] += score
                 sums = np.round(sums, digits)
-                best.add(batch.column(0).to_numpy(), np.where(sums > 0, sums, -np.inf))
-        ids = np.array(query_ids, dtype=np.int64)
+                best.add(values(batch.column(0)), np.where(sums > 0, sums, -np.inf))
+        ids = np.array(query_ids)
         out = batch_of(ids, best, names)
         yield out.filter(pa.compute.greater(out.column(2), 0.0))
 
-    return base.mapInArrow(run, f"query_id long, {id_col} long, score double")
+    schema = T.StructType([terms.schema["query_id"], texts.schema[id_col], T.StructField("score", T.DoubleType())])
+    return base.mapInArrow(run, schema)
 
 
 def _jaccard(a: set[str], b: set[str]) -> float:

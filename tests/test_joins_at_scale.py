@@ -30,10 +30,26 @@ def test_knn_with_a_third_of_equal_vectors(spark, block):
     queries = [(i, rng.normal(size=8)) for i in range(9)] + [(9, same)]
     c = spark.createDataFrame([(i, v.tolist()) for i, v in corpus] + [(5000, None)], "id long, embedding array<double>").repartition(7)
     q = spark.createDataFrame([(i, v.tolist()) for i, v in queries], "query_id long, query_embedding array<double>")
-    got = {(r.query_id, r.id, r["rank"]) for r in knn_join(q, c, 12, block_queries=block, cell_rows=90).collect()}
+    got = {(r.query_id, r.id, r["rank"]) for r in knn_join(q, c, 12, block_queries=block, block_rows=90).collect()}
     assert got == knn_brute(queries, corpus, 12)
 
 
+def test_knn_with_string_keys_and_no_job_while_planning(spark):
+    rng = np.random.default_rng(2)
+    name = lambda i: f"{i * 7919 % 1000:08x}-aaaa"
+    corpus, queries = [(name(i), rng.normal(size=4)) for i in range(300)], [(f"q-{i}", rng.normal(size=4)) for i in range(5)]
+    c = spark.createDataFrame([(i, v.tolist(), "a" + i, 7) for i, v in corpus], "id string, embedding array<double>, article string, n int").repartition(4)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in queries], "query_id string, query_embedding array<double>")
+    tracker, group = spark.sparkContext.statusTracker(), "planning only"
+    spark.sparkContext.setJobGroup(group, group)
+    found = knn_join(q, c, 6, carry=["article", "n"])
+    assert tracker.getJobIdsForGroup(group) == []
+    spark.sparkContext.setJobGroup("run", "run")
+    rows = found.collect()
+    assert {(r.query_id, r.id, r["rank"]) for r in rows} == knn_brute(queries, corpus, 6)
+    assert all(r.article == "a" + r.id and r.n == 7 for r in rows)
+
+
 def test_knn_edges(spark):
     c = spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<double>")
     q = spark.createDataFrame([(1, [0.0, 1.0])], "query_id long, query_embedding array<double>")
