@@ -211,7 +211,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
     links = cut(_confirmed(cut(_likely(first, reps)), texts))
     edges = same.unionByName(links)
-    placed = posts.join(components(edges), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    groups = components(edges)
+    placed = posts.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k")).where("k > 1")
     open_keys = cut(placed.join(main.select("key", "main"), "key").select("key", "id", "component", "main"))
@@ -220,7 +221,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = few.join(rest, "key").where("c <> d").select("a", "b")
     second = _ordered(pairs).join(first, ["a", "b"], "left_anti")
     more = cut(_confirmed(cut(_likely(second, reps)), texts))
-    final = components(edges.unionByName(more))
+    final = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     out = sig.select("id", "n_shingles").join(final, "id", "left")
     component = F.coalesce("component", "id")
     kept = F.coalesce(component == F.col("id"), F.lit(True))
