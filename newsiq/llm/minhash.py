@@ -21,6 +21,8 @@ WORDS, PERCENT = 5, 75
 BAND_MISS, ROWS = 1e-4, 6
 #: Chance per step that a pair at or above the threshold is pruned, and hashes of a step.
 PRUNE_MISS, STEP = 1e-6, 32
+#: Members of a bucket that one task compares with the whole bucket.
+CHUNK = 1024
 
 # Words are runs of bytes other than space and 0x09 to 0x0D; A-Z are lower-cased.
 _WORD = np.ones(256, bool)
@@ -169,6 +171,90 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "s", "t").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
+class _Bucket:
+    """Members of one band bucket that a task compares with the whole bucket as it streams by; its own come first."""
+
+    def __init__(self, key: tuple, steps: list[tuple[int, int]]):
+        self.key, self.steps, self.parts, self.closed = key, steps, [], False
+
+    def add(self, ids: np.ndarray, groups: np.ndarray, signatures: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n = int(own.sum())
+        if n:
+            self.parts.append((ids[:n], groups[:n], signatures[:n]))
+        if n < len(ids):
+            yield from self.close()
+            if self.parts:
+                for a, b in self.pairs(ids[n:], groups[n:], signatures[n:]):
+                    yield a[a < b], b[a < b]  # the other direction is found in the other one's chunk
+
+    def close(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Compare the chunk's own members with each other, once all are there."""
+        if not self.closed and self.parts:
+            self.parts = [tuple(np.concatenate(x) for x in zip(*self.parts, strict=True))]
+            for a, b in self.pairs(*self.parts[0]):
+                yield a[a < b], b[a < b]
+        self.closed = True
+
+    def pairs(self, ids: np.ndarray, groups: np.ndarray, signatures: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(own, other) of different components that no step prunes."""
+        mine, my_groups, my_signatures = self.parts[0]
+        width = max(1, (1 << 25) // (STEP * len(mine)))
+        for lo in range(0, len(ids), width):
+            part = signatures[lo : lo + width]
+            (n, least), *later = self.steps
+            equal = (my_signatures[:, None, :n] == part[None, :, :n]).sum(2)
+            i, j = np.nonzero((equal >= least) & (my_groups[:, None] != groups[None, lo : lo + width]))
+            equal, done = equal[i, j], n
+            for n, least in later:
+                equal = equal + (my_signatures[i, done:n] == part[j, done:n]).sum(1)
+                stay, done = equal >= least, n
+                i, j, equal = i[stay], j[stay], equal[stay]
+            if len(i):
+                yield mine[i], ids[lo + j]
+
+
+def _across(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """Likely pairs (a, b) of members (key, id, component) of one bucket in different components.
+
+    A bucket is compared in chunks of ``CHUNK`` own members against the whole
+    bucket streaming by; only pairs that pass all steps leave the task.
+    """
+    kind, steps = reps.schema["id"].dataType, least_matches(bands() * ROWS)
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    rows = members.join(sizes, "key").join(reps, "id")
+    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("own", F.col("chunk") == own)
+    rows = rows.select("key", "chunk", "own", "id", "component", "signature")
+    dealt = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", F.col("own").desc())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = None
+
+        def made(found) -> Iterator[pa.RecordBatch]:
+            for a, b in found:
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a.tolist(), id_type), pa.array(b.tolist(), id_type)], names=["a", "b"])
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(at, CHUNK)
+                id_type = batch.column(3).type
+                key, chunk = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                own, ids, groups = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4))
+                signatures = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+                cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(chunk) != 0)) + 1
+                for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                    if bucket is not None and bucket.key != (key[lo], chunk[lo]):
+                        yield from made(bucket.close())
+                        bucket = None
+                    bucket = bucket or _Bucket((key[lo], chunk[lo]), steps)
+                    yield from made(bucket.add(ids[lo:hi], groups[lo:hi], signatures[lo:hi], own[lo:hi]))
+        if bucket is not None:
+            yield from made(bucket.close())
+
+    return dealt.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
@@ -183,12 +269,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows with equal sets are one class, whose smallest id stands for it.
     Classes that share a band are candidates.  First every class meets the
-    smallest class of each of its bands; then, in bands that still hold
-    several components, the members outside the band's largest component meet
-    the members of the other components.  So a large group of copies costs one
-    pair per copy, and every candidate pair that could still join two
-    components is looked at.  Candidates pass the sequential test on
-    signatures and then the exact one on full sets.  A link at the threshold
+    smallest class of each of its bands; then the members of bands that still
+    hold several components meet the members of the other components, block by
+    block inside the tasks.  So a large group of copies costs one pair per
+    copy, and every candidate pair that could still join two components is
+    looked at.  Candidates pass the sequential test on signatures and then the
+    exact one on full sets; only pairs that pass the first leave a task.  A link at the threshold
     is missed with chance ``BAND_MISS`` plus ``PRUNE_MISS`` per step at most.
 
     Texts without words, and null texts, have an empty set and are linked with
@@ -199,28 +285,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sig = cut(signatures(df, id_col, text_col))
     full = sig.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
     key = ["n_shingles", "print_1", "print_2"]
-    classes = full.groupBy(*key).agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").drop("last")
-    copies = cut(full.select("id", *key).join(classes, key).where("id <> rep"))
-    same = copies.select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    reps = full.join(copies.select("id", *key), ["id", *key], "left_anti")
-    posts = reps.select("id", F.explode("band_keys").alias("key"))
+    one = full.groupBy(*key).agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.first("band_keys").alias("band_keys"))
+    copied = one.where("rep < last").select("rep", *key)
+    same = cut(full.select("id", *key).join(copied, key).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    posts = one.select(F.col("rep").alias("id"), F.explode("band_keys").alias("key"))
     heads = posts.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").drop("last")
     posts = cut(posts.join(cut(heads), "key").distinct())
-    reps = cut(reps.join(posts.select("id").distinct(), "id", "left_semi").select("id", "signature"))
+    reps = cut(full.join(cut(posts.select("id").distinct()), "id", "left_semi").select("id", "signature").distinct())
     first = cut(_ordered(posts.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))))
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
     links = cut(_confirmed(cut(_likely(first, reps)), texts))
     edges = same.unionByName(links)
     groups = components(edges)
     placed = posts.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    open_keys = cut(placed.join(main.select("key", "main"), "key").select("key", "id", "component", "main"))
-    few = open_keys.where("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("c"))
-    rest = open_keys.select("key", F.col("id").alias("b"), F.col("component").alias("d"))
-    pairs = few.join(rest, "key").where("c <> d").select("a", "b")
-    second = _ordered(pairs).join(first, ["a", "b"], "left_anti")
-    more = cut(_confirmed(cut(_likely(second, reps)), texts))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    open_keys = cut(placed.join(cut(mixed), "key", "left_semi").select("key", "id", "component"))
+    second = _across(open_keys, reps).distinct().join(first, ["a", "b"], "left_anti")
+    more = cut(_confirmed(cut(second), texts))
     final = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     out = sig.select("id", "n_shingles").join(final, "id", "left")
     component = F.coalesce("component", "id")

@@ -64,7 +64,9 @@ def corpus():
     return texts
 
 
-def test_components_against_all_pairs(spark):
+@pytest.mark.parametrize("chunk", [1024, 5])
+def test_components_against_all_pairs(spark, monkeypatch, chunk):
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
     texts = corpus()
     sets = [shingle_set(t) for t in texts]
     links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
