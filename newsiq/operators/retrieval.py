@@ -17,7 +17,7 @@ from newsiq.functions import text as tx
 from newsiq.functions.stats import ordered_list
 from newsiq.operators import questions as qs
 from newsiq.operators.knn import knn_join
-from newsiq.operators.substrings import scan_best, term_matches
+from newsiq.operators.substrings import best_matches
 from newsiq.operators.windows import latest_per, ranked, top_per
 
 TITLE_FIELDS = ("title", "title_en", "title_zh")
@@ -89,11 +89,7 @@ def lexical(queries: DataFrame, articles: DataFrame, k: int, id_col: str = "arti
     terms = terms.dropDuplicates(["query_id", "term"])
     k = max(k, 1)
     weights = {f: 4.0 for f in TITLE_FIELDS} | {f: 2.0 for f in SUMMARY_FIELDS}
-    best = scan_best(articles, terms, id_col, weights, k, RANK_DIGITS)
-    if best is None:
-        scored = term_matches(articles, terms.select("term").distinct(), id_col, list(weights), weights)
-        summed = terms.join(scored, "term").groupBy("query_id", id_col)
-        best = summed.agg(F.round(F.sum("score"), RANK_DIGITS).alias("score")).where(F.col("score") > 0)
+    best = best_matches(articles, terms, id_col, weights, k, RANK_DIGITS)
     return top_per(best, ["query_id"], [F.col("score").desc(), F.col(id_col)], k, "rank")
 
 

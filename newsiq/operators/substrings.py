@@ -1,61 +1,57 @@
 """Join of a term table with a text table on "the text contains the term".
 
-Two exact ways, chosen by the number of distinct terms:
-
-* a bounded term table is sent to the tasks as one search automaton and every
-  text is read once, whatever the number of terms;
-* beyond the bound, each term is joined through one of its own substrings, the
-  rarest in the corpus, and confirmed with ``contains``.  This is an equi-join;
-  neither side is collected.
-
-Neither way pairs texts with terms they do not contain, beyond the candidates
-of the second one.
+Exact, with one lazy plan for every size: texts are packed into blocks of rows
+where they lie, terms into blocks behind an exchange, and every text block
+meets every term block, which is one search automaton.  A text is read once
+per term block, whatever the number of terms in it.  The adaptive planner sends
+the term blocks to all tasks when their measured size is below its broadcast
+bound and reads them one by one otherwise; the texts are never shuffled.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsiq.functions import text as tx
 from newsiq.operators.knn import Best, batch_of, values
 
-try:
-    import ahocorasick
-except ImportError:  # the join below needs nothing but Spark
-    ahocorasick = None
+BLOCK_TERMS, BLOCK_QUERIES, BLOCK_ROWS = 50_000, 1024, 512
+#: Term blocks whose automata a task holds at a time.
+HELD = 8
 
-MAX_SCAN_TERMS = 200_000
-MAX_SCAN_QUERIES = 4096
-SCAN_ROWS = 1000
 
+def _text_blocks(texts: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """Rows of a partition packed as lists (_id, field0, field1, ...), fields in lower case."""
+    schema = T.StructType([T.StructField("_id", T.ArrayType(texts.schema[id_col].dataType))] + [T.StructField(f"_f{i}", T.ArrayType(T.StringType())) for i in range(len(fields))])
 
-def term_matches(
-    texts: DataFrame,
-    terms: DataFrame,
-    id_col: str,
-    fields: list[str],
-    weights: dict[str, float] | None = None,
-    max_scan_terms: int = MAX_SCAN_TERMS,
-) -> DataFrame:
-    """(id, term) for every text with a field containing the term, ignoring case.
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(lo, BLOCK_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array([c.to_pylist()], pa.list_(c.type)) for c in part.columns], names=schema.names)
 
-    ``terms`` has one distinct lower-case ``term`` per row.  With ``weights``
-    also ``score``: the greatest weighted trigram similarity of term and field.
-    """
-    lowered = [F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in fields]
-    base = texts.select(id_col, *lowered)
-    head = terms.limit(max_scan_terms + 1).collect() if ahocorasick else None
-    if head is not None and len(head) <= max_scan_terms:
-        return _scan(base, [r[0] for r in head], id_col, fields, weights)
-    return _gram_join(base, terms, id_col, fields, weights)
+    lowered = [F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f"_f{i}") for i, c in enumerate(fields)]
+    return texts.select(F.col(id_col).alias("_id"), *lowered).mapInArrow(run, schema)
+
+
+def _term_blocks(terms: DataFrame, rows: int) -> DataFrame:
+    """Rows of a shuffled term table packed as lists, one column for each of its columns."""
+    schema = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in terms.schema])
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                part = batch.slice(lo, rows)
+                yield pa.RecordBatch.from_arrays([pa.array([c.to_pylist()], pa.list_(c.type)) for c in part.columns], names=schema.names)
+
+    return terms.mapInArrow(run, schema)
 
 
 def _word_grams(text: str) -> set[str]:
@@ -66,33 +62,6 @@ def _word_grams(text: str) -> set[str]:
     return grams
 
 
-def _scan(base: DataFrame, terms: list[str], id_col: str, fields: list[str], weights: dict[str, float] | None) -> DataFrame:
-    shared = base.sparkSession.sparkContext.broadcast(terms)
-    out = [T.StructField(id_col, base.schema[id_col].dataType), T.StructField("term", T.StringType())]
-    if weights:
-        out.append(T.StructField("score", T.DoubleType()))
-    names = [f.name for f in out]
-
-    def run(batches):
-        words = shared.value
-        matcher = _Matcher(words, fields, weights)
-        for batch in batches if words else ():
-            rows, hits, scores = [], [], []
-            for r, texts in enumerate(zip(*[batch.column(i + 1).to_pylist() for i in range(len(fields))])):
-                found = matcher.found(texts)
-                rows.extend([r] * len(found))
-                hits.extend(found)
-                if weights and found:
-                    scores.extend(matcher.scores(texts, found))
-            if rows:
-                arrays = [batch.column(0).take(pa.array(rows)), pa.array([words[i] for i in hits])]
-                if weights:
-                    arrays.append(pa.array(scores, pa.float64()))
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    return base.mapInArrow(run, T.StructType(out))
-
-
 class _Matcher:
     """Terms found in the fields of one row, and their similarities."""
 
@@ -119,88 +88,102 @@ class _Matcher:
         return [max(w * _jaccard(self.grams[i], g) for w, g in sides) for i in found]
 
 
-def scan_best(texts: DataFrame, terms: DataFrame, id_col: str, weights: dict[str, float], k: int, digits: int) -> DataFrame | None:
+def _held(held: dict, key: tuple, make):
+    """The entry of ``key``, made when it is new, and the entry that had to go for it, if any."""
+    gone = None
+    if key not in held:
+        if len(held) >= HELD:
+            gone = held.pop(next(iter(held)))
+        held[key] = make()
+    return held[key], gone
+
+
+def term_matches(
+    texts: DataFrame, terms: DataFrame, id_col: str, fields: list[str], weights: dict[str, float] | None = None, block_terms: int = BLOCK_TERMS
+) -> DataFrame:
+    """(id, term) for every text with a field containing the term, ignoring case.
+
+    ``terms`` has one distinct lower-case ``term`` per row.  With ``weights``
+    also ``score``: the greatest weighted trigram similarity of term and field.
+    """
+    blocks = _term_blocks(terms.select("term").distinct(), block_terms)
+    schema = T.StructType([texts.schema[id_col], T.StructField("term", T.StringType())])
+    if weights:
+        schema = schema.add("score", T.DoubleType())
+
+    def run(batches):
+        held: dict = {}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                words = batch.column(batch.num_columns - 1)[r].as_py()
+                matcher, _ = _held(held, (len(words), words[0], words[-1]), lambda: _Matcher(words, fields, weights))  # noqa: B023
+                rows, hits, scores = [], [], []
+                for n, row in enumerate(zip(*[batch.column(1 + f)[r].as_py() for f in range(len(fields))], strict=True)):
+                    found = matcher.found(row)
+                    rows.extend([n] * len(found))
+                    hits.extend(found)
+                    if weights and found:
+                        scores.extend(matcher.scores(row, found))
+                if rows:
+                    arrays = [batch.column(0)[r].values.take(pa.array(rows)), pa.array([words[i] for i in hits])]
+                    yield pa.RecordBatch.from_arrays(arrays + ([pa.array(scores, pa.float64())] if weights else []), names=schema.names)
+
+    return _text_blocks(texts, id_col, fields).crossJoin(blocks).mapInArrow(run, schema)
+
+
+def best_matches(texts: DataFrame, terms: DataFrame, id_col: str, weights: dict[str, float], k: int, digits: int, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, id, score): summed term scores, at most ``k`` rows per query and task.
 
-    A text is complete in its task, so its sums are final there and only a
-    task's best rows leave it.  None when (query_id, term) is above the bounds.
+    A query's terms are in one block and a text is complete in its row, so a
+    sum is final where it is taken, and only a task's best rows leave it.
     """
-    if ahocorasick is None:
-        return None
-    rows = terms.limit(MAX_SCAN_TERMS + 1).collect()
-    query_ids = sorted({r.query_id for r in rows})
-    if len(rows) > MAX_SCAN_TERMS or len(query_ids) > MAX_SCAN_QUERIES:
-        return None
-    words = sorted({r.term for r in rows})
-    number, at = {w: i for i, w in enumerate(words)}, {q: i for i, q in enumerate(query_ids)}
-    postings: list[list[int]] = [[] for _ in words]
-    for r in rows:
-        postings[number[r.term]].append(at[r.query_id])
     fields = list(weights)
-    lowered = [F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in fields]
-    base = texts.select(id_col, *lowered)
-    shared = base.sparkSession.sparkContext.broadcast((query_ids, words, postings))
-    names = ["query_id", id_col, "score"]
+    grouped = terms.groupBy("query_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))  # the terms of one question
+    blocks = _term_blocks(grouped, block_queries)
+    schema = T.StructType([terms.schema["query_id"], texts.schema[id_col], T.StructField("score", T.DoubleType())])
 
     def run(batches):
-        query_ids, words, postings = shared.value
-        if not words:
-            return
-        matcher, n = _Matcher(words, fields, weights), len(query_ids)
-        postings = [np.array(p) for p in postings]
-        best = Best(n, k)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, SCAN_ROWS):
-                batch = whole.slice(lo, SCAN_ROWS)
-                sums = np.zeros((batch.num_rows, n))
-                for r, texts in enumerate(zip(*[batch.column(i + 1).to_pylist() for i in range(len(fields))])):
-                    found = matcher.found(texts)
+        held: dict = {}
+        width = len(fields)
+
+        def made(query_ids, lists):
+            words = sorted({w for terms in lists for w in terms})
+            number = {w: i for i, w in enumerate(words)}
+            postings = [[] for _ in words]
+            for at, terms_of in enumerate(lists):
+                for w in terms_of:
+                    postings[number[w]].append(at)
+            return values(query_ids), _Matcher(words, fields, weights), [np.array(p) for p in postings], Best(len(lists), k)
+
+        def out(entry):
+            found = batch_of(entry[0], entry[3], schema.names)
+            return found.filter(pa.compute.greater(found.column(2), 0.0))
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                query_ids, lists = batch.column(1 + width)[r].values, batch.column(2 + width)[r]
+                key = (len(query_ids), query_ids[0].as_py(), query_ids[-1].as_py())
+                entry, gone = _held(held, key, lambda: made(query_ids, lists.as_py()))  # noqa: B023
+                if gone is not None and len(gone[3].q):
+                    yield out(gone)
+                _, matcher, postings, best = entry
+                ids, texts_of = values(batch.column(0)[r].values), [batch.column(1 + f)[r].as_py() for f in range(width)]
+                sums = np.zeros((len(ids), len(query_ids)))
+                for n, row in enumerate(zip(*texts_of, strict=True)):
+                    found = matcher.found(row)
                     if found:
-                        for i, score in zip(found, matcher.scores(texts, found)):
-                            sums[r, postings[i]] += score
+                        for i, score in zip(found, matcher.scores(row, found), strict=True):
+                            sums[n, postings[i]] += score
                 sums = np.round(sums, digits)
-                best.add(values(batch.column(0)), np.where(sums > 0, sums, -np.inf))
-        ids = np.array(query_ids)
-        out = batch_of(ids, best, names)
-        yield out.filter(pa.compute.greater(out.column(2), 0.0))
+                best.add(ids, np.where(sums > 0, sums, -np.inf))
+        for entry in held.values():
+            if len(entry[3].q):
+                yield out(entry)
 
-    schema = T.StructType([terms.schema["query_id"], texts.schema[id_col], T.StructField("score", T.DoubleType())])
-    return base.mapInArrow(run, schema)
+    return _text_blocks(texts, id_col, fields).crossJoin(blocks).mapInArrow(run, schema)
 
 
 def _jaccard(a: set[str], b: set[str]) -> float:
     shared = len(a & b)
     total = len(a) + len(b) - shared
     return shared / total if total else 0.0
-
-
-def substrings(x: Column) -> Column:
-    """Distinct 2- and 3-character substrings."""
-    def windows(chars: Column) -> Column:
-        at = lambda i, n: F.get(chars, i + n)
-        two = F.transform(chars, lambda c, i: F.concat(c, at(i, 1)))
-        three = F.transform(chars, lambda c, i: F.concat(c, at(i, 1), at(i, 2)))
-        return F.array_compact(F.concat(two, three))
-
-    return F.array_distinct(tx.let(F.split(x, ""), windows))
-
-
-def _gram_join(base: DataFrame, terms: DataFrame, id_col: str, fields: list[str], weights: dict[str, float] | None) -> DataFrame:
-    grams = terms.select("term", F.explode(substrings(F.col("term"))).alias("gram"))
-    grams = grams.where(F.length("gram") == F.least(F.lit(3), F.length("term")))
-    doc = base.select(id_col, F.explode(substrings(F.concat_ws("\u0001", *fields))).alias("gram"))
-    df_count = doc.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
-    # rarest substring per term; one missing from the corpus rules the term out
-    keyed = grams.join(df_count, "gram", "left").groupBy("term").agg(
-        F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("gram"))).alias("key")
-    )
-    keyed = keyed.where(F.col("key.df") > 0).select("term", F.col("key.gram").alias("gram"))
-    # only (id, term) travels to the texts, each pair once
-    ids = doc.join(keyed, "gram").select(id_col, "term")
-    hit = reduce(lambda a, b: a | b, [F.contains(F.col(c), F.col("term")) for c in fields])
-    if not weights:
-        return ids.join(base, id_col).where(hit).select(id_col, "term")
-    arrays = base.select("*", *[tx.trigrams(c).alias(f"_g_{c}") for c in fields])
-    pairs = ids.join(arrays, id_col).where(hit)
-    score = F.greatest(*[tx.set_similarity(F.col(f"_g_{c}"), tx.trigrams("term")) * weights[c] for c in fields])
-    return pairs.select(id_col, "term", score.alias("score"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from newsiq.operators import dedup
 from newsiq.operators.knn import knn_join
-from newsiq.operators.substrings import term_matches
+from newsiq.operators.substrings import best_matches, term_matches
 
 
 def knn_brute(q, c, k):
@@ -57,19 +57,25 @@ def test_knn_edges(spark):
     assert knn_join(q.limit(0), c, 3).count() == 0 and knn_join(q, c.limit(0), 3).count() == 0
 
 
-@pytest.mark.parametrize("bound", [200_000, 0])
-def test_substring_join_both_ways(spark, bound):
+@pytest.mark.parametrize("block", [50_000, 2])
+def test_substring_join_in_blocks(spark, block):
     rnd = random.Random(3)
     words = ["ab", "abc", "bcd", "the", "xyz", "zz top", "q"]
-    texts = [(i, " ".join(rnd.choice(words) for _ in range(6)).upper(), rnd.choice(words + [None])) for i in range(200)]
+    texts = [(f"id-{i}", " ".join(rnd.choice(words) for _ in range(6)).upper(), rnd.choice(words + [None])) for i in range(200)]
     terms = ["ab", "bc", "the", "zz", "top x", "nope", "xyz the"]
-    t = spark.createDataFrame(texts, "id long, a string, b string")
+    t = spark.createDataFrame(texts, "id string, a string, b string")
     w = spark.createDataFrame([(x,) for x in terms], "term string")
-    got = {(r.id, r.term): r.score for r in term_matches(t, w, "id", ["a", "b"], {"a": 4.0, "b": 2.0}, max_scan_terms=bound).collect()}
+    weights = {"a": 4.0, "b": 2.0}
+    got = {(r.id, r.term): r.score for r in term_matches(t, w, "id", ["a", "b"], weights, block_terms=block).collect()}
     assert set(got) == {(i, x) for i, a, b in texts for x in terms if x in a.lower() or x in (b or "").lower()}
-    if bound == 0:
-        other = {(r.id, r.term): r.score for r in term_matches(t, w, "id", ["a", "b"], {"a": 4.0, "b": 2.0}).collect()}
-        assert all(abs(other[k] - v) < 1e-12 for k, v in got.items())
+    queries = [("q1", "ab"), ("q1", "the"), ("q2", "zz"), ("q3", "nope")]
+    best = best_matches(t, spark.createDataFrame(queries, "query_id string, term string"), "id", weights, 500, 9, block_queries=block).collect()
+    want = {}
+    for q, x in queries:
+        for (i, term), score in got.items():
+            if term == x:
+                want[(q, i)] = want.get((q, i), 0.0) + score
+    assert {(r.query_id, r.id): r.score for r in best} == {key: round(v, 9) for key, v in want.items() if round(v, 9) > 0}
 
 
 def make_items(seed, hot):
