@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +11,6 @@ from newsiq.functions import text as tx
 from newsiq.operators import mining
 from newsiq.operators import retrieval as rt
 from newsiq.operators.sinks import upsert
-from newsiq.operators.substrings import term_matches
 from newsiq.operators.windows import latest_per, top_per
 from newsiq.plans.metrics import is_hard_negative
 
@@ -111,11 +109,8 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda w: F.length(w) >= 3))
 
 
-MAX_CASES, MAX_PAIRS = 4096, 1_000_000
-
-
 def hard_negatives(
-    cases: DataFrame, gold: DataFrame, news: DataFrame, retrieved: DataFrame, n: int = 10, max_cases: int = MAX_CASES
+    cases: DataFrame, gold: DataFrame, news: DataFrame, retrieved: DataFrame, n: int = 10
 ) -> DataFrame:
     """Up to ``n`` proposals of distracting articles per case.
 
@@ -125,12 +120,12 @@ def hard_negatives(
     shares a word with the question or the evidence, or an entity tag of the
     case (optional ``entity_tags``), or was retrieved.
 
-    A bounded evaluation set is sent to the corpus, which is scanned once and
-    not shuffled.  A larger one is joined through the shared words.
+    Blocks of cases meet the corpus where it lies; it is not shuffled, and a
+    task's best per case leave it.
     """
     approved = gold.where((F.col("review_status") == "approved") & (F.col("relevance_grade") >= 2))
     art = news.select(
-        F.col("id").cast("long").alias("article_id"), "source_id", "category", "published_at", "created_at", _title().alias("candidate_title"),
+        F.col("id").alias("article_id"), "source_id", "category", "published_at", "created_at", _title().alias("candidate_title"),
         F.lower(F.concat(_title(), F.lit(" "), _summary())).alias("candidate_text"),
     )
     own = art.select(
@@ -143,9 +138,8 @@ def hard_negatives(
     top = retrieved.where(F.col("rank") <= 20).select("case_id", "article_id").distinct()
     top = top.join(active.select("case_id"), "case_id", "left_semi")
     known = gold.select("case_id", "article_id").distinct().join(active.select("case_id"), "case_id", "left_semi")
-    rows = _scan_pool(active, terms, top, known, art, n, max_cases)
-    if rows is None:
-        rows = _join_pool(active, terms, top, known, art)
+    texts = art.select("article_id", "source_id", "category", F.lower("candidate_title").alias("title"), F.col("candidate_text").alias("body"), "published_at", "created_at")
+    rows = mining.best_articles(texts, _packed_cases(active, terms, top, known), n)
     rows = rows.join(art.drop("candidate_text", "source_id", "category"), "article_id")
     rows = rows.join(active.select("case_id", "p_published"), "case_id")
     kind = (
@@ -177,47 +171,13 @@ def _case_terms(cases: DataFrame, active: DataFrame, approved: DataFrame, art: D
     return every.groupBy("case_id", "term").agg(*[F.max(c).alias(c) for c in ("q", "g", "t")])
 
 
-def _scan_pool(active: DataFrame, terms: DataFrame, top: DataFrame, known: DataFrame, art: DataFrame, n: int, max_cases: int) -> DataFrame | None:
-    """Pool by one scan of the corpus, or None when the evaluation set is above the bounds."""
-    if not mining.available():
-        return None
-    bounded = []
-    for df, bound in ((active.drop("question"), max_cases), (terms, MAX_PAIRS), (top, MAX_PAIRS), (known, MAX_PAIRS)):
-        rows = df.limit(bound + 1).collect()
-        if len(rows) > bound:
-            return None
-        bounded.append(rows)
-    head, term_rows, top_rows, known_rows = bounded
-    number = {r.case_id: i for i, r in enumerate(head)}
-    case_set = mining.CaseSet(
-        [r.case_id for r in head], [r.p_source for r in head], [r.p_category for r in head], [r.p_word for r in head], [r.primary_article_id for r in head]
-    )
-    for r in term_rows:
-        case_set.terms.setdefault(r.term, []).append((number[r.case_id], r.q, r.g, r.t))
-    for pairs, into in ((top_rows, case_set.retrieved), (known_rows, case_set.excluded)):
-        for r in pairs:
-            into.setdefault(r.article_id, []).append(number[r.case_id])
-    return mining.scan_cases(art.select("article_id", "source_id", "category", F.lower("candidate_title").alias("title"), "candidate_text"), case_set, n)
-
-
-def _join_pool(active: DataFrame, terms: DataFrame, top: DataFrame, known: DataFrame, art: DataFrame) -> DataFrame:
-    """Pool by joins: an article is proposed through a shared word or a retrieval, and the pool rule filters."""
-    matched = term_matches(art.select("article_id", "candidate_text"), terms.select("term").distinct(), "article_id", ["candidate_text"])
-    counted = terms.join(matched.select("article_id", "term"), "term").groupBy("case_id", "article_id").agg(
-        F.sum("q").cast("long").alias("question_overlap_terms"), F.sum("g").cast("long").alias("gold_title_overlap_terms"), (F.max("t") > 0).alias("tag"),
-    )
-    pairs = counted.join(top.withColumn("top", F.lit(True)), ["case_id", "article_id"], "full_outer")
-    pairs = pairs.join(known, ["case_id", "article_id"], "left_anti")
-    rows = pairs.join(active.drop("question"), "case_id").where(F.col("article_id") != F.col("primary_article_id")).join(art.drop("candidate_text"), "article_id")
-    same_source = F.coalesce(F.col("source_id") == F.col("p_source"), F.lit(False))
-    same_category = F.coalesce(F.col("category") == F.col("p_category"), F.lit(False))
-    shares_word = F.contains(F.lower("candidate_title"), F.col("p_word"))
-    in_top = F.coalesce("top", F.lit(False))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return rows.where(reduce(or_, [same_source, same_category, shares_word, in_top])).select(
-        "case_id", "article_id", zero("question_overlap_terms"), zero("gold_title_overlap_terms"), in_top.alias("appeared_in_top_k"),
-        F.coalesce("tag", F.lit(False)).alias("strong_entity_tag_shared"), same_source.alias("same_source"), same_category.alias("same_category"),
-    )
+def _packed_cases(active: DataFrame, terms: DataFrame, top: DataFrame, known: DataFrame) -> DataFrame:
+    """One row per case with its terms, retrieved and known articles as lists."""
+    lists = terms.groupBy("case_id").agg(F.collect_list(F.struct("term", "q", "g", "t")).alias("terms"))
+    seen = top.groupBy("case_id").agg(F.collect_list("article_id").alias("retrieved"))
+    judged = known.groupBy("case_id").agg(F.collect_list("article_id").alias("known"))
+    rows = active.drop("question").join(lists, "case_id", "left").join(seen, "case_id", "left")
+    return rows.join(judged, "case_id", "left")
 
 
 # ---------------------------------------------------------------- taxonomy

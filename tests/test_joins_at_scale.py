@@ -192,7 +192,8 @@ def test_components_on_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(n + 1)}, n + 1: n + 1}
 
 
-def test_hard_negatives_both_ways(spark):
+def test_hard_negatives_in_blocks(spark, monkeypatch):
+    from newsiq.operators import mining
     from newsiq.plans import evalset
 
     rnd = random.Random(4)
@@ -206,9 +207,11 @@ def test_hard_negatives_both_ways(spark):
     cases = spark.createDataFrame([(c, text(4), c * 3, [rnd.choice(words)] if c % 2 else []) for c in range(12)], "case_id long, question string, primary_article_id long, entity_tags array<string>")
     gold = spark.createDataFrame([(c, rnd.randrange(300), rnd.randint(0, 3), "approved", None) for c in range(12) for _ in range(4)], "case_id long, article_id long, relevance_grade int, review_status string, evidence_role string").dropDuplicates(["case_id", "article_id"])
     found = spark.createDataFrame([(c, rnd.randrange(300), r) for c in range(12) for r in range(1, 26)], "case_id long, article_id long, rank int")
-    scan = {tuple(sorted(r.asDict().items())) for r in evalset.hard_negatives(cases, gold, news, found, 6).collect()}
-    join = {tuple(sorted(r.asDict().items())) for r in evalset.hard_negatives(cases, gold, news, found, 6, max_cases=0).collect()}
-    assert scan == join and len(scan) > 40
+    one = {tuple(sorted(r.asDict().items())) for r in evalset.hard_negatives(cases, gold, news, found, 6).collect()}
+    monkeypatch.setattr(mining, "BLOCK_CASES", 3)
+    monkeypatch.setattr(mining, "BLOCK_ROWS", 20)
+    many = {tuple(sorted(r.asDict().items())) for r in evalset.hard_negatives(cases, gold, news.repartition(3), found, 6).collect()}
+    assert one == many and len(one) > 40
 
 
 def test_skew_join_splits_hot_keys(spark):
