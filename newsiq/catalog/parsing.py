@@ -73,13 +73,18 @@ def transcripts(t):
     """SELECT source_id, concat('https://x.com/i/web/status/', CAST(doc_id AS VARCHAR)) AS url, text AS raw_content, CAST(NULL AS VARCHAR) AS published_at FROM d
       UNION ALL SELECT source_id, concat('https://p/', CAST(doc_id AS VARCHAR)), concat('n: ', lang, ' (△ ', CAST(n_chars AS VARCHAR), ' votes)'), '2024-01-02' FROM d
       UNION ALL SELECT source_id, concat('https://c/', CAST(doc_id AS VARCHAR)), concat(lang, chr(10), chr(10), text), '2024-01-03' FROM d
-      UNION ALL SELECT source_id, concat('https://q/', CAST(doc_id AS VARCHAR)), concat('show: ', lang, chr(10), chr(10), text), '2024-01-04' FROM d""".replace(
+      UNION ALL SELECT source_id, concat('https://q/', CAST(doc_id AS VARCHAR)), concat('show: ', lang, chr(10), chr(10), text), '2024-01-04' FROM d
+      UNION ALL SELECT source_id, concat('https://github.com/o', CAST(doc_id AS VARCHAR), '/r'), concat('o', CAST(doc_id AS VARCHAR), '/r: ', lang, ' repo (★ 1', lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0'), ' stars today)'), NULL FROM d
+      UNION ALL SELECT source_id, concat('https://arxiv.org/abs/2401.', CAST(doc_id AS VARCHAR)), concat_ws(chr(10) || chr(10), 'T ' || lang, nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '')), '2024-01-05' FROM d
+      UNION ALL SELECT source_id, concat('https://www.nowcoder.com/', CASE WHEN doc_id % 2 = 0 THEN 'feed/main/detail/u' ELSE 'discuss/' END, CAST(doc_id AS VARCHAR)), concat(lang, chr(10), chr(10), 'body ', CAST(doc_id AS VARCHAR), ' & more'), NULL
+        FROM d QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY doc_id) <= 5""".replace(
         " FROM d", " FROM (SELECT *, CAST(substr(source, 4) AS BIGINT) AS source_id FROM documents) d"
     ),
 )
 def raw_rows(t):
     d = t.documents.withColumn("source_id", F.expr("CAST(substr(source, 4) AS BIGINT)"))
-    url = lambda p: F.concat(F.lit(p), F.col("doc_id").cast("string"))
+    doc = F.col("doc_id").cast("string")
+    url = lambda p: F.concat(F.lit(p), doc)
     parts = {
         "posts": d.select("source_id", F.col("doc_id").cast("string").alias("id"), "text"),
         "voted": d.select("source_id", url("https://p/").alias("url"), F.lit("n").alias("name"), F.col("lang").alias("tagline"), F.col("n_chars").alias("votes"), F.lit("2024-01-02").alias("created_at")),
@@ -88,13 +93,17 @@ def raw_rows(t):
             F.lit("c").alias("category"), F.lit("s").alias("source"), F.lit("2024-01-03").alias("published_at"),
         ),
         "podcasts": d.select("source_id", url("https://q/").alias("url"), F.lit("show").alias("name"), F.col("lang").alias("title"), F.col("text").alias("transcript"), F.lit("2024-01-04").alias("published_at")),
+        "repos": d.select("source_id", F.concat(F.lit('<div></div><article class="b"><h2><a href="/o'), doc, F.lit('/r">x</a></h2><p class="col-9 m"> '), "lang", F.lit(' <b>repo</b></p><a href="/stargazers"><svg></svg> 1,'), F.lpad(F.expr("CAST(doc_id % 1000 AS STRING)"), 3, "0"), F.lit("</a></article><article>no link</article>")).alias("html")),
+        "preprints": d.select("source_id", F.lit("cs").alias("category"), F.concat(F.lit("<feed><entry><id>http://arxiv.org/abs/2401."), doc, F.lit("</id><title> T "), "lang", F.lit("</title><summary>"), "text", F.lit("</summary><published> 2024-01-05 </published></entry><entry><id>x</id><title>no id</title></entry></feed>")).alias("xml")),
+        "hot": d.select("source_id", F.col("doc_id").alias("ordinal"), F.col("doc_id").alias("id"), F.concat(F.lit("u"), doc).alias("uuid"), F.when(F.expr("doc_id % 2 = 0"), 74).otherwise(1).alias("type"), F.col("lang").alias("title"),
+            F.concat(F.lit('<script>window.__INITIAL_STATE__={"prefetchData":{"1":{},"2":{"ssrCommonData":{"contentData":{"content":"<p>body '), doc, F.lit(' &amp; more</p><style>x</style>"}}}}};</script>')).alias("html")),
     }
     return feeds.union_raw_rows(parts).select("source_id", "url", "raw_content", "published_at")
 
 
 # an analysis of each document: some lack facts, sentences or limitations
 def _payload(t):
-    fact = lambda n: F.struct(F.substring("text", n, 40).alias("text"), F.when(F.expr("doc_id % 7 <> 6"), "opening").alias("evidence"))
+    fact = lambda n: F.struct(F.expr(f"substring(text, {n})").alias("text"), F.when(F.expr("doc_id % 7 <> 6"), "opening").alias("evidence"))
     facts = F.when(F.expr("doc_id % 5 = 0"), F.array(fact(1), fact(2))).otherwise(F.array(fact(1), fact(2), fact(3)))
     why = F.when(F.expr("doc_id % 3 = 0"), "Too short.").otherwise("One a. Two b. Three c.")
     block = F.struct(
@@ -105,7 +114,7 @@ def _payload(t):
     return t.documents.select("doc_id", F.to_json(F.struct(kind.alias("article_type"), block.alias("en"), block.alias("zh"))).alias("payload"))
 
 
-_FIRST_ERROR = """CASE WHEN doc_id % 5 = 0 THEN 'en.facts must contain 3-6 fact objects' WHEN trim(substr(text, 1, 40)) = '' THEN 'en.facts[0].text is empty' WHEN doc_id % 7 = 6 THEN 'en.facts[0].evidence must be a string'
+_FIRST_ERROR = """CASE WHEN doc_id % 5 = 0 THEN 'en.facts must contain 3-6 fact objects' WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 'en.facts[0].text is empty' WHEN doc_id % 7 = 6 THEN 'en.facts[0].evidence must be a string'
   WHEN doc_id % 3 = 0 THEN 'en.why_it_matters must contain at least 3 sentences' END"""
 
 
@@ -116,11 +125,11 @@ def validate_analysis(t):
 
 @query(
     "prj_24_analysis_text",
-    f"""SELECT doc_id, concat_ws(chr(10), 'Title: ' || lang, 'Article type: ' || CASE WHEN doc_id % 2 = 0 THEN 'research_paper' ELSE 'other' END, b, replace(b, 'EN ', 'ZH ')) AS analysis_text FROM (
-      SELECT doc_id, lang, concat_ws(chr(10), 'EN facts:', '- ' || f(1) || ' (opening)', '- ' || f(2) || ' (opening)', '- ' || f(3) || ' (opening)', 'EN why it matters: One a. Two b. Three c.', 'EN deeper interpretation: A. B. C. D. E.', 'EN limitations: first | second') AS b
-      FROM documents WHERE {_FIRST_ERROR} IS NULL) x""".replace("f(1)", "trim(regexp_replace(substr(text, 1, 40), '\\s+', ' ', 'g'))")
-    .replace("f(2)", "trim(regexp_replace(substr(text, 2, 40), '\\s+', ' ', 'g'))")
-    .replace("f(3)", "trim(regexp_replace(substr(text, 3, 40), '\\s+', ' ', 'g'))"),
+    f"""SELECT doc_id, concat_ws(chr(10), 'Title: ' || lang, 'Article type: ' || CASE WHEN doc_id % 2 = 0 THEN 'research_paper' ELSE 'other' END, replace(b, chr(2), 'EN'), replace(b, chr(2), 'ZH')) AS analysis_text FROM (
+      SELECT doc_id, lang, concat_ws(chr(10), chr(2) || ' facts:', '- ' || f(1) || ' (opening)', '- ' || f(2) || ' (opening)', '- ' || f(3) || ' (opening)', chr(2) || ' why it matters: One a. Two b. Three c.', chr(2) || ' deeper interpretation: A. B. C. D. E.', chr(2) || ' limitations: first | second') AS b
+      FROM documents WHERE {_FIRST_ERROR} IS NULL) x""".replace("f(1)", "trim(substr(trim(regexp_replace(substr(text, 1), '\\s+', ' ', 'g')), 1, 360))")
+    .replace("f(2)", "trim(substr(trim(regexp_replace(substr(text, 2), '\\s+', ' ', 'g')), 1, 360))")
+    .replace("f(3)", "trim(substr(trim(regexp_replace(substr(text, 3), '\\s+', ' ', 'g')), 1, 360))"),
 )
 def analysis_text(t):
     good = quality.validate_analysis(_payload(t), "payload")[0].join(t.documents.select("doc_id", "lang"), "doc_id")
