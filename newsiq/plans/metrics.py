@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsiq.functions.stats import ordered_list, percentile_nearest
-from newsiq.operators.windows import latest_per, ranked
+from newsiq.operators.windows import latest_per, ranked, top_per
 
 RELEVANT = 2
 
@@ -44,11 +44,10 @@ def per_case(candidates: DataFrame, gold: DataFrame, keys: list[str] | None = No
         is_hard_negative().alias("hard"),
     )
     useful = graded.where(~F.col("hard") & (F.col("grade") > 0))
-    w = Window.partitionBy(gold_key).orderBy(F.col("grade").desc(), F.col("article_id"))
-    ideal = useful.withColumn("r", F.row_number().over(w)).groupBy(gold_key).agg(
-        F.sum(F.when(F.col("r") <= 10, gain(F.col("grade"), F.col("r")))).alias("ideal"),
-        F.countDistinct(F.when(F.col("grade") >= RELEVANT, F.col("article_id"))).alias("relevant"),
-    )
+    top = top_per(useful, [gold_key], [F.col("grade").desc(), F.col("article_id")], 10, "r")
+    ideal = top.groupBy(gold_key).agg(F.sum(gain(F.col("grade"), F.col("r"))).alias("ideal"))
+    relevant = useful.groupBy(gold_key).agg(F.countDistinct(F.when(F.col("grade") >= RELEVANT, F.col("article_id"))).alias("relevant"))
+    ideal = ideal.join(relevant, gold_key)
     found = dedupe_articles(candidates, keys).select(*keys, "article_id", "rank").join(graded, [gold_key, "article_id"], "left")
     rel = F.coalesce((F.col("grade") >= RELEVANT) & ~F.col("hard"), F.lit(False))
     hits = lambda k: F.count_if(rel & (F.col("rank") <= k))
