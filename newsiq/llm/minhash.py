@@ -142,9 +142,14 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return joined.select("a", "b", "s", "t").mapInArrow(run, schema)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold; ``texts`` has one (id, text) per representative."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets of shingle hashes, each sorted and distinct, reach the threshold."""
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= PERCENT * (len(x) + len(y) - shared)
+
+
+def _sets(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, set) of the texts (id, text) of ``ids``."""
     kind = texts.schema["id"].dataType
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,15 +160,17 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(rows, pa.list_(pa.int64()))], names=["id", "set"])
 
     schema = T.StructType([T.StructField("id", kind), T.StructField("set", T.ArrayType(T.LongType()))])
-    full = cut(texts.join(cut(ids), "id", "left_semi").select("id", "text").mapInArrow(sets, schema))
+    return cut(texts.join(cut(ids.distinct()), "id", "left_semi").select("id", "text").mapInArrow(sets, schema))
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the threshold; ``texts`` has one (id, text) per representative."""
+    kind = texts.schema["id"].dataType
+    full = _sets(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = batch.column(2)[i].values.to_numpy(), batch.column(3)[i].values.to_numpy()
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
+            keep = [_linked(batch.column(2)[i].values.to_numpy(), batch.column(3)[i].values.to_numpy()) for i in range(batch.num_rows)]
             at = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in (0, 1)], names=["a", "b"])
 
@@ -172,68 +179,99 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 class _Bucket:
-    """Members of one band bucket that a task compares with the whole bucket as it streams by; its own come first."""
+    """Members of one band bucket that a task compares with the whole bucket as it streams by; its own come first.
+
+    A member is a tuple of arrays: ids, components, signatures and, to confirm
+    links, sets and band keys.  A pair is confirmed in the first band it
+    shares only.
+    """
 
     def __init__(self, key: tuple, steps: list[tuple[int, int]]):
         self.key, self.steps, self.parts, self.closed = key, steps, [], False
 
-    def add(self, ids: np.ndarray, groups: np.ndarray, signatures: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def add(self, members: tuple, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n = int(own.sum())
         if n:
-            self.parts.append((ids[:n], groups[:n], signatures[:n]))
-        if n < len(ids):
+            self.parts.append(tuple(x[:n] for x in members))
+        if n < len(own):
             yield from self.close()
             if self.parts:
-                for a, b in self.pairs(ids[n:], groups[n:], signatures[n:]):
-                    yield a[a < b], b[a < b]  # the other direction is found in the other one's chunk
+                yield from self.pairs(tuple(x[n:] for x in members))
 
     def close(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Compare the chunk's own members with each other, once all are there."""
         if not self.closed and self.parts:
             self.parts = [tuple(np.concatenate(x) for x in zip(*self.parts, strict=True))]
-            for a, b in self.pairs(*self.parts[0]):
-                yield a[a < b], b[a < b]
+            yield from self.pairs(self.parts[0])
         self.closed = True
 
-    def pairs(self, ids: np.ndarray, groups: np.ndarray, signatures: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(own, other) of different components that no step prunes."""
-        mine, my_groups, my_signatures = self.parts[0]
-        width = max(1, (1 << 25) // (STEP * len(mine)))
-        for lo in range(0, len(ids), width):
-            part = signatures[lo : lo + width]
+    def pairs(self, members: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(own, other) of different components that no step prunes and, with sets, that reach the threshold."""
+        ids, groups, signatures, *exact = self.parts[0]
+        width = max(1, (1 << 25) // (STEP * len(ids)))
+        for lo in range(0, len(members[0]), width):
+            other_ids, other_groups, part, *other_exact = (x[lo : lo + width] for x in members)
             (n, least), *later = self.steps
-            equal = (my_signatures[:, None, :n] == part[None, :, :n]).sum(2)
-            i, j = np.nonzero((equal >= least) & (my_groups[:, None] != groups[None, lo : lo + width]))
+            equal = (signatures[:, None, :n] == part[None, :, :n]).sum(2)
+            # each pair once: the smaller id's chunk has it
+            i, j = np.nonzero((equal >= least) & (groups[:, None] != other_groups[None, :]) & (ids[:, None] < other_ids[None, :]))
             equal, done = equal[i, j], n
             for n, least in later:
-                equal = equal + (my_signatures[i, done:n] == part[j, done:n]).sum(1)
+                equal = equal + (signatures[i, done:n] == part[j, done:n]).sum(1)
                 stay, done = equal >= least, n
                 i, j, equal = i[stay], j[stay], equal[stay]
+            if exact and len(i):
+                (sets, keys), (other_sets, other_keys) = exact, other_exact
+                stay = (keys[i] == other_keys[j]).argmax(1) == (keys[i] == self.key[0]).argmax(1)
+                i, j = i[stay], j[stay]
+                stay = np.array([_linked(sets[a], other_sets[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                i, j = i[stay], j[stay]
             if len(i):
-                yield mine[i], ids[lo + j]
+                yield ids[i], other_ids[j]
 
 
-def _across(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) of members (key, id, component) of one bucket in different components.
+def _compared(members: DataFrame, reps: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """Members (key, id, component) of one bucket compared across components.
 
-    A bucket is compared in chunks of ``CHUNK`` own members against the whole
-    bucket streaming by; only pairs that pass all steps leave the task.
+    Without ``sets``: the (key, id) of all that a step-by-step comparison of
+    signatures leaves with a likely partner.  With ``sets`` (id, set): the
+    confirmed links (a, b).  A bucket is compared in chunks of ``CHUNK`` own
+    members against the whole bucket streaming by, and candidate pairs never
+    leave the task.
     """
-    kind, steps = reps.schema["id"].dataType, least_matches(bands() * ROWS)
+    kind, steps, confirm = reps.schema["id"].dataType, least_matches(bands() * ROWS), sets is not None
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    rows = members.join(sizes, "key").join(reps, "id")
+    payload = ["signature", "set", "band_keys"] if confirm else ["signature"]
+    rows = members.join(sizes, "key").join(reps.join(sets, "id") if confirm else reps, "id")
     own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("own", F.col("chunk") == own)
-    rows = rows.select("key", "chunk", "own", "id", "component", "signature")
-    dealt = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", F.col("own").desc())
+    dealt = rows.select("key", "chunk", "own", "id", "component", *payload).repartition("key", "chunk")
+    dealt = dealt.sortWithinPartitions("key", "chunk", F.col("own").desc())
+    names = ["a", "b"] if confirm else ["key", "id"]
+    schema = T.StructType([T.StructField(names[0], kind if confirm else T.LongType()), T.StructField(names[1], kind)])
+
+    def lists(column: pa.Array) -> np.ndarray:
+        out = np.empty(len(column), object)
+        for i in range(len(column)):
+            out[i] = column[i].values.to_numpy()
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket = None
+        bucket, id_type, near = None, None, set()
 
         def made(found) -> Iterator[pa.RecordBatch]:
             for a, b in found:
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.tolist(), id_type), pa.array(b.tolist(), id_type)], names=["a", "b"])
+                if confirm:
+                    yield pa.RecordBatch.from_arrays([pa.array(a.tolist(), id_type), pa.array(b.tolist(), id_type)], names=names)
+                else:
+                    near.update(a.tolist())
+                    near.update(b.tolist())
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            yield from made(bucket.close())
+            if near:
+                yield pa.RecordBatch.from_arrays([pa.array([bucket.key[0]] * len(near), pa.int64()), pa.array(sorted(near), id_type)], names=names)
+                near.clear()
 
         for whole in batches:
             for at in range(0, whole.num_rows, CHUNK):
@@ -241,18 +279,20 @@ def _across(members: DataFrame, reps: DataFrame) -> DataFrame:
                 id_type = batch.column(3).type
                 key, chunk = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 own, ids, groups = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4))
-                signatures = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+                columns = (ids, groups, np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint16).reshape(batch.num_rows, -1))
+                if confirm:
+                    columns += (lists(batch.column(6)), np.stack(lists(batch.column(7))))
                 cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(chunk) != 0)) + 1
                 for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
                     if bucket is not None and bucket.key != (key[lo], chunk[lo]):
-                        yield from made(bucket.close())
+                        yield from ended()
                         bucket = None
                     bucket = bucket or _Bucket((key[lo], chunk[lo]), steps)
-                    yield from made(bucket.add(ids[lo:hi], groups[lo:hi], signatures[lo:hi], own[lo:hi]))
+                    yield from made(bucket.add(tuple(x[lo:hi] for x in columns), own[lo:hi]))
         if bucket is not None:
-            yield from made(bucket.close())
+            yield from ended()
 
-    return dealt.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return dealt.mapInArrow(run, schema)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -274,7 +314,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     block inside the tasks.  So a large group of copies costs one pair per
     copy, and every candidate pair that could still join two components is
     looked at.  Candidates pass the sequential test on signatures and then the
-    exact one on full sets; only pairs that pass the first leave a task.  A link at the threshold
+    exact one on full sets; of the second kind only links leave a task.  A link at the threshold
     is missed with chance ``BAND_MISS`` plus ``PRUNE_MISS`` per step at most.
 
     Texts without words, and null texts, have an empty set and are linked with
@@ -291,7 +331,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     posts = one.select(F.col("rep").alias("id"), F.explode("band_keys").alias("key"))
     heads = posts.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").drop("last")
     posts = cut(posts.join(cut(heads), "key").distinct())
-    reps = cut(full.join(cut(posts.select("id").distinct()), "id", "left_semi").select("id", "signature").distinct())
+    reps = cut(full.join(cut(posts.select("id").distinct()), "id", "left_semi").select("id", "signature", "band_keys").distinct())
     first = cut(_ordered(posts.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))))
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
     links = cut(_confirmed(cut(_likely(first, reps)), texts))
@@ -300,8 +340,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = posts.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     open_keys = cut(placed.join(cut(mixed), "key", "left_semi").select("key", "id", "component"))
-    second = _across(open_keys, reps).distinct().join(first, ["a", "b"], "left_anti")
-    more = cut(_confirmed(cut(second), texts))
+    open_keys = cut(open_keys.join(_compared(open_keys, reps).distinct(), ["key", "id"], "left_semi"))
+    more = cut(_compared(open_keys, reps, _sets(open_keys.select("id"), texts)))
     final = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     out = sig.select("id", "n_shingles").join(final, "id", "left")
     component = F.coalesce("component", "id")
