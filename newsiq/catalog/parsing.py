@@ -75,7 +75,7 @@ def transcripts(t):
       UNION ALL SELECT source_id, concat('https://c/', CAST(doc_id AS VARCHAR)), concat(lang, chr(10), chr(10), text), '2024-01-03' FROM d
       UNION ALL SELECT source_id, concat('https://q/', CAST(doc_id AS VARCHAR)), concat('show: ', lang, chr(10), chr(10), text), '2024-01-04' FROM d
       UNION ALL SELECT source_id, concat('https://github.com/o', CAST(doc_id AS VARCHAR), '/r'), concat('o', CAST(doc_id AS VARCHAR), '/r: ', lang, ' repo (★ 1', lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0'), ' stars today)'), NULL FROM d
-      UNION ALL SELECT source_id, concat('https://arxiv.org/abs/2401.', CAST(doc_id AS VARCHAR)), concat_ws(chr(10) || chr(10), 'T ' || lang, nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '')), '2024-01-05' FROM d
+      UNION ALL SELECT source_id, concat('https://arxiv.org/abs/2401.', CAST(doc_id AS VARCHAR)), concat_ws(chr(10) || chr(10), 'T ' || lang, nullif(trim(regexp_replace(text, '\\s+', ' ', 'g')), '')), '2024-01-05' FROM d
       UNION ALL SELECT source_id, concat('https://www.nowcoder.com/', CASE WHEN doc_id % 2 = 0 THEN 'feed/main/detail/u' ELSE 'discuss/' END, CAST(doc_id AS VARCHAR)), concat(lang, chr(10), chr(10), 'body ', CAST(doc_id AS VARCHAR), ' & more'), NULL
         FROM d QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY doc_id) <= 5""".replace(
         " FROM d", " FROM (SELECT *, CAST(substr(source, 4) AS BIGINT) AS source_id FROM documents) d"
