@@ -35,14 +35,14 @@ class Model:
     log_ratio: np.ndarray
 
 
-def _spaced(column: str):
-    """Lower-case text in which runs of signs stand apart."""
-    return F.regexp_replace(F.lower(F.coalesce(F.col(column), F.lit(""))), _WORDS, " $1 ")
+def _spaced(texts: pa.Array) -> pa.Array:
+    """Lower-case texts in which runs of signs stand apart."""
+    return pc.replace_substring_regex(pc.utf8_lower(texts), _WORDS, r" \1 ")
 
 
 def _features(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(buckets of all uni- and bigrams, row of each)."""
-    lists = pc.utf8_split_whitespace(texts)
+    lists = pc.utf8_split_whitespace(_spaced(texts))
     ends = lists.offsets.to_numpy().astype(np.int64)
     coded = lists.flatten().dictionary_encode()
     raw, offsets = buffers(coded.dictionary)
@@ -81,7 +81,7 @@ def fit(df: DataFrame, sample: DataFrame, text_col: str = "text", id_col: str =
     row, all log-ratios are 0.
     """
     rows = _marked(df.select(id_col, text_col), sample, id_col)
-    rows = rows.select(F.coalesce("_is_target", F.lit(False)).alias("target"), _spaced(text_col).alias("words"))
+    rows = rows.select(F.coalesce("_is_target", F.lit(False)).alias("target"), F.col(text_col).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets), np.zeros(buckets)
@@ -116,7 +116,7 @@ def weigh(df: DataFrame, model: Model, text_col: str = "text", id_col: str = "do
 
     def run(batch: pa.RecordBatch) -> list:
         ratio = shared.value
-        texts = strings(batch, "_spaced_text")
+        texts = strings(batch, text_col)
         weight = np.zeros(len(texts))
         for lo, hi in slices(buffers(texts)[1], 1 << 22):
             of, row = _features(texts[lo:hi], len(ratio))
@@ -129,7 +129,8 @@ def weigh(df: DataFrame, model: Model, text_col: str = "text", id_col: str = "do
         return [pa.array(weight), pa.array(gumbel), pa.array(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits))]
 
     stay = list(df.columns if keep is None else keep)
-    rows = df.withColumn("_spaced_text", _spaced(text_col)).withColumn("_draw", F.xxhash64(F.lit(seed), F.col(id_col)))
+    needed = list(dict.fromkeys([*stay, id_col, text_col]))
+    rows = df.select(*needed).withColumn("_draw", F.xxhash64(F.lit(seed), F.col(id_col)))
     return with_columns(rows, "log_weight double, gumbel double, rank_key long", run, stay)
 
 
