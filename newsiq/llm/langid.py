@@ -27,6 +27,8 @@ MAX_LANGUAGES = 64
 PRIOR = 0.5
 #: Word bytes that a pass holds at once, and steps between two rescalings.
 PASS_BYTES, RESCALE = 1 << 19, 8
+#: Text bytes whose distinct words are scored together.
+SLICE = 1 << 22
 
 _TABLE_BITS = 20
 _STEP = np.uint64(0x100000001B3)
@@ -180,17 +182,12 @@ def _passes(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
 
 def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words, number of each word, word offsets of the texts): lower-case runs of letters."""
-    lists = pc.split_pattern(texts, " ")
+    lists = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(texts), r"\P{L}+", " "), " ")
     flat = lists.flatten()
     coded = flat.dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
 
 
-def _letters(column: str):
-    """The text's runs of letters in lower case, one space between them."""
-    return F.regexp_replace(F.lower(F.coalesce(F.col(column), F.lit(""))), r"\P{L}+", " ")
-
-
 class Model:
     """Piece probabilities per language."""
 
@@ -226,7 +223,7 @@ def fit(labelled: DataFrame, vocabulary_path: str, text_col: str = "text", lang_
     nothing; an empty table gives a model without languages.
     """
     files = _vocabulary_file(labelled, vocabulary_path)
-    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), _letters(text_col).alias("words"))
+    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(files)
@@ -240,7 +237,7 @@ def fit(labelled: DataFrame, vocabulary_path: str, text_col: str = "text", lang_
                 totals.setdefault(name, np.zeros(len(vocabulary.pieces)))
             if len(totals) > MAX_LANGUAGES:
                 raise ValueError(f"more than {MAX_LANGUAGES} languages")
-            for lo, hi in slices(buffers(texts)[1], 1 << 23):
+            for lo, hi in slices(buffers(texts)[1], SLICE):
                 words, codes, ends = _words(texts[lo:hi])
                 lang = np.repeat(names.indices.to_numpy()[lo:hi], np.diff(ends))
                 uses = np.bincount(codes.astype(np.int64) * len(langs) + lang, minlength=len(words) * len(langs)).reshape(len(words), len(langs))
@@ -281,16 +278,14 @@ def predict(df: DataFrame, model: Model, vocabulary_path: str, text_col: str = "
     """
     files = _vocabulary_file(df, vocabulary_path)
     shared = df.sparkSession.sparkContext.broadcast((model.languages, model.log_probs))
-    letters = "_letters_of_text"
-
     def run(batch: pa.RecordBatch) -> list:
         languages, logs = shared.value
         vocabulary = _vocabulary(files)
         probs = np.vstack([np.exp(logs), np.zeros((1, len(languages)))])
-        texts = strings(batch, letters)
+        texts = strings(batch, text_col)
         best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
         known = np.zeros(len(texts), bool)
-        for lo, hi in slices(buffers(texts)[1], 1 << 23):
+        for lo, hi in slices(buffers(texts)[1], SLICE):
             words, codes, ends = _words(texts[lo:hi])
             each = np.zeros((len(words) + 1, len(languages) + 1))
             if languages:
@@ -305,7 +300,7 @@ def predict(df: DataFrame, model: Model, vocabulary_path: str, text_col: str = "
         names = [languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
         return [pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0))]
 
-    stay = [c for c in (df.columns if keep is None else keep)]
-    return with_columns(df.withColumn(letters, _letters(text_col)), "lang_pred string, score double", run, stay)
+    stay = list(df.columns if keep is None else keep)
+    return with_columns(df.select(*dict.fromkeys([*stay, text_col])), "lang_pred string, score double", run, stay)
 
 
