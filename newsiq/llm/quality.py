@@ -1,4 +1,9 @@
-"""Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k."""
+"""Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
+
+Rows are ranked on the scale of a passage, not of the whole text: by the
+lightest passage of words, or by the mean of all n-grams where that is the
+worse of the two.  So a long text cannot make up for a passage by its length.
+"""
 
 from __future__ import annotations
 
@@ -14,15 +19,19 @@ from pyspark.sql import functions as F
 from newsiq.llm.batches import buffers, cut, slices, strings, with_columns
 from newsiq.llm.hashing import constants, mix, word_hashes
 
-#: Buckets of the hashed n-grams.
-BUCKETS = 10_000
+#: Buckets of the hashed n-grams: the power of two that is not below the number of distinct ones, from
+#: ``BUCKETS`` to ``MOST_BUCKETS``, which bounds what the driver and each task hold. Half are for words.
+BUCKETS, MOST_BUCKETS = 1 << 14, 1 << 21
 #: Labelled rows that the target model is fitted on, at most; it bounds the broadcast table of labels.
 LABELLED = 1 << 16
 #: Added to every bucket of both models.
 PRIOR = 1.0
-#: Share of the labelled target rows that the number of rows to keep is set by, and room in log-weight
-#: below the lightest of them: two Gumbel draws seldom differ by more.
-RECALL, ROOM = 0.999, 5.0
+#: Share of the labelled target rows that the number of rows to keep is set by.
+RECALL = 0.999
+#: Room below the lightest of them, on the scale of a passage: few Gumbel draws are below -1.
+ROOM = 1.0
+#: Words of a passage.
+PASSAGE = 32
 
 _PAIR = constants(2, 5)
 _WORDS = r"([^\p{L}\p{N}\s]+)"
@@ -30,9 +39,19 @@ _WORDS = r"([^\p{L}\p{N}\s]+)"
 
 @dataclass
 class Model:
-    """Log-ratio of the target and the raw probability per bucket."""
+    """Log-ratio of the target and the raw probability per bucket, and the counts it is from.
+
+    ``usual`` is the target's mean log-ratio of a word and of a bigram, each
+    n-gram weighed without its own occurrence in the target.  ``low`` is the lightest passage
+    and the lightest mean that target rows have, None without a target.
+    """
 
     log_ratio: np.ndarray
+    target: np.ndarray
+    raw: np.ndarray
+    prior: float = PRIOR
+    usual: tuple[float, float] = (0.0, 0.0)
+    low: tuple[float, float] | None = None
 
 
 def _spaced(texts: pa.Array) -> pa.Array:
@@ -40,8 +59,8 @@ def _spaced(texts: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(pc.utf8_lower(texts), _WORDS, r" \1 ")
 
 
-def _features(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets of all uni- and bigrams, row of each)."""
+def _features(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(buckets of all uni- and bigrams, row of each, how many of them are unigrams), unigrams first, both in order."""
     lists = pc.utf8_split_whitespace(_spaced(texts))
     ends = lists.offsets.to_numpy().astype(np.int64)
     coded = lists.flatten().dictionary_encode()
@@ -52,8 +71,34 @@ def _features(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     real = np.diff(offsets)[codes] > 0
     pair = np.flatnonzero((row[1:] == row[:-1]) & real[1:] & real[:-1])
     bigrams = mix(words[pair] * _PAIR[0] + words[pair + 1] * _PAIR[1])
-    of = np.concatenate([words[real], bigrams]) % np.uint64(buckets)
-    return of.astype(np.int64), np.concatenate([row[real], row[pair]])
+    half = buckets // 2
+    of = np.concatenate([words[real] % np.uint64(half), bigrams % np.uint64(half) + np.uint64(half)])
+    return of.astype(np.int64), np.concatenate([row[real], row[pair]]), int(real.sum())
+
+
+def _parts(each: np.ndarray, row: np.ndarray, n_words: int, n: int, usual: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """(lightest passage, mean) of ``n`` rows from the log-ratios of their n-grams; 0 where there is none.
+
+    The lightest passage is the smallest sum over at most ``PASSAGE`` words in
+    a row, the mean is over all n-grams, or over as many as a passage has in
+    shorter texts; every n-gram counts by what it has more than ``usual``.
+    Values are multiples of 2**-24, so sums are exact in any order.
+    """
+    each = np.round((each - np.repeat(usual, [n_words, len(each) - n_words])) * 2.0**24) / 2.0**24
+    mean = np.bincount(row, each, n) / np.maximum(np.bincount(row, minlength=n), 2 * PASSAGE)
+    words, lightest = row[:n_words], np.zeros(n)
+    first, has = np.searchsorted(words, np.arange(n)), np.bincount(words, minlength=n) > 0
+    sums, at = np.concatenate([[0.0], np.cumsum(each[:n_words])]), np.arange(n_words)
+    if n_words:
+        lightest[has] = np.minimum.reduceat(sums[at + 1] - sums[np.maximum(at - PASSAGE + 1, first[words])], first[has])
+    return lightest, mean
+
+
+def _passage(lightest: np.ndarray, mean: np.ndarray, low: tuple[float, float] | None) -> np.ndarray:
+    """The lightest passage, or the mean where it is worse, stretched so that its ``low`` is that of the passages."""
+    if low is None or max(low) >= 0:
+        return lightest
+    return np.minimum(lightest, mean * (low[0] / low[1]))
 
 
 def sample_labels(labels: DataFrame, id_col: str = "doc_id", most: int = LABELLED, seed: int = 5) -> DataFrame:
@@ -73,65 +118,81 @@ def _marked(df: DataFrame, sample: DataFrame, id_col: str) -> DataFrame:
     return df.join(F.broadcast(sample), F.col(id_col) == F.col("_label_id"), "left")  # at most LABELLED rows of 9 bytes
 
 
-def fit(df: DataFrame, sample: DataFrame, text_col: str = "text", id_col: str = "doc_id", buckets: int = BUCKETS, prior: float = PRIOR) -> Model:
+def fit(df: DataFrame, sample: DataFrame, text_col: str = "text", id_col: str = "doc_id", buckets: int | None = None, prior: float = PRIOR) -> Model:
     """Bucket models of the target rows (labelled sample) and of the raw rows (all of ``df``).
 
-    Every task adds up its buckets; only those sums are shuffled, and
-    ``buckets`` of them reach the driver.  Without target rows, or without any
-    row, all log-ratios are 0.
+    Every task adds up its buckets; only those sums are shuffled, and at most
+    ``MOST_BUCKETS`` of them reach the driver.  There they are folded to
+    ``buckets``, by default as many as the distinct n-grams ask for.  Without
+    target rows, or without any row, all log-ratios are 0.
     """
+    most = MOST_BUCKETS
     rows = _marked(df.select(id_col, text_col), sample, id_col)
     rows = rows.select(F.coalesce("_is_target", F.lit(False)).alias("target"), F.col(text_col).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets), np.zeros(buckets)
+        raw, target = np.zeros(most), np.zeros(most)
         for batch in batches:
             texts, flags = strings(batch, "words"), batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi in slices(buffers(texts)[1], 1 << 22):
-                of, row = _features(texts[lo:hi], buckets)
-                raw += np.bincount(of, minlength=buckets)
-                target += np.bincount(of, flags[lo:hi][row].astype(float), buckets)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(target[at]), pa.array(raw[at])], names=["bucket", "target", "raw"])
+                of, row, _ = _features(texts[lo:hi], most)
+                raw += np.bincount(of, minlength=most)
+                target += np.bincount(of[flags[lo:hi][row]], minlength=most)
+        used = np.flatnonzero(raw)
+        for lo in range(0, len(used), 1 << 16):
+            at = used[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(target[at]), pa.array(raw[at])], names=["bucket", "target", "raw"])
 
     sums = rows.mapInArrow(run, "bucket int, target double, raw double").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
     table = sums.toArrow()  # at most one row a bucket
-    target, raw = np.zeros(buckets), np.zeros(buckets)
+    target, raw = np.zeros(most), np.zeros(most)
     target[table["bucket"].to_numpy()], raw[table["bucket"].to_numpy()] = table["target"].to_numpy(), table["raw"].to_numpy()
+    if buckets is None:
+        empty = (raw.reshape(2, -1) == 0).sum(1)
+        distinct = float((most / 2 * np.log(most / 2 / np.maximum(empty, 1))).sum())  # n-grams that share a bucket counted in
+        buckets = BUCKETS
+        while buckets < min(distinct, most):
+            buckets *= 2
+    target, raw = (x.reshape(2, -1, buckets // 2).sum(1).ravel() for x in (target, raw))
     if not target.sum():
-        return Model(np.zeros(buckets))
+        return Model(np.zeros(buckets), target, raw, prior)
     p, q = target + prior, raw + prior
-    return Model(np.log(p / p.sum()) - np.log(q / q.sum()))
+    own = np.where(target > 0, np.log(np.maximum(p - 1, prior)) - np.log(q) + np.log(q.sum()) - np.log(p.sum()), 0.0)
+    usual = [float((t * o).sum() / max(t.sum(), 1.0)) for t, o in zip(target.reshape(2, -1), own.reshape(2, -1), strict=True)]
+    return Model(np.log(p / p.sum()) - np.log(q / q.sum()), target, raw, prior, tuple(usual))
 
 
 def weigh(df: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", seed: int = 5, keep: list[str] | None = None) -> DataFrame:
-    """``df`` with ``log_weight`` double, ``gumbel`` double and ``rank_key`` long.
+    """``df`` with ``log_weight``, ``passage`` and ``gumbel`` double and ``rank_key`` long.
 
     ``log_weight`` is the log of target over raw probability of the whole
-    text, to six decimals; a null or empty text has 0.  ``gumbel`` is drawn
-    from a hash of seed and id, so it is the same in every run and for every
-    row of an id.  ``rank_key`` orders rows as the sum of the two does.
+    text, to six decimals, ``passage`` the same on the scale of a passage, see
+    :func:`_passage`; a null or empty text has 0.  ``gumbel`` is drawn from a
+    hash of seed and id, so it is the same in every run and for every row of an
+    id.  ``rank_key`` orders rows as the sum of ``passage`` and ``gumbel`` does.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model.log_ratio)
+    shared, usual, low = df.sparkSession.sparkContext.broadcast(model.log_ratio), model.usual, model.low
 
     def run(batch: pa.RecordBatch) -> list:
         ratio = shared.value
         texts = strings(batch, text_col)
-        weight = np.zeros(len(texts))
+        weight, passage = np.zeros(len(texts)), np.zeros(len(texts))
         for lo, hi in slices(buffers(texts)[1], 1 << 22):
-            of, row = _features(texts[lo:hi], len(ratio))
-            weight[lo:hi] = np.bincount(row, ratio[of], hi - lo)
+            of, row, n_words = _features(texts[lo:hi], len(ratio))
+            each = ratio[of]
+            weight[lo:hi] = np.bincount(row, each, hi - lo)
+            passage[lo:hi] = _passage(*_parts(each, row, n_words, hi - lo, usual), low)
         weight = np.round(weight, 6) + 0.0
         draw = batch.column(batch.schema.get_field_index("_draw")).to_numpy()
         unit = ((draw.astype(np.int64).view(np.uint64) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
         gumbel = -np.log(-np.log(unit))
-        bits = (weight + gumbel + 0.0).view(np.int64)
-        return [pa.array(weight), pa.array(gumbel), pa.array(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits))]
+        bits = (passage + gumbel + 0.0).view(np.int64)
+        return [pa.array(weight), pa.array(passage), pa.array(gumbel), pa.array(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits))]
 
     stay = list(df.columns if keep is None else keep)
     needed = list(dict.fromkeys([*stay, id_col, text_col]))
     rows = df.select(*needed).withColumn("_draw", F.xxhash64(F.lit(seed), F.col(id_col)))
-    return with_columns(rows, "log_weight double, gumbel double, rank_key long", run, stay)
+    return with_columns(rows, "log_weight double, passage double, gumbel double, rank_key long", run, stay)
 
 
 def kth_largest(df: DataFrame, key: str, k: int) -> int | None:
@@ -156,11 +217,30 @@ def kth_largest(df: DataFrame, key: str, k: int) -> int | None:
     return prefix
 
 
-def target_size(weighed: DataFrame, sample: DataFrame, id_col: str = "doc_id", recall: float = RECALL) -> int:
-    """Number of rows at least as heavy, but for ``ROOM``, as the lightest of the ``recall`` heaviest labelled target rows."""
-    low = weighed.join(F.broadcast(sample.where("_is_target")), F.col(id_col) == F.col("_label_id"), "left_semi")
-    cutoff = low.agg(F.expr(f"percentile_approx(log_weight, {1 - recall}, 100000)")).first()[0]
-    return weighed.count() if cutoff is None else weighed.where(F.col("log_weight") >= cutoff - ROOM).count()
+def lows(df: DataFrame, model: Model, sample: DataFrame, text_col: str = "text", id_col: str = "doc_id", recall: float = RECALL) -> tuple[float, float] | None:
+    """Lightest passage and lightest mean of the ``recall`` best of the labelled target rows, each for itself; None without any.
+
+    Each is weighed without its own n-grams in the target, as it would be
+    without a label.
+    """
+    sc, usual, prior = df.sparkSession.sparkContext, model.usual, model.prior
+    shared = sc.broadcast((model.target, model.raw))
+    rows = df.join(F.broadcast(sample.where("_is_target")), F.col(id_col) == F.col("_label_id"), "left_semi").select(F.col(text_col).alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, raw = shared.value
+        level = np.log((raw + prior).sum()) - np.log((target + prior).sum())
+        for batch in batches:
+            texts = strings(batch, "words")
+            for lo, hi in slices(buffers(texts)[1], 1 << 22):
+                of, row, n_words = _features(texts[lo:hi], len(raw))
+                _, back, own = np.unique(row * len(raw) + of, return_inverse=True, return_counts=True)
+                own = own[back]
+                each = np.log(np.maximum(target[of] - own, 0) + prior) - np.log(raw[of] + prior) + level
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _parts(each, row, n_words, hi - lo, usual)], names=["lightest", "mean"])
+
+    found = rows.mapInArrow(run, "lightest double, mean double").agg(*[F.expr(f"percentile_approx({c}, {1 - recall}, 100000)") for c in ("lightest", "mean")]).first()
+    return None if found[0] is None else tuple(found)
 
 
 @dataclass
@@ -177,21 +257,24 @@ def select(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     """Importance resampling of ``k`` rows of ``df`` without replacement.
 
     The target is the labelled sample's text of quality, the raw text all of
-    ``df``.  The ``k`` rows with the largest log-weight plus Gumbel draw are
-    kept; without ``k`` it is :func:`target_size`.  Rows whose keys equal the
-    last one's, such as repeated rows, are all kept.
+    ``df``.  The ``k`` rows with the largest ``passage`` plus Gumbel draw are
+    kept; without ``k`` it is the number of rows not below :func:`lows`, less
+    ``ROOM``.  Rows whose keys equal the last one's, such as repeated rows, are
+    all kept.
     """
     sample = sample_labels(labels, id_col)
     model = fit(df, sample, text_col, id_col)
+    model.low = lows(df, model, sample, text_col, id_col)
     weighed = cut(weigh(df, model, text_col, id_col, seed, keep=[id_col]))
-    k = target_size(weighed, sample, id_col) if k is None else k
+    if k is None:
+        k = weighed.count() if model.low is None else weighed.where(F.col("passage") >= model.low[0] - ROOM).count()
     return Selection(model, weighed, k, kth_largest(weighed, "rank_key", k))
 
 
 def keep_selected(df: DataFrame, chosen: Selection, text_col: str = "text", id_col: str = "doc_id", seed: int = 5) -> DataFrame:
     """The rows of ``df``, with its own columns, that the selection keeps."""
     names = df.columns
-    made = ("log_weight", "gumbel", "rank_key")
+    made = ("log_weight", "passage", "gumbel", "rank_key")
     own = {c: f"_own_{c}" for c in names if c.lower() in made}
     rows = weigh(df.withColumnsRenamed(own), chosen.model, text_col, id_col, seed)
     rows = rows.where(F.col("rank_key") >= chosen.last_key) if chosen.last_key is not None else rows.where(F.lit(False))

@@ -207,6 +207,36 @@ def test_selection_keeps_good_rows_and_is_reproducible(spark):
     assert quality.select(df, labels.limit(0)).k == len(rows)
 
 
+def test_toxic_passages_go_and_clean_texts_stay_whatever_the_length(spark):
+    rnd = random.Random(8)
+    common, rare, marks = [f"w{i}" for i in range(300)], [f"r{i}" for i in range(30_000)], [f"bad{i}" for i in range(10)]
+    texts = []
+    for i in range(1500):
+        text = rnd.choices(common, k=rnd.choice((40, 150, 600))) + rnd.choices(rare, k=20)
+        rnd.shuffle(text)
+        if i % 10 == 9:
+            at = rnd.randrange(len(text))
+            text[at:at] = rnd.choices(marks, k=4)
+        texts.append(" ".join(text))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 9)) for i in range(1500) if i % 3], "doc_id long, quality int, toxic int")
+    chosen = quality.select(df, labels)
+    assert len(chosen.model.log_ratio) > quality.BUCKETS
+    kept = {r.doc_id for r in quality.keep_selected(df, chosen).collect()}
+    assert len(kept & set(range(9, 1500, 10))) <= 5
+    assert len([i for i in range(1500) if i % 10 < 9 and i not in kept]) <= 20
+
+
+def test_labelled_toxic_documents_go(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.keep_selected(docs, quality.select(docs, labels)).join(labels, "doc_id").groupBy("quality", "toxic", F.expr("lang = 'en'").alias("en")).count().collect()
+    n = {(r.quality, r.toxic, r.en): r["count"] for r in rows}
+    clean = labels.where("quality = 1 and toxic = 0").count()
+    assert n[1, 0, True] + n[1, 0, False] >= 0.99 * clean
+    assert n.get((1, 1, True), 0) <= 0.15 * 242  # the insults are English words
+
+
 def test_digests_of_the_registered_query(spark):
     from newsiq import llm
 
