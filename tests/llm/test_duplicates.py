@@ -226,3 +226,17 @@ def test_overlaps_against_all_alignments(spark):
     assert {t for t in docs if not any(overlap(t, b) for _, b in bench)} <= set(texts)
     assert decontam.overlaps(df.limit(0), test).collect() == [] and decontam.overlaps(df, test.limit(0)).collect() == []
     assert decontam.drop_contaminated(df, test.limit(0)).count() == df.count()
+
+
+def test_copies_with_signs_and_marks_outside_ascii_are_found(spark):
+    items = [
+        "the reader’s guide says it’s “the town’s oldest bridge” and doesn’t name who’s built it or when they’re closing",
+        "prices rose – slowly at first — then faster… and the bank’s report\u00a0said nothing of what came after that – or why",
+        "हिन्दी में लिखा गया यह वाक्य परीक्षा के लिए है और इसमें कई मात्राएँ तथा संयुक्त अक्षर भी मिलते हैं",
+        "le cafe\u0301 e\u0301tait ferme\u0301 hier soir et la re\u0301ponse du ge\u0301rant n’a pas e\u0301te\u0301 donne\u0301e a\u0300 temps",
+        "今天，天气，很好，我们，一起，去，公园，散步，然后，回家，吃饭，看书，睡觉，明天，再来。",
+    ]
+    docs = [f"before that … {t} … and after" for t in items] + [" ".join(t.split()[::-1]) for t in items[:4]]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    test = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.overlaps(df, test).collect()) == [(i, i) for i in range(5)]
