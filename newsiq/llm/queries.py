@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsiq.llm import bpe, chat, counts, decontam, embeddings, langid, minhash, quality, query, shards, table, warc
-from newsiq.llm.batches import shared_folder
+from newsiq.llm import bpe, chat, counts, decontam, embeddings, langid, lexical, minhash, quality, query, shards, table, warc
+from newsiq.llm.batches import cut, shared_folder
 
 # ---------------------------------------------------------------- 1 archives
 
@@ -203,3 +203,30 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.id = d.doc_id
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- 13 ranked search
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+o AS (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS t FROM d),
+p AS (SELECT doc_id, n, t, count(*)::BIGINT AS tf FROM o GROUP BY ALL),
+i AS (SELECT DISTINCT item_id, text FROM benchmark),
+q AS (SELECT item_id, t, count(*)::BIGINT AS times FROM (SELECT item_id, unnest({_TERMS}) AS t FROM i) GROUP BY ALL),
+f AS (SELECT t, count(*)::BIGINT AS df FROM p GROUP BY t),
+w AS (SELECT item_id, t, times, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * df + 1)))::BIGINT AS w, n_docs, l FROM q JOIN f USING (t), s),
+r AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // l))))::BIGINT AS score
+  FROM w JOIN p USING (t) GROUP BY ALL HAVING score > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM r QUALIFY rank <= 20
+"""
+
+
+@query("op13_ranked_search", OP13_SQL)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of every benchmark text."""
+    index = cut(lexical.build_index(table(spark, sf_dir, "documents")))
+    return lexical.search(index, table(spark, sf_dir, "benchmark"), 20)
