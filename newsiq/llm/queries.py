@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsiq.llm import bpe, chat, counts, decontam, embeddings, langid, lexical, minhash, quality, query, shards, table, warc
+from newsiq.llm import align, bpe, chat, counts, decontam, embeddings, langid, lexical, minhash, quality, query, shards, table, warc
 from newsiq.llm.batches import cut, shared_folder
 
 # ---------------------------------------------------------------- 1 archives
@@ -205,6 +205,16 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+# ---------------------------------------------------------------- 11 alignment
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between two tokenizations of every document."""
+    a, b = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align.align(table(spark, sf_dir, "documents"), a, b, public_tokenizers.PATTERN, keep=["doc_id"])
+
+
 # ---------------------------------------------------------------- 13 ranked search
 
 _TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
