@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsiq.llm import align, bpe, chat, counts, decontam, embeddings, langid, lexical, minhash, quality, query, shards, table, warc
+from newsiq.llm import align, bpe, chat, counts, decontam, embeddings, langid, lexical, minhash, quality, query, repeats, shards, table, warc
 from newsiq.llm.batches import cut, shared_folder
 
 # ---------------------------------------------------------------- 1 archives
@@ -215,6 +215,16 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"), a, b, public_tokenizers.PATTERN, keep=["doc_id"])
 
 
+# ---------------------------------------------------------------- 12 repeated passages
+
+
+@query("op12_repeated_passages")
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the 200-byte passages that occur twice."""
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 # ---------------------------------------------------------------- 13 ranked search
 
 _TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
