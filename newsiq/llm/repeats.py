@@ -231,6 +231,8 @@ def _repeated_bits(middle: np.ndarray, sides: list[np.ndarray], windows: np.ndar
     found = np.zeros(len(middle), np.int64)
     for j in range(STEP):
         has = np.flatnonzero(windows >> j & 1)
+        if not len(has):
+            continue
         names = _window_names(middle[has], [s[has] for s in sides], j)
         order = np.argsort(names)
         names = names[order]
