@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsiq.llm.batches import buffers, cut, slices, strings
+from newsiq.llm.batches import buffers, cut, held, slices, strings
 
 #: Texts share a block, for which distinct id pairs are listed once, up to so many bytes.
 BLOCK_BYTES = 1 << 23
@@ -100,15 +100,8 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
-_LOADED: dict[tuple, tuple] = {}
-
-
 def _loaded(files, pattern: str) -> tuple[ByteLevel, Pieces]:
-    key = (*map(hash, files.value), pattern)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = ByteLevel(files.value[0], pattern), Pieces(files.value[1])
-    return _LOADED[key]
+    return held("align", (*map(hash, files.value), pattern), lambda: (ByteLevel(files.value[0], pattern), Pieces(files.value[1])))
 
 
 def coalesce(sizes_a: np.ndarray, sizes_b: np.ndarray) -> tuple[np.ndarray, ...]:

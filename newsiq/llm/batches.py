@@ -66,6 +66,31 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
+_HELD: dict[str, tuple] = {}
+
+
+def held(owner: str, key, build: Callable):
+    """What ``build`` makes for ``key``, kept in the Python worker until it works for another operator or key."""
+    if owner not in _HELD or _HELD[owner][0] != key:
+        _HELD.clear()
+        _HELD[owner] = key, build()
+    return _HELD[owner][1]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def set_aside(df: DataFrame, names) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns of ``names`` under free names, and what each of them is called now."""
+    own = {c: free_name(df, f"_own_{c}") for c in df.columns if c.lower() in names}
+    return df.withColumnsRenamed(own), own
+
+
 def slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``size`` bytes; every row is in exactly one."""
     n, lo = len(offsets) - 1, 0

@@ -20,10 +20,10 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from newsiq.llm.batches import buffers, slices, strings, with_columns
+from newsiq.llm.batches import buffers, held, slices, strings, with_columns
 
 #: Characters (of a text) and ids (of a list) that are handled without halving.
-LEAF_CHARS, LEAF_IDS = 2048, 4096
+LEAF_CHARS, LEAF_IDS = 256, 4096
 #: First width of the window in which a certain position is looked for; it doubles.
 WINDOW = 32
 
@@ -93,16 +93,15 @@ def decode_ids(ids, decode, leaf: int = LEAF_IDS) -> bytes:
     return decode_ids(ids[:mid], decode, leaf) + decode_ids(ids[mid:], decode, leaf)
 
 
-_CODECS: dict[tuple, tiktoken.Encoding] = {}
+def _codec(files, pattern: str) -> tuple:
+    """(encoding call, decoding call) of a broadcast file, built once per Python worker."""
 
+    def build() -> tuple:
+        ranks = load_ranks(files.value)
+        pieces = dict(zip(ranks.values(), ranks, strict=True))
+        return codec(ranks, pattern).encode_ordinary, lambda ids: b"".join(map(pieces.__getitem__, ids))
 
-def _codec(files, pattern: str) -> tiktoken.Encoding:
-    """The codec of a broadcast file, built once per Python worker."""
-    key = (hash(files.value), pattern)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = codec(load_ranks(files.value), pattern)
-    return _CODECS[key]
+    return held("bpe", (hash(files.value), pattern), build)
 
 
 def _file(df: DataFrame, path: str):
@@ -122,19 +121,35 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
     files = _file(df, ranks_path)
 
     def run(batch: pa.RecordBatch) -> list:
-        texts, call = strings(batch, text_col), _codec(files, pattern).encode_ordinary
-        parts, counts = [], []
-        for lo, hi in slices(buffers(texts)[1]):
-            rows = [encode_text(t, call) for t in texts[lo:hi].to_pylist()]
-            counts += map(len, rows)
-            parts += [np.array(r, np.int32) for r in rows]
-        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+        return [_encoded(strings(batch, text_col), _codec(files, pattern)[0])[0]]
 
     return with_columns(df, f"`{out}` array<int>", run, keep)
 
 
+def _encoded(texts: pa.Array, encode, decode=None) -> tuple[pa.Array, pa.Array | None]:
+    """The ids of texts and, with ``decode``, the bytes they decode to, a slice of texts at a time."""
+    parts, counts, decoded = [], [], []
+    for lo, hi in slices(buffers(texts)[1]):
+        rows = [encode_text(t, encode) for t in texts[lo:hi].to_pylist()]
+        counts += map(len, rows)
+        if decode:
+            decoded.append(pa.array([decode_ids(r, decode) for r in rows], pa.binary()))
+        parts += [np.array(r, np.int32) for r in rows]
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.concat_arrays(decoded) if decoded else pa.array([], pa.binary())
+
+
+def encode_and_decode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``df`` with ``ids`` array<int> and ``decoded`` binary: :func:`encode` and :func:`decode` of its ids in one pass and one worker."""
+    files = _file(df, ranks_path)
+
+    def run(batch: pa.RecordBatch) -> list:
+        return list(_encoded(strings(batch, text_col), *_codec(files, pattern)))
+
+    return with_columns(df, "ids array<int>, decoded binary", run, keep)
+
+
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """``df`` with the bytes of each id list as ``out`` binary; a null list gives no bytes.
 
@@ -143,7 +158,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", o
     files = _file(df, ranks_path)
 
     def run(batch: pa.RecordBatch) -> list:
-        call, lists = _codec(files, pattern).decode_bytes, batch.column(batch.schema.get_field_index(ids_col))
+        call, lists = _codec(files, pattern)[1], batch.column(batch.schema.get_field_index(ids_col))
         return [pa.array((decode_ids(x.as_py() or [], call) for x in lists), pa.binary())]
 
     return with_columns(df, f"`{out}` binary", run, keep)

@@ -140,7 +140,7 @@ def format_windows(
     rows = df.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
     def measure(batch: pa.RecordBatch) -> list:
-        call = _codec(files, pattern).encode_ordinary
+        call = _codec(files, pattern)[0]
         return [pa.array([len(call(turn(r, t))) for r, t in zip(strings(batch, "role").to_pylist(), strings(batch, "text").to_pylist(), strict=True)], pa.int64())]
 
     placed = _placed(with_columns(rows, "n_tokens long", measure), ["conv_id"], ["turn", "role", "text"])

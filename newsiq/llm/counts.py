@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsiq.llm.batches import buffers, slices, strings
+from newsiq.llm.batches import buffers, held, slices, strings
 
 #: Texts are counted in blocks of at most so many rows, and of about so many bytes.
 BLOCK_ROWS, BLOCK_BYTES = 4096, 1 << 24
@@ -25,7 +25,6 @@ BLOCK_ROWS, BLOCK_BYTES = 4096, 1 << 24
 PARTS = 64
 
 _FLAGS = ("single_word", "lstrip", "rstrip", "normalized")
-_TOKENIZERS: dict[int, object] = {}
 
 
 def _splitter(data: bytes, pattern: str):
@@ -55,13 +54,13 @@ def _tokenizer(data: bytes):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    key = hash(data)
-    if key not in _TOKENIZERS:
-        _TOKENIZERS.clear()
-        made = _TOKENIZERS[key] = Tokenizer.from_str(data.decode())
+    def load():
+        made = Tokenizer.from_str(data.decode())
         made.no_truncation()
         made.no_padding()
-    return _TOKENIZERS[key]
+        return made
+
+    return held("counts", hash(data), load)
 
 
 def _block(texts: list[str], split, parts: int) -> Iterator[tuple]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsiq.llm.batches import buffers, cut, slices, strings
+from newsiq.llm.batches import buffers, cut, free_name, slices, strings
 from newsiq.llm.hashing import constants, run_hashes, word_hashes, word_spans
 
 #: Together these two find every run of 13 tokens of which any 2 are substituted.
@@ -236,5 +236,6 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     Rows are matched by id and text, so a clean row stays also where another
     row has its id, or none.
     """
-    found = cut(overlaps(df, benchmark, id_col, text_col).select(F.col(id_col).alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct())
-    return df.join(found, F.col(id_col).eqNullSafe(F.col("_bad_id")) & (F.xxhash64(text_col) == F.col("_bad_hash")), "left_anti")
+    bad, text = free_name(df, "_bad_id"), free_name(df, "_bad_hash")
+    found = cut(overlaps(df, benchmark, id_col, text_col).select(F.col(id_col).alias(bad), F.col("text_hash").alias(text)).distinct())
+    return df.join(found, F.col(id_col).eqNullSafe(F.col(bad)) & (F.xxhash64(text_col) == F.col(text)), "left_anti")

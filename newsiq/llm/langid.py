@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsiq.llm.batches import buffers, slices, strings, with_columns
+from newsiq.llm.batches import buffers, cut, held, set_aside, slices, strings, with_columns
 from newsiq.llm.bpe import load_ranks
 from newsiq.llm.hashing import mix
 
@@ -26,9 +26,9 @@ MAX_LANGUAGES = 64
 #: Weight that every piece has before any is counted.
 PRIOR = 0.5
 #: Word bytes that a pass holds at once, and steps between two rescalings.
-PASS_BYTES, RESCALE = 1 << 19, 8
+PASS_BYTES, RESCALE = 1 << 18, 8
 #: Text bytes whose distinct words are scored together.
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 _TABLE_BITS = 20
 _STEP = np.uint64(0x100000001B3)
@@ -195,15 +195,8 @@ class Model:
         self.languages, self.log_probs = languages, log_probs
 
 
-_VOCABULARIES: dict[int, Vocabulary] = {}
-
-
 def _vocabulary(files) -> Vocabulary:
-    key = hash(files.value)
-    if key not in _VOCABULARIES:
-        _VOCABULARIES.clear()
-        _VOCABULARIES[key] = Vocabulary(files.value)
-    return _VOCABULARIES[key]
+    return held("langid", hash(files.value), lambda: Vocabulary(files.value))
 
 
 def _vocabulary_file(df: DataFrame, path: str):
@@ -266,41 +259,65 @@ def fit(labelled: DataFrame, vocabulary_path: str, text_col: str = "text", lang_
     return Model(languages, np.log(counts / counts.sum(0, keepdims=True)) if languages else counts)
 
 
-def predict(df: DataFrame, model: Model, vocabulary_path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``df`` with ``lang_pred`` string and ``score`` double.
+def predict(df: DataFrame, model: Model, vocabulary_path: str, text_col: str = "text", keep: list[str] | None = None, evidence: bool = False) -> DataFrame:
+    """``df`` with ``lang_pred`` string and ``score`` double, with ``evidence`` also ``per_byte`` double.
 
     The prediction is the language under which the whole text is most
     probable, the score its posterior probability when all languages are
     equally likely beforehand.  A text without any letter, a null text, and
     any text under a model without languages get ``und`` and score 0.  Ties go
-    to the language first by name.  Existing columns of these two names are
-    replaced; only the text is looked at.
+    to the language first by name.  ``per_byte`` is the log-probability of the
+    text under that language, by bytes of its letters: how well the language
+    explains the text at all; null without a letter, 0 under a model without
+    languages.  Texts are handled whole, a
+    slice of them at a time, a very long one alone.  Existing columns of these
+    names are replaced; only the text is looked at.
     """
     files = _vocabulary_file(df, vocabulary_path)
     shared = df.sparkSession.sparkContext.broadcast((model.languages, model.log_probs))
+
     def run(batch: pa.RecordBatch) -> list:
         languages, logs = shared.value
         vocabulary = _vocabulary(files)
         probs = np.vstack([np.exp(logs), np.zeros((1, len(languages)))])
         texts = strings(batch, text_col)
-        best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        best, score, per_byte = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
         known = np.zeros(len(texts), bool)
         for lo, hi in slices(buffers(texts)[1], SLICE):
             words, codes, ends = _words(texts[lo:hi])
             each = np.zeros((len(words) + 1, len(languages) + 1))
+            each[:-1, -1] = np.diff(buffers(words)[1])
             if languages:
                 for pick, padded, lengths in _passes(words):
                     each[pick, :-1] = forward(vocabulary.lattice(padded, lengths), lengths, probs)
-                    each[pick, -1] = 1
             sums = np.add.reduceat(each[np.append(codes, len(words))], ends[:-1], axis=0)
             known[lo:hi] = sums[:, -1] > 0
             if languages:
                 best[lo:hi] = sums[:, :-1].argmax(1)
+                per_byte[lo:hi] = sums[:, :-1].max(1) / np.maximum(sums[:, -1], 1)
                 score[lo:hi] = 1 / np.exp(sums[:, :-1] - sums[:, :-1].max(1, keepdims=True)).sum(1)
-        names = [languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-        return [pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0))]
+        names = [languages[b] if k and languages else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
+        return [pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0)), *([pa.array(per_byte, mask=~known)] if evidence else [])]
 
     stay = list(df.columns if keep is None else keep)
-    return with_columns(df.select(*dict.fromkeys([*stay, text_col])), "lang_pred string, score double", run, stay)
+    return with_columns(df.select(*dict.fromkeys([*stay, text_col])), "lang_pred string, score double" + ", per_byte double" * evidence, run, stay)
+
 
+#: How far below the worst explained labelled row, in nats a byte, a text is still accepted.
+ROOM = 0.5
 
+
+def keep_explained(df: DataFrame, vocabulary_path: str, text_col: str = "text", lang_col: str = "lang", room: float = ROOM) -> DataFrame:
+    """The rows of ``df``, with its own columns, whose text one of its languages explains.
+
+    The model is fitted on all rows with a language.  Of those that it gives
+    their own language, the lowest ``per_byte`` less ``room`` is the floor
+    below which a text is rejected; so is a text without a letter, or null.
+    Without any labelled row only those two go.  Very long texts are judged
+    whole, repeated rows alike; an empty table stays empty.
+    """
+    plain, own = set_aside(df, ("lang_pred", "score", "per_byte"))
+    rows = cut(predict(plain, fit(df.select(text_col, lang_col), vocabulary_path, text_col, lang_col), vocabulary_path, text_col, evidence=True))
+    floor = rows.where(F.col("lang_pred") == F.col(own.get(lang_col, lang_col)).cast("string")).agg(F.min("per_byte")).first()[0]
+    rows = rows.where(F.col("per_byte") >= floor - room if floor is not None else F.col("per_byte").isNotNull())
+    return rows.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in df.columns])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsiq.llm.batches import buffers, cut, slices, strings
+from newsiq.llm.batches import buffers, cut, free_name, slices, strings
 from newsiq.llm.graph import components
 from newsiq.llm.hashing import constants, mix, word_hashes, word_spans
 
@@ -352,10 +352,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, with its own columns, that stand for their group; of rows with one id the first by text."""
     found = near_duplicates(df, id_col, text_col)
-    gone = cut(found.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct())
-    kept = df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    again = cut(found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_again")))
-    once = kept.join(again, F.col(id_col) == F.col("_again"), "left_anti")
+    other, row = free_name(df, "_other_id"), free_name(df, "_row")
+    gone = cut(found.where(~F.col("kept")).select(F.col(id_col).alias(other)).distinct())
+    kept = df.join(gone, F.col(id_col) == F.col(other), "left_anti")
+    again = cut(found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias(other)))
+    once = kept.join(again, F.col(id_col) == F.col(other), "left_anti")
     order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
-    repeated = kept.join(again, F.col(id_col) == F.col("_again"), "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
-    return once.unionByName(repeated)
+    repeated = kept.join(again, F.col(id_col) == F.col(other), "left_semi").withColumn(row, F.row_number().over(order))
+    return once.unionByName(repeated.where(F.col(row) == 1).drop(row))

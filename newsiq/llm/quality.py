@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsiq.llm.batches import buffers, cut, slices, strings, with_columns
+from newsiq.llm.batches import buffers, cut, free_name, set_aside, slices, strings, with_columns
 from newsiq.llm.hashing import constants, mix, word_hashes
 
 #: Buckets of the hashed n-grams: the power of two that is not below the number of distinct ones, from
@@ -134,7 +134,7 @@ def fit(df: DataFrame, sample: DataFrame, text_col: str = "text", id_col: str =
         raw, target = np.zeros(most), np.zeros(most)
         for batch in batches:
             texts, flags = strings(batch, "words"), batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi in slices(buffers(texts)[1], 1 << 22):
+            for lo, hi in slices(buffers(texts)[1]):
                 of, row, _ = _features(texts[lo:hi], most)
                 raw += np.bincount(of, minlength=most)
                 target += np.bincount(of[flags[lo:hi][row]], minlength=most)
@@ -172,18 +172,19 @@ def weigh(df: DataFrame, model: Model, text_col: str = "text", id_col: str = "do
     id.  ``rank_key`` orders rows as the sum of ``passage`` and ``gumbel`` does.
     """
     shared, usual, low = df.sparkSession.sparkContext.broadcast(model.log_ratio), model.usual, model.low
+    drawn = free_name(df, "_draw")
 
     def run(batch: pa.RecordBatch) -> list:
         ratio = shared.value
         texts = strings(batch, text_col)
         weight, passage = np.zeros(len(texts)), np.zeros(len(texts))
-        for lo, hi in slices(buffers(texts)[1], 1 << 22):
+        for lo, hi in slices(buffers(texts)[1]):
             of, row, n_words = _features(texts[lo:hi], len(ratio))
             each = ratio[of]
             weight[lo:hi] = np.bincount(row, each, hi - lo)
             passage[lo:hi] = _passage(*_parts(each, row, n_words, hi - lo, usual), low)
         weight = np.round(weight, 6) + 0.0
-        draw = batch.column(batch.schema.get_field_index("_draw")).to_numpy()
+        draw = batch.column(batch.schema.get_field_index(drawn)).to_numpy()
         unit = ((draw.astype(np.int64).view(np.uint64) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
         gumbel = -np.log(-np.log(unit))
         bits = (passage + gumbel + 0.0).view(np.int64)
@@ -191,7 +192,7 @@ def weigh(df: DataFrame, model: Model, text_col: str = "text", id_col: str = "do
 
     stay = list(df.columns if keep is None else keep)
     needed = list(dict.fromkeys([*stay, id_col, text_col]))
-    rows = df.select(*needed).withColumn("_draw", F.xxhash64(F.lit(seed), F.col(id_col)))
+    rows = df.select(*needed).withColumn(drawn, F.xxhash64(F.lit(seed), F.col(id_col)))
     return with_columns(rows, "log_weight double, passage double, gumbel double, rank_key long", run, stay)
 
 
@@ -225,14 +226,14 @@ def lows(df: DataFrame, model: Model, sample: DataFrame, text_col: str = "text",
     """
     sc, usual, prior = df.sparkSession.sparkContext, model.usual, model.prior
     shared = sc.broadcast((model.target, model.raw))
-    rows = df.join(F.broadcast(sample.where("_is_target")), F.col(id_col) == F.col("_label_id"), "left_semi").select(F.col(text_col).alias("words"))
+    rows = df.select(id_col, text_col).join(F.broadcast(sample.where("_is_target")), F.col(id_col) == F.col("_label_id"), "left_semi").select(F.col(text_col).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, raw = shared.value
         level = np.log((raw + prior).sum()) - np.log((target + prior).sum())
         for batch in batches:
             texts = strings(batch, "words")
-            for lo, hi in slices(buffers(texts)[1], 1 << 22):
+            for lo, hi in slices(buffers(texts)[1]):
                 of, row, n_words = _features(texts[lo:hi], len(raw))
                 _, back, own = np.unique(row * len(raw) + of, return_inverse=True, return_counts=True)
                 own = own[back]
@@ -274,8 +275,7 @@ def select(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 def keep_selected(df: DataFrame, chosen: Selection, text_col: str = "text", id_col: str = "doc_id", seed: int = 5) -> DataFrame:
     """The rows of ``df``, with its own columns, that the selection keeps."""
     names = df.columns
-    made = ("log_weight", "passage", "gumbel", "rank_key")
-    own = {c: f"_own_{c}" for c in names if c.lower() in made}
-    rows = weigh(df.withColumnsRenamed(own), chosen.model, text_col, id_col, seed)
+    plain, own = set_aside(df, ("log_weight", "passage", "gumbel", "rank_key"))
+    rows = weigh(plain, chosen.model, text_col, id_col, seed)
     rows = rows.where(F.col("rank_key") >= chosen.last_key) if chosen.last_key is not None else rows.where(F.lit(False))
     return rows.select(*[F.col(own.get(c, c)).alias(c) for c in names])

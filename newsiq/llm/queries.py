@@ -70,8 +70,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the bytes they decode to, as digests."""
     path = public_tokenizers.path(VOCABULARY)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, path, public_tokenizers.PATTERN, keep=["doc_id"])
-    both = bpe.decode(ids, path, public_tokenizers.PATTERN)
+    both = bpe.encode_and_decode(docs, path, public_tokenizers.PATTERN, keep=["doc_id"])
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

@@ -9,6 +9,7 @@ import pytest
 from compare import connect, diff
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from newsiq import llm
@@ -91,8 +92,8 @@ def test_query_matches_sql(spark, name):
     assert diff(llm.QUERIES[name](spark, SMALL), connect(SMALL), llm.ORACLES[name]) is None
 
 
-def test_ten_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in llm.QUERIES) == list(range(1, 11))
+def test_all_operators_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in llm.QUERIES) == list(range(1, 14))
 
 
 def test_stages_keep_columns_and_their_decisions_take_effect(spark):
@@ -113,6 +114,28 @@ def test_stages_keep_columns_and_their_decisions_take_effect(spark):
     assert {r.doc_id for r in out} == kept["decontamination"] and all(r.n_tokens == len(r.ids) for r in out)
 
 
+def test_stages_keep_columns_with_the_names_of_helpers(spark):
+    helpers = ["_draw", "_gone", "_row", "_again", "_other_id", "_bad_id", "_bad_hash", "_own_score", "lang_pred", "per_byte", "score", "_label_id", "log_weight", "_own_log_weight", "n_shingles", "hash"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("*", *[f"'{c}' AS `{c}`" for c in helpers])
+    docs = docs.unionByName(docs.limit(3)).cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SMALL)
+        assert after.columns == docs.columns, name
+        rows = after.collect()
+        assert rows and all(r[c] == c for r in rows for c in helpers), name
+
+
+def test_language_rejects_what_no_language_explains(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    odd = spark.createDataFrame([(-1, "".join(chr(0x10400 + (i * 7) % 80) for i in range(200)), None, None, None), (-2, "\n", None, None, None)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(odd), SMALL).collect()}
+    assert not {-1, -2} & kept
+    assert {r.doc_id for r in docs.where("lang IS NOT NULL AND text RLIKE '[a-z]'").collect()} <= kept
+    unlabelled = docs.unionByName(odd).withColumn("lang", F.lit(None).cast("string"))
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, unlabelled, SMALL).collect()}
+    assert -1 in kept and -2 not in kept
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
