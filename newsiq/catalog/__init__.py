@@ -23,6 +23,7 @@ MODULES = (
     "columns",
     "relational",
     "search",
+    "functions",
     "near_duplicates",
     "evaluation",
     "monitoring",
