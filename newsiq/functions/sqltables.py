@@ -88,7 +88,7 @@ def _definitions(v: dict[str, str]) -> dict[str, tuple[str, str, str]]:
             "date_start TIMESTAMP_NTZ, date_end TIMESTAMP_NTZ, feed_category STRING DEFAULT NULL, page_size INT DEFAULT 10, page_cursor BIGINT DEFAULT NULL",
             "id BIGINT, title_en STRING, title_zh STRING, summary_en STRING, summary_zh STRING, source_type STRING, source_id BIGINT, thread_group STRING, url STRING, published_at TIMESTAMP_NTZ, created_at TIMESTAMP_NTZ, questions STRING, next_cursor BIGINT",
             f"WITH page AS ({page}) SELECT p.id, coalesce(p.title_en, p.title), coalesce(p.title_zh, p.title), coalesce(p.summary_en, p.summary), coalesce(p.summary_zh, p.summary), s.source_type, p.source_id, "
-            f"CASE WHEN s.source_type IN ({thread}) THEN s.handle END, p.url, p.published_at, p.created_at, p.questions, (SELECT min_by(id, struct(created_at, id)) FROM page) FROM page p JOIN {v['sources']} s ON s.source_id = p.source_id",
+            f"CASE WHEN s.source_type IN ({thread}) THEN s.handle END, p.url, p.published_at, p.created_at, p.questions, (SELECT min_by(id, struct(created_at, id)) FROM page) FROM page p JOIN {v['sources']} s ON s.source_id = p.source_id ORDER BY p.created_at DESC, p.id DESC",
         ),
         "claim_raw_batch": (
             "as_of TIMESTAMP_NTZ, batch_size INT DEFAULT 5, time_zone STRING DEFAULT 'America/New_York'", "id BIGINT, tier INT, place INT",
