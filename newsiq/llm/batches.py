@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -28,11 +29,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Give memory that is free back to the machine: a worker lives on between tasks, beside other workers."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
 def with_columns(
-    df: DataFrame, added: str, fn: Callable[[pa.RecordBatch], list], keep: list[str] | None = None
+    df: DataFrame, added: str, fn: Callable[[pa.RecordBatch], list], keep: list[str] | None = None, by: str | None = None
 ) -> DataFrame:
     """``df`` with the columns of DDL ``added`` that ``fn`` computes per Arrow batch.
 
+    With a text column ``by`` it computes them, and hands them on, for about
+    ``SLICE_BYTES`` of that text at a time.
+
     ``fn`` sees all columns; only ``keep`` (default: all) are returned beside
     the new ones.  A column of ``df`` with a new column's name is replaced.
     """
@@ -43,10 +55,12 @@ def with_columns(
     names = list(schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for lo, hi in slices(buffers(strings(whole, by))[1]) if by else [(0, whole.num_rows)] * bool(whole.num_rows):
+                batch = whole.slice(lo, hi - lo)
                 arrays = [batch.column(batch.schema.get_field_index(c)) for c in stay]
                 yield pa.RecordBatch.from_arrays(arrays + list(fn(batch)), names=names)
+        trim()
 
     return df.mapInArrow(run, schema)
 

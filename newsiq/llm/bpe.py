@@ -123,7 +123,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
     def run(batch: pa.RecordBatch) -> list:
         return [_encoded(strings(batch, text_col), _codec(files, pattern)[0])[0]]
 
-    return with_columns(df, f"`{out}` array<int>", run, keep)
+    return with_columns(df, f"`{out}` array<int>", run, keep, by=text_col)
 
 
 def _encoded(texts: pa.Array, encode, decode=None) -> tuple[pa.Array, pa.Array | None]:
@@ -147,7 +147,7 @@ def encode_and_decode(df: DataFrame, ranks_path: str, pattern: str, text_col: st
     def run(batch: pa.RecordBatch) -> list:
         return list(_encoded(strings(batch, text_col), *_codec(files, pattern)))
 
-    return with_columns(df, "ids array<int>, decoded binary", run, keep)
+    return with_columns(df, "ids array<int>, decoded binary", run, keep, by=text_col)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:

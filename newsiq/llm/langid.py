@@ -300,7 +300,7 @@ def predict(df: DataFrame, model: Model, vocabulary_path: str, text_col: str = "
         return [pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0)), *([pa.array(per_byte, mask=~known)] if evidence else [])]
 
     stay = list(df.columns if keep is None else keep)
-    return with_columns(df.select(*dict.fromkeys([*stay, text_col])), "lang_pred string, score double" + ", per_byte double" * evidence, run, stay)
+    return with_columns(df.select(*dict.fromkeys([*stay, text_col])), "lang_pred string, score double" + ", per_byte double" * evidence, run, stay, by=text_col)
 
 
 #: How far below the worst explained labelled row, in nats a byte, a text is still accepted.

@@ -193,7 +193,7 @@ def weigh(df: DataFrame, model: Model, text_col: str = "text", id_col: str = "do
     stay = list(df.columns if keep is None else keep)
     needed = list(dict.fromkeys([*stay, id_col, text_col]))
     rows = df.select(*needed).withColumn(drawn, F.xxhash64(F.lit(seed), F.col(id_col)))
-    return with_columns(rows, "log_weight double, passage double, gumbel double, rank_key long", run, stay)
+    return with_columns(rows, "log_weight double, passage double, gumbel double, rank_key long", run, stay, by=text_col)
 
 
 def kth_largest(df: DataFrame, key: str, k: int) -> int | None:
