@@ -10,7 +10,8 @@ from newsiq.operators import chunks as ch
 from newsiq.operators import context as cx
 from newsiq.operators import questions as qs
 from newsiq.operators import retrieval as rt
-from newsiq.operators.substrings import term_matches
+from newsiq.operators import vectorindex
+from newsiq.operators.termindex import term_matches
 
 K = 10
 R9 = lambda a, b: f"round(list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), 9)"
@@ -77,13 +78,13 @@ def news_articles(t):
 
 @query("ret_2_lexical", f"WITH {lexical_sql('h', K)} SELECT query_id, article_id, round(score, 6) AS score, rank FROM h", ("cases", "news"))
 def lexical(t):
-    return rounded(rt.lexical(queries_of(t), news_articles(t), K), "query_id", "article_id", "score", "rank")
+    return rounded(rt.lexical(queries_of(t), news_articles(t), K, partitions=t.spread), "query_id", "article_id", "score", "rank")
 
 
 @query("joi_7_substring_join", f"WITH {lexical_sql('h', K)} SELECT article_id, term FROM h_p", ("cases", "news"))
 def substring_join(t):
     terms = rt.term_table(queries_of(t)).select("term").distinct()
-    return term_matches(news_articles(t), terms, "article_id", list(_FIELDS))
+    return term_matches(news_articles(t), terms, "article_id", list(_FIELDS), partitions=t.spread)
 
 
 @query(
@@ -121,6 +122,29 @@ def nearest_neighbour_join(t):
     return rounded(out, "query_id", "chunk_id", "rank")
 
 
+@query(
+    "joi_13_vector_index",
+    f"WITH {knn_sql('h', 'chunks', 'chunk_id', 25)} SELECT h.query_id, h.chunk_id, c.article_id, h.rank FROM h JOIN chunks c USING (chunk_id)",
+    ("cases", "chunks"),
+)
+def vector_index(t):
+    """The same search on a stored index of cells, whose bounds skip blocks."""
+    index = vectorindex.build(t.chunks, "chunk_id", carry=["article_id"])
+    out = vectorindex.search(index, queries_of(t), 25, block_queries=8)
+    return out.select("query_id", "chunk_id", "article_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("joi_13_probe_recall", "SELECT count(*) AS questions, true AS recall_reached FROM cases", ("cases",))
+def probe_recall(t):
+    """Recall of the probing search against the exact one, over all questions and all chunks."""
+    index = vectorindex.build(t.chunks, "chunk_id")
+    truth = vectorindex.search(index, queries_of(t), 10).select("query_id", "chunk_id")
+    probes = vectorindex.probes_for(index, queries_of(t), 10, 0.92)
+    probed = vectorindex.search(index, queries_of(t), 10, probes=probes).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    both = truth.join(probed, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    return both.agg(F.count("*").alias("questions"), (F.avg("recall") >= 0.9).alias("recall_reached"))
+
+
 def _uuid(column: str) -> str:
     """A UUID-shaped key made of an integer one, in both dialects."""
     digest = f"md5(CAST({column} AS VARCHAR(20)))"

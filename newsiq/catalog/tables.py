@@ -314,6 +314,11 @@ class Tables:
         self.sf_dir = sf_dir
         self._cache: dict[str, DataFrame] = {}
 
+    @property
+    def spread(self) -> int:
+        """Parts for heavy work per row on these tables, which are stored in few blocks: one per core."""
+        return self.spark.sparkContext.defaultParallelism
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

@@ -26,8 +26,8 @@ from newsiq.operators.windows import top_per
 
 BLOCK_QUERIES = 1024
 BLOCK_ROWS = 8192
-#: Query blocks whose running best a task holds at a time.
-HELD = 16
+#: Query blocks whose running best a task holds at a time; a best is k ids and scores a query.
+HELD = 1024
 DIGITS = 9
 
 
@@ -144,8 +144,8 @@ def knn_join(
     Vectors may be NULL and are skipped then.  ``k`` is at least 1.
     """
     k, carry = max(int(k), 1), carry or []
-    # the exchange lets the adaptive planner see the size of the packed queries
-    q = _packed(queries, [query_key], query_vec, block_queries, "_q").repartition(8)
+    # the exchange lets the adaptive planner see the size; of one partition, so that a product reads the corpus once
+    q = _packed(queries, [query_key], query_vec, block_queries, "_q").repartition(1)
     c = _packed(corpus, [id_col, *carry], vec, block_rows, "_c")
     fields = [T.StructField(query_key, _key_type(queries, query_key)), T.StructField(id_col, _key_type(corpus, id_col)), T.StructField("score", T.DoubleType())]
     schema = T.StructType(fields + [T.StructField(x, _key_type(corpus, x)) for x in carry])
@@ -153,7 +153,7 @@ def knn_join(
     names, width = schema.names, len(carry)
 
     def scan(batches):
-        held: dict[tuple, tuple[np.ndarray, np.ndarray, Best]] = {}
+        held: dict[tuple, tuple[np.ndarray, Best]] = {}
 
         def out(keys: np.ndarray, best: Best) -> pa.RecordBatch:
             found = batch_of(keys, best, names)
@@ -166,15 +166,14 @@ def knn_join(
                 block = (len(keys), keys[0].as_py(), keys[-1].as_py())
                 if block not in held:
                     if len(held) >= HELD:
-                        _, (old, _, best) = held.popitem()
-                        yield out(old, best)
-                    matrix = cells[3 + width].to_numpy().reshape(len(keys), -1).T
-                    held[block] = (values(keys), matrix, Best(len(keys), k, width))
-                _, matrix, best = held[block]
+                        yield out(*held.pop(next(iter(held))))  # the block met longest ago comes last again
+                    held[block] = (values(keys), Best(len(keys), k, width))
+                _, best = held[block] = held.pop(block)
+                matrix = cells[3 + width].to_numpy().reshape(len(keys), -1).T
                 vectors = rows.to_numpy().reshape(len(ids), -1)
                 for lo in range(0, len(ids), 1024):
                     best.add(ids[lo : lo + 1024], np.round(vectors[lo : lo + 1024] @ matrix, DIGITS), [x[lo : lo + 1024] for x in extra])
-        for keys, _, best in held.values():
+        for keys, best in held.values():
             if len(best.q):
                 yield out(keys, best)
 

@@ -17,7 +17,7 @@ from newsiq.functions import text as tx
 from newsiq.functions.stats import ordered_list
 from newsiq.operators import questions as qs
 from newsiq.operators.knn import knn_join
-from newsiq.operators.substrings import best_matches
+from newsiq.operators.termindex import best_matches
 from newsiq.operators.windows import latest_per, ranked, top_per
 
 TITLE_FIELDS = ("title", "title_en", "title_zh")
@@ -78,19 +78,18 @@ def term_table(queries: DataFrame, question: str = "question") -> DataFrame:
     return terms.select("query_id", F.lower(F.trim("term")).alias("term")).where(F.length("term") >= 2)
 
 
-def lexical(queries: DataFrame, articles: DataFrame, k: int, id_col: str = "article_id", terms: DataFrame | None = None) -> DataFrame:
+def lexical(queries: DataFrame, articles: DataFrame, k: int, id_col: str = "article_id", terms: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """Substring search scored by trigram similarity, best ``k`` articles per query.
 
     An article qualifies for a term when one of its title or summary fields
     contains it; the term adds the greatest of 4 x title similarity and
-    2 x summary similarity.  ``terms`` overrides the question's own terms.
+    2 x summary similarity.  ``terms`` overrides the question's own terms;
+    ``partitions`` spreads a table that is stored in few blocks.
     """
-    terms = term_table(queries) if terms is None else terms
-    terms = terms.dropDuplicates(["query_id", "term"])
-    k = max(k, 1)
+    plain = terms is None  # a question's own terms are letters and digits
+    terms = (term_table(queries) if plain else terms).dropDuplicates(["query_id", "term"])
     weights = {f: 4.0 for f in TITLE_FIELDS} | {f: 2.0 for f in SUMMARY_FIELDS}
-    best = best_matches(articles, terms, id_col, weights, k, RANK_DIGITS)
-    return top_per(best, ["query_id"], [F.col("score").desc(), F.col(id_col)], k, "rank")
+    return best_matches(articles, terms, id_col, weights, max(k, 1), RANK_DIGITS, partitions, plain)
 
 
 # ---------------------------------------------------------------- fusion

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from newsiq.operators import dedup
 from newsiq.operators.knn import knn_join
-from newsiq.operators.substrings import best_matches, term_matches
+from newsiq.operators.termindex import best_matches, term_matches
 
 
 def knn_brute(q, c, k):
@@ -50,6 +50,46 @@ def test_knn_with_string_keys_and_no_job_while_planning(spark):
     assert all(r.article == "a" + r.id and r.n == 7 for r in rows)
 
 
+def test_knn_holds_more_query_blocks_than_it_may(spark, monkeypatch):
+    from newsiq.operators import knn
+
+    monkeypatch.setattr(knn, "HELD", 1)
+    rng = np.random.default_rng(4)
+    corpus, queries = ([(i, rng.normal(size=6)) for i in range(n)] for n in (500, 23))
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in corpus], "id long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in queries], "query_id long, query_embedding array<double>")
+    for threshold in ("10MB", "-1"):  # also as a product of partitions, which reads the corpus once
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            found = knn_join(q, c, 5, block_queries=2, block_rows=40)
+            assert {(r.query_id, r.id, r["rank"]) for r in found.collect()} == knn_brute(queries, corpus, 5)
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("spread", [0.1, 3.0])
+def test_vector_index_is_exact_and_probing_reaches_its_recall(spark, spread):
+    from newsiq.operators import vectorindex
+
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 8)) * 3
+    corpus = [(f"v{i:04d}", centres[0 if i % 3 == 0 else i % 12] + spread * rng.normal(size=8)) for i in range(900)]  # a third in one cell
+    corpus += [(f"w{i}", corpus[0][1]) for i in range(30)] + [("zero", np.zeros(8))]
+    queries = [(i, centres[i % 12] + spread * rng.normal(size=8)) for i in range(40)] + [(99, corpus[0][1])]
+    c = spark.createDataFrame([(i, v.tolist(), len(i)) for i, v in corpus] + [("null", None, 1)], "id string, embedding array<double>, n int").repartition(5)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in queries] + [(100, None)], "query_id long, query_embedding array<double>")
+    index = vectorindex.build(c, carry=["n"])
+    found = vectorindex.search(index, q, 7, block_queries=6)
+    assert {(r.query_id, r.id, r["rank"]) for r in found.collect()} == knn_brute(queries, corpus[:-1], 7)
+    assert all(r.n == len(r.id) for r in found.collect())
+    probes = vectorindex.probes_for(index, q, 7, 0.9)
+    some = vectorindex.search(index, q, 7, probes=probes)
+    hit = some.join(found, ["query_id", "id"], "left_semi").count()
+    assert hit >= 0.9 * found.count() and probes >= 1
+    empty = vectorindex.build(c.limit(0))
+    assert vectorindex.search(empty, q, 3).count() == 0
+
+
 def test_knn_edges(spark):
     c = spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<double>")
     q = spark.createDataFrame([(1, [0.0, 1.0])], "query_id long, query_embedding array<double>")
@@ -57,8 +97,8 @@ def test_knn_edges(spark):
     assert knn_join(q.limit(0), c, 3).count() == 0 and knn_join(q, c.limit(0), 3).count() == 0
 
 
-@pytest.mark.parametrize("block", [50_000, 2])
-def test_substring_join_in_blocks(spark, block):
+@pytest.mark.parametrize("partitions", [None, 3])
+def test_substring_join(spark, partitions):
     rnd = random.Random(3)
     words = ["ab", "abc", "bcd", "the", "xyz", "zz top", "q"]
     texts = [(f"id-{i}", " ".join(rnd.choice(words) for _ in range(6)).upper(), rnd.choice(words + [None])) for i in range(200)]
@@ -66,10 +106,10 @@ def test_substring_join_in_blocks(spark, block):
     t = spark.createDataFrame(texts, "id string, a string, b string")
     w = spark.createDataFrame([(x,) for x in terms], "term string")
     weights = {"a": 4.0, "b": 2.0}
-    got = {(r.id, r.term): r.score for r in term_matches(t, w, "id", ["a", "b"], weights, block_terms=block).collect()}
+    got = {(r.id, r.term): r.score for r in term_matches(t, w, "id", ["a", "b"], weights, partitions=partitions).collect()}
     assert set(got) == {(i, x) for i, a, b in texts for x in terms if x in a.lower() or x in (b or "").lower()}
     queries = [("q1", "ab"), ("q1", "the"), ("q2", "zz"), ("q3", "nope")]
-    best = best_matches(t, spark.createDataFrame(queries, "query_id string, term string"), "id", weights, 500, 9, block_queries=block).collect()
+    best = best_matches(t, spark.createDataFrame(queries, "query_id string, term string"), "id", weights, 500, 9, partitions).collect()
     want = {}
     for q, x in queries:
         for (i, term), score in got.items():
@@ -78,6 +118,44 @@ def test_substring_join_in_blocks(spark, block):
     assert {(r.query_id, r.id): r.score for r in best} == {key: round(v, 9) for key, v in want.items() if round(v, 9) > 0}
 
 
+def test_terms_of_several_words_signs_and_parts_of_words(spark):
+    texts = [(1, "C++ and c# (x--y)", None), (2, "the OPEN source-code", "++"), (3, "", None), (4, None, None), (5, "naïve 東京都 a1b2", "open  source"), (6, "x--", "a1")]
+    terms = ["c++", "++", "--y", "open source", "open", "pen s", "京都", "aïv", "1b", "e s", "source-code", "zz", "n", "--"]
+    t = spark.createDataFrame(texts, "id long, a string, b string")
+    got = {(r.id, r.term) for r in term_matches(t, spark.createDataFrame([(x,) for x in terms], "term string"), "id", ["a", "b"]).collect()}
+    assert got == {(i, x) for i, a, b in texts for x in terms if x in (a or "").lower() or x in (b or "").lower()}
+
+
+def test_best_texts_are_exact_where_bounds_prune(spark):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 6))) for _ in range(80)]
+    texts = [(i, " ".join(rnd.choices(words, k=rnd.randint(0, 6))), " ".join(rnd.choices(words, k=rnd.randint(0, 60)))) for i in range(300)]
+    texts += [(1000 + i, texts[7][1], texts[7][2]) for i in range(20)]  # ties
+    queries = [(q, w) for q in range(12) for w in {rnd.choice(words) for _ in range(6)} if len(w) > 1]
+    weights = {"a": 4.0, "b": 2.0}
+    t, w = spark.createDataFrame(texts, "id long, a string, b string"), spark.createDataFrame(queries, "query_id int, term string")
+    every = {(r.id, r.term): r.score for r in term_matches(t, w.select("term").distinct(), "id", ["a", "b"], weights).collect()}
+    for k in (1, 7, 400):
+        want = set()
+        for q in {q for q, _ in queries}:
+            sums = {}
+            for term in [x for y, x in queries if y == q]:
+                for i, _, _ in texts:
+                    if (i, term) in every:
+                        sums[i] = sums.get(i, 0.0) + every[(i, term)]
+            rows = sorted((-round(s, 9), i) for i, s in sums.items() if round(s, 9) > 0)[:k]
+            want |= {(q, i, -s, n) for n, (s, i) in enumerate(rows, 1)}
+        got = {(r.query_id, r.id, r.score, r["rank"]) for r in best_matches(t, w, "id", weights, k, 9, plain=True).collect()}
+        assert got == want
+
+
+def test_search_plans_have_no_python(spark):
+    t = spark.createDataFrame([(1, "a b", "c")], "id long, a string, b string")
+    w = spark.createDataFrame([(1, "a")], "query_id long, term string")
+    plan = best_matches(t, w, "id", {"a": 4.0, "b": 2.0}, 3, 9)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Arrow", "Python", "CartesianProduct", "NestedLoop"))
+
+
 def make_items(seed, hot):
     """Random articles, exact copies, near copies, shared boilerplate and repeated URLs."""
     rnd = random.Random(seed)
