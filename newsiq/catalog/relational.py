@@ -9,6 +9,7 @@ from newsiq.catalog.tables import AS_OF
 from newsiq.functions import stats as st
 from newsiq.operators import joins, windows
 from newsiq.operators import chunks as ch
+from newsiq.operators.quantiles import quantiles
 from newsiq.plans import analysis as an
 from newsiq.plans import evalset as es
 from newsiq.plans import feed
@@ -154,7 +155,7 @@ def rates(t):
     ("runs",),
 )
 def percentile_cont(t):
-    return t.runs.groupBy("strategy").agg(st.percentile_cont("latency_ms", 0.5).alias("p50"), st.percentile_cont("latency_ms", 0.95).alias("p95"))
+    return quantiles(t.runs, ["strategy"], {"p50": ("latency_ms", 0.5, "cont"), "p95": ("latency_ms", 0.95, "cont")})
 
 
 @query(
@@ -163,7 +164,7 @@ def percentile_cont(t):
     ("runs",),
 )
 def percentile_nearest(t):
-    return t.runs.groupBy("strategy").agg(st.percentile_nearest("latency_ms", 0.5).alias("p50"), st.percentile_nearest("latency_ms", 0.95).alias("p95"))
+    return quantiles(t.runs, ["strategy"], {"p50": ("latency_ms", 0.5, "disc"), "p95": ("latency_ms", 0.95, "disc")})
 
 
 @query(

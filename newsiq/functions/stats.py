@@ -1,4 +1,4 @@
-"""Aggregate expressions: percentiles, ordered lists, rates, object maps."""
+"""Aggregate expressions: ordered lists, rates, object maps."""
 
 from __future__ import annotations
 
@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 from newsiq.functions.text import _c
 
 
-def percentile_cont(x: Column | str, p: float) -> Column:
-    """Exact interpolated percentile of the non-null values."""
-    return F.percentile(_c(x).cast("double"), F.lit(p))
-
-
-def percentile_nearest(x: str, p: float) -> Column:
-    """Exact nearest-rank percentile: the ``ceil(p*n)``-th smallest value."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {x})")
-
-
 def rate(cond: Column) -> Column:
     """Share of rows where ``cond`` holds; NULL counts as not holding."""
     return F.avg(F.when(cond, 1.0).otherwise(0.0))

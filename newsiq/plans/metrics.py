@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsiq.functions.stats import ordered_list, percentile_nearest
+from newsiq.functions.stats import ordered_list
+from newsiq.operators.quantiles import quantiles
 from newsiq.operators.windows import latest_per, ranked, top_per
 
 RELEVANT = 2
@@ -85,9 +86,7 @@ def aggregate(case_results: DataFrame, by: list[str] | None = None, latencies: D
         F.avg(F.col("hit_at_5").cast("double")).alias("avg_hit_rate_at_5"),
     )
     if latencies is not None:
-        lat = latencies.groupBy(*by).agg(
-            percentile_nearest("latency_ms", 0.5).alias("latency_p50_ms"), percentile_nearest("latency_ms", 0.95).alias("latency_p95_ms")
-        )
+        lat = quantiles(latencies, by, {"latency_p50_ms": ("latency_ms", 0.5, "disc"), "latency_p95_ms": ("latency_ms", 0.95, "disc")})
         if by:
             return out.join(lat, by, "left")
         out = out.select("*", *[lat.select(c).scalar().alias(c) for c in lat.columns])

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsiq.functions.stats import count_if, distinct_join, object_map, ordered_list, ordered_structs, percentile_cont, rate, rate_of
+from newsiq.functions.stats import count_if, distinct_join, object_map, ordered_list, ordered_structs, rate, rate_of
 from newsiq.functions.text import has_verification_wall
+from newsiq.operators.quantiles import quantiles
 from newsiq.operators.windows import latest_per, top_per
 from newsiq.plans.evalset import latest_runs
 from newsiq.plans.metrics import is_hard_negative
@@ -447,11 +448,14 @@ def canary(runs: DataFrame, qa: DataFrame, as_of: str, hours: int = 24) -> DataF
     logs = qa.select(F.col("rag_retrieval_run_id").alias("run_id"), "error_message", "feedback")
     rows = rows.join(logs, "run_id", "left").withColumn("fallback_reason", F.get_json_object("query_input", "$.fallback_reason"))
     by = rows.groupBy("strategy", "retriever_name").agg(
-        F.count("*").alias("requests"), percentile_cont("latency_ms", 0.5).alias("p50"), percentile_cont("latency_ms", 0.95).alias("p95"),
+        F.count("*").alias("requests"),
         rate(F.col("injected_count") == 0).alias("empty"), rate(F.col("error_message").isNotNull()).alias("error"),
         F.coalesce(rate_of(F.col("feedback") < 0, F.col("feedback").isNotNull()), F.lit(0.0)).alias("negative"),
         rate(F.col("fallback_reason") == FALLBACK).alias("fallback"),
     )
+    latency = quantiles(rows, ["strategy", "retriever_name"], {"p50": ("latency_ms", 0.5, "cont"), "p95": ("latency_ms", 0.95, "cont")})
+    same = [F.col(f"by.{c}").eqNullSafe(F.col(f"lat.{c}")) for c in ("strategy", "retriever_name")]
+    by = by.alias("by").join(latency.alias("lat"), same[0] & same[1]).select("by.*", "p50", "p95")
     mine = F.col("strategy") == "chunk_dense_bge_m3"
     passed = (
         (F.col("requests") >= CANARY["requests"]) & (F.col("p50") <= CANARY["p50"]) & (F.col("p95") <= CANARY["p95"])
@@ -471,11 +475,10 @@ def canary(runs: DataFrame, qa: DataFrame, as_of: str, hours: int = 24) -> DataF
 def rerank_latency(runs: DataFrame) -> DataFrame:
     """Exact rerank latency percentiles per strategy and cache state."""
     rows = flatten_query_input(runs).where("has_rerank")
-    p = lambda c, q: percentile_cont(c, q)
-    return rows.groupBy("strategy", "cache_hit").agg(
-        p("rerank_latency_ms", 0.5).alias("rerank_p50_ms"), p("rerank_latency_ms", 0.95).alias("rerank_p95_ms"),
-        p("cold_cache_latency_ms", 0.95).alias("cold_cache_p95_ms"), p("warm_cache_latency_ms", 0.95).alias("warm_cache_p95_ms"),
-    )
+    return quantiles(rows, ["strategy", "cache_hit"], {
+        "rerank_p50_ms": ("rerank_latency_ms", 0.5, "cont"), "rerank_p95_ms": ("rerank_latency_ms", 0.95, "cont"),
+        "cold_cache_p95_ms": ("cold_cache_latency_ms", 0.95, "cont"), "warm_cache_p95_ms": ("warm_cache_latency_ms", 0.95, "cont"),
+    })
 
 
 def rewrites(runs: DataFrame) -> DataFrame:

@@ -302,3 +302,30 @@ def test_skew_join_splits_hot_keys(spark):
     assert sorted(tuple(r) for r in split.collect()) == want and split.columns == ["k", "id", "v"]
     parts = big.where("k = 0").select(F.pmod(F.xxhash64("k", "id"), F.lit(4)).alias("p")).groupBy("p").count().collect()
     assert len(parts) == 4 and max(r["count"] for r in parts) < 500
+
+
+def test_quantiles_equal_sorted_lists(spark):
+    import math
+
+    from newsiq.operators.quantiles import quantiles
+
+    rnd = random.Random(12)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, 0, 0, 0, rnd.randint(-50, 50), 10**9 + 7])) for _ in range(600)]
+    rows += [("one", 5), ("none", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x long").repartition(5)
+    ps = (0.0, 0.05, 0.5, 0.95, 1.0)
+    wanted = {f"{k}{i}": ("x", p, k) for i, p in enumerate(ps) for k in ("cont", "disc")}
+    for by in (["g"], []):
+        for parts in (1, 7):
+            got = {r.g if by else 0: r for r in quantiles(df, by, wanted, parts).collect()}
+            assert set(got) == ({g for g, _ in rows} if by else {0})
+            for g, r in got.items():
+                v = sorted(x for h, x in rows if x is not None and (not by or h == g))
+                for i, p in enumerate(ps):
+                    at = p * (len(v) - 1)
+                    want = (v[math.floor(at)] * (1 - at % 1) + v[math.ceil(at)] * (at % 1), v[max(1, math.ceil(p * len(v))) - 1]) if v else (None, None)
+                    assert (r[f"cont{i}"], r[f"disc{i}"]) == pytest.approx(want) if v else (r[f"cont{i}"], r[f"disc{i}"]) == want
+    assert quantiles(df.limit(0), ["g"], wanted).count() == 0
+    assert quantiles(df.limit(0), [], wanted).first().cont0 is None
+    plan = quantiles(df, ["g"], wanted)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "collect" not in plan
