@@ -14,6 +14,7 @@ from newsiq.catalog.tables import AS_OF, DERIVED, SPARK, BASE
 from newsiq.operators.lineage import shared_folder
 from newsiq.plans import reports as rp
 from newsiq.streaming import jobs
+from newsiq.streaming.keyed import KeyedTable
 
 
 def stream_of(t, name: str, batches: int = 1):
@@ -74,7 +75,7 @@ def insert_new(t):
     rows = stream_of(t, "items", 4).select("id", tx.canonical_url("url").alias("url"))
     path = folder(t)
     jobs.run_available(rows, path, writer=jobs.insert_new(f"{path}/data", "url", "id"))
-    return t.spark.read.parquet(f"{path}/data").select("id", "url")
+    return KeyedTable(t.spark, f"{path}/data", "id long, url string", ["url"]).read()
 
 
 @query(
@@ -166,20 +167,34 @@ def rate_limit_batch(t):
 @query("str_7_feedback", VOTES, ("votes",))
 def feedback(t):
     path = folder(t)
-    jobs.run_available(stream_of(t, "votes", 4), path, writer=jobs.feedback(f"{path}/votes"))
-    versions = t.spark.read.parquet(f"{path}/votes")
-    newest = versions.agg(F.max("v")).first()[0]
-    return rp.feedback_counts(versions.where(F.col("v") == newest).drop("v"))
+    jobs.run_available(stream_of(t, "votes", 4), path, writer=jobs.feedback(path))
+    return rp.feedback_counts(jobs.vote_table(t.spark, path, t.votes.schema).read())
+
+
+@query("udx_3_counters", VOTES, ("votes",))
+def counters(t):
+    """The counters kept from the changes of four batches."""
+    path = folder(t)
+    jobs.run_available(stream_of(t, "votes", 4), path, writer=jobs.feedback(path))
+    return jobs.counter_table(t.spark, path).read()
 
 
 _GAP = """SELECT source_id, silent_since, silent_since + INTERVAL '10' HOUR AS noticed_at FROM (SELECT source_id, fetched_at AS silent_since, lead(fetched_at) OVER (PARTITION BY source_id ORDER BY fetched_at) AS nxt FROM raw) g"""
 
 
-@query("str_8_silence", _GAP + " WHERE nxt > silent_since + INTERVAL '10' HOUR", ("raw",))
+@query("str_8_silence", _GAP + " WHERE coalesce(nxt, TIMESTAMP '2024-01-31 00:00:00') > silent_since + INTERVAL '10' HOUR", ("raw",))
 def silence(t):
-    path = folder(t)
-    jobs.run_available(jobs.silence(stream_of(t, "raw").select("source_id", "fetched_at"), hours=10, watermark="40 days"), path)
-    out = t.spark.read.schema(jobs._SILENCE_OUT).parquet(f"{path}/data")
+    """Items in the order of their arrival, four batches of them; a last row, of no source, moves the clock to the end."""
+    path, rows = folder(t), with_time(t.raw.select("source_id", "fetched_at"), "fetched_at")
+    lo, hi = rows.agg(F.min("fetched_at"), F.max("fetched_at")).first()
+    part = F.floor((F.unix_seconds("fetched_at") - F.unix_seconds(F.lit(lo))) * 4 / (F.unix_seconds(F.lit(hi)) - F.unix_seconds(F.lit(lo)) + 1))
+    for i in range(4):
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(f"{path}/in")  # a file is a batch of the stream
+    end = t.spark.sql(f"SELECT -1L AS source_id, TIMESTAMP '{AS_OF}' + INTERVAL '1' HOUR AS fetched_at")
+    end.write.mode("append").parquet(f"{path}/in")
+    raw = jobs.stream_table(t.spark, f"{path}/in", "part", rows.schema, max_files=1)
+    jobs.run_available(jobs.silence(raw, hours=10, watermark="1 hour"), path)
+    out = t.spark.read.schema(jobs._SILENCE_OUT).parquet(f"{path}/data").where("source_id >= 0")
     return out.select("source_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("silent_since", "noticed_at")])
 
 

@@ -23,6 +23,7 @@ from newsiq.operators.sinks import new_rows
 from newsiq.operators.windows import latest_per
 from newsiq.plans import enrich as en
 from newsiq.plans.reports import ANSWER_SURFACE, FALLBACK
+from newsiq.streaming.keyed import KeyedTable
 
 
 def ingest(items: DataFrame, watermark: str = "2 days", time: str = "fetched_at", gate: bool = True) -> DataFrame:
@@ -37,23 +38,19 @@ def ingest(items: DataFrame, watermark: str = "2 days", time: str = "fetched_at"
     return rows.withWatermark(time, watermark).dropDuplicatesWithinWatermark(["url"])
 
 
-def insert_new(path: str, key: str = "url", order: str = "fetched_at") -> Callable[[DataFrame, int], None]:
+def insert_new(path: str, key: str = "url", order: str = "fetched_at", buckets: int = 16) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer that appends only rows whose key is not stored yet.
 
-    Each batch goes to its own folder, so a batch that is run again replaces
-    itself and is not appended twice.
+    The sink is a :class:`~newsiq.streaming.keyed.KeyedTable`: a batch reads
+    the keys of the buckets that its own keys fall into, and adds files to
+    those that get rows.  A batch that is run again replaces itself.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(path).where(F.col("batch_id") != batch_id).drop("batch_id")
-        except Exception as missing:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER" not in str(missing):
-                raise
-            stored = batch.limit(0)
-        fresh = new_rows(stored, batch, key, [F.col(order)])
-        fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        table = KeyedTable(batch.sparkSession, path, batch.schema, [key], buckets)
+        touched = table.touched(batch)
+        fresh = new_rows(table.read(batch_id, touched), batch, key, [F.col(order)])
+        table.commit(fresh, batch_id, touched, replace=False)
 
     return write
 
@@ -237,19 +234,59 @@ def rate_limit_batch(events: DataFrame, limit: int, seconds: int, segment_window
 # ---------------------------------------------------------------- feedback and silence
 
 
-def feedback(path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` writer of the vote table: one latest vote per (user, target), versioned by batch.
+VOTES = "event_id long, user_id long, target_id long, feedback int, ts timestamp_ntz"
+COUNTERS = "target_id long, up_count long, down_count long"
+_VOTER = ["user_id", "target_id"]
+
+
+def vote_table(spark, path: str, schema: T.StructType | str = VOTES, buckets: int = 16) -> KeyedTable:
+    """The latest vote per user and target that :func:`feedback` keeps."""
+    return KeyedTable(spark, f"{path}/votes", schema, _VOTER, buckets)
+
+
+def counter_table(spark, path: str, buckets: int = 16) -> KeyedTable:
+    """The votes per target that :func:`feedback` keeps."""
+    return KeyedTable(spark, f"{path}/counters", COUNTERS, ["target_id"], buckets)
+
 
-    Counts are :func:`newsiq.plans.reports.feedback_counts` over the newest
-    version; votes are reduced inside the batch before they meet the table.
+def vote_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(target_id, up, down): what the votes ``new`` change in the counters, against the votes ``old`` of the same users.
+
+    A changed vote takes the old one back and adds the new one; a vote of 0
+    only takes back; an equal one changes nothing.
+    """
+    side = lambda df, sign: df.select("target_id", (sign * (F.col("feedback") == 1).cast("long")).alias("up"), (sign * (F.col("feedback") == -1).cast("long")).alias("down"))
+    both = side(old.join(new.select(*_VOTER), _VOTER, "left_semi"), -1).unionByName(side(new, 1))
+    return both.groupBy("target_id").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+
+
+def feedback(path: str, buckets: int = 16) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer of votes and of the counters per target, kept from changes alone.
+
+    A batch's votes are reduced to the latest per user and target; a stored
+    vote that is later stays.  Both tables are keyed: only the buckets of the
+    batch's voters, and of the targets whose counters change, are read and
+    written.  Batch twin: :func:`newsiq.plans.reports.feedback_counts`.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        votes = latest_per(batch, ["user_id", "target_id"], [F.col("ts").desc(), F.col("event_id").desc()])
-        if batch_id > 0:
-            before = batch.sparkSession.read.parquet(f"{path}/v={batch_id - 1}")
-            votes = latest_per(before.unionByName(votes), ["user_id", "target_id"], [F.col("ts").desc(), F.col("event_id").desc()])
-        votes.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        spark = batch.sparkSession
+        order = [F.col("ts").desc(), F.col("event_id").desc()]
+        votes, counters = vote_table(spark, path, batch.schema, buckets), counter_table(spark, path, buckets)
+        latest = latest_per(batch, _VOTER, order)
+        touched = votes.touched(latest)
+        old = votes.read(batch_id, touched)
+        merged = latest_per(old.unionByName(latest), _VOTER, order)
+        newer = merged.join(latest.select(*_VOTER), _VOTER, "left_semi")
+        changes = vote_changes(old, newer).where("up <> 0 OR down <> 0")
+        # a target without votes any more keeps a row of zeros; the first vote makes the row
+        changes = changes.unionByName(newer.select("target_id", F.lit(0).alias("up"), F.lit(0).alias("down")).distinct()).groupBy("target_id").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        at = counters.touched(changes)
+        before = counters.read(batch_id, at)
+        sums = before.select("target_id", F.col("up_count").alias("up"), F.col("down_count").alias("down")).unionByName(changes)
+        counted = sums.groupBy("target_id").agg(F.sum("up").cast("long").alias("up_count"), F.sum("down").cast("long").alias("down_count"))
+        counters.commit(counted, batch_id, at, replace=True)
+        votes.commit(merged, batch_id, touched, replace=True)
 
     return write
 
@@ -339,6 +376,6 @@ def stream_table(spark, directory: str, name: str, schema: T.StructType, max_fil
 
 
 __all__ = [
-    "canary", "enrich", "feedback", "freshness", "ingest", "insert_new", "rate_limit", "rate_limit_batch",
-    "route_late", "run_available", "silence", "silence_batch", "stream_table",
+    "canary", "counter_table", "enrich", "feedback", "freshness", "ingest", "insert_new", "rate_limit", "rate_limit_batch",
+    "route_late", "run_available", "silence", "silence_batch", "stream_table", "vote_changes", "vote_table",
 ]

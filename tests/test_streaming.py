@@ -1,6 +1,7 @@
 """Streams fed file by file give the batch results."""
 
 import datetime as dt
+import os
 import random
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from newsiq.plans import reports
 from newsiq.streaming import jobs
+from newsiq.streaming.keyed import KeyedTable
 
 START = dt.datetime(2024, 1, 1)
 
@@ -78,7 +80,7 @@ def test_insert_new_is_repeatable(spark, tmp_path):
     two = spark.createDataFrame([("b", START), ("c", START)], "url string, fetched_at timestamp")
     for batch, i in ((one, 0), (two, 1), (two, 1), (one, 0)):
         write(batch, i)
-    assert sorted(r.url for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
+    assert sorted(r.url for r in KeyedTable(spark, path, one.schema, ["url"]).read().collect()) == ["a", "b", "c"]
 
 
 def test_route_late(spark, tmp_path):
@@ -97,11 +99,58 @@ def test_feedback_counts_latest_votes(spark, tmp_path):
     rows = [(i, rnd.randrange(6), rnd.randrange(4), rnd.choice([-1, 0, 1]), START + dt.timedelta(minutes=i)) for i in range(200)]
     df = spark.createDataFrame(rows, "event_id long, user_id long, target_id long, feedback int, ts timestamp")
     write_files(spark, df, f"{tmp_path}/in", 4, "event_id")
-    jobs.run_available(stream(spark, f"{tmp_path}/in", df.schema), f"{tmp_path}/q", writer=jobs.feedback(f"{tmp_path}/votes"))
-    last = spark.read.parquet(f"{tmp_path}/votes/v=3")
+    jobs.run_available(stream(spark, f"{tmp_path}/in", df.schema), f"{tmp_path}/q", writer=jobs.feedback(f"{tmp_path}/t"))
+    last = jobs.vote_table(spark, f"{tmp_path}/t", df.schema).read()
+    counters = {tuple(r) for r in jobs.counter_table(spark, f"{tmp_path}/t").read().collect()}
+    assert counters == {tuple(r) for r in reports.feedback_counts(df).collect()}
     assert {tuple(r) for r in reports.feedback_counts(last).collect()} == {tuple(r) for r in reports.feedback_counts(df).collect()}
 
 
+def files(path):
+    return {f"{d}/{n}": os.stat(f"{d}/{n}").st_mtime_ns for d, _, names in os.walk(path) for n in names if n.startswith("part-")}
+
+
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    path, schema = str(tmp_path), "event_id long, user_id long, target_id long, feedback int, ts timestamp"
+    write = jobs.feedback(path, buckets=8)
+    first = spark.createDataFrame([(i, i, i % 5, 1, START) for i in range(60)], schema)
+    write(first, 0)
+    before = files(f"{path}/votes/data")
+    second = spark.createDataFrame([(100, 3, 3, -1, START + dt.timedelta(1)), (101, 7, 2, 0, START + dt.timedelta(1)), (102, 8, 3, -1, START - dt.timedelta(1))], schema)
+    write(second, 1)
+    votes, counters = jobs.vote_table(spark, path, schema, 8), jobs.counter_table(spark, path, 8)
+    touched = set(votes.touched(second))
+    assert 0 < len(touched) < 8
+    after = files(f"{path}/votes/data")
+    kept = {f: t for f, t in before.items() if int(f.split("_bucket=")[1].split("/")[0]) not in touched}
+    assert kept and all(after[f] == t for f, t in kept.items())  # untouched files are the same files
+    assert {v for v, b in votes.parts() if b in touched} == {1} and {v for v, b in votes.parts() if b not in touched} == {0}
+    counts = {r.target_id: (r.up_count, r.down_count) for r in counters.read().collect()}
+    assert counts[3] == (11, 1) and counts[2] == (11, 0) and counts[0] == (12, 0)  # the late vote of user 8 changed nothing
+    write(second, 1)  # a batch that runs again
+    assert counts == {r.target_id: (r.up_count, r.down_count) for r in counters.read().collect()}
+    for i in range(2, 5):
+        write(spark.createDataFrame([(100 + i, 3, 3, (-1) ** i, START + dt.timedelta(i))], schema), i)
+    assert votes.versions() == [3, 4]
+    held = {f.split("/data/")[1].rsplit("/", 1)[0] for f in files(f"{path}/votes/data")}
+    assert held == {f"v={v}/_bucket={b}" for w in (None, 4) for v, b in votes.parts(w)}  # old versions are gone
+    every = first.unionByName(second).unionByName(spark.createDataFrame([(104, 3, 3, 1, START + dt.timedelta(4))], schema))
+    assert {tuple(r) for r in counters.read().collect()} == {tuple(r) for r in reports.feedback_counts(every).collect()}
+
+
+def test_a_batch_that_broke_off_is_not_seen(spark, tmp_path):
+    schema = "url string, n long"
+    table = KeyedTable(spark, str(tmp_path), schema, ["url"], 4)
+    assert table.read().count() == 0
+    one, two = (spark.createDataFrame(rows, schema) for rows in ([("a", 1), ("b", 1)], [("a", 2), ("c", 2)]))
+    table.commit(one, 0, table.touched(one), replace=True)
+    two.withColumn("_bucket", table.bucket()).write.partitionBy("_bucket").parquet(f"{tmp_path}/data/v=1")  # no manifest
+    assert {tuple(r) for r in table.read().collect()} == {("a", 1), ("b", 1)}
+    table.commit(two, 1, table.touched(two), replace=False)
+    assert {tuple(r) for r in table.read().collect()} == {("a", 1), ("b", 1), ("a", 2), ("c", 2)}
+    assert {tuple(r) for r in table.read(before=1).collect()} == {("a", 1), ("b", 1)}
+
+
 def test_windows_in_append_mode(spark, tmp_path):
     rows = [(i % 3, START + dt.timedelta(hours=i)) for i in range(96)]
     df = spark.createDataFrame(rows, "source_id long, fetched_at timestamp")
