@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from newsiq.catalog import query
 from newsiq.catalog.search import CTX_TABLES, K, chunk_sql, fuse_sql, as_rank, knn_sql, lexical_sql, news_articles, queries_of
 from newsiq.operators import retrieval as rt
+from newsiq.operators import joins
 from newsiq.plans import evalset as es
 from newsiq.plans import metrics as me
 from newsiq.plans import quality, reports
@@ -215,6 +216,24 @@ def or_of_keys(t):
     return same.unionByName(listed).distinct()
 
 
+@query(
+    "joi_8_class_links",
+    """WITH p AS (SELECT DISTINCT c.case_id, n.id AS article_id, n.source_id = o.source_id AND n.category = o.category AS inside FROM cases c JOIN news o ON o.id = c.primary_article_id
+        JOIN news n ON (n.source_id = o.source_id AND n.category = o.category) OR n.id IN (SELECT article_id FROM gold g WHERE g.case_id = c.case_id))
+      SELECT c.case_id, o.source_id, o.category, count(*) FILTER (WHERE inside) AS in_class, count(*) FILTER (WHERE NOT inside) AS outside
+      FROM cases c JOIN news o ON o.id = c.primary_article_id LEFT JOIN p ON p.case_id = c.case_id GROUP BY 1, 2, 3""",
+    ("cases", "news", "gold"),
+)
+def class_links(t):
+    """The same join as classes: a row per case with its class, the class's size and the listed articles outside it."""
+    articles = t.news.select(F.col("id").alias("article_id"), "source_id", "category")
+    own = t.cases.select("case_id", F.col("primary_article_id").alias("article_id")).join(articles, "article_id").drop("article_id")
+    links, outside = joins.or_of_keys(own, articles, "case_id", "article_id", ["source_id", "category"], t.gold)
+    more = outside.groupBy("case_id").agg(F.count("*").alias("outside"))
+    out = links.join(more, "case_id", "left")
+    return out.select("case_id", "source_id", "category", F.col("members").alias("in_class"), F.coalesce("outside", F.lit(0)).alias("outside"))
+
+
 _NAME = "[A-Z][A-Za-z0-9$.-]+"
 _NAMED = "OpenAI|Anthropic|Google|Microsoft|Okta|xAI"
 

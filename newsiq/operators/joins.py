@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 def not_in(df: DataFrame, other: DataFrame, on: str | list[str] | Column) -> DataFrame:
     """Rows without a match (``NOT EXISTS``)."""
     return df.join(other, on, "left_anti")
@@ -61,3 +62,22 @@ def skew_join(big: DataFrame, small: DataFrame, on: str, salts: int = SALTS) ->
     dealt = big.withColumn(key, F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
     repeated = small.withColumn(key, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return dealt.join(repeated, [on, key]).drop(key)
+
+
+def or_of_keys(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: list[str], listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Join on "equal ``keys`` or a listed pair" as classes instead of pairs.
+
+    Gives (links, outside): ``links`` has a row per row of ``left`` with its
+    class, the values of ``keys``, and the number of ``right`` rows in it,
+    which are the rows of ``right`` with these values; ``outside`` has the
+    (left, right) pairs of ``listed`` that lie in other classes.  Together they
+    are every pair of the join once, in as many rows as the tables have.  Null
+    keys are equal to nothing.
+    """
+    sizes = right.groupBy(*keys).agg(F.count("*").alias("members"))
+    links = left.select(left_id, *keys).join(sizes, keys, "left").withColumn("members", F.coalesce("members", F.lit(0)))
+    mine = left.select(left_id, *[F.col(k).alias(f"_{k}") for k in keys])
+    pairs = listed.select(left_id, right_id).distinct().join(mine, left_id).join(right.select(right_id, *keys), right_id)
+    same = [F.coalesce(F.col(k) == F.col(f"_{k}"), F.lit(False)) for k in keys]
+    outside = pairs.where(~F.greatest(F.lit(False), F.least(F.lit(True), *same))).select(left_id, right_id)
+    return links.select(left_id, *keys, "members"), outside

@@ -329,3 +329,19 @@ def test_quantiles_equal_sorted_lists(spark):
     assert quantiles(df.limit(0), [], wanted).first().cont0 is None
     plan = quantiles(df, ["g"], wanted)._jdf.queryExecution().executedPlan().toString()
     assert "percentile" not in plan and "collect" not in plan
+
+
+def test_or_join_as_classes_gives_every_pair_once(spark):
+    from newsiq.operators.joins import or_of_keys
+
+    rnd = random.Random(4)
+    right = [(i, rnd.choice([1, 1, 1, 2, None]), rnd.choice(["x", "y", None])) for i in range(80)]
+    left = [(100 + i, rnd.choice([1, 2, 3, None]), rnd.choice(["x", "y", None])) for i in range(12)]
+    listed = [(100 + rnd.randrange(13), rnd.randrange(90)) for _ in range(60)]
+    r, w = spark.createDataFrame(right, "r long, a int, b string"), spark.createDataFrame(left, "l long, a int, b string")
+    links, outside = or_of_keys(w, r, "l", "r", ["a", "b"], spark.createDataFrame(listed, "l long, r long"))
+    pairs = [(x.l, y[0]) for x in links.collect() for y in right if x.a is not None and x.b is not None and (x.a, x.b) == y[1:]]
+    assert {x.l: x.members for x in links.collect()} == {i: sum(p[0] == i for p in pairs) for i, _, _ in left}
+    pairs += [(x.l, x.r) for x in outside.collect()]
+    want = {(x[0], y[0]) for x in left for y in right if (None not in x and x[1:] == y[1:]) or (x[0], y[0]) in listed}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
