@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsiq.llm.batches import buffers, cut, held, set_aside, slices, strings, with_columns
+from newsiq.llm.batches import buffers, held, set_aside, slices, strings, with_columns
 from newsiq.llm.bpe import load_ranks
 from newsiq.llm.hashing import mix
 
@@ -313,11 +313,15 @@ def keep_explained(df: DataFrame, vocabulary_path: str, text_col: str = "text",
     The model is fitted on all rows with a language.  Of those that it gives
     their own language, the lowest ``per_byte`` less ``room`` is the floor
     below which a text is rejected; so is a text without a letter, or null.
+    The labelled rows are scored twice, which costs less than a copy of the table.
     Without any labelled row only those two go.  Very long texts are judged
     whole, repeated rows alike; an empty table stays empty.
     """
     plain, own = set_aside(df, ("lang_pred", "score", "per_byte"))
-    rows = cut(predict(plain, fit(df.select(text_col, lang_col), vocabulary_path, text_col, lang_col), vocabulary_path, text_col, evidence=True))
-    floor = rows.where(F.col("lang_pred") == F.col(own.get(lang_col, lang_col)).cast("string")).agg(F.min("per_byte")).first()[0]
+    model = fit(df.select(text_col, lang_col), vocabulary_path, text_col, lang_col)
+    labelled = df.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("own"), F.col(text_col).alias("text"))
+    explained = predict(labelled, model, vocabulary_path, keep=["own"], evidence=True).where("lang_pred = own")
+    floor = explained.agg(F.min("per_byte")).first()[0]
+    rows = predict(plain, model, vocabulary_path, text_col, evidence=True)
     rows = rows.where(F.col("per_byte") >= floor - room if floor is not None else F.col("per_byte").isNotNull())
     return rows.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in df.columns])
