@@ -25,7 +25,7 @@ def ai_sql(x: str) -> str:
 
 @query("prj_1_is_ai_relevant", f"SELECT doc_id, {ai_sql('text')} AS relevant FROM documents")
 def is_ai_relevant(t):
-    return t.documents.select("doc_id", tx.is_ai_relevant("text").alias("relevant"))
+    return t.spread_out(t.documents).select("doc_id", tx.is_ai_relevant("text").alias("relevant"))
 
 
 @query("udx_1_sql_function", f"SELECT lang, count(*) AS docs, count(*) FILTER (WHERE {ai_sql('text')}) AS relevant FROM documents GROUP BY lang")
@@ -92,7 +92,7 @@ _TECH = " + ".join(f"CAST(regexp_matches(s, '\\b({p})\\b', 'i') AS BIGINT)" for
 )
 def usable_score(t):
     extra = F.when(F.expr("id % 3 = 0"), " Read more. Model methods and a benchmark.").otherwise("")
-    rows = t.items.withColumn("body", F.concat("body", extra))
+    rows = t.spread_out(t.items).withColumn("body", F.concat("body", extra))
     return rows.select("id", tx.usable_content("title", "body", "published_at").alias("u")).select("id", "u.*")
 
 

@@ -185,7 +185,7 @@ HARD_SQL = f"""WITH art AS MATERIALIZED (SELECT id, source_id, category, publish
 @query("evl_10_hard_negative_mining", HARD_SQL, ("cases", "gold", "news", "case_results", "candidates"))
 def hard_negative_mining(t):
     retrieved = t.case_results.select("case_id", "retrieval_run_id").join(t.candidates, "retrieval_run_id").select("case_id", "article_id", "rank")
-    out = es.hard_negatives(t.cases, t.gold, t.news, retrieved)
+    out = es.hard_negatives(t.cases, t.gold, t.spread_out(t.news), retrieved)
     return out.select(
         "case_id", "article_id", "hard_negative_type", "question_overlap_terms", "gold_title_overlap_terms", "appeared_in_top_k",
         F.col("proposal_rank").cast("long").alias("proposal_rank"),

@@ -65,7 +65,7 @@ _ALT = "|".join(f"<{x}\\b[^>]*>.*?</{x}>" for x in ("h1", "h2", "h3", "p"))
       FROM (SELECT page_id, list_filter(list_transform(regexp_extract_all({_NOISE}, '{_ALT}', 0, 'is'), lambda b: {_clean_sql('b')}), lambda c: length(c) > 20) AS parts FROM pages) x""",
 )
 def readable_text(t):
-    return t.pages.select("page_id", pages.readable_text("html").alias("readable"))
+    return t.spread_out(t.pages).select("page_id", pages.readable_text("html").alias("readable"))
 
 
 @query(
@@ -76,7 +76,7 @@ def readable_text(t):
       WHERE regexp_extract(u, '://([^/?#]+)', 1) = regexp_extract(base, '://([^/?#]+)', 1)""",
 )
 def outlinks(t):
-    return pages.outlinks(t.pages, path_regex="^/")
+    return pages.outlinks(t.spread_out(t.pages), path_regex="^/")
 
 
 @query(

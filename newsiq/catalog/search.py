@@ -557,7 +557,7 @@ def split(t):
       SELECT doc_id, chunk_index, sha256(chunk_text) AS chunk_hash, CASE WHEN regexp_matches(chunk_text, '[㐀-鿿]') THEN 'zh' ELSE 'en' END AS language, CAST(ceil(length(chunk_text) / 4) AS BIGINT) AS token_estimate, 'paragraph' AS boundary_type FROM k WHERE rn = 1""",
 )
 def build(t):
-    out = ch.build(t.documents, "text", "doc_id", sep=r"\n+")
+    out = ch.build(t.spread_out(t.documents), "text", "doc_id", sep=r"\n+")
     return out.select("doc_id", "chunk_index", "chunk_hash", "language", "token_estimate", "boundary_type")
 
 

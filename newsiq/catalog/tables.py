@@ -315,9 +315,14 @@ class Tables:
         self._cache: dict[str, DataFrame] = {}
 
     @property
-    def spread(self) -> int:
-        """Parts for heavy work per row on these tables, which are stored in few blocks: one per core."""
-        return self.spark.sparkContext.defaultParallelism
+    def spread(self) -> int | None:
+        """Parts for heavy work per row where tables are stored in few blocks: the setting ``spark.newsiq.partitions``, if there is one."""
+        parts = self.spark.conf.get("spark.newsiq.partitions", None)
+        return int(parts) if parts else None
+
+    def spread_out(self, df: DataFrame) -> DataFrame:
+        """``df`` in :attr:`spread` parts; as it lies where that is not set, as for tables of many files."""
+        return df.repartition(self.spread) if self.spread else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

@@ -218,9 +218,13 @@ def usable_content(title: Column | str, body: Column | str, published: Column |
     ).otherwise(0)
 
     def measure(v: Column) -> Column:
-        some = contains_any(F.lower(v), BOILERPLATE_WORDS)
+        return let(F.lower(v), lambda low: counts(v, low))
+
+    def counts(v: Column, low: Column) -> Column:
+        some = contains_any(low, BOILERPLATE_WORDS)
         hits = sum((F.regexp_count(v, F.lit(f"(?i){ASCII_L}{p}{ASCII_R}")) for p in BOILERPLATE), F.lit(0))
-        tech = sum((v.rlike(f"(?i){ASCII_L}(?:{p}){ASCII_R}").cast("int") for p in TECHNICAL), F.lit(0))
+        # a plain search for the word goes before the pattern
+        tech = sum(((F.contains(low, F.lit(p.removesuffix("s?"))) & v.rlike(f"(?i){ASCII_L}(?:{p}){ASCII_R}")).cast("int") for p in TECHNICAL), F.lit(0))
         return F.struct(
             F.length(v).alias("chars"), tech.alias("tech"), F.when(some, hits).otherwise(0).alias("boiler"),
             F.length(normalize_text(v)).alias("kept"),
