@@ -28,10 +28,24 @@ OVERLAP, SUBSTITUTED = 13, 2
 #: Bits of the filter over all test hashes (16 MB); raise it beyond about ten million test hashes.
 FILTER_BITS = 27
 
+#: Fewest tokens of an item that is looked for, and the most that a whole-item seed covers.
+SHORTEST, SHORT = 3, 9
+
 _SPAN = len(MASKS[0])
 _PICKS = [np.flatnonzero(np.array(list(m)) == "1") for m in MASKS]
+
+
+def _short_masks(n: int) -> dict[int, np.ndarray]:
+    """Masks over an item of ``n`` tokens as a whole: all tokens or, where one may differ, all but one."""
+    if SUBSTITUTED * n // OVERLAP == 0:
+        return {10 + n: np.arange(n)}
+    return {10 * (n - 5) + gap: np.delete(np.arange(n), gap) for gap in range(n)}
+
+
+_WHOLE = {mask: (n, picks) for n in range(SHORTEST, SHORT + 1) for mask, picks in _short_masks(n).items()}
 _SECOND = constants(1, 9)[0]
 _SIGNS = r"[^\p{L}\p{N}\p{M}]+"
+_UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*)"
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -43,22 +57,33 @@ def _plain(column: str):
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all tokens, first token of each text): runs of letters, digits and combining marks.
 
+    In scripts that are written without spaces each character is a token.
     Test and training texts both come here, so both are cut by this one rule.
     """
     raw, offsets = buffers(texts)
+    if len(raw) and raw.max() >= 0xE0:  # the first byte of all characters of these scripts
+        texts = pc.replace_substring_regex(texts, _UNSPACED, r" \1 ")
     if len(raw) and raw.max() >= 0x80:
         raw, offsets = buffers(pc.replace_substring_regex(texts, _SIGNS, " "))
     starts, ends, first = word_spans(raw, offsets, _TOKEN)
     return word_hashes(raw, starts, ends), first
 
 
-def _seeds(words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(mask, positions, hashes) of the seeds that lie inside one text."""
+def _seeds(words: np.ndarray, first: np.ndarray, whole: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(mask, positions, hashes) of the seeds that lie inside one text, for the two masks and those of ``whole``."""
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    n = max(0, len(words) - _SPAN + 1)
-    inside = np.flatnonzero(text[:n] == text[len(words) - n :]) if n else np.zeros(0, np.int64)
+
+    def inside(span: int) -> np.ndarray:
+        n = max(0, len(words) - span + 1)
+        return np.flatnonzero(text[:n] == text[len(words) - n :]) if n else np.zeros(0, np.int64)
+
+    at = inside(_SPAN)
     for m, picks in enumerate(_PICKS):
-        yield m, inside, run_hashes(words, picks, m + 1)[inside]  # masks begin and end with 1
+        yield m, at, run_hashes(words, picks, m + 1)[at]
+    for m in whole:
+        span, picks = _WHOLE[m]
+        at = inside(span)
+        yield m, at, run_hashes(words, picks, m + 1)[at]
 
 
 def _bits(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,8 +99,9 @@ def test_seeds(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
     """(item_id, at, mask, hash, tokens): every seed of every distinct test text.
 
     Texts that differ only in case or signs are one item, under the smallest
-    id; texts with fewer tokens than a mask have no seed.  ``tokens`` is only
-    set on the first seed of an item.
+    id; one of at most ``SHORT`` tokens also has seeds over the whole of it,
+    one of fewer than ``SHORTEST`` has none.  ``tokens`` is only set on the
+    first seed of an item.
     """
     kind = benchmark.schema[id_col].dataType
     schema = T.StructType([T.StructField("item_id", kind), T.StructField("at", T.IntegerType()), T.StructField("mask", T.ByteType()), T.StructField("hash", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
@@ -85,9 +111,12 @@ def test_seeds(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
             ids, texts = batch.column(0), strings(batch, "_plain")
             for lo, hi in slices(buffers(texts)[1]):
                 words, first = _tokens(texts[lo:hi])
-                for mask, at, hashes in _seeds(words, first):
+                for mask, at, hashes in _seeds(words, first, list(_WHOLE)):
                     row = np.searchsorted(first, at, "right") - 1
-                    lead = (mask == 0) & (at == first[row])
+                    if mask in _WHOLE:
+                        fits = np.flatnonzero(np.diff(first)[row] == _WHOLE[mask][0])
+                        at, hashes, row = at[fits], hashes[fits], row[fits]
+                    lead = (mask == (0 if mask not in _WHOLE or _WHOLE[mask][0] >= _SPAN else min(_short_masks(_WHOLE[mask][0])))) & (at == first[row])
                     lists = [words[first[r] : first[r + 1]].view(np.int64) if new else None for r, new in zip(row, lead, strict=True)]
                     yield pa.RecordBatch.from_arrays([
                         ids[lo:hi].take(pa.array(row)), pa.array((at - first[row]).astype(np.int32)), pa.array(np.full(len(at), mask, np.int8)),
@@ -116,7 +145,7 @@ def _has(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _segments(df: DataFrame, id_col: str, text_col: str, table: np.ndarray, bits: int) -> DataFrame:
+def _segments(df: DataFrame, id_col: str, text_col: str, table: np.ndarray, bits: int, whole: list[int]) -> DataFrame:
     """Stretches of training tokens around seeds that pass the filter, with those seeds."""
     shared = df.sparkSession.sparkContext.broadcast(table)
     kind = df.schema[id_col].dataType
@@ -134,7 +163,7 @@ def _segments(df: DataFrame, id_col: str, text_col: str, table: np.ndarray, bits
             for lo, hi in slices(buffers(texts)[1]):
                 words, first = _tokens(texts[lo:hi])
                 found = []
-                for mask, at, hashes in _seeds(words, first):
+                for mask, at, hashes in _seeds(words, first, whole):
                     one, two = _bits(hashes, bits)
                     hit = np.flatnonzero(_has(shared.value, one))
                     hit = hit[_has(shared.value, two[hit])]
@@ -189,7 +218,8 @@ def overlaps(
     One row per document, item and alignment's outermost token positions; the
     token counts are over letters-and-digits words in lower case.  Every
     overlap of ``OVERLAP`` tokens with at most ``SUBSTITUTED`` substitutions
-    is found.  Test texts shorter than a mask (eight tokens) never match;
+    is found, and of a shorter item a copy with substitutions in proportion
+    (one from seven tokens on).  Test texts of one or two tokens never match;
     texts equal up to case and signs are one item under the smallest id.
 
     Training texts are scanned once; a fixed-size filter of the test hashes
@@ -202,7 +232,8 @@ def overlaps(
     """
     seeds = cut(test_seeds(benchmark, item_id_col, "text"))
     table = _filter(seeds, bits)
-    segments = cut(_segments(df, id_col, text_col, table, bits))
+    whole = sorted(r["mask"] for r in seeds.select("mask").distinct().collect() if r["mask"] in _WHOLE)  # of the lengths there are
+    segments = cut(_segments(df, id_col, text_col, table, bits, whole))
     hits = segments.select("segment", F.explode(F.arrays_zip("at", "mask", "hash")).alias("h")).select("segment", "h.at", "h.mask", "h.hash")
     test = seeds.select("item_id", F.col("at").alias("item_at"), "mask", "hash")
     laid = hits.join(test, ["hash", "mask"]).select("segment", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()

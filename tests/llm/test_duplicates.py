@@ -190,7 +190,7 @@ TOKEN = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 def overlap(doc, item):
     x, y = TOKEN.findall((doc or "").lower()), TOKEN.findall((item or "").lower())
     n = min(decontam.OVERLAP, len(y))
-    if len(y) < 8:
+    if len(y) < decontam.SHORTEST:
         return False
     allowed = decontam.SUBSTITUTED * n // decontam.OVERLAP
     return any(sum(a != b for a, b in zip(x[i : i + n], y[j : j + n], strict=True)) <= allowed for i in range(len(x) - n + 1) for j in range(len(y) - n + 1))
@@ -203,7 +203,7 @@ def test_every_two_substitutions_are_found_by_a_mask():
 
 def test_overlaps_against_all_alignments(spark):
     rnd = random.Random(11)
-    items = [words(rnd, n) for n in (7, 8, 10, 13, 15, 20, 40)]
+    items = [words(rnd, n) for n in (7, 8, 10, 13, 15, 20, 40, 3, 4, 5, 6, 9, 11, 12)]
     docs = [" ".join(words(rnd, 80)) for _ in range(6)]
     for item in items:
         for changes in (0, 1, 2, 3, 6):
@@ -217,8 +217,7 @@ def test_overlaps_against_all_alignments(spark):
     test = spark.createDataFrame([(i, t, "y") for i, t in bench], "item_id long, text string, doc_id string")
     got = {(r.doc_id, r.item_id) for r in decontam.overlaps(df.repartition(3), test).collect()}
     want = {(d, i) for d, t in enumerate(docs) for i, b in bench if i != 50 and overlap(t, b)}
-    short = {(d, i) for d, i in want if i is not None and len(items[i]) < decontam.OVERLAP}  # found when a seed survives
-    assert want - short <= got <= want | {(None, 6)} and (None, 6) in got
+    assert want <= got <= want | {(None, 6)} | {(None, i) for i in range(len(items)) if overlap(" ".join(items[6]), " ".join(items[i])) or overlap("clean text", " ".join(items[i]))} and (None, 6) in got
     kept = decontam.drop_contaminated(df, test)
     assert kept.columns == df.columns
     texts = [r.text for r in kept.collect()]
@@ -240,3 +239,11 @@ def test_copies_with_signs_and_marks_outside_ascii_are_found(spark):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     test = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in decontam.overlaps(df, test).collect()) == [(i, i) for i in range(5)]
+
+
+def test_copies_in_scripts_without_spaces_are_found(spark):
+    items = ["今天天气很好我们一起去公园散步然后回家吃饭看书睡觉明天再来", "東京の天気は晴れです", "วันนี้อากาศดีมากเราจึงไปเดินเล่นที่สวนสาธารณะ", "where is the old mill"]
+    docs = [f"前文{items[0]}后文", f"これは{items[1]}と言った", f"ก่อน{items[2]}หลัง", f"so where is the old mill, they asked", "今天我们不去公园", "東京は雨", "where is the new mill"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    test = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.overlaps(df, test).collect()) == [(i, i) for i in range(4)]
