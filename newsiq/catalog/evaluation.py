@@ -235,20 +235,20 @@ def class_links(t):
 
 
 _NAME = "[A-Z][A-Za-z0-9$.-]+"
-_NAMED = "OpenAI|Anthropic|Google|Microsoft|Okta|xAI"
+_NAMED = es._NAMED
 
 
 def taxonomy_sql() -> str:
     dense = f"regexp_matches(question, '({_NAME}.*{_NAME}|{_NAMED}|\\$[0-9])', 'i')"
-    time = "regexp_matches(question, '(timeline|when|date|时间|日期|何时)', 'i')"
+    time = f"regexp_matches(question, '{es.TIMES}', 'i')"
     return f"""tax AS (SELECT case_id, CASE WHEN source_type IN ('youtube', 'podcast') THEN 'transcript' WHEN source_type IN ('reddit', 'apify_tweet', 'x_api') THEN 'reddit_social' WHEN source_type IN ('official_rss', 'official_html') THEN 'official'
         WHEN n > 1500 THEN 'long_form' WHEN n >= 1 THEN 'short_news' ELSE 'unknown' END AS format_cohort, CASE WHEN n <= 300 THEN 'short_0_300' WHEN n <= 1500 THEN 'medium_301_1500' ELSE 'long_1501_plus' END AS content_length_bucket,
       coalesce(source_type, 'unknown') AS source_type, coalesce(lang, 'zh') AS language,
-      CASE WHEN case_type = 'comparison' OR regexp_matches(question, '(compare|versus| vs |比较|对比)', 'i') THEN 'comparison' WHEN case_type = 'temporal' OR {time} THEN 'timeline' WHEN regexp_matches(question, '(these|it|that|上述|这家公司|该公司)', 'i') THEN 'ambiguous_followup'
-        WHEN regexp_matches(question, '(and|以及|同时|之间|多方|multi-hop)', 'i') THEN 'multi_hop' WHEN regexp_matches(question, '({_NAME}|[0-9]+|{_NAMED})', 'i') THEN 'entity_lookup' ELSE 'single_hop' END AS question_type,
+      CASE WHEN case_type = 'comparison' OR regexp_matches(question, '{es.COMPARES}', 'i') THEN 'comparison' WHEN case_type = 'temporal' OR {time} THEN 'timeline' WHEN regexp_matches(question, '{es.FOLLOWS_UP}', 'i') THEN 'ambiguous_followup'
+        WHEN regexp_matches(question, '{es.JOINS}', 'i') THEN 'multi_hop' WHEN regexp_matches(question, '({_NAME}|[0-9]+|{_NAMED})', 'i') THEN 'entity_lookup' ELSE 'single_hop' END AS question_type,
       CASE WHEN {dense} THEN 'high' WHEN regexp_matches(question, '({_NAME}|[0-9]+)', 'i') THEN 'medium' ELSE 'low' END AS entity_density,
       CASE WHEN case_source = 'production_badcase' THEN 'production_badcase' WHEN case_source = 'manual' THEN 'human' ELSE 'synthetic_paraphrase' END AS origin,
-      list_filter([CASE WHEN {dense} THEN 'entity_heavy' END, CASE WHEN {time} THEN 'temporal_event' END, CASE WHEN regexp_matches(question, '(legal|lawsuit|FedRAMP|合规|司法|法院|监管)', 'i') THEN 'legal_policy' END,
+      list_filter([CASE WHEN {dense} THEN 'entity_heavy' END, CASE WHEN {time} THEN 'temporal_event' END, CASE WHEN regexp_matches(question, '{es.LEGAL}', 'i') THEN 'legal_policy' END,
         CASE WHEN n > 1500 THEN 'long_context' END, CASE WHEN n <= 300 THEN 'short_sparse' END], lambda x: x IS NOT NULL) AS tags
       FROM (SELECT c.*, s.source_type, length(coalesce(n.article_content, n.summary_en, n.summary_zh, '')) AS n FROM cases c LEFT JOIN news n ON n.id = c.primary_article_id LEFT JOIN sources s USING (source_id)) z)"""
 

@@ -100,23 +100,25 @@ def rewrite(df: DataFrame, mode: str, question: str = "question", lexicon: list[
     ).drop("_r")
 
 
+# Patterns of intents, first match wins, and the names and question words that entities are told by.
+INTENTS = (
+    ("comparison", "compare|versus| vs |比较|对比"),
+    ("ambiguous follow-up", "follow|previous|that|it|上述|刚才|这家公司|该公司"),
+    ("low-context/conflicting evidence", "conflict|contradict|insufficient|低上下文|冲突"),
+    ("multi-hop", "and|multi-hop|between|同时|以及|之间"),
+)
+NAMES = r"[A-Z][A-Za-z0-9$.-]+|\$[0-9]|OpenAI|Anthropic|Google|Microsoft|Okta|xAI"
+ASKING = ("What", "When", "Why", "How", "Where", "Who")
+
+
 def intent(question: Column | str, context: Column | str | None = None) -> Column:
     """Six intents by ordered rules over the lower-cased question and context."""
     q = F.coalesce(_c(question), F.lit(""))
     ctx = F.coalesce(_c(context), F.lit("")) if context is not None else F.lit("")
     text = F.lower(F.concat(q, F.lit(" "), ctx))
-    named = F.regexp_extract_all(
-        q, F.lit(r"[A-Z][A-Za-z0-9$.-]+|\$[0-9]|OpenAI|Anthropic|Google|Microsoft|Okta|xAI"), F.lit(0)
-    )
-    named = F.array_except(named, F.array(*[F.lit(w) for w in ("What", "When", "Why", "How", "Where", "Who")]))
-    return (
-        F.when(text.rlike("compare|versus| vs |比较|对比"), "comparison")
-        .when(text.rlike("follow|previous|that|it|上述|刚才|这家公司|该公司"), "ambiguous follow-up")
-        .when(text.rlike("conflict|contradict|insufficient|低上下文|冲突"), "low-context/conflicting evidence")
-        .when(text.rlike("and|multi-hop|between|同时|以及|之间"), "multi-hop")
-        .when((F.size(named) >= 2) | q.rlike(r"\$[0-9]"), "entity-heavy")
-        .otherwise("simple")
-    )
+    named = F.array_except(F.regexp_extract_all(q, F.lit(NAMES), F.lit(0)), F.array(*[F.lit(w) for w in ASKING]))
+    worded = [F.when(text.rlike(pattern), kind) for kind, pattern in INTENTS]
+    return F.coalesce(*worded, F.when((F.size(named) >= 2) | q.rlike(r"\$[0-9]"), "entity-heavy"), F.lit("simple"))
 
 
 def plan(df: DataFrame, question: str = "question", context: str | None = None) -> DataFrame:

@@ -15,14 +15,17 @@ from newsiq.operators.windows import latest_per, top_per
 from newsiq.plans.metrics import is_hard_negative
 
 
+# Patterns of question types, first match wins.
+CASE_TYPES = (
+    ("comparison", r"比较|对比|versus|vs\.?|compare"),
+    ("temporal", "时间|日期|开庭|发布|when|date|timeline"),
+    ("synthesis", "是否|能否|如何|why|how|impact|影响"),
+)
+
+
 def case_type(question: Column | str) -> Column:
     q = F.lower(F.coalesce(tx._c(question), F.lit("")))
-    return (
-        F.when(q.rlike(r"比较|对比|versus|vs\.?|compare"), "comparison")
-        .when(q.rlike("时间|日期|开庭|发布|when|date|timeline"), "temporal")
-        .when(q.rlike("是否|能否|如何|why|how|impact|影响"), "synthesis")
-        .otherwise("factual")
-    )
+    return F.coalesce(*[F.when(q.rlike(pattern), kind) for kind, pattern in CASE_TYPES], F.lit("factual"))
 
 
 def normalize_questions(raw: DataFrame) -> DataFrame:
@@ -182,7 +185,13 @@ def _packed_cases(active: DataFrame, terms: DataFrame, top: DataFrame, known: Da
 
 # ---------------------------------------------------------------- taxonomy
 
+# Patterns of the case taxonomy.
 _NAMED = "OpenAI|Anthropic|Google|Microsoft|Okta|xAI"
+COMPARES = "(?:compare|versus| vs |比较|对比)"
+TIMES = "(?:timeline|when|date|时间|日期|何时)"
+FOLLOWS_UP = "(?:these|it|that|上述|这家公司|该公司)"
+JOINS = "(?:and|以及|同时|之间|多方|multi-hop)"
+LEGAL = "(?:legal|lawsuit|FedRAMP|合规|司法|法院|监管)"
 
 
 def taxonomy(cases: DataFrame, articles: DataFrame, sources: DataFrame, case_sensitive: bool = False) -> DataFrame:
@@ -210,10 +219,10 @@ def taxonomy(cases: DataFrame, articles: DataFrame, sources: DataFrame, case_sen
     )
     bucket = F.when(n <= 300, "short_0_300").when(n <= 1500, "medium_301_1500").otherwise("long_1501_plus")
     question_type = (
-        F.when((F.col("case_type") == "comparison") | has("(?:compare|versus| vs |比较|对比)"), "comparison")
-        .when((F.col("case_type") == "temporal") | has("(?:timeline|when|date|时间|日期|何时)"), "timeline")
-        .when(has("(?:these|it|that|上述|这家公司|该公司)"), "ambiguous_followup")
-        .when(has("(?:and|以及|同时|之间|多方|multi-hop)"), "multi_hop")
+        F.when((F.col("case_type") == "comparison") | has(COMPARES), "comparison")
+        .when((F.col("case_type") == "temporal") | has(TIMES), "timeline")
+        .when(has(FOLLOWS_UP), "ambiguous_followup")
+        .when(has(JOINS), "multi_hop")
         .when(q.rlike(f"{i}(?:{name}|[0-9]+|{_NAMED})"), "entity_lookup")
         .otherwise("single_hop")
     )
@@ -222,8 +231,8 @@ def taxonomy(cases: DataFrame, articles: DataFrame, sources: DataFrame, case_sen
     tags = F.array_compact(
         F.array(
             F.when(dense, F.lit("entity_heavy")),
-            F.when(has("(?:timeline|when|date|时间|日期|何时)"), F.lit("temporal_event")),
-            F.when(has("(?:legal|lawsuit|FedRAMP|合规|司法|法院|监管)"), F.lit("legal_policy")),
+            F.when(has(TIMES), F.lit("temporal_event")),
+            F.when(has(LEGAL), F.lit("legal_policy")),
             F.when(n > 1500, F.lit("long_context")),
             F.when(n <= 300, F.lit("short_sparse")),
         )

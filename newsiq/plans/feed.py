@@ -135,11 +135,12 @@ def window_of(published: Column | str, created: Column | str, today: Column, ste
     return F.floor(F.datediff(today, day) / step).cast("long")
 
 
-def windows(news: DataFrame, as_of: str, step: int, limit_date: str, max_windows: int = 300) -> DataFrame:
-    """Every window of the menu with its bounds and article count, empty ones included."""
+def windows(news: DataFrame, as_of: str, step: int, limit_date: str, max_windows: int | None = None) -> DataFrame:
+    """Every window of the menu with its bounds and article count, empty ones included; ``max_windows`` cuts a menu."""
     today, last = F.lit(as_of).cast("date"), F.lit(limit_date).cast("date")
     spark = news.sparkSession
-    count = F.least(F.ceil(F.datediff(today, last) / step), F.lit(max_windows)).cast("long")
+    count = F.ceil(F.datediff(today, last) / step).cast("long")
+    count = F.least(count, F.lit(max_windows).cast("long")) if max_windows is not None else count
     menu = spark.range(1).select(F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(count, F.lit(0)))).alias("idx"))
     menu = menu.withColumn("anchor", F.date_sub(today, (F.col("idx") * step).cast("int")))
     menu = menu.select("idx", "anchor", F.date_sub("anchor", step - 1).alias("start"), F.date_add("anchor", 1).alias("end"))
