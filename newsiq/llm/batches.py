@@ -19,7 +19,11 @@ SLICE_BYTES = 1 << 20
 def shared_folder(spark: SparkSession) -> str:
     """The folder ``spark.checkpoint.dir`` names, else one inside the warehouse, which is shared as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate").rstrip("/")
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"
+        if not spark.sparkContext.master.startswith("local") and folder.split(":")[0] in ("file", folder):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return folder.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
