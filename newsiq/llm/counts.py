@@ -21,8 +21,9 @@ from newsiq.llm.batches import buffers, held, slices, strings
 
 #: Texts are counted in blocks of at most so many rows, and of about so many bytes.
 BLOCK_ROWS, BLOCK_BYTES = 4096, 1 << 24
-#: Parts that pre-tokens are dealt to; one task holds the distinct pre-tokens of a part. Raise it with the vocabulary.
-PARTS = 64
+#: Parts that pre-tokens are dealt to, for each shuffle partition of the session, which a cluster sets by its data: so
+#: many that partitions get about the same. A task holds the distinct pre-tokens of one part at a time.
+PARTS_EACH = 16
 
 _FLAGS = ("single_word", "lstrip", "rstrip", "normalized")
 
@@ -90,7 +91,7 @@ def _block(texts: list[str], split, parts: int) -> Iterator[tuple]:
             yield p, words[by[lo:hi]].tolist(), per[lo:hi], docs[a:b], counts[a:b]
 
 
-def token_counts(df: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", parts: int = PARTS) -> DataFrame:
+def token_counts(df: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """(id, n_bytes, n_tokens): UTF-8 length and number of tokens of every whole text.
 
     Equal to what the tokenizer gives for the text without begin or end
@@ -98,7 +99,8 @@ def token_counts(df: DataFrame, tokenizer_path: str, pattern: str, id_col: str =
     tokenizer's special tokens, its default.
 
     Texts are counted in blocks: a block's distinct pre-tokens with their
-    documents and frequencies are dealt by pre-token to ``parts`` parts.  A
+    documents and frequencies are dealt by pre-token to ``parts`` parts (by
+    default ``PARTS_EACH`` for each shuffle partition).  A
     part counts the pieces of each of its distinct pre-tokens once, joins them
     to the frequencies and adds up per document; the parts' sums of a block
     meet again in one row set of at most ``parts`` rows.  Ids are never kept.
@@ -110,6 +112,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, pattern: str, id_col: str =
     are ignored.  ``df`` should be a stored table or deterministic.
     """
     spark = df.sparkSession
+    parts = parts or PARTS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))
     with open(tokenizer_path, "rb") as f:
         files = spark.sparkContext.broadcast(f.read())  # about two megabytes, fixed
     id_type = df.schema[id_col].dataType
@@ -130,7 +133,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, pattern: str, id_col: str =
                     end = min(at + BLOCK_ROWS, hi)
                     name, n = f"{task}-{seen}", end - at
                     seen += 1
-                    rows = [(-1, None, None, None, None), *_block(texts[at:end].to_pylist(), split, parts)]
+                    rows = [(-1 - (task + seen) % parts, None, None, None, None), *_block(texts[at:end].to_pylist(), split, parts)]
                     first = [True] + [False] * (len(rows) - 1)
                     yield pa.RecordBatch.from_arrays([
                         pa.array([name] * len(rows)), pa.array([r[0] for r in rows], pa.int32()), pa.array([n] * len(rows), pa.int32()),
@@ -172,5 +175,5 @@ def token_counts(df: DataFrame, tokenizer_path: str, pattern: str, id_col: str =
         return pa.table([ids, sizes, pa.array(tokens, pa.int64())], names=out.names)
 
     rows = df.select(F.col(id_col), F.col(text_col)).mapInArrow(deal, dealt)
-    by_part = rows.repartition(parts, "part").sortWithinPartitions("part")
+    by_part = rows.repartition("part").sortWithinPartitions("part")
     return by_part.mapInArrow(count, summed).groupBy("block").applyInArrow(total, out)
