@@ -14,7 +14,7 @@ import __spark_entry__ as e  # noqa: E402
 from newsiq import get_session  # noqa: E402
 
 sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-spark = get_session("oracle", 8)
+spark = get_session("oracle", os.environ.get("ORACLE_CPUS", "8"))
 con = connect(sf)
 q, o = e.queries(), e.oracle_sql()
 wanted = sys.argv[1:]

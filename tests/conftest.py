@@ -12,4 +12,4 @@ from newsiq import get_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    return get_session("tests", 8, spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")))
+    return get_session("tests", os.environ.get("TEST_CPUS", "8"), spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")))
