@@ -41,6 +41,16 @@ def trim() -> None:
         release(0)
 
 
+def freeing(run: Callable) -> Callable:
+    """``run`` over the batches of a task, with :func:`trim` at its end."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return over
+
+
 def with_columns(
     df: DataFrame, added: str, fn: Callable[[pa.RecordBatch], list], keep: list[str] | None = None, by: str | None = None
 ) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsiq.llm.batches import buffers, cut, free_name, slices, strings
+from newsiq.llm.batches import buffers, cut, free_name, freeing, slices, strings
 from newsiq.llm.hashing import constants, run_hashes, word_hashes, word_spans
 
 #: Together these two find every run of 13 tokens of which any 2 are substituted.
@@ -124,7 +124,7 @@ def test_seeds(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
                     ], names=schema.names)
 
     one = benchmark.select(F.col(id_col).alias("item_id"), _plain(text_col)).withColumn("_words", F.regexp_replace("_plain", _SIGNS, " "))
-    return one.groupBy("_words").agg(F.min("item_id").alias("item_id"), F.min("_plain").alias("_plain")).select("item_id", "_plain").mapInArrow(run, schema)
+    return one.groupBy("_words").agg(F.min("item_id").alias("item_id"), F.min("_plain").alias("_plain")).select("item_id", "_plain").mapInArrow(freeing(run), schema)
 
 
 def _filter(seeds: DataFrame, bits: int) -> np.ndarray:
@@ -135,7 +135,7 @@ def _filter(seeds: DataFrame, bits: int) -> np.ndarray:
             both = np.concatenate(_bits(batch.column(0).to_numpy().view(np.uint64), bits))
             yield pa.RecordBatch.from_arrays([pa.array((both >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (both & np.uint64(63))).view(np.int64))], names=["word", "bit"])
 
-    words = seeds.select("hash").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = seeds.select("hash").mapInArrow(freeing(run), "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out.view(np.uint8)
@@ -187,7 +187,7 @@ def _segments(df: DataFrame, id_col: str, text_col: str, table: np.ndarray, bits
                     *[pa.array([x[k] for x in rows], pa.list_(t)) for k, t in ((3, pa.int64()), (4, pa.int32()), (5, pa.int8()), (6, pa.int64()))],
                 ], names=schema.names)
 
-    return df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), _plain(text_col)).mapInArrow(run, schema)
+    return df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), _plain(text_col)).mapInArrow(freeing(run), schema)
 
 
 def confirm(segment: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
@@ -256,7 +256,7 @@ def overlaps(
                 pa.array(spans[:, 0] + start[at], pa.int32()), pa.array(spans[:, 1] + start[at], pa.int32()), pa.array(spans[:, 2], pa.int32()),
             ], names=out.names)
 
-    pairs = rows.mapInArrow(run, out).groupBy("id", "text_hash", "item_id")
+    pairs = rows.mapInArrow(freeing(run), out).groupBy("id", "text_hash", "item_id")
     best = pairs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("n_equal").alias("n_equal"))
     return best.withColumnRenamed("id", id_col)
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsiq.llm.batches import buffers, held, set_aside, slices, strings, with_columns
+from newsiq.llm.batches import buffers, freeing, held, set_aside, slices, strings, with_columns
 from newsiq.llm.bpe import load_ranks
 from newsiq.llm.hashing import mix
 
@@ -244,7 +244,7 @@ def fit(labelled: DataFrame, vocabulary_path: str, text_col: str = "text", lang_
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(sums[at])], names=["lang", "piece", "n"])
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([-1], pa.int32()), pa.array([0.0])], names=["lang", "piece", "n"])
 
-    sums = rows.mapInArrow(run, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    sums = rows.mapInArrow(freeing(run), "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
     table = sums.toArrow()
     names, pieces, n = table["lang"].to_pylist(), table["piece"].to_numpy(), table["n"].to_numpy()
     languages = sorted(set(names))

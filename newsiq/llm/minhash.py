@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsiq.llm.batches import buffers, cut, free_name, slices, strings
+from newsiq.llm.batches import buffers, cut, free_name, freeing, slices, strings
 from newsiq.llm.graph import components
 from newsiq.llm.hashing import constants, mix, word_hashes, word_spans
 
@@ -117,7 +117,7 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     ids[lo:hi], *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))],
                 ], names=schema.names)
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(freeing(run), schema)
 
 
 def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(k).take(pa.array(alive)) for k in (0, 1)], names=["a", "b"])
 
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    return joined.select("a", "b", "s", "t").mapInArrow(run, schema)
+    return joined.select("a", "b", "s", "t").mapInArrow(freeing(run), schema)
 
 
 def _linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -160,7 +160,7 @@ def _sets(ids: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(rows, pa.list_(pa.int64()))], names=["id", "set"])
 
     schema = T.StructType([T.StructField("id", kind), T.StructField("set", T.ArrayType(T.LongType()))])
-    return cut(texts.join(cut(ids.distinct()), "id", "left_semi").select("id", "text").mapInArrow(sets, schema))
+    return cut(texts.join(cut(ids.distinct()), "id", "left_semi").select("id", "text").mapInArrow(freeing(sets), schema))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in (0, 1)], names=["a", "b"])
 
     joined = pairs.join(full.withColumnsRenamed({"id": "a", "set": "s"}), "a").join(full.withColumnsRenamed({"id": "b", "set": "t"}), "b")
-    return joined.select("a", "b", "s", "t").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return joined.select("a", "b", "s", "t").mapInArrow(freeing(run), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 class _Bucket:
@@ -292,7 +292,7 @@ def _compared(members: DataFrame, reps: DataFrame, sets: DataFrame | None = None
         if bucket is not None:
             yield from ended()
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(freeing(run), schema)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsiq.llm.batches import buffers, cut, free_name, set_aside, slices, strings, with_columns
+from newsiq.llm.batches import buffers, cut, free_name, freeing, set_aside, slices, strings, with_columns
 from newsiq.llm.hashing import constants, mix, word_hashes
 
 #: Buckets of the hashed n-grams: the power of two that is not below the number of distinct ones, from
@@ -131,19 +131,20 @@ def fit(df: DataFrame, sample: DataFrame, text_col: str = "text", id_col: str =
     rows = rows.select(F.coalesce("_is_target", F.lit(False)).alias("target"), F.col(text_col).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(most), np.zeros(most)
+        raw, target = np.zeros(most, np.int32), np.zeros(most, np.int32)
         for batch in batches:
             texts, flags = strings(batch, "words"), batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi in slices(buffers(texts)[1]):
                 of, row, _ = _features(texts[lo:hi], most)
-                raw += np.bincount(of, minlength=most)
-                target += np.bincount(of[flags[lo:hi][row]], minlength=most)
+                for sums, seen in ((raw, of), (target, of[flags[lo:hi][row]])):  # a slice has far fewer n-grams than there are buckets
+                    bucket, n = np.unique(seen, return_counts=True)
+                    sums[bucket] += n.astype(np.int32)
         used = np.flatnonzero(raw)
         for lo in range(0, len(used), 1 << 16):
             at = used[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(target[at]), pa.array(raw[at])], names=["bucket", "target", "raw"])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(target[at].astype(float)), pa.array(raw[at].astype(float))], names=["bucket", "target", "raw"])
 
-    sums = rows.mapInArrow(run, "bucket int, target double, raw double").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
+    sums = rows.mapInArrow(freeing(run), "bucket int, target double, raw double").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
     table = sums.toArrow()  # at most one row a bucket
     target, raw = np.zeros(most), np.zeros(most)
     target[table["bucket"].to_numpy()], raw[table["bucket"].to_numpy()] = table["target"].to_numpy(), table["raw"].to_numpy()
@@ -240,7 +241,7 @@ def lows(df: DataFrame, model: Model, sample: DataFrame, text_col: str = "text",
                 each = np.log(np.maximum(target[of] - own, 0) + prior) - np.log(raw[of] + prior) + level
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in _parts(each, row, n_words, hi - lo, usual)], names=["lightest", "mean"])
 
-    found = rows.mapInArrow(run, "lightest double, mean double").agg(*[F.expr(f"percentile_approx({c}, {1 - recall}, 100000)") for c in ("lightest", "mean")]).first()
+    found = rows.mapInArrow(freeing(run), "lightest double, mean double").agg(*[F.expr(f"percentile_approx({c}, {1 - recall}, 100000)") for c in ("lightest", "mean")]).first()
     return None if found[0] is None else tuple(found)
 
 
