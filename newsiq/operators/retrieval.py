@@ -201,6 +201,7 @@ def with_cache_key(
     column); a list is no longer than the retrieval asked for.
     """
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # fixed values: version and field names of the key, in the order in which they are hashed
     payload = F.to_json(
         F.struct(
             F.lit("rag-rerank-cache-v1").alias("cache_version"),
@@ -241,6 +242,7 @@ def cache_lookup(candidates: DataFrame, cache: DataFrame, model: str, **key_args
 
 # ---------------------------------------------------------------- strategies
 
+# Names of the strategies and their aliases.
 STRATEGIES = ("dense", "lexical", "hybrid", "chunk_dense", "chunk_hybrid", "entity_hybrid", "rerank_hybrid")
 ALIASES = {"article_dense": "dense", "entity_expanded_chunk": "entity_hybrid"}
 

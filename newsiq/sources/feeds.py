@@ -35,16 +35,21 @@ def _trim(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
+# Patterns of a feed's items and of an Atom link.
+ITEM = r"(?s)<(?:item|entry)>(.*?)</(?:item|entry)>"
+ATOM_LINK = r"""(?i)<link[^>]+href=["']([^"']+)["']"""
+
+
 def parse_feeds(docs: DataFrame, text_col: str = "xml", max_items: int = MAX_ITEMS) -> DataFrame:
     """Items of RSS and Atom documents: url, title, content, published_at, pos.
 
     Items without a URL are skipped; the first ``max_items`` with one are kept
     per document, in document order.
     """
-    blocks = F.regexp_extract_all(F.col(text_col), F.lit(r"(?s)<(?:item|entry)>(.*?)</(?:item|entry)>"), F.lit(1))
+    blocks = F.regexp_extract_all(F.col(text_col), F.lit(ITEM), F.lit(1))
 
     def item(b: Column) -> Column:
-        atom = F.nullif(F.regexp_extract(b, r"""(?i)<link[^>]+href=["']([^"']+)["']""", 1), F.lit(""))
+        atom = F.nullif(F.regexp_extract(b, ATOM_LINK, 1), F.lit(""))
         return F.struct(
             _trim(F.coalesce(atom, _tag(b, "link"), _tag(b, "guid"))).alias("url"),
             _trim(F.coalesce(_tag(b, "title"), F.lit(""))).alias("title"),
