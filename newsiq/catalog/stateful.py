@@ -17,31 +17,44 @@ from newsiq.streaming import jobs
 from newsiq.streaming.keyed import KeyedTable
 
 
-def stream_of(t, name: str, batches: int = 1):
-    """A derived table as a stream: the same SQL over a file stream of its one driver table.
-
-    With ``batches`` the driver table is first laid out as so many files by
-    ascending id, one micro-batch each.
-    """
-    needs, build = DERIVED[name] if name in DERIVED else ((name,), None)
-    (base,) = needs
-    table = getattr(t, base)
-    if batches == 1:
-        raw = jobs.stream_table(t.spark, t.sf_dir, base, table.schema)
-    else:
-        path, key = folder(t), table.columns[0]
-        lo, hi = table.agg(F.min(key), F.max(key)).first()
-        part = F.floor((F.col(key) - lo) * batches / (hi - lo + 1))
-        for i in range(batches):
-            table.where(part == i).coalesce(1).write.mode("append").parquet(path)
-        raw = jobs.stream_table(t.spark, path, "part", table.schema, max_files=1)
+def _derived(t, name: str, raw):
+    """A derived table by its SQL over ``raw``, the stream of its one driver table."""
+    build = DERIVED[name][1] if name in DERIVED else None
     if build is None:
         return raw
+    (base,) = DERIVED[name][0]
     text = build(SPARK).replace("{", "{{").replace("}", "}}")
     assert base in BASE
     return t.spark.sql(text.replace(f"FROM {base}", f"FROM {{{base}}}"), **{base: raw})
 
 
+def _base(name: str) -> str:
+    (base,) = DERIVED[name][0] if name in DERIVED else (name,)
+    return base
+
+
+def stream_of(t, name: str):
+    """A derived table as a stream: the same SQL over a file stream of its one driver table."""
+    base = _base(name)
+    return _derived(t, name, jobs.stream_table(t.spark, f"{t.sf_dir}/{base}.parquet", getattr(t, base).schema))
+
+
+def run_in_batches(t, name: str, batches: int, job, path: str, **how) -> None:
+    """Run ``job`` over a derived table whose driver table arrives in so many batches, by ascending id.
+
+    A batch arrives as the files of all the tasks that write it, and is
+    processed before the next one comes; the query goes on from its checkpoint.
+    """
+    table, arrived = getattr(t, _base(name)), folder(t)
+    key = table.columns[0]
+    lo, hi = table.agg(F.min(key), F.max(key)).first()
+    part = F.floor((F.col(key) - lo) * batches / (hi - lo + 1)) if lo is not None else F.lit(0)
+    for i in range(batches):
+        table.where(part == i).write.mode("append").parquet(arrived)
+        rows = _derived(t, name, jobs.stream_table(t.spark, arrived, table.schema))
+        jobs.run_available(job(rows), path, **how)
+
+
 def folder(t) -> str:
     return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
@@ -52,11 +65,13 @@ def with_time(df, col: str):
 
 @query("str_1_ingest", f"SELECT min(id) AS id, {CANON('url')} AS url FROM items WHERE {ai_sql('body')} GROUP BY 2", ("items",))
 def ingest(t):
-    rows = with_time(stream_of(t, "items", 4), "published_at").withColumnRenamed("body", "raw_content")
-    out = jobs.ingest(rows.select("id", "url", "raw_content", "published_at"), "60 days", "published_at")
+    def relevant(items):
+        rows = with_time(items, "published_at").withColumnRenamed("body", "raw_content")
+        # of the copies of a url within one batch any may be the one kept
+        return jobs.ingest(rows.select("id", "url", "raw_content", "published_at"), "60 days", "published_at").select("url")
+
     path = folder(t)
-    # of the copies of a url within one batch any may be the one kept
-    jobs.run_available(out.select("url"), path)
+    run_in_batches(t, "items", 4, relevant, path)
     kept = t.spark.read.schema("url string").parquet(f"{path}/data")
     from newsiq.functions import text as tx
 
@@ -72,9 +87,8 @@ def ingest(t):
 def insert_new(t):
     from newsiq.functions import text as tx
 
-    rows = stream_of(t, "items", 4).select("id", tx.canonical_url("url").alias("url"))
     path = folder(t)
-    jobs.run_available(rows, path, writer=jobs.insert_new(f"{path}/data", "url", "id"))
+    run_in_batches(t, "items", 4, lambda items: items.select("id", tx.canonical_url("url").alias("url")), path, writer=jobs.insert_new(f"{path}/data", "url", "id"))
     return KeyedTable(t.spark, f"{path}/data", "id long, url string", ["url"]).read()
 
 
@@ -85,9 +99,8 @@ def insert_new(t):
 )
 def route_late(t):
     path = folder(t)
-    rows = stream_of(t, "news", 4).select("id", "url", "published_at")
     writer = jobs.route_late(f"{path}/new", f"{path}/late", t.raw.where("status = 'done'").select("url"), AS_OF, days=10)
-    jobs.run_available(rows, path, writer=writer)
+    run_in_batches(t, "news", 4, lambda news: news.select("id", "url", "published_at"), path, writer=writer)
     kept = t.spark.read.parquet(f"{path}/new").select("id", F.lit("kept").alias("outcome"))
     return kept.unionByName(t.spark.read.parquet(f"{path}/late").select("id", F.col("reason").alias("outcome")))
 
@@ -100,9 +113,12 @@ def route_late(t):
     ("news", "sources"),
 )
 def enrich(t):
-    rows = t.spark.sql(_ROUTE.replace("SELECT id,", "SELECT id, source_id,", 1).replace("FROM news", "FROM {news}"), news=stream_of(t, "news", 4))
+    def outcomes(news):
+        rows = t.spark.sql(_ROUTE.replace("SELECT id,", "SELECT id, source_id,", 1).replace("FROM news", "FROM {news}"), news=news)
+        return jobs.enrich(rows, t.sources).select("id", "source_type", "status", "last_error")
+
     path = folder(t)
-    jobs.run_available(jobs.enrich(rows, t.sources).select("id", "source_type", "status", "last_error"), path)
+    run_in_batches(t, "news", 4, outcomes, path)
     return t.spark.read.schema("id long, source_type string, status string, last_error string").parquet(f"{path}/data")
 
 
@@ -114,7 +130,7 @@ def enrich(t):
 def freshness(t):
     path = folder(t)
     jobs.run_available(jobs.freshness(with_time(stream_of(t, "raw").select("source_id", "fetched_at"), "fetched_at")), path, "complete")
-    out = t.spark.read.parquet(f"{path}/data")
+    out = t.spark.read.schema("source_id long, window_start timestamp, raw_rows long, newest_raw_row_at timestamp").parquet(f"{path}/data")
     return out.select("source_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "raw_rows", F.col("newest_raw_row_at").cast("timestamp_ntz").alias("newest_raw_row_at"))
 
 
@@ -129,8 +145,8 @@ def freshness(t):
 )
 def canary(t):
     path = folder(t)
-    rows = with_time(stream_of(t, "runs", 4), "created_at").join(t.qa_logs.select("qa_log_id", "error_message", "feedback"), "qa_log_id", "left")
-    jobs.run_available(jobs.canary(rows), path, "complete")
+    logs = t.qa_logs.select("qa_log_id", "error_message", "feedback")
+    run_in_batches(t, "runs", 4, lambda runs: jobs.canary(with_time(runs, "created_at").join(logs, "qa_log_id", "left")), path, mode="complete")
     out = t.spark.read.parquet(f"{path}/data")
     rates = ("empty_candidate_rate", "qa_error_rate", "negative_feedback_rate", "fallback_rate")
     return out.select(
@@ -167,7 +183,7 @@ def rate_limit_batch(t):
 @query("str_7_feedback", VOTES, ("votes",))
 def feedback(t):
     path = folder(t)
-    jobs.run_available(stream_of(t, "votes", 4), path, writer=jobs.feedback(path))
+    run_in_batches(t, "votes", 4, lambda votes: votes, path, writer=jobs.feedback(path))
     return rp.feedback_counts(jobs.vote_table(t.spark, path, t.votes.schema).read())
 
 
@@ -175,7 +191,7 @@ def feedback(t):
 def counters(t):
     """The counters kept from the changes of four batches."""
     path = folder(t)
-    jobs.run_available(stream_of(t, "votes", 4), path, writer=jobs.feedback(path))
+    run_in_batches(t, "votes", 4, lambda votes: votes, path, writer=jobs.feedback(path))
     return jobs.counter_table(t.spark, path).read()
 
 
@@ -188,12 +204,11 @@ def silence(t):
     path, rows = folder(t), with_time(t.raw.select("source_id", "fetched_at"), "fetched_at")
     lo, hi = rows.agg(F.min("fetched_at"), F.max("fetched_at")).first()
     part = F.floor((F.unix_seconds("fetched_at") - F.unix_seconds(F.lit(lo))) * 4 / (F.unix_seconds(F.lit(hi)) - F.unix_seconds(F.lit(lo)) + 1))
-    for i in range(4):
-        rows.where(part == i).coalesce(1).write.mode("append").parquet(f"{path}/in")  # a file is a batch of the stream
     end = t.spark.sql(f"SELECT -1L AS source_id, TIMESTAMP '{AS_OF}' + INTERVAL '1' HOUR AS fetched_at")
-    end.write.mode("append").parquet(f"{path}/in")
-    raw = jobs.stream_table(t.spark, f"{path}/in", "part", rows.schema, max_files=1)
-    jobs.run_available(jobs.silence(raw, hours=10, watermark="1 hour"), path)
+    for batch in [*(rows.where(part == i) for i in range(4)), end]:
+        batch.write.mode("append").parquet(f"{path}/in")
+        raw = jobs.stream_table(t.spark, f"{path}/in", rows.schema)
+        jobs.run_available(jobs.silence(raw, hours=10, watermark="1 hour"), path)
     out = t.spark.read.schema(jobs._SILENCE_OUT).parquet(f"{path}/data").where("source_id >= 0")
     return out.select("source_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("silent_since", "noticed_at")])
 

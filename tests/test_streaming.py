@@ -8,6 +8,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from newsiq.catalog import stateful
+from newsiq.catalog.tables import Tables
+from newsiq.functions import text as tx
 from newsiq.plans import reports
 from newsiq.streaming import jobs
 from newsiq.streaming.keyed import KeyedTable
@@ -173,3 +176,43 @@ def test_silence_alarm_by_timer(spark, tmp_path):
     assert got == {(1, 10), (1, 70), (3, 0)}
     batch = jobs.silence_batch(df.withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz")), "2024-01-09 03:00:00")
     assert {(r.source_id, int((r.silent_since - START).total_seconds() // 3600)) for r in batch.collect()} == got
+
+
+def test_canary_percentiles_are_exact(spark, tmp_path):
+    n = 60_000
+    shuffled = F.col("id") * 7919 % n
+    runs = spark.range(n).select(
+        F.lit(START).cast("timestamp").alias("created_at"), F.lit(reports.ANSWER_SURFACE).alias("surface"), F.lit("s").alias("strategy"), (shuffled * shuffled).alias("latency_ms"),
+        F.lit(1).alias("injected_count"), F.lit(None).cast("string").alias("error_message"), F.lit(None).cast("int").alias("feedback"), F.lit("{}").alias("query_input"),
+    )
+    runs.coalesce(1).write.parquet(f"{tmp_path}/in")
+    jobs.run_available(jobs.canary(jobs.stream_table(spark, f"{tmp_path}/in", runs.schema)), f"{tmp_path}/out", "complete")
+    (row,) = spark.read.parquet(f"{tmp_path}/out/data").collect()
+    assert (row.requests, row.p50_latency_ms, row.p95_latency_ms) == (n, (n // 2 - 1) ** 2, (n * 95 // 100 - 1) ** 2)
+
+
+@pytest.fixture(scope="module")
+def folders(spark, tmp_path_factory):
+    """Tables as folders of several files."""
+    path = str(tmp_path_factory.mktemp("folders"))
+    for name, key in (("documents", "doc_id"), ("events", "event_id")):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(3, key).write.parquet(f"{path}/{name}.parquet")
+    return Tables(spark, path)
+
+
+def test_streams_follow_tables_stored_as_folders(spark, folders):
+    got = {(r.source_id, r.window_start): r.raw_rows for r in stateful.freshness(folders).collect()}
+    raw = folders.raw.select("source_id", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("h"), F.date_trunc("hour", "fetched_at").alias("t"))
+    raw = raw.select("source_id", F.expr("CAST(t - make_interval(0, 0, 0, 0, h) AS timestamp_ntz)").alias("w"))
+    assert got and got == {(r.source_id, r.w): r["count"] for r in raw.groupBy("source_id", "w").count().collect()}
+    assert stateful.rate_limit(folders).count() == folders.events.count()
+
+
+def test_a_batch_arrives_in_more_files_than_one(spark, folders, monkeypatch):
+    paths = []
+    monkeypatch.setattr(stateful, "folder", lambda t, make=stateful.folder: paths.append(make(t)) or paths[-1])
+    got = {(r.id, r.url) for r in stateful.insert_new(folders).collect()}
+    first = folders.items.groupBy(tx.canonical_url("url").alias("url")).agg(F.min("id").alias("id"))
+    assert got == {(r.id, r.url) for r in first.collect()}
+    arrived = [p for p in paths if any(n.startswith("part-") for n in os.listdir(p.removeprefix("file:")))]
+    assert len(arrived) == 1 and len(files(arrived[0].removeprefix("file:"))) == 4 * 3
