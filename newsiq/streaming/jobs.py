@@ -368,12 +368,9 @@ def run_available(stream: DataFrame, path: str, mode: str = "append", writer: Ca
     query.start().awaitTermination()
 
 
-def stream_table(spark, directory: str, name: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
-    """File stream over one parquet table of a directory."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(directory)
+def stream_table(spark, path: str, schema: T.StructType) -> DataFrame:
+    """File stream over a parquet table: one file, or a folder of them."""
+    return spark.readStream.schema(schema).parquet(path)
 
 
 __all__ = [
