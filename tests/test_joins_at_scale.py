@@ -345,3 +345,20 @@ def test_or_join_as_classes_gives_every_pair_once(spark):
     pairs += [(x.l, x.r) for x in outside.collect()]
     want = {(x[0], y[0]) for x in left for y in right if (None not in x and x[1:] == y[1:]) or (x[0], y[0]) in listed}
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
+def test_sets_travel_only_for_pairs_that_titles_and_sizes_leave(spark, monkeypatch):
+    """Crowded classes are dealt to salts, others are not repeated."""
+    body = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"https://x/{i}", "one same title here", f"{body} x{i}", "official") for i in range(6)]
+    rows += [(6, "https://x/6", "quite another headline", body, "official"), (7, "https://x/7", "one same title here", f"{body} " + " ".join(f"v{i}" for i in range(60)), "official")]
+    df = spark.createDataFrame(rows, "id long, url string, title string, body string, trust_tier string")
+    sig = dedup.prepare(df.withColumn("published_at", F.lit("2024-01-01")).withColumn("dedupe_priority", F.lit(0)))
+    written = []
+    monkeypatch.setattr(dedup, "cut", lambda x, cut=dedup.cut: written.append(cut(x)) or written[-1])
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 8)] + [(3, 2)], "l long, r long")
+    want = {(i, 0) for i in range(1, 6)} | {(3, 2)}
+    for crowd in (1, 1000):
+        monkeypatch.setattr(dedup, "CROWD", crowd)
+        assert {(r.l, r.r) for r in dedup._verify(pairs, sig, sig, 0.9).collect()} == want
+        assert {(r.l, r.r) for r in written[-1].collect()} == want
