@@ -142,7 +142,8 @@ def token_counts(df: DataFrame, tokenizer_path: str, pattern: str, id_col: str =
                         *[pa.array([r[k] for r in rows], pa.list_(kind)) for k, kind in ((1, pa.string()), (2, pa.int32()), (3, pa.int16()), (4, pa.int32()))],
                     ], names=dealt.names)
 
-    summed = T.StructType([*dealt.fields[:5], T.StructField("sums", T.ArrayType(T.LongType()))])
+    # a text has fewer than 2**31 bytes, and a token has one at least
+    summed = T.StructType([*dealt.fields[:5], T.StructField("sums", T.ArrayType(T.IntegerType()))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, part, pieces = _tokenizer(files.value), None, {}
@@ -162,15 +163,15 @@ def token_counts(df: DataFrame, tokenizer_path: str, pattern: str, id_col: str =
                 each = np.repeat(np.array([pieces[w] for w in words], np.int64), per) * freqs
                 total = np.zeros(batch.column(2)[i].as_py(), np.int64)
                 np.add.at(total, docs, each)
-                sums.append(total)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(5)], pa.array(sums, pa.list_(pa.int64()))], names=summed.names)
+                sums.append(total.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(5)], pa.array(sums, pa.list_(pa.int32()))], names=summed.names)
 
     out = T.StructType([T.StructField(id_col, id_type), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def total(group: pa.Table) -> pa.Table:
         lists = group.column("sums").drop_null()
         n = group.column("rows")[0].as_py()
-        tokens = np.sum([x.values.to_numpy(zero_copy_only=False) for x in lists], axis=0) if len(lists) else np.zeros(n, np.int64)
+        tokens = np.sum([x.values.to_numpy(zero_copy_only=False) for x in lists], axis=0, dtype=np.int64) if len(lists) else np.zeros(n, np.int64)
         ids, sizes = (group.column(c).combine_chunks().drop_null().flatten() for c in ("ids", "n_bytes"))
         return pa.table([ids, sizes, pa.array(tokens, pa.int64())], names=out.names)
 
