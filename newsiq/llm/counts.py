@@ -22,8 +22,8 @@ from newsiq.llm.batches import buffers, held, slices, strings
 #: Texts are counted in blocks of at most so many rows, and of about so many bytes.
 BLOCK_ROWS, BLOCK_BYTES = 4096, 1 << 24
 #: Parts that pre-tokens are dealt to, for each shuffle partition of the session, which a cluster sets by its data: so
-#: many that partitions get about the same. A task holds the distinct pre-tokens of one part at a time.
-PARTS_EACH = 16
+#: many that partitions get about the same. A task holds the distinct pre-tokens of one bunch of its parts at a time.
+PARTS_EACH, BUNCHES = 16, 4
 
 _FLAGS = ("single_word", "lstrip", "rstrip", "normalized")
 
@@ -101,9 +101,10 @@ def token_counts(df: DataFrame, tokenizer_path: str, pattern: str, id_col: str =
     Texts are counted in blocks: a block's distinct pre-tokens with their
     documents and frequencies are dealt by pre-token to ``parts`` parts (by
     default ``PARTS_EACH`` for each shuffle partition).  A
-    part counts the pieces of each of its distinct pre-tokens once, joins them
-    to the frequencies and adds up per document; the parts' sums of a block
-    meet again in one row set of at most ``parts`` rows.  Ids are never kept.
+    task takes its parts in ``BUNCHES`` bunches, counts the pieces of each
+    distinct pre-token of a bunch once, joins them to the frequencies and adds
+    up per document; only the sums of a block's bunches, at most ``parts``
+    rows, meet again.  Ids are never kept.
     A frequent pre-token is one entry per block, so no task gets its
     occurrences.
 
@@ -146,25 +147,40 @@ def token_counts(df: DataFrame, tokenizer_path: str, pattern: str, id_col: str =
     summed = T.StructType([*dealt.fields[:5], T.StructField("sums", T.ArrayType(T.IntegerType()))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part, pieces = _tokenizer(files.value), None, {}
+        tokenizer, bunch, pieces = _tokenizer(files.value), None, {}
+        block, total = None, None  # what the bunch's parts of a block, which come one after another, add up to
+
+        def added(schema: pa.Schema, sums: list[tuple[str, np.ndarray]]) -> pa.RecordBatch:
+            n, sizes = len(sums), [len(t) for _, t in sums]
+            return pa.RecordBatch.from_arrays([
+                pa.array([b for b, _ in sums], schema.field(0).type), pa.nulls(n, pa.int32()), pa.array(sizes, pa.int32()),
+                *[pa.nulls(n, schema.field(k).type) for k in (3, 4)], pa.array([t.astype(np.int32) for _, t in sums], pa.list_(pa.int32())),
+            ], names=summed.names)
+
         for batch in batches:
-            sums = []
-            for i in range(batch.num_rows):
-                p = batch.column(1)[i].as_py()
-                if p < 0:
-                    sums.append(None)
-                    continue
-                if p != part:
-                    part, pieces = p, {}
+            sums, parts_of = [], batch.column(1).to_numpy()
+            headers = batch.filter(pa.array(parts_of < 0))
+            if headers.num_rows:
+                yield pa.RecordBatch.from_arrays([*headers.columns[:5], pa.nulls(headers.num_rows, pa.list_(pa.int32()))], names=summed.names)
+            for i in np.flatnonzero(parts_of >= 0).tolist():
+                at = int(parts_of[i]) % BUNCHES, batch.column(0)[i].as_py()
+                if total is not None and at != (bunch, block):
+                    sums.append((block, total))
+                    total = None
+                if at[0] != bunch:
+                    bunch, pieces = at[0], {}
+                if total is None:
+                    block, total = at[1], np.zeros(batch.column(2)[i].as_py(), np.int64)
                 words = batch.column(5)[i].as_py()
                 new = [w for w in words if w not in pieces]
                 pieces.update((w, len(e.ids)) for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)))
                 per, docs, freqs = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (6, 7, 8))
                 each = np.repeat(np.array([pieces[w] for w in words], np.int64), per) * freqs
-                total = np.zeros(batch.column(2)[i].as_py(), np.int64)
                 np.add.at(total, docs, each)
-                sums.append(total.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(5)], pa.array(sums, pa.list_(pa.int32()))], names=summed.names)
+            if sums:
+                yield added(batch.schema, sums)
+        if total is not None:
+            yield added(batch.schema, [(block, total)])
 
     out = T.StructType([T.StructField(id_col, id_type), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
@@ -176,5 +192,5 @@ def token_counts(df: DataFrame, tokenizer_path: str, pattern: str, id_col: str =
         return pa.table([ids, sizes, pa.array(tokens, pa.int64())], names=out.names)
 
     rows = df.select(F.col(id_col), F.col(text_col)).mapInArrow(deal, dealt)
-    by_part = rows.repartition("part").sortWithinPartitions("part")
+    by_part = rows.repartition("part").sortWithinPartitions(F.pmod("part", F.lit(BUNCHES)), "block")
     return by_part.mapInArrow(count, summed).groupBy("block").applyInArrow(total, out)

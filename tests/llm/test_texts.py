@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -63,6 +64,21 @@ def test_token_counts_on_odd_rows(spark, monkeypatch):
     assert counts.token_counts(df.limit(0), JSON, P.PATTERN).collect() == []
 
 
+def test_parts_of_a_block_add_up_where_they_are_counted(spark, monkeypatch):
+    df = spark.createDataFrame([(i, " ".join(f"w{i * j % 97}" for j in range(40))) for i in range(20)], "doc_id long, text string").coalesce(1)
+    sums, apply = [], GroupedData.applyInArrow
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda self, *args: sums.append(self._df.where("sums IS NOT NULL").count()) or apply(self, *args))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        rows = counts.token_counts(df, JSON, P.PATTERN, parts=64).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    tokenizer = Tokenizer.from_file(JSON)
+    assert {r.doc_id: r.n_tokens for r in rows} == {r.doc_id: len(tokenizer.encode(r.text).ids) for r in df.collect()}
+    assert sums == [counts.BUNCHES]  # one block, 64 parts, one task
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(PIECES), max_size=40))
 def test_pieces_of_pre_tokens_add_up(parts):
