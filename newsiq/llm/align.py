@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsiq.llm.batches import buffers, cut, held, slices, strings
+from newsiq.llm.batches import buffers, cut, freeing, held, slices, strings, trim
 
 #: Texts share a block, for which distinct id pairs are listed once, up to so many bytes.
 BLOCK_BYTES = 1 << 23
@@ -192,6 +192,25 @@ def _aligned(texts: pa.Array, a: ByteLevel, b: Pieces) -> tuple[list, np.ndarray
     return out, pairs // span, pairs % span, times
 
 
+def _added_up(block: pa.Table, names: list[str]) -> pa.Table:
+    """The texts of a block with what the counts of its pairs add up to for each."""
+    grow = held("align sums", None, zstandard.ZstdDecompressor)  # a worker that comes here needs its tokenizers no more
+    block = block.combine_chunks()
+    there = block.column("key").is_valid()
+    pairs, docs = block.filter(there), block.filter(pa.compute.invert(there))
+    by = np.argsort(pairs.column("key").to_numpy())
+    n, first = pairs.column("n").to_numpy()[by], pairs.column("best").to_numpy()[by]
+    sums, bests = [], []
+    for data in docs.column("links"):
+        at, times = _unpack(grow.decompress(data.as_py()))
+        sums.append(int((n[at] * times).sum()))
+        bests.append(int(times[first[at].astype(bool)].sum()))
+    made = pa.table([*[docs.column(c) for c in names[:-2]], pa.array(bests, pa.int64()), pa.array(sums, pa.int64())], names=names)
+    del block, there, pairs, docs
+    trim()
+    return made
+
+
 def align(df: DataFrame, a_path: str, b_path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (default: all columns) with n_a, n_b, n_groups, n_links, n_best, count_sum long and groups_sha256 string.
 
@@ -248,8 +267,10 @@ def align(df: DataFrame, a_path: str, b_path: str, pattern: str, text_col: str =
                     pa.array(links, pa.binary()), *[pa.array(x, pa.list_(pa.int64())) for x in lead],
                 ], names=schema.names)
                 made += 1
+                del results, text, keys, times, distinct, number, links, lead
+                trim()
 
-    stored = cut(rows.mapInArrow(run, schema))
+    stored = cut(rows.mapInArrow(freeing(run), schema))
     n_b = len(_loaded(files, pattern)[1].pool.size)
     listed = stored.where(F.col("keys").isNotNull()).select("block", F.inline(F.arrays_zip("keys", "times"))).withColumnsRenamed({"keys": "key"})
     counts = cut(listed.groupBy("key").agg(F.sum("times").alias("n")))
@@ -259,18 +280,5 @@ def align(df: DataFrame, a_path: str, b_path: str, pattern: str, text_col: str =
     both = stored.drop("keys", "times").unionByName(looked, allowMissingColumns=True)
     out = T.StructType([T.StructField("own", own_type), *counted.fields, T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType())])
 
-    def add_up(block: pa.Table) -> pa.Table:
-        block = block.combine_chunks()
-        there = block.column("key").is_valid()
-        pairs, docs = block.filter(there), block.filter(pa.compute.invert(there))
-        by = np.argsort(pairs.column("key").to_numpy())
-        n, first = pairs.column("n").to_numpy()[by], pairs.column("best").to_numpy()[by]
-        grow, sums, bests = zstandard.ZstdDecompressor(), [], []
-        for data in docs.column("links"):
-            at, times = _unpack(grow.decompress(data.as_py()))
-            sums.append(int((n[at] * times).sum()))
-            bests.append(int(times[first[at].astype(bool)].sum()))
-        return pa.table([*[docs.column(c) for c in ("own", *counted.names)], pa.array(bests, pa.int64()), pa.array(sums, pa.int64())], names=out.names)
-
-    done = both.groupBy("block").applyInArrow(add_up, out)
+    done = both.groupBy("block").applyInArrow(lambda block: _added_up(block, out.names), out)
     return done.select(*[F.col("own")[f"c{i}"].alias(c) for i, c in enumerate(own)], *counted.names, "n_best", "count_sum")

@@ -6,15 +6,17 @@ import json
 import math
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
+import zstandard
 from tokenizers import Tokenizer
 
-from newsiq.llm import align, lexical, repeats
+from newsiq.llm import align, batches, lexical, repeats
 
 A, B = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 CLASH = "doc_id long, text string, item string, rank int, score string, block int, own string, kept string, spans int, found int, text_1 long, term long, n_a string, `odd.name` int"
@@ -185,6 +187,17 @@ def passages(seed, alphabet="abcdefgh é"):
     return texts
 
 
+def test_adding_up_needs_no_tokenizers_in_memory():
+    files = SimpleNamespace(value=tuple(open(p, "rb").read() for p in (A, B)))
+    align._loaded(files, public_tokenizers.PATTERN)
+    assert "align" in batches._HELD
+    links = align._pack(np.array([0, 1]), np.array([2, 1]), zstandard.ZstdCompressor())
+    block = pa.table({"own": [1, None, None], "links": [links, None, None], "key": [None, 9, 4], "n": [None, 5, 7], "best": [None, True, False]})
+    assert align._added_up(block, ["own", "n_best", "count_sum"]).to_pylist() == [{"own": 1, "n_best": 1, "count_sum": 19}]
+    assert "align" not in batches._HELD
+
+
+
 @pytest.mark.parametrize(("length", "hot"), [(40, 10_000), (40, 3), (24, 2), (41, 50), (200, 10_000), (200, 1)])
 def test_repeats_equal_brute_force(spark, length, hot):
     texts = passages(length)
