@@ -73,7 +73,7 @@ def candidates_for_labeling(t):
     q = queries_of(t)
     vec = rt.dense(q, t.article_vectors, K).withColumn("source_key", F.lit("vector"))
     chunk = rt.chunk_dense(q, t.chunks, 20, model="m1").withColumnRenamed("article_rank", "rank").withColumn("source_key", F.lit("chunk"))
-    lex = rt.lexical(q, news_articles(t), 20).withColumn("source_key", F.lit("lexical"))
+    lex = rt.lexical(q, news_articles(t), 20, partitions=t.spread).withColumn("source_key", F.lit("lexical"))
     out = es.candidates_for_labeling([vec, chunk, lex], t.cases, t.gold, K)
     return out.select("case_id", "article_id", "rank", "fusion_sources", "relevance_grade", "review_status")
 

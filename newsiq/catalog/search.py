@@ -239,7 +239,7 @@ def as_rank(name: str, rel: str) -> str:
 def rrf(t):
     q = queries_of(t)
     a = rt.chunk_dense(q, t.chunks, 30, model="m1").withColumnRenamed("article_rank", "rank").withColumn("source_key", F.lit("chunk"))
-    b = rt.lexical(q, news_articles(t), 30).withColumn("source_key", F.lit("lexical"))
+    b = rt.lexical(q, news_articles(t), 30, partitions=t.spread).withColumn("source_key", F.lit("lexical"))
     return rounded(rt.rrf([a, b]), "query_id", "article_id", "score_final", "fusion_sources", "rank")
 
 
@@ -283,7 +283,7 @@ def run_strategy(t, name, **extra):
     return rounded(
         rt.run(
             name, queries_of(t), K, chunks=t.chunks, articles=news_articles(t), article_vectors=t.article_vectors,
-            analysis_vectors=t.analysis_vectors, model="m1", **extra,
+            analysis_vectors=t.analysis_vectors, model="m1", partitions=t.spread, **extra,
         ),
         "query_id", "article_id", "rank", "score_final",
     )

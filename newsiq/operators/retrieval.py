@@ -78,16 +78,17 @@ def term_table(queries: DataFrame, question: str = "question") -> DataFrame:
     return terms.select("query_id", F.lower(F.trim("term")).alias("term")).where(F.length("term") >= 2)
 
 
-def lexical(queries: DataFrame, articles: DataFrame, k: int, id_col: str = "article_id", terms: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
+def lexical(queries: DataFrame, articles: DataFrame, k: int, id_col: str = "article_id", terms: DataFrame | None = None, partitions: int | None = None, plain: bool = False) -> DataFrame:
     """Substring search scored by trigram similarity, best ``k`` articles per query.
 
     An article qualifies for a term when one of its title or summary fields
     contains it; the term adds the greatest of 4 x title similarity and
     2 x summary similarity.  ``terms`` overrides the question's own terms;
+    ``plain`` says that they, too, consist of letters and digits.
     ``partitions`` spreads a table that is stored in few blocks.
     """
-    plain = terms is None  # a question's own terms are letters and digits
-    terms = (term_table(queries) if plain else terms).dropDuplicates(["query_id", "term"])
+    plain = plain or terms is None  # a question's own terms are letters and digits
+    terms = (term_table(queries) if terms is None else terms).dropDuplicates(["query_id", "term"])
     weights = {f: 4.0 for f in TITLE_FIELDS} | {f: 2.0 for f in SUMMARY_FIELDS}
     return best_matches(articles, terms, id_col, weights, max(k, 1), RANK_DIGITS, partitions, plain)
 
@@ -259,11 +260,13 @@ def run(
     weights: dict[str, float] | None = None,
     model: str | None = None,
     version: str | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Candidates (query_id, article_id, rank, score_final) of one named strategy.
 
     ``queries`` has query_id, question and query_embedding.  Mixed strategies
-    overfetch ``max(3k, 30)`` per list before fusing.
+    overfetch ``max(3k, 30)`` per list before fusing.  ``partitions`` spreads
+    the articles of a lexical list, see :func:`lexical`.
     """
     strategy = ALIASES.get(strategy, strategy)
     if strategy not in STRATEGIES:
@@ -279,7 +282,7 @@ def run(
         )
 
     def lexical_list(n: int, terms: DataFrame | None = None) -> DataFrame:
-        hits = lexical(queries, articles, n, terms=terms)
+        hits = lexical(queries, articles, n, terms=terms, partitions=partitions, plain=True)  # terms of questions
         return hits.select("query_id", "article_id", "rank", F.col("score").alias("score_final"), F.lit("lexical").alias("source_key"))
 
     def dense_list() -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from newsiq.operators import dedup
 from newsiq.operators.knn import knn_join
+import __spark_entry__ as spark_entry
+from newsiq.operators import retrieval, termindex
 from newsiq.operators.termindex import best_matches, term_matches
 
 
@@ -156,6 +158,33 @@ def test_search_plans_have_no_python(spark):
     assert not any(x in plan for x in ("Arrow", "Python", "CartesianProduct", "NestedLoop"))
 
 
+def test_lexical_lists_carry_numbers_and_no_hits(spark, monkeypatch):
+    written, real = [], termindex.cut
+    monkeypatch.setattr(termindex, "cut", lambda df: written.append(df.columns) or real(df))
+    t = spark.createDataFrame([(1, "red apple", "an apple is red"), (2, "green pear", "no apple")], "id long, a string, b string")
+    w = spark.createDataFrame([(1, "apple"), (1, "pear"), (2, "red")], "query_id long, term string")
+    rows = best_matches(t, w, "id", {"a": 4.0, "b": 2.0}, 2, 9, plain=True).collect()
+    assert [(r.query_id, r.id, r["rank"]) for r in sorted(rows)] == [(1, 1, 2), (1, 2, 1), (2, 1, 1)]
+    assert ["no", "own"] in written and ["id", "no", "first", "most"] in written and ["query_id", "id", "sure", "most"] in written
+
+
+@pytest.mark.parametrize("name", ["ret_5_rrf", "ret_7_lexical", "ret_7_hybrid", "ret_7_chunk_hybrid", "ret_7_entity_hybrid", "ret_7_rerank_hybrid", "evl_5_candidates_for_labeling"])
+def test_lexical_lists_spread_tables_of_few_blocks(spark, monkeypatch, name):
+    asked = []
+
+    def best(texts, terms, id_col, weights, k, digits, partitions=None, plain=False):
+        asked.append((partitions, plain))
+        return spark.createDataFrame([], "query_id long, article_id long, score double, rank int")
+
+    monkeypatch.setattr(retrieval, "best_matches", best)
+    spark.conf.set("spark.newsiq.partitions", "3")
+    try:
+        spark_entry.queries()[name](spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset("spark.newsiq.partitions")
+    assert asked == [(3, True)]
+
+
 def make_items(seed, hot):
     """Random articles, exact copies, near copies, shared boilerplate and repeated URLs."""
     rnd = random.Random(seed)
