@@ -84,7 +84,7 @@ def lexical(t):
 @query("joi_7_substring_join", f"WITH {lexical_sql('h', K)} SELECT article_id, term FROM h_p", ("cases", "news"))
 def substring_join(t):
     terms = rt.term_table(queries_of(t)).select("term").distinct()
-    return term_matches(news_articles(t), terms, "article_id", list(_FIELDS), partitions=t.spread)
+    return term_matches(news_articles(t), terms, "article_id", list(_FIELDS), partitions=t.spread, plain=True)
 
 
 @query(

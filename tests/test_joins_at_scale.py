@@ -168,6 +168,13 @@ def test_lexical_lists_carry_numbers_and_no_hits(spark, monkeypatch):
     assert ["no", "own"] in written and ["id", "no", "first", "most"] in written and ["query_id", "id", "sure", "most"] in written
 
 
+def test_substring_join_says_that_its_terms_are_plain(spark, monkeypatch):
+    plans, real = [], termindex._found
+    monkeypatch.setattr(termindex, "_found", lambda *args: plans.append(args[-1]) or real(*args))
+    assert spark_entry.queries()["joi_7_substring_join"](spark, "/root/testdata/sf0.001").count() > 0
+    assert plans == [True]  # plain terms need no second look at the texts
+
+
 @pytest.mark.parametrize("name", ["ret_5_rrf", "ret_7_lexical", "ret_7_hybrid", "ret_7_chunk_hybrid", "ret_7_entity_hybrid", "ret_7_rerank_hybrid", "evl_5_candidates_for_labeling"])
 def test_lexical_lists_spread_tables_of_few_blocks(spark, monkeypatch, name):
     asked = []
