@@ -11,7 +11,7 @@ from newsiq.functions import sqltables
 def registered(t):
     """A session in which the functions read the tables of ``t``."""
     sqltables.register(
-        t.spark, "newsiq_", articles=t.news, article_vectors=t.article_vectors, analysis_vectors=t.analysis_vectors, chunks=t.chunks, sources=t.sources, raw_items=t.raw, analyses=t.analysis
+        t.spark, "newsiq_", articles=t.spread_out(t.news), article_vectors=t.article_vectors, analysis_vectors=t.analysis_vectors, chunks=t.chunks, sources=t.sources, raw_items=t.raw, analyses=t.analysis
     )
     t.cases.createOrReplaceTempView("newsiq_cases")
     return t.spark

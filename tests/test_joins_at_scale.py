@@ -398,3 +398,12 @@ def test_sets_travel_only_for_pairs_that_titles_and_sizes_leave(spark, monkeypat
         monkeypatch.setattr(dedup, "CROWD", crowd)
         assert {(r.l, r.r) for r in dedup._verify(pairs, sig, sig, 0.9).collect()} == want
         assert {(r.l, r.r) for r in written[-1].collect()} == want
+
+
+def test_lexical_function_spreads_tables_of_few_blocks(spark):
+    spark.conf.set("spark.newsiq.partitions", "3")
+    try:
+        plan = spark_entry.queries()["udx_2_match_lexical"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.newsiq.partitions")
+    assert "RoundRobinPartitioning(3)" in plan
