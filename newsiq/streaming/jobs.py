@@ -7,6 +7,7 @@ batch functions named in the docstrings.  Event times are ``timestamp``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -369,7 +370,15 @@ def run_available(stream: DataFrame, path: str, mode: str = "append", writer: Ca
 
 
 def stream_table(spark, path: str, schema: T.StructType) -> DataFrame:
-    """File stream over a parquet table: one file, or a folder of them."""
+    """File stream over a parquet table: one file, or a folder of them.
+
+    The source takes a plain path for that of a folder, so a file is named by a pattern that only it matches.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(place) and store.getFileStatus(place).isFile():
+        folder, _, name = re.sub(r"([][{}*?,\\])", r"\\\1", path).rpartition("/")
+        path = f"{folder}/{{{name}}}" if folder else f"{{{name}}}"
     return spark.readStream.schema(schema).parquet(path)
 
 

@@ -208,6 +208,22 @@ def test_streams_follow_tables_stored_as_folders(spark, folders):
     assert stateful.rate_limit(folders).count() == folders.events.count()
 
 
+def test_streams_follow_tables_stored_as_one_file(spark):
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    got = {(r.event_id, r.request_count, r.allowed) for r in stateful.rate_limit(tables).collect()}
+    assert got and got == {(r.event_id, r.request_count, r.allowed) for r in stateful.rate_limit_batch(tables).collect()}
+    assert stateful.freshness(tables).agg(F.sum("raw_rows")).first()[0] == 24 * tables.raw.count()
+
+
+@pytest.mark.parametrize("name", ["a,b.parquet", "c{1}[d].parquet", "e e*.parquet"])
+def test_a_stream_of_one_file_leaves_its_neighbours(spark, tmp_path, name):
+    rows = spark.range(5).coalesce(1)
+    for i, x in enumerate((name, "a", "b.parquet", "c1d.parquet", "e ee.parquet")):
+        rows.withColumn("id", F.col("id") + 10 * i).toPandas().to_parquet(f"{tmp_path}/{x}")
+    jobs.run_available(jobs.stream_table(spark, f"{tmp_path}/{name}", rows.schema), f"{tmp_path}/out")
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out/data").collect()) == [0, 1, 2, 3, 4]
+
+
 def test_a_batch_arrives_in_more_files_than_one(spark, folders, monkeypatch):
     paths = []
     monkeypatch.setattr(stateful, "folder", lambda t, make=stateful.folder: paths.append(make(t)) or paths[-1])
