@@ -26,10 +26,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder; later steps read the copy, also after executors were lost."""
+def cut(df: DataFrame, at_once: int | None = None) -> DataFrame:
+    """``df`` written once to the shared folder; later steps read the copy, also after executors were lost.
+
+    A writer holds a row group, and a reader up to 4096 rows of one; with rows
+    of megabytes ``at_once`` says how many rows that may be.
+    """
     path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.option("parquet.block.row.count.limit", at_once) if at_once else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsiq.llm.batches import buffers, cut, slices, strings
+from newsiq.llm.batches import buffers, cut, freeing, slices, strings
 from newsiq.llm.hashing import word_hashes, word_spans
 
 #: Text bytes of a block, and items' terms that a task holds at once.
@@ -33,12 +33,16 @@ _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.u
 
 
 def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(term hash of each occurrence, text number of each) of a slice of texts."""
-    raw, offsets = buffers(texts)
-    raw = _LOWER[raw]
-    starts, ends, first = word_spans(raw, offsets, _TERM)
-    row = np.repeat(np.arange(len(texts)), np.diff(np.append(first[:-1], len(starts))))
-    return (word_hashes(raw, starts, ends) if len(starts) else np.zeros(0, np.uint64)).view(np.int64), row
+    """(term hash of each occurrence, text number of each) of a slice of texts, found in smaller ones."""
+    terms, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for lo, hi in slices(buffers(texts)[1]):
+        raw, offsets = buffers(texts[lo:hi])
+        raw = _LOWER[raw]
+        starts, ends, first = word_spans(raw, offsets, _TERM)
+        if len(starts):
+            terms.append(word_hashes(raw, starts, ends))
+            rows.append(np.repeat(np.arange(lo, hi), np.diff(np.append(first[:-1], len(starts)))))
+    return np.concatenate(terms).view(np.int64), np.concatenate(rows)
 
 
 def _counted(terms: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,10 +73,12 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
         for batch in batches:
-            order = pc.sort_indices(batch.column(0), null_placement="at_start")
-            ids, texts = batch.column(0).take(order), strings(batch, batch.schema.names[1]).take(order)
-            for lo, hi in slices(buffers(texts)[1], BLOCK_BYTES):
-                terms, row = _terms(texts[lo:hi])
+            ids, texts = batch.column(0), strings(batch, batch.schema.names[1])
+            order = pc.sort_indices(ids, null_placement="at_start")
+            sizes = np.diff(buffers(texts)[1])[order.to_numpy()]
+            for lo, hi in slices(np.concatenate([[0], np.cumsum(sizes)]), BLOCK_BYTES):
+                here = order[lo:hi]
+                terms, row = _terms(texts.take(here))
                 lengths = np.bincount(row, minlength=hi - lo)
                 place = np.cumsum(lengths > 0) - 1
                 terms, row, tfs = _counted(terms, place[row])
@@ -80,11 +86,12 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 if not len(some):
                     continue
                 each, dfs = np.unique(terms, return_counts=True)
-                lists = [ids[lo:hi].take(pa.array(some)), pa.array(lengths[some], pa.int64()), pa.array(each), *[pa.array(x, pa.int32()) for x in (dfs, row, tfs)]]
+                lists = [ids.take(here.take(pa.array(some))), pa.array(lengths[some], pa.int64()), pa.array(each), *[pa.array(x, pa.int32()) for x in (dfs, row, tfs)]]
                 yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{made}"])] + [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists], names=schema.names)
                 made += 1
+            del batch, ids, texts  # before the next one is read
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(freeing(run), schema)
 
 
 def _item_terms(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -134,7 +141,8 @@ def search(index: DataFrame, items: DataFrame, k: int = 20, id_col: str = "item_
     that has the term tf times gains w * ((10^9 tf) div (1000 tf + 12 m)),
     m = 75 + (25 n N) div L, for each time the item holds the term.
 
-    ``index`` should be stored; it is read for the document frequencies and
+    ``index`` should be stored, a block by itself (``cut`` with ``at_once=1``),
+    since blocks have megabytes; it is read for the document frequencies and
     once per pack of about ``PACK_TERMS`` items' terms, which go to all tasks.
     A block ships its best k at most (and ties), less what the task has seen
     beaten; an item's rows are ranked in parts first, so no task gets all.
@@ -208,4 +216,6 @@ def _scored(index: DataFrame, weighed: DataFrame, k: int, n_texts: int, n_terms:
                     take = pa.array(np.full(len(order), a))
                     yield pa.RecordBatch.from_arrays([pa.array(item).take(take), pack.column("item_id").combine_chunks().take(take), ids.take(pa.array(found[order])), pa.array(scores[order])], names=schema.names)
 
-    return index.mapInArrow(run, schema)
+            del batch
+
+    return index.mapInArrow(freeing(run), schema)

@@ -247,5 +247,5 @@ FROM r QUALIFY rank <= 20
 @query("op13_ranked_search", OP13_SQL)
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty best documents of every benchmark text."""
-    index = cut(lexical.build_index(table(spark, sf_dir, "documents")))
+    index = cut(lexical.build_index(table(spark, sf_dir, "documents")), at_once=1)
     return lexical.search(index, table(spark, sf_dir, "benchmark"), 20)

@@ -1,22 +1,25 @@
 """Ranked search, alignment of tokenizers and repeated passages against brute force."""
 
 import collections
+import glob
 import hashlib
 import json
 import math
+import os
 import random
 import re
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 import sentencepiece
 import zstandard
 from tokenizers import Tokenizer
 
-from newsiq.llm import align, batches, lexical, repeats
+from newsiq.llm import align, batches, hashing, lexical, queries, repeats
 
 A, B = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 CLASH = "doc_id long, text string, item string, rank int, score string, block int, own string, kept string, spans int, found int, text_1 long, term long, n_a string, `odd.name` int"
@@ -73,6 +76,31 @@ def test_search_equals_brute_force(spark, monkeypatch):
     assert set(got) == want
 
 
+def test_a_reader_holds_one_block_of_the_stored_index(spark, tmp_path):
+    words = [f"w{i}" for i in range(1000)]
+    docs = [(i, " ".join(words[i:] * (lexical.BLOCK_BYTES // 4500))) for i in range(3)]  # each a block
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "w0"), (8, "w1 w1")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    place = batches.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(place)) if os.path.isdir(place) else set()
+    found = queries.op13_ranked_search(spark, str(tmp_path)).collect()
+    assert {(r.item_id, r["rank"], r.doc_id) for r in found} == {(i, r, d) for i, r, d, _ in ranked(docs, [(7, "w0"), (8, "w1 w1")], 20)}
+    files = [pq.ParquetFile(f) for n in set(os.listdir(place)) - before for f in glob.glob(f"{place}/{n}/*.parquet")]
+    stored = [f.metadata for f in files if "dfs" in f.schema_arrow.names]
+    assert [(m.num_rows, m.num_row_groups) for m in stored if m.num_rows] == [(3, 3)]
+
+
+def test_terms_of_a_block_are_hashed_in_smaller_slices(monkeypatch):
+    powers = [np.ones(1, np.uint64)] * 2
+    monkeypatch.setattr(hashing, "_powers", powers)
+    texts = [f"Ab{i % 7} cd, ef{i}" * 200 for i in range(2000)] + [None, "", "ab0"]
+    found, row = lexical._terms(pa.array(["" if t is None else t for t in texts]))
+    assert sum(map(len, texts[:2000])) > 4 * batches.SLICE_BYTES > 2 * len(powers[0])
+    assert collections.Counter(row.tolist()) == {i: len(terms(t)) for i, t in enumerate(texts) if terms(t)}
+    alone, _ = lexical._terms(pa.array(texts[1999:2000]))
+    assert np.array_equal(alone, found[row == 1999])
+
+
 def test_accumulators_stop_and_scores_stay_exact():
     rnd = np.random.default_rng(2)
     for trial in range(200):
