@@ -1,14 +1,18 @@
 """Search and duplicate joins against brute force, with hot groups and skew."""
 
+import glob
+import os
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from newsiq.operators import dedup
 from newsiq.operators.knn import knn_join
+from newsiq.operators.lineage import shared_folder
 import __spark_entry__ as spark_entry
 from newsiq.operators import retrieval, termindex
 from newsiq.operators.termindex import best_matches, term_matches
@@ -420,6 +424,33 @@ def test_or_join_as_classes_gives_every_pair_once(spark):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+def test_near_duplicates_store_less_than_the_texts(spark):
+    """Neither sets of shingles nor second copies of the signatures are written."""
+    rnd = random.Random(7)
+    bodies = [" ".join(f"{rnd.choice('bcdfgh')}{rnd.randrange(3000)}" for _ in range(400)) for _ in range(300)]
+    rows = [(i, f"https://x/{i}", f"title {i} of its own {i * i}", b, "2024-01-01", "official", 0) for i, b in enumerate(bodies)]
+    rows += [(1000 + i, f"https://y/{i}", rows[i][2], rows[i][3] + " end", "2024-01-01", "secondary", 0) for i in range(30)]
+    place = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(place)) if os.path.isdir(place) else set()
+    got = {r.id: r.partner_id for r in dedup.similar_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: 1000 + i for i in range(30)} | {1000 + i: i for i in range(30)}
+    stored = sum(os.path.getsize(f) for n in set(os.listdir(place)) - before for f in glob.glob(f"{place}/{n}/*.parquet"))
+    assert stored < sum(len(r[3]) for r in rows)
+
+
+def test_shingle_keys_are_the_sets_of_shingles():
+    rnd = random.Random(8)
+    texts = ["", "one", "one two three four five", "one two three four five six", "a b c d e a b c d e a b c d e f", "x " * 7 + "x"]
+    texts += [" ".join(rnd.choice(["a", "bb", "東京", "c9"]) for _ in range(rnd.randrange(40))) for _ in range(200)]
+    want = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (t.split() for t in texts)]
+    keys, row = dedup._shingle_keys(pa.array(["left out", *texts])[1:])
+    got = [set(keys[row == i].tolist()) for i in range(len(texts))]
+    assert [len(g) for g in got] == [len(w) for w in want] and len(keys) == sum(map(len, want))
+    for i in range(0, len(texts), 3):
+        for j in range(len(texts)):
+            assert len(got[i] & got[j]) == len(want[i] & want[j])
+
+
 def test_sets_travel_only_for_pairs_that_titles_and_sizes_leave(spark, monkeypatch):
     """Crowded classes are dealt to salts, others are not repeated."""
     body = " ".join(f"w{i}" for i in range(60))
